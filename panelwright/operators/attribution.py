@@ -81,9 +81,12 @@ def seed_aggregate(df: DataFrame, keys: Sequence[str], run: str, values: Sequenc
     return df.groupBy(*keys).agg(*aggs)
 
 
-def high_low_contrast(df: DataFrame, by: Sequence[str], sample: Sequence[str], value: str = "value") -> DataFrame:
-    """Mean signed attribution where the mean input is at or above q75 minus where it is at or below q25."""
-    per = df.groupBy(*by, *sample, "feature").agg(F.sum("shap").alias("signed"), F.avg(value).alias("level"))
+def high_low_contrast(df: DataFrame, by: Sequence[str], sample: Sequence[str], value: str = "value", digits: int = 10) -> DataFrame:
+    """Mean signed attribution where the mean input is at or above q75 minus where it is at or below q25.
+
+    Mean inputs are rounded, so equal inputs stay equal whatever order they were summed in.
+    """
+    per = df.groupBy(*by, *sample, "feature").agg(F.sum("shap").alias("signed"), F.round(F.avg(value), digits).alias("level"))
     q = exact_quantiles(per, "level", {"q25": 0.25, "q75": 0.75}, by=[*by, "feature"]).drop("n")
     joined = per.join(F.broadcast(q), [*by, "feature"])  # one row per run and feature
     out = joined.groupBy(*by, "feature").agg(

@@ -17,6 +17,7 @@ from panelwright.functions import safe_divide, to_long
 from panelwright.operators.metrics import METRICS, SUMS, metrics_from_sums
 from panelwright.operators.ordering import average_rank, dense_index
 from panelwright.operators.temporal import section_starts
+from panelwright.session import cut_lineage
 
 
 def index_clusters(df: DataFrame, cluster: Sequence[str], stratum: Sequence[str] = ()) -> DataFrame:
@@ -59,9 +60,11 @@ def replicate_sums(
 ) -> DataFrame:
     """Sums per (stratum, rep, by). All `by` levels share the same draws.
 
-    A drawn position joins the statistics directly; counting multiplicities first would only add
+    The statistics are materialised once: they are far smaller than the rows behind them and are
+    read for the index and for the join. A drawn position joins the statistics directly; counting multiplicities first would only add
     a shuffle. Statistics are one row per (cluster, by), so the join keys are spread evenly.
     """
+    stats = cut_lineage(stats.select(*stratum, *cluster, *by, *sums))
     indexed = index_clusters(stats, cluster, stratum)
     placed = stats.join(indexed, [*stratum, *cluster]).select(*stratum, "_pos", *by, *sums)
     drawn = draw(indexed, reps, seed, stratum).select(*stratum, "rep", "_pos")
@@ -164,6 +167,7 @@ def stratified_bootstrap(
     df: DataFrame, stratum: str, cluster: str, group: str, value: str, dominant: str, reps: int, seed: int
 ) -> DataFrame:
     """Intervals of group means and of the share of clusters a group dominates (`dominant` is 0/1)."""
+    df = cut_lineage(df.select(stratum, cluster, group, value, dominant))
     point = df.groupBy(stratum, group).agg(F.count(F.lit(1)).alias("n_sites"), F.avg(value).alias("mean"), F.avg(dominant).alias("proportion"))
     draws = stratified_replicates(df, stratum, cluster, group, value, reps, seed, [dominant])
     ci = draws.groupBy(stratum, group).agg(
@@ -180,6 +184,7 @@ def share_bootstrap(df: DataFrame, stratum: str, cluster: str, group: str, value
         total = F.sum(value).over(Window.partitionBy(*by))
         return rows.withColumn("share", safe_divide(F.col(value), total))
 
+    df = cut_lineage(df.select(stratum, cluster, group, value))
     point = share(df.groupBy(stratum, group).agg(F.count(F.lit(1)).alias("n_sites"), F.avg(value).alias(value)), [stratum])
     draws = share(stratified_replicates(df, stratum, cluster, group, value, reps, seed), [stratum, "rep"])
     ci = draws.groupBy(stratum, group).agg(F.percentile("share", 0.025).alias("lower"), F.percentile("share", 0.975).alias("upper"))
@@ -195,6 +200,7 @@ def rank_replicates(df: DataFrame, cluster: str, entity: str, total: str, count:
 
 def rank_bootstrap(df: DataFrame, cluster: str, entity: str, total: str, count: str, reps: int, seed: int, top: int = 5) -> DataFrame:
     """Importance interval, rank distribution summary and probability of a rank within `top`."""
+    df = cut_lineage(df.select(cluster, entity, total, count))
     point = df.groupBy(entity).agg(safe_divide(F.sum(total), F.sum(count)).alias("importance"))
     r = rank_replicates(df, cluster, entity, total, count, reps, seed)
     q = {"rank_p025": 0.025, "rank_q25": 0.25, "median_rank": 0.5, "rank_q75": 0.75, "rank_p975": 0.975}

@@ -333,4 +333,4 @@ FLAGGED = MASTER + ", " + DAYWEIGHTED + ", " + MONTHLY_QA + ", " + SNOW + f""",
 
 def with_(ctes: str, select: str) -> str:
     """`WITH ctes select`; a select that starts with a comma continues the list of tables."""
-    return f"WITH {ctes} {select}"
+    return f"WITH {ctes}{select}" if select.lstrip().startswith(",") else f"WITH {ctes} {select}"
