@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelwright.functions import finite, safe_divide
+from panelwright.functions import finite, safe_divide, to_long
 from panelwright.operators.checks import expect_finite, expect_same_keys, expect_unique
 from panelwright.operators.metrics import METRICS, cluster_sufficient_stats, metrics_from_sums, regression_metrics, select_best
 from panelwright.operators.ordering import exact_quantiles
@@ -390,21 +390,31 @@ def predict_rows(df: DataFrame, fit: AdditiveFit, level: object = "all") -> Data
     return df.withColumn("_x", design_vector(fit.spec)).withColumn("fitted", _dot("_x", fit.coefficients[level])).drop("_x")
 
 
-def reference_row(df: DataFrame, spec: AdditiveSpec, quantile: float = 0.5) -> DataFrame:
-    """One row: a quantile of each control, the first month, year and entity, and point A of the surface."""
+def reference_rows(df: DataFrame, spec: AdditiveSpec, quantiles: Sequence[float]) -> DataFrame:
+    """One row per quantile: that quantile of each control, the first month, year and entity, point A of the surface.
+
+    All controls and quantiles come from one pass over the controls in long form.
+    """
+    names = list(spec.controls)
+    probs = {f"q{i}": q for i, q in enumerate(quantiles)}
+    found = exact_quantiles(to_long(df, [], names), "value", probs, by=["feature"])  # one row per control
+    cells = [F.struct(F.lit(q).alias("control_quantile"), F.col(k).alias("_v")) for k, q in probs.items()]
+    long = found.select("feature", F.inline(F.array(*cells)))
+    wide = long.groupBy("control_quantile").agg(*[F.max(F.when(F.col("feature") == c, F.col("_v"))).alias(c) for c in names])
     first = df.agg(F.min("month").alias("month"), F.min("year").alias("year"), F.min(spec.site).alias(spec.site))
-    for c in spec.controls:
-        first = first.withColumn(c, exact_quantiles(df, c, {"q": quantile}).select("q").scalar())
-    return first.withColumn(spec.x, F.lit(CONTRAST_A[0])).withColumn(spec.y, F.lit(CONTRAST_A[1]))
+    tie = F.lit(1).alias("_j")
+    rows = wide.select("*", tie).join(F.broadcast(first.select("*", tie)), "_j").drop("_j")  # one row
+    return rows.withColumn(spec.x, F.lit(CONTRAST_A[0])).withColumn(spec.y, F.lit(CONTRAST_A[1]))
+
+
+def reference_row(df: DataFrame, spec: AdditiveSpec, quantile: float = 0.5) -> DataFrame:
+    return reference_rows(df, spec, [quantile]).drop("control_quantile")
 
 
 def contrast_invariance(df: DataFrame, fit: AdditiveFit, quantiles: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """A - B evaluated at several months, years and control quantiles; every value must agree."""
     spec = fit.spec
-    refs = None
-    for q in quantiles:
-        r = reference_row(df, spec, q).withColumn("control_quantile", F.lit(q))
-        refs = r if refs is None else refs.unionByName(r)
+    refs = reference_rows(df, spec, quantiles)
     months = sorted({spec.months[0], spec.months[len(spec.months) // 2], spec.months[-1]})
     years = sorted({spec.years[0], spec.years[-1]})
     grid = refs.drop("month", "year").withColumn("month", F.explode(F.array(*[F.lit(m) for m in months])))
