@@ -144,6 +144,13 @@ def safe_divide(numerator: ColumnLike, denominator: ColumnLike) -> Column:
     return _c(numerator) / F.when(d != 0, d)
 
 
+def correlation(x: ColumnLike, y: ColumnLike) -> Column:
+    """Aggregate: Pearson r over complete pairs; null without variance, where the built-in raises under ANSI."""
+    a, b = F.when(_c(y).isNotNull(), _c(x)), F.when(_c(x).isNotNull(), _c(y))
+    product = F.var_pop(a) * F.var_pop(b)
+    return F.covar_pop(a, b) / F.sqrt(F.when(product > 0, product))
+
+
 def residual(prediction: ColumnLike, truth: ColumnLike) -> Column:
     return _c(prediction) - _c(truth)
 

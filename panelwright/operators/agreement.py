@@ -8,9 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.functions import classify, safe_divide, shift_class
+from panelwright.functions import classify, correlation, safe_divide, shift_class
 from panelwright.operators.ordering import average_rank, dense_index, exact_quantiles, running_sum, value_counts
-from panelwright.operators.temporal import safe_corr
 from panelwright.session import broadcast_if_small
 
 STRENGTH_RHO = [(">=", 0.80, "STRONG"), (">=", 0.60, "MODERATE")]
@@ -60,7 +59,7 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str], bounded: bool = F
     """Pearson correlation of average ranks per group."""
     base = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = average_rank(average_rank(base, x, "_rx", by, bounded=bounded), y, "_ry", by, bounded=bounded)
-    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), safe_corr("_rx", "_ry").alias("spearman"))
+    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation("_rx", "_ry").alias("spearman"))
 
 
 def kendall_tau_b(df: DataFrame, x: str, y: str, by: Sequence[str], keys: Sequence[str], bounded: bool = False) -> DataFrame:
@@ -106,7 +105,7 @@ def spearman_matrix(df: DataFrame, keys: Sequence[str], features: Sequence[str],
     ranked = average_rank(df.where(F.col(value).isNotNull()), value, "_rank", [name])
     wide = ranked.groupBy(*keys).pivot(name, list(features)).agg(F.first("_rank"))
     pairs = list(combinations(features, 2))
-    cells = [F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.corr(a, b).alias("spearman")) for a, b in pairs]
+    cells = [F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), correlation(a, b).alias("spearman")) for a, b in pairs]
     return wide.agg(F.array(*cells).alias("_c"), F.count(F.lit(1)).alias("n_rows")).select(F.inline("_c"), "n_rows")
 
 
@@ -214,7 +213,7 @@ def composition_distance(top2: DataFrame, run: str, pairs: Sequence[tuple[str, s
         F.max((F.col("top1_group_left") == F.col("top1_group_right")).cast("int")).alias("same_top1"),
     )
     agree = classes.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n_classes"), F.sum("same_top1").alias("n_same_top1"), F.avg("same_top1").alias("top1_agreement"))
-    pearson = both.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n_cells"), safe_corr("share_left", "share_right").alias("pearson"))
+    pearson = both.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n_cells"), correlation("share_left", "share_right").alias("pearson"))
     rho = spearman(both, "share_left", "share_right", PAIR, bounded=True).drop("n")
     tau = kendall_tau_b(both, "share_left", "share_right", PAIR, [group_class, "group"], bounded=True).drop("n")
     return classes, agree.join(pearson, PAIR).join(rho, PAIR).join(tau, PAIR)

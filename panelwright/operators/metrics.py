@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.functions import safe_divide
+from panelwright.functions import correlation, safe_divide
 from panelwright.operators.ordering import exact_quantiles
 
 METRICS = ["rmse", "mae", "r2", "bias", "pearson_r"]
@@ -23,7 +23,7 @@ def _metric_aggs(truth: str, prediction: str) -> list[Column]:
         F.count(F.lit(1)).alias("n"),
         F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
         (F.lit(1.0) - F.sum(e * e) / F.when(sst > 0, sst)).alias("r2"), F.avg(e).alias("bias"),
-        F.when((F.var_pop(y) > 0) & (F.var_pop(p) > 0), F.corr(y, p)).alias("pearson_r"),
+        correlation(y, p).alias("pearson_r"),
     ]
 
 
@@ -165,7 +165,7 @@ def residual_diagnostics(df: DataFrame, residual: str, fitted: str) -> DataFrame
         (F.skewness(r) * F.pow(ratio, F.lit(1.5))).alias("residual_skewness"),
         ((F.kurtosis(r) + 3) * ratio * ratio - 3).alias("residual_excess_kurtosis"),
         (F.max(r * r) / F.sum(r * r)).alias("largest_squared_share"), F.min(f).alias("fitted_min"), F.max(f).alias("fitted_max"),
-        F.when((F.var_pop(r) > 0) & (F.var_pop(f) > 0), F.corr(r, f)).alias("residual_fitted_correlation"),
+        correlation(r, f).alias("residual_fitted_correlation"),
     )
     q = exact_quantiles(df, residual, {"residual_q01": 0.01, "residual_q25": 0.25, "residual_median": 0.5, "residual_q75": 0.75, "residual_q99": 0.99})
     tie = F.lit(1).alias("_j")

@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.functions import correlation
 from panelwright.operators.ordering import dense_index
 
 
@@ -213,15 +214,10 @@ def consecutive_pairs(df: DataFrame, keys: Sequence[str], time: str, value: str)
     )
 
 
-def safe_corr(x: str, y: str) -> Column:
-    """Pearson r; null with fewer than two pairs or no variance."""
-    return F.when((F.var_pop(x) > 0) & (F.var_pop(y) > 0), F.corr(x, y))
-
-
 def lag1_autocorrelation(df: DataFrame, keys: Sequence[str], time: str, value: str) -> DataFrame:
     """Lag-1 correlation of consecutive pairs, with the distribution of pair counts per entity."""
     pairs = consecutive_pairs(df, keys, time, value)
-    overall = pairs.agg(safe_corr("value_before", "value").alias("rho"), F.count(F.lit(1)).alias("n_pairs"))
+    overall = pairs.agg(correlation("value_before", "value").alias("rho"), F.count(F.lit(1)).alias("n_pairs"))
     per = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("pairs")).groupBy("pairs").agg(F.count(F.lit(1)).alias("_f"))
     counts = per.agg(F.sum("_f").alias("n_entities"), *_spread("pairs", "_f", "pairs_per_entity"))
     tie = F.lit(1).alias("_j")
@@ -243,16 +239,11 @@ def sequence_acf(df: DataFrame, keys: Sequence[str], time: str, value: str, max_
         .select("_now", F.inline("_cells"))
         .groupBy("lag")
         .agg(
-            safe_corr_where(valid, "before", "_now").alias("correlation"), F.count(F.when(valid, 1)).alias("n_pairs")
+            correlation(F.when(valid, F.col("before")), F.when(valid, F.col("_now"))).alias("correlation"), F.count(F.when(valid, 1)).alias("n_pairs")
         )
     )
 
 
-def safe_corr_where(condition: Column, x: str, y: str) -> Column:
-    a, b = F.when(condition, F.col(x)), F.when(condition, F.col(y))
-    return F.when((F.var_pop(a) > 0) & (F.var_pop(b) > 0), F.corr(a, b))
-
-
 # --- calendars ------------------------------------------------------------------------------
 
 def allocate_days_to_months(

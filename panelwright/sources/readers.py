@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 from panelwright.functions import finite_or_null
 
 
-def scan_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType) -> DataFrame:
-    """CSV with a declared schema; only an empty field is missing."""
+def scan_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str) -> DataFrame:
+    """CSV with a declared schema (a struct or its DDL); only an empty field is missing."""
     paths = [path] if isinstance(path, str) else list(path)
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(paths)
 
