@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.functions import classify, correlation, safe_divide, shift_class
-from panelwright.operators.ordering import average_rank, dense_index, exact_quantiles, running_sum, value_counts
-from panelwright.session import broadcast_if_small
+from panelwright.operators.ordering import average_rank, dense_index, exact_quantiles, running_sum, running_sums, value_counts
+from panelwright.session import broadcast_if_small, cut_lineage
 
 STRENGTH_RHO = [(">=", 0.80, "STRONG"), (">=", 0.60, "MODERATE")]
 STRENGTH_AGREEMENT = [(">=", 0.70, "STRONG"), (">=", 0.50, "MODERATE")]
@@ -18,35 +18,62 @@ STRENGTH_AGREEMENT = [(">=", 0.70, "STRONG"), (">=", 0.50, "MODERATE")]
 
 # --- distributions --------------------------------------------------------------------------
 
-def wasserstein_1d(a: DataFrame, b: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    """Area between the two ECDFs per group.
+def paired_ecdf(a: DataFrame, b: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """Per group and distinct value: counts in both samples, running counts, sizes.
 
-    Both sides reduce to counts per distinct value. Summing by parts, the area is
-    sum of v * (|D before v| - |D after v|), so a row needs only its own running difference D.
+    Both sides reduce to counts per distinct value before one distributed ordering; every
+    distribution measure below is an aggregate of this table.
     """
     tagged = a.select(*by, F.col(value).alias("_x"), F.lit(1).alias("_a")).unionByName(b.select(*by, F.col(value).alias("_x"), F.lit(0).alias("_a")))
     counts = tagged.where(F.col("_x").isNotNull()).groupBy(*by, "_x").agg(F.sum("_a").alias("_na"), F.sum(1 - F.col("_a")).alias("_nb"))
-    totals = counts.groupBy(*by).agg(F.sum("_na").alias("n_a"), F.sum("_nb").alias("n_b"), F.avg("_x").alias("_mid"))
-    totals = broadcast_if_small(totals)
-    steps = counts.join(totals, list(by)).withColumn("_d", F.col("_na") / F.col("n_a") - F.col("_nb") / F.col("n_b"))
-    cum = running_sum(steps, F.col("_d"), ["_x"], "_after", by)
-    term = (F.col("_x") - F.col("_mid")) * (F.abs(F.col("_after") - F.col("_d")) - F.abs(F.col("_after")))
-    return cum.groupBy(*by).agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.sum(term).alias("wasserstein"))
+    cum = running_sums(counts, {"_ua": F.col("_na"), "_ub": F.col("_nb")}, ["_x"], by)
+    sizes = broadcast_if_small(cum.groupBy(*by).agg(F.max("_ua").alias("n_a"), F.max("_ub").alias("n_b"), F.avg("_x").alias("_mid")))
+    return cum.join(sizes, list(by))
+
+
+def _area() -> Column:
+    """Area between the ECDFs. Summing by parts it is the sum of x * (|D before x| - |D after x|), so a
+    row needs only its own running difference D."""
+    after = F.col("_ua") / F.col("n_a") - F.col("_ub") / F.col("n_b")
+    before = (F.col("_ua") - F.col("_na")) / F.col("n_a") - (F.col("_ub") - F.col("_nb")) / F.col("n_b")
+    return F.sum((F.col("_x") - F.col("_mid")) * (F.abs(before) - F.abs(after)))
+
+
+def wasserstein_1d(a: DataFrame, b: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """Wasserstein-1 distance per group; groups missing from one side have none."""
+    cum = paired_ecdf(a, b, value, by).where((F.col("n_a") > 0) & (F.col("n_b") > 0))
+    return cum.groupBy(*by).agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), _area().alias("wasserstein"))
+
+
+def _quantile(p: float, upto: str, own: str, n: str) -> Column:
+    """Linear-interpolated quantile of one side as an aggregate over the running counts."""
+    pos = (F.col(n) - 1) * F.lit(p)
+
+    def at(k: Column) -> Column:
+        return F.max(F.when((F.col(upto) - F.col(own) <= k) & (k < F.col(upto)), F.col("_x")))
+
+    left, right = at(F.floor(pos)), at(F.least(F.floor(pos) + 1, F.col(n) - 1))
+    return left + (right - left) * F.max(pos - F.floor(pos))
 
 
 def shift_summary(train: DataFrame, evaluation: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    """Median shift and Wasserstein distance in units of the training IQR, share outside P1-P99, class."""
+    """Median shift and Wasserstein distance in units of the training IQR, share outside P1-P99, class.
+
+    One pass over each side; quantiles, distance and the outside share all come from the running counts.
+    """
+    cum = cut_lineage(paired_ecdf(train, evaluation, value, by).where((F.col("n_a") > 0) & (F.col("n_b") > 0)))
     probs = {"p01": 0.01, "q25": 0.25, "q50": 0.5, "q75": 0.75, "p99": 0.99}
-    ref = broadcast_if_small(exact_quantiles(train, value, probs, by).withColumnRenamed("n", "training_n"))
-    now = exact_quantiles(evaluation, value, {"eval_median": 0.5}, by).withColumnRenamed("n", "evaluation_n")
-    outside = (
-        evaluation.where(F.col(value).isNotNull()).join(ref.select(*by, "p01", "p99"), list(by)).groupBy(*by)
-        .agg(F.avg(((F.col(value) < F.col("p01")) | (F.col(value) > F.col("p99"))).cast("int")).alias("outside_share"))
+    ref = cum.groupBy(*by).agg(
+        F.max("n_a").alias("training_n"), F.max("n_b").alias("evaluation_n"), _area().alias("wasserstein"),
+        *[_quantile(p, "_ua", "_na", "n_a").alias(k) for k, p in probs.items()], _quantile(0.5, "_ub", "_nb", "n_b").alias("eval_median"),
+    )
+    ref = broadcast_if_small(ref)
+    tail = (F.col("_x") < F.col("p01")) | (F.col("_x") > F.col("p99"))
+    outside = cum.join(ref.select(*by, "p01", "p99"), list(by)).groupBy(*by).agg(
+        (F.sum(F.when(tail, F.col("_nb")).otherwise(0)) / F.max("n_b")).alias("outside_share")
     )
-    w1 = wasserstein_1d(train, evaluation, value, by).select(*by, "wasserstein")
     iqr = F.when(F.col("q75") > F.col("q25"), F.col("q75") - F.col("q25"))
-    out = ref.join(now, list(by)).join(outside, list(by)).join(w1, list(by))
-    out = out.select(
+    out = outside.join(ref, list(by)).select(
         *by, "training_n", "evaluation_n", ((F.col("eval_median") - F.col("q50")) / iqr).alias("median_shift"),
         (F.col("wasserstein") / iqr).alias("wasserstein_iqr"), "outside_share",
     )
@@ -58,6 +85,8 @@ def shift_summary(train: DataFrame, evaluation: DataFrame, value: str, by: Seque
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str], bounded: bool = False) -> DataFrame:
     """Pearson correlation of average ranks per group."""
     base = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    if not bounded:
+        base = cut_lineage(base.select(*by, x, y))  # read once per ranked column
     ranked = average_rank(average_rank(base, x, "_rx", by, bounded=bounded), y, "_ry", by, bounded=bounded)
     return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation("_rx", "_ry").alias("spearman"))
 
@@ -70,6 +99,7 @@ def kendall_tau_b(df: DataFrame, x: str, y: str, by: Sequence[str], keys: Sequen
     digits, a row with digit 0 is discordant with the rows before it that have digit 1: a running count.
     """
     base = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, *keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    base = cut_lineage(base)  # read by the ordering and by the three tie counts
     ys = value_counts(base, "_y", by, bounded=bounded).select(*by, "_y", F.col("n_before").alias("_r"))
     placed = dense_index(base.join(ys, [*by, "_y"]), ["_x", "_y", *keys], "_i", by, bounded)
     sizes = placed.groupBy(*by).agg(F.max("_i").alias("_top"), F.count(F.lit(1)).alias("n"))
@@ -139,6 +169,7 @@ PAIR = ["family", "left_run", "right_run"]
 
 def run_stability(pairs: DataFrame, entity: str = "entity", top: Sequence[int] = (5, 10)) -> DataFrame:
     """Rank correlations, top-k overlaps and sign agreements of two importance tables."""
+    pairs = cut_lineage(pairs)
     counts = pairs.groupBy(*PAIR).agg(
         F.count(F.lit(1)).alias("n_entities"),
         *[F.count(F.when((F.col("rank_left") <= k) & (F.col("rank_right") <= k), 1)).alias(f"top{k}_overlap") for k in top],
@@ -152,6 +183,7 @@ def run_stability(pairs: DataFrame, entity: str = "entity", top: Sequence[int] =
 
 def lag_profile_stability(pairs: DataFrame, annual: Sequence[int]) -> DataFrame:
     """Per pair and feature: agreement of two lag profiles, peak lags, annual shares."""
+    pairs = cut_lineage(pairs)
     by = [*PAIR, "feature"]
     marker = F.col("lag").isin(list(annual))
 
@@ -190,7 +222,8 @@ def site_run_comparison(shares: DataFrame, run: str, pairs: Sequence[tuple[str,
 
     The site table is not bounded by a catalogue, so ranks use the distributed ordering.
     """
-    both = run_pairs(shares, run, pairs, [site, "group"], ["group_abs"])
+    shares = cut_lineage(shares.select(run, site, "group", "group_abs", "dominant"))  # far smaller than the attributions behind it
+    both = cut_lineage(run_pairs(shares, run, pairs, [site, "group"], ["group_abs"]))
     by = [*PAIR, "group"]
     rho = spearman(both, "group_abs_left", "group_abs_right", by)
     tau = kendall_tau_b(both, "group_abs_left", "group_abs_right", by, [site]).drop("n")
@@ -205,7 +238,7 @@ def site_run_comparison(shares: DataFrame, run: str, pairs: Sequence[tuple[str,
 
 def composition_distance(top2: DataFrame, run: str, pairs: Sequence[tuple[str, str, str]], group_class: str) -> tuple[DataFrame, DataFrame]:
     """Per class distances of two share tables, and overall correlations over all class x group cells."""
-    both = run_pairs(top2, run, pairs, [group_class, "group"], ["share", "margin", "top1_group", "top1_share"])
+    both = cut_lineage(run_pairs(top2, run, pairs, [group_class, "group"], ["share", "margin", "top1_group", "top1_share"]))
     d = F.abs(F.col("share_right") - F.col("share_left"))
     classes = both.groupBy(*PAIR, group_class).agg(
         F.avg(d).alias("mean_abs_difference"), F.max(d).alias("max_abs_difference"), F.sum(d).alias("l1_distance"),

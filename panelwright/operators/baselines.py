@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import finite, flag_true, rank_quartile_bin, safe_divide
 from panelwright.operators.ordering import exact_quantiles, value_counts
+from panelwright.session import broadcast_if_small
 
 
 def climatology(
@@ -157,7 +158,7 @@ def empirical_rank(df: DataFrame, value: str, pool: DataFrame, pool_value: str,
     ranks = value_counts(both, "_x", weight=F.col("_w"))
     n = pool.select(F.count(pool_value)).scalar()
     ranks = ranks.select(F.col("_x").alias(value), ((F.col("n_before") + F.col("n") * 0.5 + 0.5) / (n + 1)).alias(out))
-    return df.join(ranks, value, "left")
+    return df.join(broadcast_if_small(ranks), value, "left")
 
 
 # --- support --------------------------------------------------------------------------------

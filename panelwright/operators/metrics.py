@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions import correlation, safe_divide
-from panelwright.operators.ordering import exact_quantiles
+from panelwright.operators.ordering import exact_quantiles, running_sum
 
 METRICS = ["rmse", "mae", "r2", "bias", "pearson_r"]
 SUMS = ["n", "s_y", "s_yy", "s_p", "s_pp", "s_yp", "s_ee", "s_ae", "s_e"]
@@ -173,12 +173,9 @@ def residual_diagnostics(df: DataFrame, residual: str, fitted: str) -> DataFrame
 
 
 def attempt_ledger(df: DataFrame, attempt: str, success: str, category: str, target: int, batch: int = 50, max_failure: float = 0.05) -> DataFrame:
-    """One row: attempts used until `target` successes, failures, structural errors, first-batch verdict.
-
-    Attempts number a few thousand by design, so their running count is one ordered window.
-    """
-    w = Window.partitionBy(F.lit(0)).orderBy(attempt).rowsBetween(Window.unboundedPreceding, 0)
-    ran = df.withColumn("_s", F.col(success).cast("int")).withColumn("_done", F.sum("_s").over(w))
+    """One row: attempts used until `target` successes, failures, structural errors, first-batch verdict."""
+    rows = df.select(attempt, category, F.col(success).cast("int").alias("_s"))
+    ran = running_sum(rows, F.col("_s"), [attempt], "_done")
     used = ran.where(F.col("_done") - F.col("_s") < target)
     structural = F.col(category) == "STRUCTURAL_ERROR"
     first = F.col(attempt) <= batch

@@ -20,6 +20,7 @@ from panelwright.operators.metrics import METRICS, cluster_sufficient_stats, met
 from panelwright.operators.ordering import exact_quantiles
 from panelwright.operators.resampling import draw, index_clusters, metrics_long, multi_seed_bootstrap, percentile_interval
 from panelwright.operators.temporal import lag1_autocorrelation, leave_one_year_out, section_starts
+from panelwright.session import cut_lineage
 
 # --- folds, selection and out-of-fold predictions -------------------------------------------
 
@@ -447,7 +448,7 @@ def contrast_bootstrap(df: DataFrame, spec: AdditiveSpec, rho: float, reps: int,
     blocks; each block turns its draws into a (replicates x entities) weight matrix and multiplies
     once. Replicates are then solved in parallel.
     """
-    grams = site_grams(df, spec, rho)
+    grams = cut_lineage(site_grams(df, spec, rho))  # read for the index and for the product
     indexed = index_clusters(grams, [spec.site])
     blocked = grams.join(indexed.select(spec.site, "_pos"), spec.site).select(
         F.floor(F.col("_pos") / block).alias("_blk"), (F.col("_pos") % block).cast("int").alias("_at"), F.concat("gram", "cross").alias("_g")

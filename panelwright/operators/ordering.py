@@ -1,8 +1,8 @@
 """Global order statistics without a single-task window.
 
-`running_sum` range-partitions by (group, order) so that a hot group is spread over many tasks,
-writes that layout to the checkpoint folder once (so both passes see the same partitions, also
-after an executor is lost), and adds per-partition offsets to local running sums. The offsets
+`running_sums` range-partitions by (group, order) so that a hot group is spread over many tasks,
+writes that layout with its partition numbers to the checkpoint folder once (so both passes see the
+same partitions, also after an executor is lost), and adds per-partition offsets to local running sums. The offsets
 hold one row per (group, partition). `bounded=True` is for groups whose size is fixed by a
 catalogue or a calendar; it uses a plain window.
 """
@@ -17,28 +17,35 @@ from pyspark.sql import functions as F
 from panelwright.session import broadcast_if_small, cut_lineage
 
 
-def running_sum(
-    df: DataFrame, value: Column | int, order_by: Sequence[str], out: str, by: Sequence[str] = (), bounded: bool = False
+def running_sums(
+    df: DataFrame, values: Mapping[str, Column], order_by: Sequence[str], by: Sequence[str] = (), bounded: bool = False
 ) -> DataFrame:
-    """Inclusive running sum of `value` in `order_by` order within `by`; `order_by` must be unique per group."""
-    v = F.lit(value) if isinstance(value, int) else value
+    """Inclusive running sums (output name -> value) in `order_by` order within `by`; the order must be unique per group."""
     if bounded:
         w = Window.partitionBy(*by).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(out, F.sum(v).over(w))
-    laid = df.withColumn("_v", v).repartitionByRange(*by, *order_by)
-    laid = cut_lineage(laid).withColumn("_pid", F.spark_partition_id())
-    totals = laid.groupBy(*by, "_pid").agg(F.sum("_v").alias("_sum"))
+        return df.withColumns({k: F.sum(v).over(w) for k, v in values.items()})
+    names = list(values)
+    laid = df.withColumns({f"_v_{k}": v for k, v in values.items()}).repartitionByRange(*by, *order_by)
+    laid = cut_lineage(laid.withColumn("_pid", F.spark_partition_id()))
+    totals = laid.groupBy(*by, "_pid").agg(*[F.sum(f"_v_{k}").alias(f"_s_{k}") for k in names])
     before = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "_pid", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    offsets = totals.select(*by, "_pid", *[F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in names])
     local = Window.partitionBy("_pid", *by).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        laid.withColumn("_local", F.sum("_v").over(local))
+        laid.withColumns({f"_l_{k}": F.sum(f"_v_{k}").over(local) for k in names})
         .join(offsets, [*by, "_pid"])
-        .withColumn(out, F.col("_local") + F.col("_offset"))
-        .drop("_v", "_pid", "_local", "_offset")
+        .withColumns({k: F.col(f"_l_{k}") + F.col(f"_o_{k}") for k in names})
+        .drop("_pid", *[f"{x}{k}" for x in ("_v_", "_l_", "_o_") for k in names])
     )
 
 
+def running_sum(
+    df: DataFrame, value: Column | int, order_by: Sequence[str], out: str, by: Sequence[str] = (), bounded: bool = False
+) -> DataFrame:
+    """One running sum; see `running_sums`."""
+    return running_sums(df, {out: F.lit(value) if isinstance(value, int) else value}, order_by, by, bounded)
+
+
 def dense_index(df: DataFrame, order_by: Sequence[str], out: str, by: Sequence[str] = (), bounded: bool = False) -> DataFrame:
     """0-based dense position in `order_by` order within `by`."""
     return running_sum(df, 1, order_by, out, by, bounded).withColumn(out, (F.col(out) - 1).cast("long"))
@@ -72,7 +79,9 @@ def average_rank(
     keyed = df.withColumn(signed, -F.col(value) if descending else F.col(value))
     counts = value_counts(keyed, signed, by)
     rank = F.col("n_before") + (F.lit(1.0) if ties == "min" else (F.col("n") + 1) / F.lit(2.0))
-    ranks = counts.select(*by, signed, rank.cast("double").alias(out))
+    # few distinct values may each hold many rows: then the counted lookup is broadcast and no key is hot;
+    # otherwise values are near unique and adaptive execution splits a partition that is not
+    ranks = broadcast_if_small(counts.select(*by, signed, rank.cast("double").alias(out)))
     return keyed.join(ranks, [*by, signed], "left").drop(signed)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.plans.tables import Tables
@@ -14,10 +14,17 @@ ORACLE: dict[str, str] = {}
 DIGITS = 8
 
 
+def _round(c: str, digits: int) -> Column:
+    """Half away from zero in primitive arithmetic, like the SQL twin's round; large values take the exact path."""
+    v, unit = F.col(c), F.lit(float(10**digits))
+    fast = F.signum(v) * F.floor(F.abs(v) * unit + F.lit(0.5)) / unit
+    return (F.when(F.abs(v) < 1e9, fast).otherwise(F.round(v, digits)) + F.lit(0.0)).alias(c)
+
+
 def rounded(df: DataFrame, digits: int) -> DataFrame:
     """Round doubles so that two engines' summation orders compare equal; -0.0 becomes 0.0."""
     doubles = {f.name for f in df.schema if f.dataType.typeName() in ("double", "float")}
-    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if c in doubles else F.col(c) for c in df.columns])
+    return df.select(*[_round(c, digits) if c in doubles else F.col(c) for c in df.columns])
 
 
 def query(name: str, sql: str | None = None, doubles: str = "", digits: int = DIGITS):

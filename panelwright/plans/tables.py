@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import index_month, index_year, month_index
 from panelwright.operators import attribution, baselines, temporal
+from panelwright.session import cut_lineage
 from panelwright.sources.composites import monthly_flag_any
 
 TRAIN_END, VALIDATION_END, TEST_START = 1998, 1999, 2000
@@ -28,6 +29,11 @@ SEED = 20240724
 MODEL_FIELDS = ["net_anomaly_mean", "water_rank", "energy_rank", "water_ante3", "energy_ante3", "heat_lag1", "heat_anomaly_mean", "load_anomaly_mean"]
 
 
+def _whole(value: Column) -> Column:
+    """Nearest integer of a non-negative amount, in primitive arithmetic."""
+    return F.floor(value + F.lit(0.5))
+
+
 def coefficient(run: int, feature: int, lag: int) -> float:
     """Coefficient of the linear model behind the attribution tables."""
     return float(((feature * 7 + lag * 3 + run * 5) % 11) - 5) / float(lag + run)
@@ -39,8 +45,14 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir.rstrip("/")
 
+    _scans: dict[tuple[str, str], DataFrame] = {}
+
     def raw(self, name: str, *columns: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        """Scan of a driver table; the schema is read once per application."""
+        key = (self.spark.sparkContext.applicationId, f"{self.dir}/{name}.parquet")
+        if key not in self._scans:
+            self._scans[key] = self.spark.read.parquet(key[1])
+        df = self._scans[key]
         return df.select(*columns) if columns else df
 
     @cached_property
@@ -54,27 +66,29 @@ class Tables:
 
     @cached_property
     def panel(self) -> DataFrame:
-        """Lines combine per (site, month) before anything is joined; sums are exact integers."""
-        money = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 10000).cast("long")
-        tax = F.round(F.col("l_extendedprice") * F.col("l_tax") * 10000).cast("long")
+        """Lines combine per (site, month) before anything is joined; sums are exact integers.
+
+        Materialised once: most queries read it several times, and it is far smaller than the lines.
+        """
+        money = _whole(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 10000)
+        tax = _whole(F.col("l_extendedprice") * F.col("l_tax") * 10000)
         cells = (
             self.raw("lineitem", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
             .groupBy(F.col("l_suppkey").alias("site"), month_index(F.year("l_shipdate"), F.month("l_shipdate")).alias("period"))
             .agg(
                 F.sum(money).alias("_m"), F.sum(tax).alias("_t"), F.sum(F.col("l_quantity").cast("long")).alias("_q"),
-                F.sum(F.round(F.col("l_discount") * 100).cast("long")).alias("_d"), F.count(F.lit(1)).alias("_n"), F.max("l_quantity").alias("peak"),
+                F.sum(_whole(F.col("l_discount") * 100)).alias("_d"), F.count(F.lit(1)).alias("_n"), F.max("l_quantity").alias("peak"),
             )
         )
         target = F.col("_m") / F.lit(MONEY)
-        return cells.join(self.sites, "site").select(
+        return cut_lineage(cells.join(self.sites, "site").select(
             "site", "class", "period", index_year("period").alias("year"), index_month("period").alias("month"), target.alias("target"),
             (target - F.lit(NET_LEVEL)).alias("net"), (F.col("_q") / F.lit(QUANTITY)).alias("water"), (F.col("_t") / F.lit(MONEY / 10)).alias("energy"),
             (F.col("_d") / F.col("_n") / F.lit(SHARE)).alias("heat"), F.col("_n").cast("double").alias("load"), "peak",
-        )
+        ))
 
     def _bound(self, how) -> Column:
-        day = self.raw("lineitem", "l_shipdate").select(how("l_shipdate").alias("_d"))
-        return day.select(month_index(F.year("_d"), F.month("_d"))).scalar()
+        return self.panel.select(how("period")).scalar()
 
     @cached_property
     def dense(self) -> DataFrame:
@@ -108,19 +122,19 @@ class Tables:
     @cached_property
     def composites(self) -> DataFrame:
         """8-day records restarting each January: value, usable flag, QA bits."""
-        money = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 10000).cast("long")
+        money = _whole(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 10000)
         day = F.to_date("l_shipdate")
         start = F.date_add(F.trunc(day, "YEAR"), (F.floor((F.dayofyear(day) - 1) / 8) * 8).cast("int"))
         lines = self.raw("lineitem", "l_suppkey", "l_shipdate", "l_extendedprice", "l_discount", "l_returnflag", "l_orderkey", "l_linenumber")
-        return lines.groupBy(F.col("l_suppkey").alias("site"), start.alias("start")).agg(
+        return cut_lineage(lines.groupBy(F.col("l_suppkey").alias("site"), start.alias("start")).agg(
             (F.sum(money) / F.lit(MONEY)).alias("value"), (1 - F.max((F.col("l_returnflag") == "R").cast("int"))).alias("usable"),
             F.pmod(F.sum("l_orderkey") * 31 + F.sum("l_linenumber"), F.lit(20000)).cast("int").alias("qa"),
-        )
+        ))
 
     @cached_property
     def samples(self) -> DataFrame:
         """Panel rows with a complete history of WINDOW months, with the history array."""
-        return temporal.history_windows(self.panel, ["site"], "period", FEATURES, "target", [WINDOW])
+        return cut_lineage(temporal.history_windows(self.panel, ["site"], "period", FEATURES, "target", [WINDOW]))
 
     @cached_property
     def features_long(self) -> DataFrame:
@@ -129,11 +143,11 @@ class Tables:
     @cached_property
     def attributions(self) -> DataFrame:
         """Three runs of exact linear attributions over all samples."""
-        cells = [
-            F.struct(F.lit(r).alias("run"), F.lit(lag).alias("lag"), F.lit(f).alias("feature"), F.lit(coefficient(ri, fi, lag)).alias("coef"))
+        rows = ", ".join(
+            f"('{r}', {lag}, '{f}', {coefficient(ri, fi, lag)!r}D)"
             for ri, r in enumerate(RUNS, 1) for fi, f in enumerate(FEATURES, 1) for lag in range(1, WINDOW + 1)
-        ]
-        coefficients = self.spark.range(1).select(F.inline(F.array(*cells)))
+        )
+        coefficients = self.spark.sql(f"SELECT * FROM VALUES {rows} AS t(run, lag, feature, coef)")
         background = self.features_long.where(F.col("year") <= TRAIN_END)
         return attribution.linear_attribution(self.features_long, background, coefficients, ["site", "class", "period"])
 

@@ -51,18 +51,16 @@ def hash_order(seed: int, *keys: str) -> Column:
 def stratified_fixed_sample(df: DataFrame, stratum: str, sizes: Mapping[object, int], keys: Sequence[str], seed: int) -> DataFrame:
     """A fixed count per class in hash order, with a dense id over the sample.
 
-    The class counts are fixed and small: a per-class threshold keeps the few smallest hashes as an
-    aggregate per partition block before they are ordered, so no class is ordered whole.
+    The literal bound on the row number lets Spark keep only the first few rows of each class per
+    task before the exchange, so no class is gathered whole.
     """
-    listed = df.where(F.col(stratum).isin(list(sizes))).withColumn("_h", hash_order(seed, *keys))
-    limit = F.lit(None).cast("int")
+    largest = max(sizes.values())
+    limit = F.lit(0)
     for k, n in sizes.items():
         limit = F.when(F.col(stratum) == k, n).otherwise(limit)
-    blocks = listed.withColumn("_blk", F.pmod(F.xxhash64(*keys), F.lit(256)))
-    inner = Window.partitionBy(stratum, "_blk").orderBy("_h", *keys)
-    outer = Window.partitionBy(stratum).orderBy("_h", *keys)
-    kept = blocks.withColumn("_rn", F.row_number().over(inner)).where(F.col("_rn") <= limit)
-    kept = kept.withColumn("_rn", F.row_number().over(outer)).where(F.col("_rn") <= limit)
+    listed = df.where(F.col(stratum).isin(list(sizes))).withColumn("_h", hash_order(seed, *keys))
+    order = Window.partitionBy(stratum).orderBy("_h", *keys)
+    kept = listed.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= largest).where(F.col("_rn") <= limit)
     # the sample has sum(sizes) rows, so one ordered window numbers it
     numbered = kept.withColumn("point_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(stratum, "_h", *keys)) - 1)
-    return numbered.drop("_h", "_blk", "_rn")
+    return numbered.drop("_h", "_rn")

@@ -7,11 +7,12 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelwright.functions import finite_or_null
+from panelwright.operators.ordering import dense_index
 
 
 def scan_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str) -> DataFrame:
@@ -78,8 +79,8 @@ def manifest_differences(parts: DataFrame, whole: DataFrame) -> DataFrame:
 
 
 def dense_order(df: DataFrame, draw: str, by: Sequence[str], out: str = "row_order") -> DataFrame:
-    """0-based order within a draw; a draw is a fixed-size sample."""
-    return df.withColumn(out, (F.row_number().over(Window.partitionBy(draw).orderBy(*by)) - 1).cast("long"))
+    """0-based dense order within each draw, without gathering a draw in one task."""
+    return dense_index(df, by, out, by=[draw])
 
 
 def read_tensors(spark: SparkSession, path: str, values: str, sample_ids: str = "sample_id") -> DataFrame:
