@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import correlation, safe_divide
 from panelwright.operators.ordering import exact_quantiles, running_sum
+from panelwright.operators.temporal import attach_row
 
 METRICS = ["rmse", "mae", "r2", "bias", "pearson_r"]
 SUMS = ["n", "s_y", "s_yy", "s_p", "s_pp", "s_yp", "s_ee", "s_ae", "s_e"]
@@ -168,8 +169,7 @@ def residual_diagnostics(df: DataFrame, residual: str, fitted: str) -> DataFrame
         correlation(r, f).alias("residual_fitted_correlation"),
     )
     q = exact_quantiles(df, residual, {"residual_q01": 0.01, "residual_q25": 0.25, "residual_median": 0.5, "residual_q75": 0.75, "residual_q99": 0.99})
-    tie = F.lit(1).alias("_j")
-    return moments.select("*", tie).join(q.drop("n").select("*", tie), "_j").drop("_j")
+    return attach_row(moments, q.drop("n"))
 
 
 def attempt_ledger(df: DataFrame, attempt: str, success: str, category: str, target: int, batch: int = 50, max_failure: float = 0.05) -> DataFrame:

@@ -19,7 +19,7 @@ from panelwright.operators.checks import expect_finite, expect_same_keys, expect
 from panelwright.operators.metrics import METRICS, cluster_sufficient_stats, metrics_from_sums, regression_metrics, select_best
 from panelwright.operators.ordering import exact_quantiles
 from panelwright.operators.resampling import draw, index_clusters, metrics_long, multi_seed_bootstrap, percentile_interval
-from panelwright.operators.temporal import lag1_autocorrelation, leave_one_year_out, section_starts
+from panelwright.operators.temporal import attach_row, lag1_autocorrelation, leave_one_year_out, section_starts
 from panelwright.session import cut_lineage
 
 # --- folds, selection and out-of-fold predictions -------------------------------------------
@@ -403,9 +403,7 @@ def reference_rows(df: DataFrame, spec: AdditiveSpec, quantiles: Sequence[float]
     long = found.select("feature", F.inline(F.array(*cells)))
     wide = long.groupBy("control_quantile").agg(*[F.max(F.when(F.col("feature") == c, F.col("_v"))).alias(c) for c in names])
     first = df.agg(F.min("month").alias("month"), F.min("year").alias("year"), F.min(spec.site).alias(spec.site))
-    tie = F.lit(1).alias("_j")
-    rows = wide.select("*", tie).join(F.broadcast(first.select("*", tie)), "_j").drop("_j")  # one row
-    return rows.withColumn(spec.x, F.lit(CONTRAST_A[0])).withColumn(spec.y, F.lit(CONTRAST_A[1]))
+    return attach_row(wide, first).withColumn(spec.x, F.lit(CONTRAST_A[0])).withColumn(spec.y, F.lit(CONTRAST_A[1]))
 
 
 def reference_row(df: DataFrame, spec: AdditiveSpec, quantile: float = 0.5) -> DataFrame:

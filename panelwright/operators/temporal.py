@@ -158,6 +158,12 @@ def section_starts(df: DataFrame, keys: Sequence[str], time: str, out: str = "se
     return started.withColumn(out, running.cast("int"))
 
 
+def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table as a scalar subquery; no join."""
+    cols = one_row.columns
+    return df.withColumn("_row", one_row.select(F.struct(*cols)).scalar()).select(*df.columns, *[F.col(f"_row.{c}").alias(c) for c in cols])
+
+
 def _spread(value: str, weight: str, prefix: str) -> list[Column]:
     """min / median / mean / max of a small-integer column given its frequencies."""
     return [
@@ -220,8 +226,7 @@ def lag1_autocorrelation(df: DataFrame, keys: Sequence[str], time: str, value: s
     overall = pairs.agg(correlation("value_before", "value").alias("rho"), F.count(F.lit(1)).alias("n_pairs"))
     per = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("pairs")).groupBy("pairs").agg(F.count(F.lit(1)).alias("_f"))
     counts = per.agg(F.sum("_f").alias("n_entities"), *_spread("pairs", "_f", "pairs_per_entity"))
-    tie = F.lit(1).alias("_j")
-    return overall.select("*", tie).join(counts.select("*", tie), "_j").drop("_j")
+    return attach_row(overall, counts)
 
 
 def sequence_acf(df: DataFrame, keys: Sequence[str], time: str, value: str, max_lag: int = 12) -> DataFrame:
