@@ -27,17 +27,18 @@ def group_of(feature: str, groups: Mapping[str, Sequence[str]]) -> Column:
 
 
 def linear_attribution(
-    features: DataFrame, background: DataFrame, coefficients: DataFrame, keys: Sequence[str]
+    features: DataFrame, background: DataFrame, coefficients: DataFrame, keys: Sequence[str], keep_value: bool = False
 ) -> DataFrame:
     """Exact attributions of a linear model: coefficient x (value - background mean).
 
     `features` (keys, lag, feature, value); `coefficients` (run, lag, feature, coef) is a literal table.
+    `keep_value` carries the input along, so that later contrasts need no join back.
     """
     means = background.groupBy("lag", "feature").agg(F.avg("value").alias("_mean"))
     weights = coefficients.join(means, ["lag", "feature"])
     # lags x features x runs rows: fixed by the model, not by the data
     return features.join(F.broadcast(weights), ["lag", "feature"]).select(
-        "run", *keys, "lag", "feature", (F.col("coef") * (F.col("value") - F.col("_mean"))).alias("shap")
+        "run", *keys, "lag", "feature", *(["value"] if keep_value else []), (F.col("coef") * (F.col("value") - F.col("_mean"))).alias("shap")
     )
 
 

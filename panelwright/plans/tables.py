@@ -149,7 +149,7 @@ class Tables:
         )
         coefficients = self.spark.sql(f"SELECT * FROM VALUES {rows} AS t(run, lag, feature, coef)")
         background = self.features_long.where(F.col("year") <= TRAIN_END)
-        return attribution.linear_attribution(self.features_long, background, coefficients, ["site", "class", "period"])
+        return attribution.linear_attribution(self.features_long, background, coefficients, ["site", "class", "period"], keep_value=True)
 
     @cached_property
     def manifest(self) -> DataFrame:
