@@ -171,7 +171,7 @@ def _near(x: str, y: str, cx: Column, cy: Column, radius: float) -> Column:
     return F.coalesce(F.sqrt(squared) <= radius, F.lit(False))
 
 
-def _at_centers(df: DataFrame, x: str, y: str, centers: Sequence[Center], radius: float) -> DataFrame:
+def at_centers(df: DataFrame, x: str, y: str, centers: Sequence[Center], radius: float) -> DataFrame:
     cells = [F.struct(F.lit(n).alias("point"), F.lit(float(a)).alias("x_target"), F.lit(float(b)).alias("y_target")) for n, a, b in centers]
     spread = df.withColumn("_c", F.explode(F.array(*cells))).select("*", "_c.*").drop("_c")
     return spread.withColumn("_near", _near(x, y, F.col("x_target"), F.col("y_target"), radius))
@@ -189,7 +189,7 @@ def support_counts(
     minimum: tuple[int, int, int] = (100, 50, 3), by: Sequence[str] = (),
 ) -> DataFrame:
     """Records, entities and years near each point, with PASS/FAIL. Points without support stay, with zeros."""
-    out = _at_centers(df, x, y, centers, radius).groupBy(*by, "point", "x_target", "y_target").agg(*_support_aggs(entity, year, F.col("_near")))
+    out = at_centers(df, x, y, centers, radius).groupBy(*by, "point", "x_target", "y_target").agg(*_support_aggs(entity, year, F.col("_near")))
     ok = (F.col("n_records") >= minimum[0]) & (F.col("n_sites") >= minimum[1]) & (F.col("n_years") >= minimum[2])
     return out.withColumn("status", F.when(ok, "PASS").otherwise("FAIL"))
 
@@ -214,7 +214,7 @@ def support_attrition(
 ) -> DataFrame:
     """Support near each point per domain and the share of the reference domain's records kept."""
     cells = [F.struct(F.lit(d).alias("domain"), F.coalesce(c, F.lit(False)).alias("_in")) for d, c in domains.items()]
-    spread = _at_centers(df.withColumn("_d", F.array(*cells)), x, y, centers, radius).select("*", F.inline("_d")).drop("_d")
+    spread = at_centers(df.withColumn("_d", F.array(*cells)), x, y, centers, radius).select("*", F.inline("_d")).drop("_d")
     keep = F.col("_near") & F.col("_in")
     counts = spread.groupBy("point", "domain").agg(*_support_aggs(entity, year, keep, ("records", "sites", "years")))
     base = counts.where(F.col("domain") == reference).select("point", F.col("records").alias("_base"))

@@ -55,7 +55,7 @@ def interval(t: Tables):
 @query("f07_radius_join", "WITH " + T.MASTER + """ SELECT point, site, period FROM master, (VALUES ('A', 0.75::DOUBLE, 0.25::DOUBLE), ('B', 0.75::DOUBLE, 0.5::DOUBLE)) c(point, x, y)
   WHERE sqrt((water_rank - x) * (water_rank - x) + (energy_rank - y) * (energy_rank - y)) <= 0.1""")
 def radius(t: Tables):
-    placed = baselines._at_centers(t.master.select("site", "period", "water_rank", "energy_rank"), "water_rank", "energy_rank", CENTERS, 0.1)
+    placed = baselines.at_centers(t.master.select("site", "period", "water_rank", "energy_rank"), "water_rank", "energy_rank", CENTERS, 0.1)
     return placed.where(F.col("_near")).select("point", "site", "period")
 
 
