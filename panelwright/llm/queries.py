@@ -1,7 +1,7 @@
 """All queries of the numbered operators with their SQL twins."""
 
-from panelwright.llm import decontaminate, jump_shards, length_packing, license_scan, toxicity, url_filter
+from panelwright.llm import decontaminate, jump_shards, length_packing, license_scan, token_planes, toxicity, url_filter
 
-_MODULES = [license_scan, jump_shards, url_filter, length_packing, decontaminate, toxicity]
+_MODULES = [license_scan, token_planes, jump_shards, url_filter, length_packing, decontaminate, toxicity]
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
