@@ -1,7 +1,7 @@
 """All queries of the numbered operators with their SQL twins."""
 
-from panelwright.llm import decontaminate, jaccard_join, jump_shards, length_packing, license_scan, token_planes, toxicity, url_filter, vp_search
+from panelwright.llm import decontaminate, jaccard_join, jump_shards, kneser_ney, length_packing, license_scan, token_planes, toxicity, url_filter, vp_search
 
-_MODULES = [license_scan, token_planes, jaccard_join, jump_shards, vp_search, url_filter, length_packing, decontaminate, toxicity]
+_MODULES = [license_scan, token_planes, jaccard_join, jump_shards, vp_search, url_filter, length_packing, kneser_ney, decontaminate, toxicity]
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
