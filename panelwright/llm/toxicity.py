@@ -218,6 +218,19 @@ def score(documents: DataFrame, model: Model, *carried: str) -> DataFrame:
     return match(documents, model, *carried).select("doc_id", value.alias("score"), (value >= 0.5).cast("int").alias("predicted"), "n_words", "n_matched", "weight", *carried)
 
 
+def remove_toxic(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of `documents` that are not predicted toxic, all columns as they were. Null and empty texts stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(model)
+        for batch in batches:
+            found = [matcher.weight(t.as_py()) for t in batch.column(text)]
+            toxic = (_features([f[2] for f in found], [f[0] for f in found]) @ np.array(model.curve) >= 0) & np.array([f[1] > 0 for f in found], bool)
+            yield batch.filter(pa.array(~toxic))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     documents, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = score(documents, learn(documents, labels))
