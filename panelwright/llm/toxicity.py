@@ -24,7 +24,7 @@ from panelwright.llm.words import SPACES, id_and_text, scan
 SAMPLE = 20_000
 #: Most lexicon entries kept, those that occur in most toxic documents first.
 MAX_ENTRIES = 20_000
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7)
 
 #: Look-alikes and digit substitutions.
 HOMOGLYPHS = {
@@ -158,35 +158,46 @@ def _count_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(entries, pa.string()), pa.array([seen[1][e] for e in entries], pa.int64()), pa.array([seen[0][e] for e in entries], pa.int64())], names=["entry", "toxic", "clean"])
 
 
+def _lexicon(rows: DataFrame, max_entries: int) -> dict[str, float]:
+    """Seeds, and the entries that labelled rows single out, with their weights."""
+    entries = dict.fromkeys(SEEDS, SEED_WEIGHT)
+    total = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("t"), F.count(F.lit(1)).alias("n")).first()
+    t, n = int(total["t"]), int(total["n"])
+    if not 0 < t < n:
+        return entries
+    counts = rows.mapInArrow(_count_entries, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).filter("t + c >= 3").persist()
+    tried, base, p = counts.count(), t / n, F.col("t") / (F.col("t") + F.col("c"))
+    divergence = p * F.log(p / base) + F.when(F.col("c") > 0, (1 - p) * F.log((1 - p) / (1 - base))).otherwise(0.0)
+    odds = F.log((F.col("t") + 0.5) / (t + 1.0)) - F.log((F.col("c") + 0.5) / (n - t + 1.0))
+    telling = counts.filter("t > 0").filter(p >= max(0.7, base)).filter((F.col("t") + F.col("c")) * divergence >= float(np.log(max(tried, 2)) + 2.0))
+    found = telling.select("entry", odds.alias("w"), "t").orderBy(F.desc("t"), "entry").limit(max_entries).collect()
+    one_word: dict[str, int] = {}
+    for r in found:
+        for stem in (r["entry"][:k] + "*" for k in STEMS if r["entry"][-1] != "*" and len(r["entry"]) > k):
+            one_word[stem] = max(r["t"], one_word.get(stem, 0))
+    for r in found:
+        if 2 * r["t"] >= 3 * one_word.get(r["entry"], 0):  # a stem that says little more than one word would only overreach
+            entries[r["entry"]] = max(float(r["w"]), entries.get(r["entry"], 0.0))
+    counts.unpersist()
+    return entries
+
+
 def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_entries: int = MAX_ENTRIES) -> Model:
     """Lexicon and curve from labelled rows outside the held-out fold.
 
     An entry is kept if most documents with it are toxic and that is no chance finding among all entries tried (its
-    divergence from the base rate beats the logarithm of their number); its weight is the smoothed log odds. The
-    lexicon comes from one half of the sample and the curve from the other. Without both labels the seeds are used.
+    divergence from the base rate beats the logarithm of their number); its weight is the smoothed log odds. The curve
+    is fitted on one half of the sample with a lexicon from the other, so it knows what a lexicon does on new rows.
+    Without both labels the seeds and a default curve are used.
     """
-    rows = training_rows(documents, labels, sample).persist()
+    rows = training_rows(documents, labels, sample).withColumn("half", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2).persist()
     try:
-        total = {r["half"]: r for r in rows.groupBy((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2).alias("half")).agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")).collect()}
-        t, n = (int(total[0]["toxic"]), int(total[0]["n"])) if 0 in total else (0, 0)
-        entries = dict.fromkeys(SEEDS, SEED_WEIGHT)
-        if 0 < t < n:
-            half = rows.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0)
-            counts = half.mapInArrow(_count_entries, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-            tried = half.mapInArrow(_count_entries, "entry string, toxic long, clean long").agg(F.approx_count_distinct("entry").alias("v")).first()["v"]
-            base, p = t / n, F.col("t") / (F.col("t") + F.col("c"))
-            divergence = p * F.log(p / base) + F.when(F.col("c") > 0, (1 - p) * F.log((1 - p) / (1 - base))).otherwise(0.0)
-            odds = F.log((F.col("t") + 0.5) / (t + 1.0)) - F.log((F.col("c") + 0.5) / (n - t + 1.0))
-            telling = counts.filter("t > 0").filter(p >= max(0.7, base)).filter((F.col("t") + F.col("c")) * divergence >= float(np.log(max(tried, 2)) + 3.0))
-            for r in telling.select("entry", odds.alias("w"), "t").orderBy(F.desc("t"), "entry").limit(max_entries).collect():
-                entries[r["entry"]] = max(float(r["w"]), entries.get(r["entry"], 0.0))
-        model = Model(entries)
-        if 1 in total and 0 < total[1]["toxic"] < total[1]["n"]:
-            seen = match(rows.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 1), model, "toxic").select("n_words", "weight", "toxic").toPandas()
-            model = Model(entries, curve=_fit_curve(seen["weight"], seen["n_words"], seen["toxic"] > 0))
+        seen = match(rows.filter("half = 1"), Model(_lexicon(rows.filter("half = 0"), max_entries)), "toxic").select("n_words", "weight", "toxic").toPandas()  # at most `sample` rows
+        both = 0 < int((seen["toxic"] > 0).sum()) < len(seen)
+        entries = _lexicon(rows, max_entries)
+        return Model(entries, curve=_fit_curve(seen["weight"], seen["n_words"], seen["toxic"] > 0)) if both else Model(entries)
     finally:
         rows.unpersist()
-    return model
 
 
 def match(documents: DataFrame, model: Model, *carried: str) -> DataFrame:
