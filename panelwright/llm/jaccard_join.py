@@ -2,12 +2,14 @@
 
 Global order: shingles by the counts of a fixed-size sketch of the whole corpus, then by hash. A set of n shingles whose
 partners share at least T of them has its l-prefix of n - T + l shingles share at least l with any partner's. Each
-document picks the l that minimises an estimate of its candidate cost; a pair must share the smaller of its two l's.
-
-Identical sets are one class. Classes are first compared with one leader per prefix shingle (the member that has missed
-fewest shingles before it), which joins most of a group of near copies without listing its pairs. What is left are pairs
-between different components that share enough prefix shingles: these are all listed and verified. So no link between
-components is lost, and links inside one are not needed for it.
+document picks the l that minimises an estimate of its candidate cost; before verification a pair must share the smaller
+of its two l's. Candidates are drawn from the first n - T + 1 shingles, where a linked pair's first common one must be;
+what stands before it in either set is missing in the other, and must leave enough for the overlap.
+
+Identical sets are one class. Classes are first compared with one leader per prefix shingle (the member that has it
+earliest), which joins most of a group of near copies without listing its pairs. What is left are pairs between different
+components: these are all listed, filtered and verified. So no link between components is lost, and links inside one are
+not needed for it.
 """
 
 from __future__ import annotations
@@ -196,36 +198,35 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, key: st
     classes = cut_lineage(sets.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("l").alias("l"), F.first("tokens").alias("tokens")))
 
     by_token = Window.partitionBy("token")
-    postings = classes.filter("rep is not null").select("rep", "n", "l", F.posexplode("tokens").alias("pos", "token"))
-    several = postings.withColumn("held", F.count(F.lit(1)).over(by_token)).filter("held > 1")
-    # shingles that only this class has in its prefix, before this one, are missing in whoever shares this one
-    missed = F.col("pos") - (F.row_number().over(Window.partitionBy("rep").orderBy("pos")) - 1)
-    shared = several.withColumn("reach", F.col("n") - missed).select("token", "rep", "n", "l", "reach")
-    leader = F.min(F.struct((F.col("n") - F.col("reach")).alias("missed"), "n", "rep", "reach")).over(by_token)
-    shared = cut_lineage(shared.withColumn("lead", leader))
-
-    def linkable(n: Column, m: Column, reach: Column, reach_m: Column) -> Column:
-        return _sizes_fit(n, m, percent) & (F.least(reach, reach_m) >= _overlap_needed(n, m, percent))
-
-    stars = cut_lineage(
-        shared.filter((F.col("rep") != F.col("lead.rep")) & linkable(F.col("n"), F.col("lead.n"), F.col("reach"), F.col("lead.reach"))).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    )
+    first = F.col("n") - F.ceil(percent * F.col("n") / F.lit(100.0) - F.lit(1e-9)).cast("int") + 1
+    postings = classes.filter("rep is not null").select("rep", "n", F.posexplode(F.slice("tokens", 1, first)).alias("pos", "token"))
+    several = postings.withColumn("held", F.count(F.lit(1)).over(by_token)).withColumn("lead", F.min(F.struct("pos", "n", "rep")).over(by_token)).filter("held > 1")
+    shared = cut_lineage(several.select("token", "rep", "n", "pos", "lead"))
+
+    def linkable(n: Column, m: Column, at: Column, at_m: Column) -> Column:
+        """Whether a pair can link whose first common shingle has these places."""
+        return _sizes_fit(n, m, percent) & (F.least(n - at, m - at_m) >= _overlap_needed(n, m, percent))
+
+    def share_enough(pairs: DataFrame) -> DataFrame:
+        a, b = (classes.select(F.col("rep").alias(x), F.col("l").alias(f"l_{x}"), F.col("tokens").alias(f"tokens_{x}")) for x in ("a", "b"))
+        common = F.size(F.array_intersect("tokens_a", "tokens_b"))
+        return cut_lineage(pairs.join(a, "a").join(b, "b").filter(common >= F.least("l_a", "l_b")).select("a", "b"))
+
+    near_lead = linkable(F.col("n"), F.col("lead.n"), F.col("pos"), F.col("lead.pos"))
+    stars = shared.filter((F.col("rep") != F.col("lead.rep")) & near_lead).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = share_enough(stars)
     links = cut_lineage(verified(docs, stars, k, percent))
     near = cut_lineage(connected_components(links))
 
     labelled = shared.join(near.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = labelled.withColumn("lowest", F.min("component").over(by_token)).withColumn("highest", F.max("component").over(by_token)).filter("lowest <> highest")
-    mixed = cut_lineage(mixed.withColumn("main", F.max(F.when(F.col("rep") == F.col("lead.rep"), F.col("component"))).over(by_token)).select("token", "rep", "n", "l", "reach", "component", "main"))
+    mixed = cut_lineage(mixed.withColumn("main", F.max(F.when(F.col("rep") == F.col("lead.rep"), F.col("component"))).over(by_token)).select("token", "rep", "n", "pos", "component", "main"))
     one, two = mixed.filter("component <> main").alias("x"), mixed.alias("y")
     once = (F.col("y.component") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep"))
-    fits = linkable(F.col("x.n"), F.col("y.n"), F.col("x.reach"), F.col("y.reach"))
-    rest = (
-        one.join(two, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & once & fits)
-        .groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.count(F.lit(1)).alias("common"), F.max(F.least("x.l", "y.l")).alias("least"))
-        .filter("common >= least").select("a", "b")
-    )
+    fits = linkable(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos"))
+    rest = one.join(two, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & once & fits).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     tried = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = cut_lineage(rest.join(tried, ["a", "b"], "left_anti"))
+    rest = share_enough(rest.join(tried, ["a", "b"], "left_anti"))
     more = verified(docs, rest, k, percent)
 
     final = connected_components(links.unionByName(more)).select(F.col("node").alias("rep"), "component")
