@@ -56,10 +56,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers on this host import the package from where the driver did; clusters ship it with the job."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *known])
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Broadcast a narrow table whose size was counted; beyond `max_rows` leave the join to Spark.
+    """Broadcast a narrow table whose rows were counted; beyond `max_rows` leave the join to Spark.
 
-    The table is materialised first, so the count does not repeat its work.
+    The count stops at the limit and nothing is written: a table that turns out large costs one partial evaluation.
     """
-    kept = cut_lineage(df)
-    return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
