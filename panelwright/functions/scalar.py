@@ -11,11 +11,7 @@ from pyspark.sql import functions as F
 # Month labels and the failure categories with the patterns that select them.
 MONTH_LABELS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 FAILURE_PATTERNS = [
-    (
-        "STRUCTURAL_ERROR",
-        "object .* not found|length mismatch|factor has new level|contrasts can be applied"
-        "|model frame|ar.start length|not strictly increasing",
-    ),
+    ("STRUCTURAL_ERROR", "object .* not found|length mismatch|factor has new level|contrasts can be applied|model frame|ar.start length|not strictly increasing"),
     ("NUMERICAL_IDENTIFIABILITY_FAILURE", "rank|identif|singular"),
     ("NONFINITE_RESULT", "nonfinite|non-finite|not finite|inf|nan"),
     ("CONVERGENCE_FAILURE", "converg|iteration"),
@@ -161,6 +157,7 @@ def sign_tol(value: ColumnLike, tol: float = 1e-12) -> Column:
 
 
 def direction_text(value: ColumnLike, tol: float = 1e-12) -> Column:
+    # fixed values: the three texts
     s = sign_tol(value, tol)
     return (
         F.when(s == 1, "positive mean attribution")
@@ -181,7 +178,9 @@ def classify(value: ColumnLike, cuts: Sequence[tuple[str, float, str]], otherwis
 
 def rank_quartile_bin(rank: ColumnLike) -> Column:
     """Right-closed quartile bins of a rank in [0, 1]."""
-    return classify(rank, list(zip(["<="] * 3, [0.25, 0.50, 0.75], RANK_QUARTILE_LABELS[:3])), RANK_QUARTILE_LABELS[3])
+    # fixed values: the three cuts
+    cuts = [("<=", 0.25, RANK_QUARTILE_LABELS[0]), ("<=", 0.50, RANK_QUARTILE_LABELS[1]), ("<=", 0.75, RANK_QUARTILE_LABELS[2])]
+    return classify(rank, cuts, RANK_QUARTILE_LABELS[3])
 
 
 def shift_class(median: ColumnLike, distance: ColumnLike, outside: ColumnLike) -> Column:
@@ -189,31 +188,35 @@ def shift_class(median: ColumnLike, distance: ColumnLike, outside: ColumnLike) -
     def within(m: float, d: float, o: float) -> Column:
         return (F.abs(_c(median)) < m) & (_c(distance) < d) & (_c(outside) < o)
 
+    # fixed values: limits and class names
     return F.when(within(0.25, 0.25, 0.05), "limited").when(within(0.5, 0.5, 0.1), "moderate").otherwise("pronounced")
 
 
+# The outcomes of a sensitivity analysis, by family.
+STRICT_OUTCOMES = ["SUPPORT_FAIL", "DIAGNOSTIC_STOP", "DIRECTION_FAIL", "CI_CROSSES_ZERO", "ROBUSTNESS_PASS"]
+COVERAGE_OUTCOMES = [
+    "COVERAGE_LIMITED_FIXED_CONTRAST_UNSUPPORTED", "DIAGNOSTIC_STOP", "SIGN_REVERSAL_ANALYSIS_CHECK_REQUIRED",
+    "DIRECTION_AND_INTERVAL_CONSISTENT", "DIRECTIONALLY_CONSISTENT_COVERAGE_LIMITED",
+]
+
+
 def decision_label(
     analysis: ColumnLike, contrast: ColumnLike, ci_upper: ColumnLike, support: ColumnLike, stop: ColumnLike,
     coverage_limited: Sequence[str] = ("QA2",),
 ) -> Column:
-    """Outcome of a sensitivity analysis from direction, interval, support and diagnostics."""
-    a, est, hi = _c(analysis), _c(contrast), _c(ci_upper)
+    """Outcome of a sensitivity analysis from direction, interval, support and diagnostics.
+
+    Support that is unknown does not count as support, a stop that is unknown is no stop, and an estimate or bound that
+    is not finite counts as missing.
+    """
+    a, est, hi = _c(analysis), finite_or_null(contrast), finite_or_null(ci_upper)
+    supported, stopped = flag_true(support), flag_true(stop)
     below = F.coalesce(hi < 0, F.lit(False))
-    strict = (
-        F.when(~_c(support), "SUPPORT_FAIL")
-        .when(_c(stop), "DIAGNOSTIC_STOP")
-        .when(est.isNull() | (est >= 0), "DIRECTION_FAIL")
-        .when(~below, "CI_CROSSES_ZERO")
-        .otherwise("ROBUSTNESS_PASS")
-    )
-    limited = (
-        F.when(~_c(support), "COVERAGE_LIMITED_FIXED_CONTRAST_UNSUPPORTED")
-        .when(est.isNull(), "DIAGNOSTIC_STOP")
-        .when(est > 0, "SIGN_REVERSAL_ANALYSIS_CHECK_REQUIRED")
-        .when(below, "DIRECTION_AND_INTERVAL_CONSISTENT")
-        .otherwise("DIRECTIONALLY_CONSISTENT_COVERAGE_LIMITED")
-    )
-    return F.concat_ws("_", a, F.when(a.isin(list(coverage_limited)), limited).otherwise(strict))
+    unsupported, halted, wrong, crossing, passed = STRICT_OUTCOMES
+    strict = F.when(~supported, unsupported).when(stopped, halted).when(est.isNull() | (est >= 0), wrong).when(~below, crossing).otherwise(passed)
+    uncovered, halted, reversed_, consistent, limited = COVERAGE_OUTCOMES
+    covered = F.when(~supported, uncovered).when(est.isNull(), halted).when(est > 0, reversed_).when(below, consistent).otherwise(limited)
+    return F.concat_ws("_", a, F.when(a.isin(list(coverage_limited)), covered).otherwise(strict))
 
 
 # --- columns of a frame ---------------------------------------------------------------------

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import classify, correlation, safe_divide, shift_class
 from panelwright.operators.ordering import average_rank, dense_index, exact_quantiles, running_sum, running_sums, value_counts
+from panelwright.operators.temporal import attach_row
 from panelwright.session import broadcast_if_small, cut_lineage
 
+# Limits and names of the agreement classes.
 STRENGTH_RHO = [(">=", 0.80, "STRONG"), (">=", 0.60, "MODERATE")]
 STRENGTH_AGREEMENT = [(">=", 0.70, "STRONG"), (">=", 0.50, "MODERATE")]
 
@@ -27,8 +29,12 @@ def paired_ecdf(a: DataFrame, b: DataFrame, value: str, by: Sequence[str]) -> Da
     tagged = a.select(*by, F.col(value).alias("_x"), F.lit(1).alias("_a")).unionByName(b.select(*by, F.col(value).alias("_x"), F.lit(0).alias("_a")))
     counts = tagged.where(F.col("_x").isNotNull()).groupBy(*by, "_x").agg(F.sum("_a").alias("_na"), F.sum(1 - F.col("_a")).alias("_nb"))
     cum = running_sums(counts, {"_ua": F.col("_na"), "_ub": F.col("_nb")}, ["_x"], by)
-    sizes = broadcast_if_small(cum.groupBy(*by).agg(F.max("_ua").alias("n_a"), F.max("_ub").alias("n_b"), F.avg("_x").alias("_mid")))
-    return cum.join(sizes, list(by))
+    return attach_group(cum, cum.groupBy(*by).agg(F.max("_ua").alias("n_a"), F.max("_ub").alias("n_b"), F.avg("_x").alias("_mid")), by)
+
+
+def attach_group(df: DataFrame, per_group: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Columns of a one-row-per-group table on every row; without groups the table has one row."""
+    return df.join(broadcast_if_small(per_group), list(by)) if by else attach_row(df, per_group)
 
 
 def _area() -> Column:
@@ -67,13 +73,13 @@ def shift_summary(train: DataFrame, evaluation: DataFrame, value: str, by: Seque
         F.max("n_a").alias("training_n"), F.max("n_b").alias("evaluation_n"), _area().alias("wasserstein"),
         *[_quantile(p, "_ua", "_na", "n_a").alias(k) for k, p in probs.items()], _quantile(0.5, "_ub", "_nb", "n_b").alias("eval_median"),
     )
-    ref = broadcast_if_small(ref)
+    ref = cut_lineage(ref)  # one row per group, read twice
     tail = (F.col("_x") < F.col("p01")) | (F.col("_x") > F.col("p99"))
-    outside = cum.join(ref.select(*by, "p01", "p99"), list(by)).groupBy(*by).agg(
+    outside = attach_group(cum, ref.select(*by, "p01", "p99"), by).groupBy(*by).agg(
         (F.sum(F.when(tail, F.col("_nb")).otherwise(0)) / F.max("n_b")).alias("outside_share")
     )
     iqr = F.when(F.col("q75") > F.col("q25"), F.col("q75") - F.col("q25"))
-    out = outside.join(ref, list(by)).select(
+    out = (outside.join(ref, list(by)) if by else attach_row(outside, ref)).select(
         *by, "training_n", "evaluation_n", ((F.col("eval_median") - F.col("q50")) / iqr).alias("median_shift"),
         (F.col("wasserstein") / iqr).alias("wasserstein_iqr"), "outside_share",
     )

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.functions import correlation, safe_divide
+from panelwright.functions import correlation, finite, safe_divide
 from panelwright.operators.ordering import exact_quantiles, running_sum
 from panelwright.operators.temporal import attach_row
 
@@ -15,13 +15,19 @@ METRICS = ["rmse", "mae", "r2", "bias", "pearson_r"]
 SUMS = ["n", "s_y", "s_yy", "s_p", "s_pp", "s_yp", "s_ee", "s_ae", "s_e"]
 
 
+def complete_pair(truth: str, prediction: str) -> tuple[Column, Column]:
+    """Truth and prediction where both are finite, else null: every sum and count below runs over the same pairs."""
+    both = finite(truth) & finite(prediction)
+    return F.when(both, F.col(truth).cast("double")), F.when(both, F.col(prediction).cast("double"))
+
+
 def _metric_aggs(truth: str, prediction: str) -> list[Column]:
     """One pass; the built-in moments merge without cancellation."""
-    y, p = F.col(truth), F.col(prediction)
+    y, p = complete_pair(truth, prediction)
     e = p - y
     sst = F.var_pop(y) * F.count(y)
     return [
-        F.count(F.lit(1)).alias("n"),
+        F.count(y).alias("n"),
         F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
         (F.lit(1.0) - F.sum(e * e) / F.when(sst > 0, sst)).alias("r2"), F.avg(e).alias("bias"),
         correlation(y, p).alias("pearson_r"),
@@ -29,30 +35,27 @@ def _metric_aggs(truth: str, prediction: str) -> list[Column]:
 
 
 def regression_metrics(df: DataFrame, by: Sequence[str] = (), truth: str = "y_true", prediction: str = "y_pred") -> DataFrame:
-    """n, RMSE, MAE, R2, bias, r over finite pairs; R2 and r are null without variance."""
-    return df.where(F.col(truth).isNotNull() & F.col(prediction).isNotNull()).groupBy(*by).agg(*_metric_aggs(truth, prediction))
+    """n, RMSE, MAE, R2, bias, r over finite pairs; R2 and r are null without variance. A group without pairs has n = 0."""
+    return df.groupBy(*by).agg(*_metric_aggs(truth, prediction))
 
 
-def mean_sd_over(metrics: DataFrame, by: Sequence[str], cols: Sequence[str] = METRICS) -> DataFrame:
-    """Mean and sample SD across seeds of per-seed metrics."""
-    aggs = [F.count(F.lit(1)).alias("n_seeds"), F.max("n").alias("records_per_seed")]
+def mean_sd_over(metrics: DataFrame, by: Sequence[str], cols: Sequence[str] = METRICS, more: Sequence[Column] = ()) -> DataFrame:
+    """Mean and sample SD across the seeds that have pairs."""
+    aggs = [F.count(F.when(F.col("n") > 0, 1)).alias("n_seeds"), F.max("n").alias("records_per_seed")]
     for c in cols:
         aggs += [F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_sd")]
-    return metrics.groupBy(*by).agg(*aggs)
+    return metrics.groupBy(*by).agg(*aggs, *more)
 
 
 def metrics_mean_sd(
     df: DataFrame, by: Sequence[str], seed: str = "seed", entity: str | None = None, truth: str = "y_true", prediction: str = "y_pred"
 ) -> DataFrame:
     """Per-seed metrics, then mean and sample SD, with records and entities of a seed."""
-    aggs = _metric_aggs(truth, prediction)
-    if entity:
-        aggs.append(F.count_distinct(entity).alias("entities"))
-    per = df.groupBy(*by, seed).agg(*aggs)
-    out = mean_sd_over(per, by)
-    if entity:
-        out = out.join(per.groupBy(*by).agg(F.max("entities").alias("entities")), list(by)) if by else out
-    return out
+    if not entity:
+        return mean_sd_over(df.groupBy(*by, seed).agg(*_metric_aggs(truth, prediction)), by)
+    paired = F.when(complete_pair(truth, prediction)[0].isNotNull(), F.col(entity))
+    per = df.groupBy(*by, seed).agg(*_metric_aggs(truth, prediction), F.count_distinct(paired).alias("entities"))
+    return mean_sd_over(per, by, more=[F.max("entities").alias("entities")])
 
 
 def grouped_metrics(
@@ -78,16 +81,15 @@ def grouped_metrics(
 def cluster_sufficient_stats(
     df: DataFrame, by: Sequence[str], truth: str = "y_true", prediction: str = "y_pred", center: Column | float = 0.0
 ) -> DataFrame:
-    """Nine additive sums per cluster. `center` is subtracted from truth and prediction first, which
+    """Nine additive sums over the finite pairs of a cluster, zero without pairs. `center` is subtracted from truth and prediction first, which
     leaves every metric unchanged and avoids cancellation when the mean is large."""
     c = F.lit(center) if isinstance(center, (int, float)) else center
-    rows = df.select(*by, (F.col(truth) - c).alias("_y"), (F.col(prediction) - c).alias("_p"))
+    truth_, prediction_ = complete_pair(truth, prediction)
+    rows = df.select(*by, (truth_ - c).alias("_y"), (prediction_ - c).alias("_p"))
     y, p = F.col("_y"), F.col("_p")
     e = p - y
-    return rows.groupBy(*by).agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.sum(y).alias("s_y"), F.sum(y * y).alias("s_yy"), F.sum(p).alias("s_p"),
-        F.sum(p * p).alias("s_pp"), F.sum(y * p).alias("s_yp"), F.sum(e * e).alias("s_ee"), F.sum(F.abs(e)).alias("s_ae"), F.sum(e).alias("s_e"),
-    )
+    sums = {"s_y": y, "s_yy": y * y, "s_p": p, "s_pp": p * p, "s_yp": y * p, "s_ee": e * e, "s_ae": F.abs(e), "s_e": e}
+    return rows.groupBy(*by).agg(F.count(y).cast("double").alias("n"), *[F.coalesce(F.sum(v), F.lit(0.0)).alias(k) for k, v in sums.items()])
 
 
 def metrics_from_sums(sums: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -106,13 +108,16 @@ def metrics_from_sums(sums: DataFrame, keep: Sequence[str]) -> DataFrame:
 def dual_domain_table(
     df: DataFrame, excluded: Column, model: str = "model", seed: str = "seed", deterministic: Sequence[str] = ()
 ) -> DataFrame:
-    """Every model in the clean and the full domain; deterministic models carry no SD."""
+    """Every model in the clean and the full domain; a deterministic model is scored once, as one run without SD."""
     domains = F.array(F.lit("full"), F.lit("clean"))
     both = df.withColumn("_x", F.coalesce(excluded, F.lit(False))).withColumn("domain", F.explode(domains))
     both = both.where((F.col("domain") == "full") | ~F.col("_x"))
-    out = mean_sd_over(regression_metrics(both, [model, "domain", seed]), [model, "domain"])
+    # the rows of a deterministic model repeat per seed: its smallest seed stands for all
     fixed = F.col(model).isin(list(deterministic))
-    return out.withColumns({f"{m}_sd": F.when(~fixed, F.col(f"{m}_sd")) for m in METRICS})
+    per = regression_metrics(both, [model, "domain", seed])
+    once = F.struct(seed, "n", *METRICS)
+    first = per.where(fixed & (F.col("n") > 0)).groupBy(model, "domain").agg(F.min(once).alias("_r")).select(model, "domain", "_r.*")
+    return mean_sd_over(per.where(~fixed).unionByName(first), [model, "domain"])
 
 
 def oof_metrics(df: DataFrame, fold: str = "fold", seed: str = "seed", arm: str | None = None) -> DataFrame:
@@ -146,11 +151,10 @@ def grid_winner(df: DataFrame, by: Sequence[str], score: str, tie_breaks: Sequen
 
 
 def highest_by(df: DataFrame, by: Sequence[str], value: str, tie: Sequence[str]) -> DataFrame:
-    """The row with the maximum finite value of each group, as an aggregate (no window, no sort)."""
+    """The row with the maximum finite value of each group, as an aggregate (no window, no sort); of ties the first by `tie`."""
     rest = [c for c in df.columns if c not in by]
-    finite_rows = df.where(F.col(value).isNotNull() & ~F.isnan(value))
-    order = F.struct(F.col(value), *[(-F.col(t)) if dict(df.dtypes)[t] != "string" else F.col(t) for t in tie])
-    return finite_rows.groupBy(*by).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*by, "_r.*")
+    order = F.struct((-F.col(value)).alias("_v"), *[F.col(t) for t in tie])
+    return df.where(finite(value)).groupBy(*by).agg(F.min_by(F.struct(*rest), order).alias("_r")).select(*by, "_r.*")
 
 
 # --- diagnostics ----------------------------------------------------------------------------
@@ -207,7 +211,3 @@ def range_summary(df: DataFrame, by: Sequence[str], values: Sequence[str]) -> Da
     for v in values:
         aggs += [F.min(v).alias(f"{v}_min"), F.percentile(v, 0.5).alias(f"{v}_median"), F.avg(v).alias(f"{v}_mean"), F.max(v).alias(f"{v}_max")]
     return df.groupBy(*by).agg(*aggs)
-
-
-def add_constants(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
-    return df.withColumns({k: F.lit(v) for k, v in values.items()})

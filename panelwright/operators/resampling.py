@@ -32,7 +32,7 @@ def index_clusters(df: DataFrame, cluster: Sequence[str], stratum: Sequence[str]
 
 def _hash(parts: Sequence[Column]) -> Column:
     text = F.concat_ws(":", *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")  # 60 bits, in both signs of a long
 
 
 def draw(indexed: DataFrame, reps: int, seed: int, stratum: Sequence[str] = ()) -> DataFrame:

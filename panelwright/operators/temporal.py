@@ -290,8 +290,11 @@ def annual_sums(df: DataFrame, keys: Sequence[str], truth: str, prediction: str,
     """Sums over complete entity-years with the residual; one aggregation decides and sums."""
     return (
         df.groupBy(*keys, year)
-        .agg(F.count(F.lit(1)).alias("_n"), F.count_distinct(month).alias("_d"), F.sum(truth).alias(truth), F.sum(prediction).alias(prediction))
-        .where((F.col("_n") == 12) & (F.col("_d") == 12))
+        .agg(
+            F.count(F.col(truth) + F.col(prediction)).alias("_n"), F.count(F.lit(1)).alias("_rows"), F.count_distinct(month).alias("_d"),
+            F.sum(truth).alias(truth), F.sum(prediction).alias(prediction),
+        )
+        .where((F.col("_n") == 12) & (F.col("_rows") == 12) & (F.col("_d") == 12))
         .select(*keys, year, truth, prediction, (F.col(prediction) - F.col(truth)).alias("residual"))
     )
 

@@ -67,7 +67,7 @@ def levels(t: Tables):
 def draws_sql(reps: int, source: str, seed: int = SEED) -> str:
     """Draw table over the distinct sites of `source`."""
     return f"""units AS (SELECT site, row_number() OVER (ORDER BY site) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT site FROM {source})),
-  draws AS (SELECT rep::INT AS rep, pos AS position, (('0x' || substr(md5('{seed}:' || rep || ':' || pos), 1, 8))::BIGINT % n) AS hit FROM units, range(1, {reps} + 1) r(rep)),
+  draws AS (SELECT rep::INT AS rep, pos AS position, (('0x' || substr(md5('{seed}:' || rep || ':' || pos), 1, 15))::BIGINT % n) AS hit FROM units, range(1, {reps} + 1) r(rep)),
   drawn AS (SELECT d.rep, d.position, u.site FROM draws d JOIN units u ON u.pos = d.hit)"""
 
 

@@ -18,7 +18,7 @@ def regression_metrics(t: Tables):
     return op.regression_metrics(t.predictions, ["model", "seed", "fold"])
 
 
-@query("g02_metrics_mean_sd", with_(P, f"SELECT a.*, b.entities FROM (SELECT model, year, {MEAN_SD_SQL} FROM (SELECT model, year, seed, {METRICS_SQL} FROM predictions GROUP BY ALL) GROUP BY ALL) a JOIN (SELECT model, year, count(DISTINCT site) AS entities FROM predictions GROUP BY ALL) b ON b.model = a.model AND b.year = a.year"), MEAN_SD_DOUBLES)
+@query("g02_metrics_mean_sd", with_(P, f"SELECT model, year, {MEAN_SD_SQL}, max(entities) AS entities FROM (SELECT model, year, seed, {METRICS_SQL}, count(DISTINCT site) FILTER (WHERE y_pred IS NOT NULL) AS entities FROM predictions GROUP BY ALL) GROUP BY ALL"), MEAN_SD_DOUBLES)
 def metrics_mean_sd(t: Tables):
     return op.metrics_mean_sd(t.predictions, ["model", "year"], entity="site")
 
@@ -47,8 +47,7 @@ def grouped_metrics(t: Tables):
     return op.grouped_metrics(_deciles(t), GROUPINGS)
 
 
-SUMS_SQL = """count(*)::DOUBLE AS n, sum(y_true - 3) AS s_y, sum((y_true - 3) * (y_true - 3)) AS s_yy, sum(y_pred - 3) AS s_p, sum((y_pred - 3) * (y_pred - 3)) AS s_pp, sum((y_true - 3) * (y_pred - 3)) AS s_yp,
-  sum((y_pred - y_true) * (y_pred - y_true)) AS s_ee, sum(abs(y_pred - y_true)) AS s_ae, sum(y_pred - y_true) AS s_e"""
+SUMS_SQL = T.sums_sql(3.0)
 SUM_DOUBLES = " ".join(op.SUMS)
 
 
@@ -57,18 +56,17 @@ def sufficient(t: Tables):
     return op.cluster_sufficient_stats(t.predictions, ["model", "seed", "site"], center=3.0)
 
 
-@query("g05_metrics_from_sums", with_(P, f"SELECT model, month, n, rmse, mae, r2, bias, pearson_r FROM (SELECT model, month, {METRICS_SQL.replace('count(*) AS n', 'count(*)::DOUBLE AS n')} FROM predictions GROUP BY ALL)"), "n " + M)
+@query("g05_metrics_from_sums", with_(P, f"SELECT model, month, n, rmse, mae, r2, bias, pearson_r FROM (SELECT model, month, {METRICS_SQL.replace('count(y_pred) AS n', 'count(y_pred)::DOUBLE AS n')} FROM predictions GROUP BY ALL)"), "n " + M)
 def from_sums(t: Tables):
     return op.metrics_from_sums(op.cluster_sufficient_stats(t.predictions, ["model", "month"], center=3.0), ["model", "month"])
 
 
 @query("g06_dual_domain_table", with_(P + ", " + T.INVALID + ", " + T.excluded(12), f"""SELECT model, domain, {MEAN_SD_SQL} FROM (
-  SELECT model, 'full' AS domain, seed, {METRICS_SQL} FROM predictions GROUP BY ALL UNION ALL
-  SELECT model, 'clean', seed, {METRICS_SQL} FROM predictions p WHERE NOT EXISTS (SELECT 1 FROM excluded e WHERE e.site = p.site AND e.period = p.period) GROUP BY ALL) GROUP BY ALL""").replace(
-      "SELECT model, domain, count", "SELECT model, domain, count"), MEAN_SD_DOUBLES)
+  SELECT model, 'full' AS domain, seed, {METRICS_SQL} FROM predictions WHERE model <> 'month' OR seed = 1 GROUP BY ALL UNION ALL
+  SELECT model, 'clean', seed, {METRICS_SQL} FROM predictions p WHERE (model <> 'month' OR seed = 1) AND NOT EXISTS (SELECT 1 FROM excluded e WHERE e.site = p.site AND e.period = p.period) GROUP BY ALL) GROUP BY ALL"""), MEAN_SD_DOUBLES)
 def dual_domain(t: Tables):
     marked = affected_by_invalid(t.predictions, t.invalid, ["site"], "period", 12)
-    return op.dual_domain_table(marked, F.col("affected"), deterministic=())
+    return op.dual_domain_table(marked, F.col("affected"), deterministic=["month"])
 
 
 @query("g07_oof_metrics", with_(P, f"""SELECT model, scope, {MEAN_SD_SQL} FROM (SELECT model, 'fold_' || fold AS scope, seed, {METRICS_SQL} FROM predictions GROUP BY ALL UNION ALL
@@ -102,7 +100,7 @@ def grid_winner(t: Tables):
 RES = ", res AS (SELECT y_pred - y_true AS r, y_pred AS f FROM predictions WHERE model = 'site_month' AND seed = 1)"
 
 
-@query("g10_residual_diagnostics", with_(P + RES, """SELECT count(*) AS n, avg(r) AS residual_mean, stddev_samp(r) AS residual_sd, min(r) AS residual_min, max(r) AS residual_max,
+@query("g10_residual_diagnostics", with_(P + RES, """SELECT count(r) AS n, avg(r) AS residual_mean, stddev_samp(r) AS residual_sd, min(r) AS residual_min, max(r) AS residual_max,
     avg(pow(r - m, 3)) / pow(stddev_samp(r), 3) AS residual_skewness, avg(pow(r - m, 4)) / pow(stddev_samp(r), 4) - 3 AS residual_excess_kurtosis, max(r * r) / sum(r * r) AS largest_squared_share,
     min(f) AS fitted_min, max(f) AS fitted_max, corr(r, f) AS residual_fitted_correlation, quantile_cont(r, 0.01) AS residual_q01, quantile_cont(r, 0.25) AS residual_q25, quantile_cont(r, 0.5) AS residual_median,
     quantile_cont(r, 0.75) AS residual_q75, quantile_cont(r, 0.99) AS residual_q99 FROM res, (SELECT avg(r) AS m FROM res)"""),

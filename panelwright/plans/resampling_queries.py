@@ -13,8 +13,7 @@ REPS = 200
 M = " ".join(METRICS)
 ENV = list(GROUPS)
 
-SUMS = """stats AS (SELECT model, seed, site, count(*)::DOUBLE AS n, sum(y_true) AS s_y, sum(y_true * y_true) AS s_yy, sum(y_pred) AS s_p, sum(y_pred * y_pred) AS s_pp, sum(y_true * y_pred) AS s_yp,
-  sum((y_pred - y_true) * (y_pred - y_true)) AS s_ee, sum(abs(y_pred - y_true)) AS s_ae, sum(y_pred - y_true) AS s_e FROM predictions GROUP BY ALL)"""
+SUMS = f"stats AS (SELECT model, seed, site, {T.sums_sql()} FROM predictions GROUP BY ALL)"
 FROM_SUMS = """n, sqrt(s_ee / n) AS rmse, s_ae / n AS mae, 1 - s_ee / (s_yy - s_y * s_y / n) AS r2, s_e / n AS bias,
   (s_yp - s_y * s_p / n) / sqrt((s_yy - s_y * s_y / n) * (s_pp - s_p * s_p / n)) AS pearson_r"""
 TOTALS = ", ".join(f"sum({c}) AS {c}" for c in metrics.SUMS)
@@ -50,9 +49,9 @@ def multi_seed(t: Tables):
     return op.multi_seed_bootstrap(_stats(t), ["site"], REPS, SEED, by=["model"])
 
 
-SITE_YEAR = T.PREDICTIONS + ", " + SUMS.replace("SELECT model, seed, site, count", "SELECT model, seed, site, year, count") + f""",
+SITE_YEAR = T.PREDICTIONS + ", " + SUMS.replace("SELECT model, seed, site,", "SELECT model, seed, site, year,") + f""",
   units AS (SELECT site, year, row_number() OVER (ORDER BY site, year) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT site, year FROM predictions)),
-  draws AS (SELECT rep::INT AS rep, (('0x' || substr(md5('{SEED}:' || rep || ':' || pos), 1, 8))::BIGINT % n) AS hit FROM units, range(1, {REPS} + 1) r(rep)),
+  draws AS (SELECT rep::INT AS rep, (('0x' || substr(md5('{SEED}:' || rep || ':' || pos), 1, 15))::BIGINT % n) AS hit FROM units, range(1, {REPS} + 1) r(rep)),
   drawn AS (SELECT d.rep, u.site, u.year FROM draws d JOIN units u ON u.pos = d.hit),
   reps AS (SELECT rep, model, seed, {FROM_SUMS} FROM (SELECT rep, model, seed, {TOTALS} FROM drawn JOIN stats USING (site, year) GROUP BY ALL))"""
 
@@ -125,7 +124,7 @@ def site_shares(t: Tables, run: str | None = None):
 
 STRATIFIED = SHARES + f""", one AS (SELECT * FROM shares WHERE run = 'r1'),
   units AS (SELECT class, site, row_number() OVER (PARTITION BY class ORDER BY site) - 1 AS pos, count(*) OVER (PARTITION BY class) AS n FROM (SELECT DISTINCT class, site FROM one)),
-  draws AS (SELECT class, rep::INT AS rep, (('0x' || substr(md5('{SEED}:' || class || ':' || rep || ':' || pos), 1, 8))::BIGINT % n) AS hit FROM units, range(1, {REPS} + 1) r(rep)),
+  draws AS (SELECT class, rep::INT AS rep, (('0x' || substr(md5('{SEED}:' || class || ':' || rep || ':' || pos), 1, 15))::BIGINT % n) AS hit FROM units, range(1, {REPS} + 1) r(rep)),
   drawn AS (SELECT d.class, d.rep, u.site FROM draws d JOIN units u ON u.class = d.class AND u.pos = d.hit),
   srep AS (SELECT o.class, rep, "group", avg(group_abs) AS group_abs, avg(dominant) AS dominant FROM drawn d JOIN one o ON o.class = d.class AND o.site = d.site GROUP BY ALL)"""
 

@@ -44,15 +44,13 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir.rstrip("/")
-
-    _scans: dict[tuple[str, str], DataFrame] = {}
+        self._scans: dict[str, DataFrame] = {}
 
     def raw(self, name: str, *columns: str) -> DataFrame:
-        """Scan of a driver table; the schema is read once per application."""
-        key = (self.spark.sparkContext.applicationId, f"{self.dir}/{name}.parquet")
-        if key not in self._scans:
-            self._scans[key] = self.spark.read.parquet(key[1])
-        df = self._scans[key]
+        """Scan of a driver table."""
+        if name not in self._scans:
+            self._scans[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        df = self._scans[name]
         return df.select(*columns) if columns else df
 
     @cached_property
@@ -104,20 +102,21 @@ class Tables:
 
     @cached_property
     def predictions(self) -> DataFrame:
-        """Two climatology models, three seeds (each leaves one training year out), test years."""
+        """Two climatology models, three seeds (each leaves one training year out), all test rows.
+
+        A row whose cell has no training year keeps a null prediction: metrics count complete pairs only.
+        """
         train = self.panel.where(F.col("year") <= TRAIN_END)
         seeds = {s: F.avg(F.when(F.col("year") != 1994 + s, F.col("target"))) for s in (1, 2, 3)}
         by_site = train.groupBy("site", "month").agg(*[a.alias(f"_a{s}") for s, a in seeds.items()])
         by_month = train.groupBy("month").agg(*[a.alias(f"_b{s}") for s, a in seeds.items()])
-        test = self.panel.where(F.col("year") >= TEST_START).join(by_site, ["site", "month"]).join(by_month, "month")
+        test = self.panel.where(F.col("year") >= TEST_START).join(by_site, ["site", "month"], "left").join(F.broadcast(by_month), "month", "left")  # twelve rows
         cells = [
             F.struct(F.lit(m).alias("model"), F.lit(s).alias("seed"), F.col(f"{p}{s}").alias("y_pred"))
             for m, p in (("site_month", "_a"), ("month", "_b")) for s in seeds
         ]
         fold = F.pmod(F.col("site"), F.lit(5)).cast("int").alias("fold")
-        return test.select("site", "class", fold, "year", "month", "period", F.col("target").alias("y_true"), F.inline(F.array(*cells))).where(
-            F.col("y_pred").isNotNull()
-        )
+        return test.select("site", "class", fold, "year", "month", "period", F.col("target").alias("y_true"), F.inline(F.array(*cells)))
 
     @cached_property
     def composites(self) -> DataFrame:
@@ -243,20 +242,29 @@ def excluded(window: int) -> str:
 PREDICTIONS = PANEL + f""", seeds AS (SELECT unnest([1, 2, 3])::INT AS seed),
   ca AS (SELECT seed, site, month, avg(target) FILTER (WHERE year <> 1994 + seed) AS y_pred FROM panel, seeds WHERE year <= {TRAIN_END} GROUP BY ALL),
   cb AS (SELECT seed, month, avg(target) FILTER (WHERE year <> 1994 + seed) AS y_pred FROM panel, seeds WHERE year <= {TRAIN_END} GROUP BY ALL),
-  test AS (SELECT p.* FROM panel p WHERE year >= {TEST_START} AND EXISTS (SELECT 1 FROM ca WHERE ca.site = p.site AND ca.month = p.month)),
+  test AS (SELECT p.*, seed FROM panel p, seeds WHERE year >= {TEST_START}),
   predictions AS (
-  SELECT 'site_month' AS model, seed, t.site, class, (t.site % 5)::INT AS fold, year, t.month, period, target AS y_true, y_pred
-  FROM test t JOIN ca ON ca.site = t.site AND ca.month = t.month WHERE y_pred IS NOT NULL
+  SELECT 'site_month' AS model, t.seed, t.site, class, (t.site % 5)::INT AS fold, year, t.month, period, target AS y_true, y_pred
+  FROM test t LEFT JOIN ca ON ca.seed = t.seed AND ca.site = t.site AND ca.month = t.month
   UNION ALL
-  SELECT 'month', seed, t.site, class, (t.site % 5)::INT, year, t.month, period, target, y_pred
-  FROM test t JOIN cb ON cb.month = t.month WHERE y_pred IS NOT NULL)"""
+  SELECT 'month', t.seed, t.site, class, (t.site % 5)::INT, year, t.month, period, target, y_pred
+  FROM test t LEFT JOIN cb ON cb.seed = t.seed AND cb.month = t.month)"""
+
+_PAIRED = "FILTER (WHERE y_pred IS NOT NULL)"
+METRICS_SQL = f"""count(y_pred) AS n, sqrt(avg((y_pred - y_true) * (y_pred - y_true))) AS rmse, avg(abs(y_pred - y_true)) AS mae,
+  CASE WHEN var_pop(y_true) {_PAIRED} > 0 THEN 1 - sum((y_pred - y_true) * (y_pred - y_true)) / (var_pop(y_true) {_PAIRED} * count(y_pred)) END AS r2,
+  avg(y_pred - y_true) AS bias, CASE WHEN var_pop(y_true) {_PAIRED} > 0 AND var_pop(y_pred) > 0 THEN corr(y_true, y_pred) END AS pearson_r"""
+
+
+def sums_sql(center: float = 0.0) -> str:
+    """The nine sums over pairs with a prediction, as the operator forms them."""
+    y, p = f"(y_true - {center}::DOUBLE)", f"(y_pred - {center}::DOUBLE)"
+    cells = {"s_y": y, "s_yy": f"{y} * {y}", "s_p": p, "s_pp": f"{p} * {p}", "s_yp": f"{y} * {p}", "s_ee": "(y_pred - y_true) * (y_pred - y_true)", "s_ae": "abs(y_pred - y_true)", "s_e": "y_pred - y_true"}
+    return "count(y_pred)::DOUBLE AS n, " + ", ".join(f"coalesce(sum({v}) {_PAIRED}, 0) AS {k}" for k, v in cells.items())
 
-METRICS_SQL = """count(*) AS n, sqrt(avg((y_pred - y_true) * (y_pred - y_true))) AS rmse, avg(abs(y_pred - y_true)) AS mae,
-  CASE WHEN var_pop(y_true) > 0 THEN 1 - sum((y_pred - y_true) * (y_pred - y_true)) / (var_pop(y_true) * count(*)) END AS r2,
-  avg(y_pred - y_true) AS bias, CASE WHEN var_pop(y_true) > 0 AND var_pop(y_pred) > 0 THEN corr(y_true, y_pred) END AS pearson_r"""
 
 METRIC_NAMES = ["rmse", "mae", "r2", "bias", "pearson_r"]
-MEAN_SD_SQL = "count(*) AS n_seeds, max(n) AS records_per_seed, " + ", ".join(f"avg({m}) AS {m}_mean, stddev_samp({m}) AS {m}_sd" for m in METRIC_NAMES)
+MEAN_SD_SQL = "count(*) FILTER (WHERE n > 0) AS n_seeds, max(n) AS records_per_seed, " + ", ".join(f"avg({m}) AS {m}_mean, stddev_samp({m}) AS {m}_sd" for m in METRIC_NAMES)
 MEAN_SD_DOUBLES = " ".join(f"{m}_mean {m}_sd" for m in METRIC_NAMES)
 
 COMPOSITES = f"""composites AS (

@@ -197,7 +197,7 @@ def complete_years(t: Tables):
 
 
 ENSEMBLE = """, ensemble AS (SELECT site, year, month, max(y_true) AS y_true, avg(y_pred) AS y_pred FROM predictions WHERE model = 'site_month' GROUP BY ALL),
-  annual AS (SELECT site, year, sum(y_true) AS y_true, sum(y_pred) AS y_pred, sum(y_pred) - sum(y_true) AS residual FROM ensemble GROUP BY ALL HAVING count(*) = 12 AND count(DISTINCT month) = 12)"""
+  annual AS (SELECT site, year, sum(y_true) AS y_true, sum(y_pred) AS y_pred, sum(y_pred) - sum(y_true) AS residual FROM ensemble GROUP BY ALL HAVING count(y_pred) = 12 AND count(*) = 12 AND count(DISTINCT month) = 12)"""
 
 
 def _ensemble(t: Tables):
