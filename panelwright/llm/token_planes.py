@@ -9,6 +9,7 @@ Shards follow the ids of the documents in ascending order; a shard's last block
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,8 @@ from panelwright.llm.words import binary_parts, id_and_text
 BLOCK = 1 << 16
 END = 1
 LEVEL = 3
-#: Chunks of text (between ASCII blanks) whose ids a worker remembers, twice over.
-REMEMBERED = 200_000
+#: Stretches of text between ASCII blanks whose ids a worker remembers, twice over.
+REMEMBERED = 250_000
 
 
 def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -43,64 +44,76 @@ def from_planes(planes: list[bytes], n: int, bits: bool) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(each, axis=1, bitorder="little")).view("<u4").ravel()
 
 
-class Encoder:
-    """Ids of whole texts by a public tokenizer file, remembered per stretch between ASCII blanks.
+_LATIN_END = "\u0250"
+_BYTES = np.arange(256)
+_LETTER = (_BYTES >= 97) & (_BYTES <= 122)
+_MARK = (_BYTES == ord(".")) | (_BYTES == ord(","))
 
-    Only for tokenizers whose normaliser folds white space and whose words never cross it: there a text's ids are
-    those of its stretches one after another. New stretches are encoded together, blanks between them, and cut by offsets.
+
+def _byte_letters() -> dict[int, str]:
+    """The public byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for the letters from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
+class Encoder(dict):
+    """Ids of whole texts by a public tokenizer file; a dictionary of the stretches between ASCII blanks and their ids.
+
+    Only for byte-level tokenizers whose normaliser folds case and white space and whose words never cross white space:
+    there a text's ids are those of its stretches one after another, and a blank between a letter and a full stop or
+    comma changes nothing. A new stretch of Latin letters goes through the library's normaliser and model alone (it is
+    one word); any other goes through the whole library.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), remembered
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _encode(self, stretches: list[bytes]) -> list[bytes]:
-        texts = [s.decode("utf-8") for s in stretches]
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        code = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        ids = np.array(code.ids, "<u4")
-        owner = np.searchsorted(ends, np.array([a for a, _ in code.offsets], np.int64), "right")
-        cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
-        raw = ids.tobytes()
-        return [raw[4 * a : 4 * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-
-    def _learn(self, new: set[bytes]) -> None:
-        todo: list[bytes] = []
-        tails: list[tuple[bytes, bytes, bytes]] = []
-        for s in new:
-            if s in self.old:
-                self.young[s] = self.old[s]
-            elif s.isascii() and s[:-1].isalpha() and s[-1:] in (b".", b","):
-                tails.append((s, s[:-1].lower(), s[-1:]))
-            else:
-                todo.append(s)
-        need = {x for _, core, tail in tails for x in (core, tail)} - self.young.keys()
-        for s in need:
-            if s in self.old:
-                self.young[s] = self.old[s]
+        super().__init__()
+        self.tokenizer, self.most, self.old = Tokenizer.from_file(path), remembered, {}
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._normal, self._tokenize, self._alphabet = self.tokenizer.normalizer.normalize_str, self.tokenizer.model.tokenize, _byte_letters()
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, stretch: bytes) -> bytes:
+        ids = self.old.get(stretch)
+        if ids is None:
+            word = stretch.decode("utf-8")
+            if word.isalpha() and max(word) < _LATIN_END:
+                plain = word if word.isascii() else self._normal(word)
+                letters = plain if plain.isascii() else plain.encode("utf-8").decode("latin-1").translate(self._alphabet)
+                ids = array("I", [t.id for t in self._tokenize(letters)]).tobytes() if plain.isalpha() else self._whole(word)
             else:
-                todo.append(s)
-        todo = sorted(set(todo) - self.young.keys())
-        for at in range(0, len(todo), 20_000):
-            part = todo[at : at + 20_000]
-            self.young.update(zip(part, self._encode(part)))
-        for s, core, tail in tails:  # letters and one mark are words of their own
-            self.young[s] = self.young[core] + self.young[tail]
+                ids = self._whole(word)
+        self[stretch] = ids
+        return ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
-        split = [t.split() for t in texts]
-        known = self.young
-        new = {s for words in split for s in words if s not in known}
-        if new:
-            self._learn(new)
-        get = self.young.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+        out = []
+        for text in texts:
+            if any(t in text for t in self.special):
+                out.append(self._whole(text.decode("utf-8")))
+                continue
+            data = np.frombuffer(text.lower(), np.uint8)
+            at = np.flatnonzero(_LETTER[data[:-1]] & _MARK[data[1:]]) + 1
+            out.append(b"".join(map(self.__getitem__, np.insert(data, at, 32).tobytes().split())))
+        return out
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One encoder per worker process: the tasks it runs share what it remembers."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 CHUNK_SCHEMA = "shard int, chunk int, offset long, continues boolean, n_ids int, bits boolean, lengths array<int>, frames binary, documents array<struct<number:long, doc_id:long, n_ids:int, ends:boolean>>"
@@ -128,7 +141,7 @@ def write_token_planes(documents: DataFrame, path: str, tokenizer: str, key: str
     mark = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, squeeze = Encoder(tokenizer), zstandard.ZstdCompressor(LEVEL)
+        encoder, squeeze = encoder_of(tokenizer), zstandard.ZstdCompressor(LEVEL)
         shard = chunk = number = 0
         held, inside, docs, continues = [], 0, [], False
         for batch in batches:
