@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import direction_text, join_sorted, safe_divide, sign_tol
 from panelwright.operators.ordering import average_rank, exact_quantiles
+from panelwright.session import broadcast_if_small, cut_lineage
 
 LAG_BANDS = [("recent_1_6", 1, 6), ("seasonal_7_12", 7, 12), ("second_year_13_24", 13, 24), ("third_year_25_36", 25, 36)]
 
@@ -82,14 +83,14 @@ def seed_aggregate(df: DataFrame, keys: Sequence[str], run: str, values: Sequenc
     return df.groupBy(*keys).agg(*aggs)
 
 
-def high_low_contrast(df: DataFrame, by: Sequence[str], sample: Sequence[str], value: str = "value", digits: int = 10) -> DataFrame:
+def high_low_contrast(df: DataFrame, by: Sequence[str], sample: Sequence[str], value: str = "value") -> DataFrame:
     """Mean signed attribution where the mean input is at or above q75 minus where it is at or below q25.
 
-    Mean inputs are rounded, so equal inputs stay equal whatever order they were summed in.
+    Mean inputs are taken in single precision, so equal inputs stay equal whatever order they were summed in.
     """
-    per = df.groupBy(*by, *sample, "feature").agg(F.sum("shap").alias("signed"), F.round(F.avg(value), digits).alias("level"))
+    per = df.groupBy(*by, *sample, "feature").agg(F.sum("shap").alias("signed"), F.avg(value).cast("float").cast("double").alias("level"))
     q = exact_quantiles(per, "level", {"q25": 0.25, "q75": 0.75}, by=[*by, "feature"]).drop("n")
-    joined = per.join(F.broadcast(q), [*by, "feature"])  # one row per run and feature
+    joined = per.join(broadcast_if_small(cut_lineage(q)), [*by, "feature"])
     out = joined.groupBy(*by, "feature").agg(
         F.avg(F.when(F.col("level") >= F.col("q75"), F.col("signed"))).alias("high"),
         F.avg(F.when(F.col("level") <= F.col("q25"), F.col("signed"))).alias("low"),

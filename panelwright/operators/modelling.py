@@ -14,9 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelwright.functions import finite, safe_divide, to_long
+from panelwright.functions import classify_message, finite, safe_divide, to_long
 from panelwright.operators.checks import expect_finite, expect_same_keys, expect_unique
-from panelwright.operators.metrics import METRICS, cluster_sufficient_stats, metrics_from_sums, regression_metrics, select_best
+from panelwright.operators.metrics import METRICS, attempt_ledger, cluster_sufficient_stats, metrics_from_sums, regression_metrics, select_best
 from panelwright.operators.ordering import exact_quantiles
 from panelwright.operators.resampling import draw, index_clusters, metrics_long, multi_seed_bootstrap, percentile_interval
 from panelwright.operators.temporal import attach_row, lag1_autocorrelation, leave_one_year_out, section_starts
@@ -87,7 +87,7 @@ def prediction_frame(index: DataFrame, predictions: DataFrame, keys: Sequence[st
 def gram_matrix(df: DataFrame, features: str, target: str, by: str | None = None) -> dict[object, np.ndarray]:
     """Augmented Gram matrix of [1, x, y] per `by` level (a handful of folds or analyses).
 
-    Each task reduces its rows to one matrix; matrix rows are summed on Spark. The result has
+    Each task reduces its rows to one matrix; matrix cells are summed on Spark. The result has
     (columns + 2)^2 numbers per level.
     """
 
@@ -101,17 +101,14 @@ def gram_matrix(df: DataFrame, features: str, target: str, by: str | None = None
         for level, g in acc.items():
             yield pd.DataFrame({"_by": level, "i": np.arange(len(g)), "row": list(g)})
 
-    def combine(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"_by": [key[0]], "i": [key[1]], "row": [np.sum(np.stack(part["row"].to_numpy()), axis=0)]})
-
     schema = "_by string, i int, row array<double>"
     level = F.lit("all") if by is None else F.col(by).cast("string")
     rows = df.select(level.alias("_by"), F.col(features).alias("_x"), F.col(target).cast("double").alias("_y"))
-    summed = rows.mapInPandas(partial, schema).groupBy("_by", "i").applyInPandas(combine, schema)
-    out: dict[object, list] = {}
-    for r in summed.orderBy("_by", "i").collect():
-        out.setdefault(r["_by"], []).append(r["row"])
-    return {k: np.array(v) for k, v in out.items()}
+    cells = rows.mapInPandas(partial, schema).select("_by", "i", F.posexplode("row").alias("j", "v"))
+    out: dict[object, dict] = {}
+    for r in cells.groupBy("_by", "i", "j").agg(F.sum("v").alias("v")).collect():
+        out.setdefault(r["_by"], {})[r["i"], r["j"]] = r["v"]
+    return {k: np.array([[g[i, j] for j in range(n)] for i in range(n)]) for k, g in out.items() for n in [round(len(g) ** 0.5)]}
 
 
 def solve_ridge(gram: np.ndarray, alpha: float) -> np.ndarray:
@@ -158,7 +155,7 @@ def random_forest_grid(
     train: DataFrame, validation: DataFrame, features: str, target: str, trees: Sequence[int], depths: Sequence[int | None],
     leaves: Sequence[int], seed: int = 42,
 ) -> DataFrame:
-    """Validation metrics per setting with the distributed forest. Depth is capped at 30, the most Spark builds."""
+    """Validation metrics per setting with the distributed forest. `built_depth` is the depth it was built with: Spark stops at 30."""
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import RandomForestRegressor
 
@@ -169,12 +166,13 @@ def random_forest_grid(
     for t in trees:
         for d in depths:
             for leaf in leaves:
+                built = min(d or 30, 30)
                 rf = RandomForestRegressor(
-                    featuresCol="_v", labelCol="y_true", predictionCol="y_pred", numTrees=t, maxDepth=min(d or 30, 30), minInstancesPerNode=leaf,
+                    featuresCol="_v", labelCol="y_true", predictionCol="y_pred", numTrees=t, maxDepth=built, minInstancesPerNode=leaf,
                     featureSubsetStrategy="sqrt", seed=seed,
                 )
                 m = regression_metrics(rf.fit(tr).transform(va)).select(
-                    F.lit(t).alias("n_estimators"), F.lit(str(d)).alias("max_depth"), F.lit(leaf).alias("min_samples_leaf"), "n", *METRICS
+                    F.lit(t).alias("n_estimators"), F.lit(str(d)).alias("max_depth"), F.lit(built).alias("built_depth"), F.lit(leaf).alias("min_samples_leaf"), "n", *METRICS
                 )
                 out = m if out is None else out.unionByName(m)
     tr.unpersist()
@@ -185,7 +183,11 @@ def random_forest_grid(
 
 @dataclass(frozen=True)
 class AdditiveSpec:
-    """response ~ surface(x, y) + smooth controls + month + year + entity intercept, AR(1) errors."""
+    """response ~ surface(x, y) + smooth controls + month + year + entity intercept, AR(1) errors.
+
+    `y_knots` are the surface's knots along y where they differ from those along x; `a` and `b` are the two positions of
+    the main contrast. Both serve exposures that are not ranks.
+    """
 
     response: str
     x: str
@@ -198,10 +200,17 @@ class AdditiveSpec:
     time: str
     ridge: float = 1e-3
     site_ridge: float = 1.0
+    y_knots: tuple[float, ...] | None = None
+    a: tuple[float, float] = (0.75, 0.25)
+    b: tuple[float, float] = (0.75, 0.50)
+
+    @property
+    def knots_of_y(self) -> tuple[float, ...]:
+        return self.y_knots or self.knots
 
     @property
     def width(self) -> int:
-        return len(self.knots) ** 2 + sum(len(k) - 1 for k in self.controls.values()) + len(self.months) - 1 + len(self.years) - 1
+        return len(self.knots) * len(self.knots_of_y) + sum(len(k) - 1 for k in self.controls.values()) + len(self.months) - 1 + len(self.years) - 1
 
 
 @dataclass
@@ -230,7 +239,7 @@ def hat_basis(column: str, knots: Sequence[float]) -> list[Column]:
 
 def design_vector(spec: AdditiveSpec) -> Column:
     """All basis columns of a row as one array, built by projection."""
-    hx, hy = hat_basis(spec.x, spec.knots), hat_basis(spec.y, spec.knots)
+    hx, hy = hat_basis(spec.x, spec.knots), hat_basis(spec.y, spec.knots_of_y)
     cols = [a * b for a in hx for b in hy]
     for c, knots in spec.controls.items():
         cols += hat_basis(c, knots)[1:]
@@ -257,27 +266,48 @@ def whitened_design(df: DataFrame, spec: AdditiveSpec, rho: float, by: Sequence[
     )
 
 
+def runs_of(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """(key, rows) of consecutive rows with equal keys, across batches; one run is held at a time."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if batch.empty:
+            continue
+        codes = batch[list(keys)]
+        cut = np.flatnonzero((codes != codes.shift()).any(axis=1).to_numpy())
+        for start, stop in zip(cut, [*cut[1:], len(batch)]):
+            part = batch.iloc[start:stop]
+            if held and tuple(held[0].iloc[0][list(keys)]) != tuple(part.iloc[0][list(keys)]):
+                yield tuple(held[0].iloc[0][list(keys)]), pd.concat(held)
+                held = []
+            held.append(part)
+    if held:
+        yield tuple(held[0].iloc[0][list(keys)]), pd.concat(held)
+
+
 def site_grams(df: DataFrame, spec: AdditiveSpec, rho: float, by: Sequence[str] = ()) -> DataFrame:
     """Per entity: its Gram matrix and cross-product with its own penalised intercept absorbed.
 
-    A group is one entity's calendar, so it is small whatever the table size. Absorbed matrices
-    simply add up over entities and over bootstrap copies.
+    A run is one entity's calendar, so it is small whatever the table size; a task streams its entities one after
+    another. Absorbed matrices simply add up over entities and over bootstrap copies.
     """
     keys = [*by, spec.site]
     rows = whitened_design(df, spec, rho, by).select(*keys, "_wx", "_wy", "_u")
+    if rho == 0.0:  # otherwise the window over an entity's calendar has laid its rows together
+        rows = rows.repartition(*keys)
+    rows = rows.sortWithinPartitions(*keys)
     head = rows.select(*keys).schema
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in head) + ", n long, gram array<double>, cross array<double>, z array<double>, uy double, uu double"
     penalty = spec.site_ridge
 
-    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        x, y, u = np.stack(part["_wx"].to_numpy()), part["_wy"].to_numpy(float), part["_u"].to_numpy(float)
-        z, uy, uu = x.T @ u, float(u @ y), float(u @ u)
-        gram = x.T @ x - np.outer(z, z) / (uu + penalty)
-        cross = x.T @ y - z * uy / (uu + penalty)
-        row = dict(zip(keys, key)) | {"n": len(part), "gram": gram.ravel(), "cross": cross, "z": z, "uy": uy, "uu": uu}
-        return pd.DataFrame([row])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for key, part in runs_of(batches, keys):
+            x, y, u = np.stack(part["_wx"].to_numpy()), part["_wy"].to_numpy(float), part["_u"].to_numpy(float)
+            z, uy, uu = x.T @ u, float(u @ y), float(u @ u)
+            gram = x.T @ x - np.outer(z, z) / (uu + penalty)
+            cross = x.T @ y - z * uy / (uu + penalty)
+            yield pd.DataFrame([dict(zip(keys, key)) | {"n": len(part), "gram": gram.ravel(), "cross": cross, "z": z, "uy": uy, "uu": uu}])
 
-    return rows.groupBy(*keys).applyInPandas(one, schema)
+    return rows.mapInPandas(run, schema)
 
 
 def _sum_grams(grams: DataFrame, by: str | None) -> dict[object, tuple[np.ndarray, np.ndarray]]:
@@ -346,44 +376,47 @@ def estimate_rho(df: DataFrame, spec: AdditiveSpec, extreme: float = 0.90) -> tu
     return fit, post.withColumn("rho_used", F.lit(float(rho))).withColumn("flag", flag)
 
 
-# Seven positions in rank space and the six differences between them (end - start).
+# Seven positions in rank space and the six differences between them (end - start), the axis each moves along
+# and whether it is exploratory.
 POSITIONS = [(1, 0.25, 0.50), (2, 0.50, 0.25), (3, 0.50, 0.50), (4, 0.50, 0.75), (5, 0.75, 0.25), (6, 0.75, 0.50), (7, 0.25, 0.75)]
 CONTRASTS = [
-    ("P_mid_minus_low_R50", 1, 3),
-    ("P_high_minus_mid_R50", 3, 6),
-    ("P_mid_minus_low_R75", 7, 4),
-    ("R_mid_minus_low_P50", 2, 3),
-    ("R_high_minus_mid_P50", 3, 4),
-    ("R_mid_minus_low_P75", 5, 6),
+    ("P_mid_minus_low_R50", 1, 3, "x", False),
+    ("P_high_minus_mid_R50", 3, 6, "x", False),
+    ("P_mid_minus_low_R75", 7, 4, "x", True),
+    ("R_mid_minus_low_P50", 2, 3, "y", False),
+    ("R_high_minus_mid_P50", 3, 4, "y", False),
+    ("R_mid_minus_low_P75", 5, 6, "y", False),
 ]
-CONTRAST_A, CONTRAST_B = (0.75, 0.25), (0.75, 0.50)
 
 
 def surface_at(spec: AdditiveSpec, x: float, y: float) -> np.ndarray:
     """Design vector of a surface position with every other term at zero; enough for contrasts."""
-    def hats(v: float) -> np.ndarray:
-        return np.array([np.interp(v, spec.knots, row) for row in np.eye(len(spec.knots))])
+    def hats(v: float, knots: Sequence[float]) -> np.ndarray:
+        return np.array([np.interp(v, knots, row) for row in np.eye(len(knots))])
 
     out = np.zeros(spec.width)
-    out[: len(spec.knots) ** 2] = np.outer(hats(x), hats(y)).ravel()
+    surface = np.outer(hats(x, spec.knots), hats(y, spec.knots_of_y)).ravel()
+    out[: len(surface)] = surface
     return out
 
 
 def contrast_matrix(spec: AdditiveSpec) -> np.ndarray:
     """Rows: the six differences, then A - B."""
     at = {i: surface_at(spec, x, y) for i, x, y in POSITIONS}
-    rows = [at[end] - at[start] for _, start, end in CONTRASTS]
-    return np.stack([*rows, surface_at(spec, *CONTRAST_A) - surface_at(spec, *CONTRAST_B)])
+    rows = [at[end] - at[start] for _, start, end, _, _ in CONTRASTS]
+    return np.stack([*rows, surface_at(spec, *spec.a) - surface_at(spec, *spec.b)])
 
 
 CONTRAST_NAMES = [c[0] for c in CONTRASTS] + ["A_minus_B"]
 
 
 def surface_contrasts(spark: SparkSession, fit: AdditiveFit) -> DataFrame:
-    """(analysis, contrast, estimate); seven rows per analysis level."""
+    """(analysis, contrast, variable, exploratory, estimate); seven rows per analysis level. A - B moves along y."""
     m = contrast_matrix(fit.spec)
-    rows = [(str(k), n, float(v)) for k, b in sorted(fit.coefficients.items()) for n, v in zip(CONTRAST_NAMES, m @ b)]
-    return spark.createDataFrame(rows, "analysis string, contrast string, estimate double")
+    axis = {"x": fit.spec.x, "y": fit.spec.y}
+    about = [(name, axis[moves], exploratory) for name, _, _, moves, exploratory in CONTRASTS] + [(CONTRAST_NAMES[-1], fit.spec.y, False)]
+    rows = [(str(k), *who, float(v)) for k, b in sorted(fit.coefficients.items()) for who, v in zip(about, m @ b)]
+    return spark.createDataFrame(rows, "analysis string, contrast string, variable string, exploratory boolean, estimate double")
 
 
 def predict_rows(df: DataFrame, fit: AdditiveFit, level: object = "all") -> DataFrame:
@@ -403,7 +436,7 @@ def reference_rows(df: DataFrame, spec: AdditiveSpec, quantiles: Sequence[float]
     long = found.select("feature", F.inline(F.array(*cells)))
     wide = long.groupBy("control_quantile").agg(*[F.max(F.when(F.col("feature") == c, F.col("_v"))).alias(c) for c in names])
     first = df.agg(F.min("month").alias("month"), F.min("year").alias("year"), F.min(spec.site).alias(spec.site))
-    return attach_row(wide, first).withColumn(spec.x, F.lit(CONTRAST_A[0])).withColumn(spec.y, F.lit(CONTRAST_A[1]))
+    return attach_row(wide, first).withColumn(spec.x, F.lit(spec.a[0])).withColumn(spec.y, F.lit(spec.a[1]))
 
 
 def reference_row(df: DataFrame, spec: AdditiveSpec, quantile: float = 0.5) -> DataFrame:
@@ -423,8 +456,8 @@ def contrast_invariance(df: DataFrame, fit: AdditiveFit, quantiles: Sequence[flo
         return predict_rows(grid.withColumn(spec.x, F.lit(point[0])).withColumn(spec.y, F.lit(point[1])), fit)
 
     keys = ["month", "year", "control_quantile"]
-    a = at(CONTRAST_A).select(*keys, F.col("fitted").alias("_a"))
-    b = at(CONTRAST_B).select(*keys, F.col("fitted").alias("_b"))
+    a = at(spec.a).select(*keys, F.col("fitted").alias("_a"))
+    b = at(spec.b).select(*keys, F.col("fitted").alias("_b"))
     main = float((contrast_matrix(spec)[-1]) @ fit.coefficients["all"])
     return a.join(b, keys).select(*keys, (F.col("_a") - F.col("_b")).alias("contrast")).withColumn(
         "difference_from_main", F.col("contrast") - F.lit(main)
@@ -439,17 +472,17 @@ def surface_grid_predict(df: DataFrame, fit: AdditiveFit, steps: int = 80) -> Da
     return predict_rows(grid, fit).select(fit.spec.x, fit.spec.y, "fitted")
 
 
-def contrast_bootstrap(df: DataFrame, spec: AdditiveSpec, rho: float, reps: int, seed: int, block: int = 1024) -> DataFrame:
-    """Refit on `reps` site resamples: (rep, success, message, one column per contrast).
+def contrast_bootstrap(df: DataFrame, spec: AdditiveSpec, rho: float, reps: int, seed: int, block: int = 256) -> DataFrame:
+    """Refit on `reps` site resamples: (rep, n, success, message, category, one column per contrast).
 
-    A replicate's Gram matrix is the draw-weighted sum of the entity matrices. Entities are cut in
-    blocks; each block turns its draws into a (replicates x entities) weight matrix and multiplies
-    once. Replicates are then solved in parallel.
+    A replicate's Gram matrix is the draw-weighted sum of the entity matrices. Entities are cut in blocks; each block
+    turns its draws into a (replicates x entities) weight matrix and multiplies once. The blocks of a replicate are added
+    as they stream by, and replicates are solved in parallel: nothing held grows with the number of entities.
     """
     grams = cut_lineage(site_grams(df, spec, rho))  # read for the index and for the product
     indexed = index_clusters(grams, [spec.site])
     blocked = grams.join(indexed.select(spec.site, "_pos"), spec.site).select(
-        F.floor(F.col("_pos") / block).alias("_blk"), (F.col("_pos") % block).cast("int").alias("_at"), F.concat("gram", "cross").alias("_g")
+        F.floor(F.col("_pos") / block).alias("_blk"), (F.col("_pos") % block).cast("int").alias("_at"), F.concat("gram", "cross", F.array(F.col("n").cast("double"))).alias("_g")
     )
     weights = (
         draw(indexed, reps, seed).groupBy("rep", "_pos").agg(F.count(F.lit(1)).cast("int").alias("_w"))
@@ -469,20 +502,41 @@ def contrast_bootstrap(df: DataFrame, spec: AdditiveSpec, rho: float, reps: int,
     m, p, ridge = contrast_matrix(spec), spec.width, spec.ridge
     names = CONTRAST_NAMES
 
-    def solve(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        flat = np.sum(np.stack(part["_g"].to_numpy()), axis=0)
-        row: dict[str, object] = {"rep": key[0], "success": True, "message": ""}
+    def solve(rep: int, flat: np.ndarray) -> dict[str, object]:
+        row: dict[str, object] = {"rep": rep, "n": int(flat[-1]), "success": True, "message": ""} | dict.fromkeys(names)
         try:
-            beta = np.linalg.solve(flat[: p * p].reshape(p, p) + ridge * np.eye(p), flat[p * p:])
-            row |= dict(zip(names, m @ beta))
-            if not np.isfinite(beta).all():
-                row |= {"success": False, "message": "nonfinite coefficients"}
+            beta = np.linalg.solve(flat[: p * p].reshape(p, p) + ridge * np.eye(p), flat[p * p : -1])
         except np.linalg.LinAlgError as error:
-            row |= {"success": False, "message": str(error)} | {n: None for n in names}
-        return pd.DataFrame([row])
+            return row | {"success": False, "message": str(error)}
+        if not np.isfinite(beta).all():
+            return row | {"success": False, "message": "nonfinite coefficients"}
+        return row | dict(zip(names, (float(v) for v in m @ beta)))
 
-    schema = "rep int, success boolean, message string, " + ", ".join(f"{n} double" for n in names)
-    return sums.groupBy("rep").applyInPandas(solve, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rep, total = None, None
+        for batch in batches:
+            done = []
+            for r, g in zip(batch["rep"].tolist(), batch["_g"]):
+                if r != rep and rep is not None:
+                    done.append(solve(rep, total))
+                rep, total = r, (g.copy() if r != rep else total + g)
+            if done:
+                yield pd.DataFrame(done)
+        if rep is not None:
+            yield pd.DataFrame([solve(rep, total)])
+
+    schema = "rep int, n long, success boolean, message string, " + ", ".join(f"{n} double" for n in names)
+    solved = sums.repartition("rep").sortWithinPartitions("rep").mapInPandas(run, schema)
+    return solved.withColumn("category", classify_message("message"))
+
+
+def bootstrap_attempts(df: DataFrame, spec: AdditiveSpec, rho: float, target: int, limit: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(attempts used, their ledger): attempts run in order until `target` succeed, at most `limit`; see `attempt_ledger`."""
+    attempts = cut_lineage(contrast_bootstrap(df, spec, rho, limit, seed))
+    ledger = attempt_ledger(attempts, "rep", "success", "category", target)
+    before = Window.orderBy("rep").rowsBetween(Window.unboundedPreceding, -1)  # one row per attempt: bounded by `limit`
+    done = F.coalesce(F.sum(F.col("success").cast("int")).over(before), F.lit(0))
+    return attempts.withColumn("_done", done).where(F.col("_done") < target).drop("_done"), ledger
 
 
 def loyo_refit(df: DataFrame, spec: AdditiveSpec, rho: float, years: Sequence[int], full: AdditiveFit) -> DataFrame:
@@ -497,11 +551,31 @@ def loyo_refit(df: DataFrame, spec: AdditiveSpec, rho: float, years: Sequence[in
     )
 
 
-def sensitivity_suite(df: DataFrame, spec: AdditiveSpec, rho: float, domains: Mapping[str, Column]) -> DataFrame:
-    """The same model on every domain of one table: (analysis, contrast, estimate)."""
-    cells = [F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in domains.items()]
-    long = df.withColumn("analysis", F.explode(F.array_compact(F.array(*cells))))
-    return surface_contrasts(df.sparkSession, additive_surface_fit(long, spec, rho, by="analysis"))
+@dataclass(frozen=True)
+class Analysis:
+    """One sensitivity analysis: its rows, and its own response, exposures and covariates."""
+
+    name: str
+    domain: Column
+    spec: AdditiveSpec
+
+
+def sensitivity_suite(df: DataFrame, analyses: Sequence[Analysis], rho: float) -> DataFrame:
+    """The main contrast of every analysis: (analysis, response, n, estimate). Analyses of one specification share a fit."""
+    specs = [a.spec for i, a in enumerate(analyses) if a.spec not in [b.spec for b in analyses[:i]]]
+    out = None
+    for spec in specs:
+        mine = [a for a in analyses if a.spec == spec]
+        cells = [F.when(F.coalesce(a.domain, F.lit(False)), F.lit(a.name)) for a in mine]
+        used = [F.col(c).isNotNull() for c in (spec.response, spec.x, spec.y, *spec.controls)]
+        long = df.withColumn("analysis", F.explode(F.array_compact(F.array(*cells))))
+        for c in used:
+            long = long.where(c)
+        found = surface_contrasts(df.sparkSession, additive_surface_fit(long, spec, rho, by="analysis")).where(F.col("contrast") == CONTRAST_NAMES[-1])
+        counted = long.groupBy("analysis").agg(F.count(F.lit(1)).alias("n"))  # as many rows as analyses
+        part = found.join(F.broadcast(counted), "analysis").select("analysis", F.lit(spec.response).alias("response"), "n", "estimate")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def fit_health(df: DataFrame, fit: AdditiveFit) -> DataFrame:

@@ -86,14 +86,14 @@ def average_rank(
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = (), inverse_cdf: bool = False,
-    slack: float = 1e-4, small: int = 200_000,
+    df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = (), inverse_cdf: bool = False, slack: float = 1e-4,
 ) -> DataFrame:
-    """Exact quantiles per group in two passes and no sort of the full column.
+    """Exact quantiles per group without sorting the column; the same road for every size.
 
-    Pass one brackets each quantile with an approximate sketch (error slack/10). Pass two counts
-    what lies outside the brackets and keeps distinct values only inside them, so about
-    2*slack of a group is ever ordered. Groups up to `small` rows are kept whole.
+    Pass one brackets each quantile with an approximate sketch (error slack/10). Pass two counts what lies outside the
+    brackets, keeping the smallest and largest value of each stretch, and keeps distinct values only inside them: about
+    2 * slack of a group. Those cells are ordered over many tasks (`running_sum`). A position next to a bracket is the
+    end of the neighbouring stretch, so brackets of a few rows need no exception.
     Linear interpolation by default; `inverse_cdf` gives the smallest value whose ECDF reaches p.
     """
     base = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
@@ -105,11 +105,11 @@ def exact_quantiles(
         F.count(F.lit(1)).alias("_n"),
     )
     if by:
-        joined = base.join(broadcast_if_small(sketch), list(by))
+        joined = base.join(broadcast_if_small(cut_lineage(sketch)), list(by))
     else:
         one_row = sketch.select(F.struct("_b", "_n").alias("_s"))
         joined = base.withColumn("_s", one_row.scalar()).select("_x", "_s._b", "_s._n")
-    inside = F.col("_n") <= small
+    inside = F.lit(False)
     for k in probs:
         inside = inside | F.col("_x").between(F.col("_b")[lo[k]], F.col("_b")[hi[k]])
     gap = F.lit(0)
@@ -119,15 +119,15 @@ def exact_quantiles(
         joined.withColumn("_kept", F.when(inside, F.col("_x")))
         .withColumn("_gap", F.when(inside, F.lit(-1)).otherwise(gap))
         .groupBy(*by, "_gap", "_kept")
-        .agg(F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_at"), F.max("_n").alias("_n"))
+        .agg(F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_at"), F.max("_x").alias("_top"), F.max("_n").alias("_n"))
     )
-    upto = Window.partitionBy(*by).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    cells = cells.withColumn("_hi", F.sum("_c").over(upto)).withColumn("_lo", F.col("_hi") - F.col("_c"))
+    cells = running_sum(cells, F.col("_c"), ["_at"], "_hi", by).withColumn("_lo", F.col("_hi") - F.col("_c"))
 
     def at(position: Column) -> Column:
         here = (F.col("_lo") <= position) & (position < F.col("_hi"))
         missed = F.raise_error(F.lit("quantile bracket missed; raise slack")).cast("double")
-        return F.max(F.when(here, F.coalesce(F.col("_kept"), missed)))
+        value_at = F.when(F.col("_at") == F.col("_top"), F.col("_at")).when(position == F.col("_lo"), F.col("_at")).when(position == F.col("_hi") - 1, F.col("_top")).otherwise(missed)
+        return F.max(F.when(here, value_at))
 
     picks = {}
     for k, p in probs.items():

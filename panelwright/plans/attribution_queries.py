@@ -57,7 +57,7 @@ def seed_aggregate(t: Tables):
     return op.seed_aggregate(op.global_importance(t.attributions, ["run"]), ["feature"], "run", ["mean_abs", "mean_signed"])
 
 
-@query("i06_high_low_contrast", with_(A, f""", per AS (SELECT a.run, a.site, a.period, a.feature, sum(shap) AS signed, round(avg(value), 10) AS level FROM attributions a JOIN features_long f USING (site, period, lag, feature) GROUP BY ALL),
+@query("i06_high_low_contrast", with_(A, f""", per AS (SELECT a.run, a.site, a.period, a.feature, sum(shap) AS signed, avg(value)::FLOAT::DOUBLE AS level FROM attributions a JOIN features_long f USING (site, period, lag, feature) GROUP BY ALL),
   q AS (SELECT run, feature, quantile_cont(level, 0.25) AS q25, quantile_cont(level, 0.75) AS q75 FROM per GROUP BY ALL)
   SELECT *, high - low AS contrast, {SIGN.format(c='high - low')} AS contrast_sign FROM (SELECT run, feature, avg(CASE WHEN level >= q75 THEN signed END) AS high, avg(CASE WHEN level <= q25 THEN signed END) AS low FROM per JOIN q USING (run, feature) GROUP BY ALL)"""), "high low contrast", digits=6)
 def high_low(t: Tables):

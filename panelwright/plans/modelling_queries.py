@@ -1,10 +1,13 @@
 """Folds, ridge, forest and the additive surface on the panel."""
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.operators import modelling as op
 from panelwright.operators.metrics import METRICS
+from panelwright.operators.ordering import exact_quantiles
 from panelwright.plans import tables as T
 from panelwright.plans.joins_queries import draws_sql
 from panelwright.plans.registry import query
@@ -14,6 +17,7 @@ from panelwright.plans.tables import FEATURES, METRICS_SQL, SEED, TEST_START, TR
 
 FOLDS = list(range(5))
 REPS = 200
+SUCCESSES, ATTEMPTS = 2000, 2100
 # The ridge penalties.
 ALPHAS = [1e-6, 1e-5, 1e-4, 1e-3, 1e-2, 1e-1, 1.0, 10.0, 100.0, 1000.0, 10000.0, 100000.0, 1000000.0]
 
@@ -144,8 +148,9 @@ def prediction_frame(t: Tables):
 
 def _analysis(t: Tables) -> DataFrame:
     """The analysis master, materialised once: every fit reads it several times."""
-    flags = ["eligible_primary", "eligible_all12", "eligible_season", "eligible_qa1", "eligible_dayweighted", "eligible_cold_snow"]
-    return cut_lineage(t.flagged.select("site", "period", "year", "month", SPEC.response, SPEC.x, SPEC.y, *SPEC.controls, *flags))
+    flags = ["primary", "all12", "season", "qa1", "qa2", "dayweighted", "median_response", "raw_exposure", "cold_snow"]
+    fields = ["net_anomaly_mean", "net_anomaly_median", "dw_anomaly", "water_rank", "energy_rank", "water_anomaly_mean", "energy_anomaly_mean", "load_anomaly_mean", *SPEC.controls]
+    return cut_lineage(t.flagged.select("site", "period", "year", "month", *fields, *[f"eligible_{f}" for f in flags]))
 
 
 def _primary(t: Tables) -> DataFrame:
@@ -164,40 +169,70 @@ def rho(t: Tables):
     return op.estimate_rho(_primary(t), SPEC)[1]
 
 
+def _fitted(t: Tables) -> tuple[DataFrame, op.AdditiveFit]:
+    """The primary rows and the model with its estimated autocorrelation."""
+    rows = _primary(t)
+    return rows, op.estimate_rho(rows, SPEC)[0]
+
+
 @query("k09_surface_contrasts")
 def contrasts(t: Tables):
-    return op.surface_contrasts(t.spark, op.additive_surface_fit(_primary(t), SPEC, 0.05))
+    return op.surface_contrasts(t.spark, _fitted(t)[1])
 
 
 @query("k09_contrast_invariance")
 def invariance(t: Tables):
-    rows = _primary(t)
-    return op.contrast_invariance(rows, op.additive_surface_fit(rows, SPEC, 0.05))
+    return op.contrast_invariance(*_fitted(t))
 
 
 @query("k10_contrast_bootstrap")
 def contrast_bootstrap(t: Tables):
-    return op.contrast_bootstrap(_primary(t), SPEC, 0.05, 100, SEED)
+    rows, fit = _fitted(t)
+    return op.bootstrap_attempts(rows, SPEC, fit.rho, SUCCESSES, ATTEMPTS, SEED)[0]
+
+
+@query("k10_bootstrap_ledger")
+def bootstrap_ledger(t: Tables):
+    rows, fit = _fitted(t)
+    return op.bootstrap_attempts(rows, SPEC, fit.rho, SUCCESSES, ATTEMPTS, SEED)[1]
 
 
 @query("k11_surface_grid_predict")
 def surface_grid(t: Tables):
-    rows = _primary(t)
-    return op.surface_grid_predict(rows, op.additive_surface_fit(rows, SPEC, 0.05), 80)
+    return op.surface_grid_predict(*_fitted(t), 80)
 
 
 @query("k12_loyo_refit")
 def loyo(t: Tables):
-    rows = _primary(t)
-    return op.loyo_refit(rows, SPEC, 0.05, list(SPEC.years), op.additive_surface_fit(rows, SPEC, 0.05))
+    rows, fit = _fitted(t)
+    return op.loyo_refit(rows, SPEC, fit.rho, list(SPEC.years), fit)
+
+
+def _analyses(rows: DataFrame) -> list[op.Analysis]:
+    """Every sensitivity analysis with its own rows, response, exposures and covariates.
+
+    The raw exposures are compared at the values that have the main positions' ranks among the primary rows.
+    """
+    primary = rows.where(F.col("eligible_primary") == 1)
+    at = [exact_quantiles(primary, c, q, inverse_cdf=True).first() for c, q in (("water_anomaly_mean", {"low": 0.05, "mid": 0.5, "high": 0.75, "top": 0.95}), ("energy_anomaly_mean", {"low": 0.05, "quarter": 0.25, "mid": 0.5, "top": 0.95}))]
+    w, e = at
+    raw = replace(SPEC, x="water_anomaly_mean", y="energy_anomaly_mean", knots=(w["low"], w["mid"], w["top"]), y_knots=(e["low"], e["mid"], e["top"]), a=(w["high"], e["quarter"]), b=(w["high"], e["mid"]))
+    wide = {"load_anomaly_mean": (-0.5, 0.0, 0.5)}
+    more = {**wide, "energy_anomaly_mean": (-0.5, 0.0, 0.5), "water_anomaly_mean": (-2.0, 0.0, 2.0)}
+    specs = {
+        "primary": SPEC, "all12": SPEC, "season": SPEC, "qa1": SPEC, "qa2": SPEC, "cold_snow": SPEC, "dayweighted": replace(SPEC, response="dw_anomaly"),
+        "median_response": replace(SPEC, response="net_anomaly_median"), "raw_exposure": raw,
+    }
+    out = [op.Analysis(k, F.col(f"eligible_{k}") == 1, spec) for k, spec in specs.items()]
+    out += [op.Analysis(k, F.col("eligible_primary") == 1, replace(SPEC, controls={**SPEC.controls, **added})) for k, added in (("model2", wide), ("model3", more))]
+    return out
 
 
 @query("k13_sensitivity_suite")
 def sensitivity(t: Tables):
-    domains = {k: F.col(v) == 1 for k, v in {
-        "primary": "eligible_primary", "all12": "eligible_all12", "season": "eligible_season", "qa1": "eligible_qa1", "dayweighted": "eligible_dayweighted", "cold_snow": "eligible_cold_snow",
-    }.items()}
-    return op.sensitivity_suite(_analysis(t), SPEC, 0.05, domains)
+    rows = _analysis(t)
+    rho = op.estimate_rho(rows.where(F.col("eligible_primary") == 1), SPEC)[0].rho
+    return op.sensitivity_suite(rows, _analyses(rows), rho)
 
 
 @query("k15_reference_row", "WITH " + T.FLAGGED + " SELECT min(month) AS month, min(year) AS year, min(site) AS site, " + ", ".join(f"quantile_cont({c}, 0.25) AS {c}" for c in SPEC.controls)
@@ -208,5 +243,4 @@ def reference(t: Tables):
 
 @query("k16_fit_health")
 def health(t: Tables):
-    rows = _primary(t)
-    return op.fit_health(rows, op.additive_surface_fit(rows, SPEC, 0.05))
+    return op.fit_health(*_fitted(t))

@@ -1,4 +1,5 @@
 import hashlib
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -108,7 +109,7 @@ def test_bootstrap_equals_refitting_copies(frame, panel, block):
     sites = by_site(panel)
     m = op.contrast_matrix(SPEC)
     for rep in range(1, reps + 1):
-        drawn = [sites[int(hashlib.md5(f"5:{rep}:{pos}".encode()).hexdigest()[:8], 16) % len(sites)] for pos in range(len(sites))]
+        drawn = [sites[int(hashlib.md5(f"5:{rep}:{pos}".encode()).hexdigest()[:15], 16) % len(sites)] for pos in range(len(sites))]
         beta, _ = full_solve(drawn, rho)
         for name, value in zip(op.CONTRAST_NAMES, m @ beta):
             assert got[rep][name] == pytest.approx(value, abs=1e-7)
@@ -124,11 +125,34 @@ def test_leave_one_year_out_refit(frame, panel):
 
 
 def test_sensitivity_domains_in_one_job(frame, panel):
-    out = op.sensitivity_suite(frame, SPEC, 0.1, {"all": F.lit(True), "early": F.col("year") < 2002})
-    got = {(r["analysis"], r["contrast"]): r["estimate"] for r in out.collect()}
+    other = replace(SPEC, response="r2", b=(0.75, 0.75))
+    doubled = frame.withColumn("r2", 2 * F.col("r"))
+    analyses = [op.Analysis("all", F.lit(True), SPEC), op.Analysis("early", F.col("year") < 2002, SPEC), op.Analysis("other", F.lit(True), other)]
+    got = {r["analysis"]: r for r in op.sensitivity_suite(doubled, analyses, 0.1).collect()}
     for name, rows in (("all", panel), ("early", [r for r in panel if r[1] < 2002])):
         beta, _ = full_solve(by_site(rows), 0.1)
-        assert got[(name, "A_minus_B")] == pytest.approx(op.contrast_matrix(SPEC)[-1] @ beta, abs=1e-7)
+        assert got[name]["estimate"] == pytest.approx(op.contrast_matrix(SPEC)[-1] @ beta, abs=1e-7) and got[name]["n"] == len(rows)
+    beta, _ = full_solve(by_site(panel), 0.1)
+    assert got["other"]["estimate"] == pytest.approx(2 * (op.contrast_matrix(other)[-1] @ beta), abs=1e-7) and got["other"]["response"] == "r2"
+
+
+def test_bootstrap_blocks_and_attempts(frame):
+    whole = {r["rep"]: r for r in op.contrast_bootstrap(frame, SPEC, 0.1, 6, 5).collect()}
+    cut = {r["rep"]: r for r in op.contrast_bootstrap(frame, SPEC, 0.1, 6, 5, block=2).collect()}
+    assert set(whole) == set(cut) == set(range(1, 7))
+    for k in whole:
+        assert whole[k]["n"] == cut[k]["n"] and whole[k]["category"] == "NONE" and whole[k]["A_minus_B"] == pytest.approx(cut[k]["A_minus_B"], abs=1e-9)
+    used, ledger = op.bootstrap_attempts(frame, SPEC, 0.1, 4, 6, 5)
+    row = ledger.first()
+    assert used.count() == 4 and row["attempts"] == 4 and row["target_reached"] and row["verdict"] == "PASS_CONTINUE"
+
+
+def test_forest_learns_a_step_and_names_its_depth(spark):
+    rows = [([float(i % 50), float(i % 7)], float(i % 50 >= 25)) for i in range(600)]
+    df = spark.createDataFrame(rows, "f array<double>, y double")
+    got = {(r["max_depth"], r["min_samples_leaf"]): r for r in op.random_forest_grid(df, df, "f", "y", [8], [None, 40, 2], [3]).collect()}
+    assert {k[0]: r["built_depth"] for k, r in got.items()} == {"None": 30, "40": 30, "2": 2}
+    assert all(r["n"] == 600 and r["rmse"] < 0.3 for r in got.values())
 
 
 def test_rho_health_reference_and_grid(frame):

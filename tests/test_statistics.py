@@ -55,7 +55,7 @@ def test_bootstrap_equals_resampling_raw_rows(predictions):
     got = {(r["rep"], r["seed"]): r for r in resampling.cluster_bootstrap(stats, ["site"], 5, 99, ["seed"]).collect()}
     sites = sorted({r[1] for r in rows})
     for rep in range(1, 6):
-        drawn = [sites[int(hashlib.md5(f"99:{rep}:{pos}".encode()).hexdigest()[:8], 16) % len(sites)] for pos in range(len(sites))]
+        drawn = [sites[int(hashlib.md5(f"99:{rep}:{pos}".encode()).hexdigest()[:15], 16) % len(sites)] for pos in range(len(sites))]
         for seed in (1, 2):
             parts = [a[(a[:, 0] == seed) & (a[:, 1] == s)] for s in drawn]
             x = np.concatenate(parts)
