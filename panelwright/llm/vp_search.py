@@ -152,7 +152,7 @@ def usable_vectors(embeddings: DataFrame, key: str = "vec_id", vector: str = "em
     return embeddings.select(F.col(key).cast("long").alias("vec_id"), v.alias("vector")).filter(F.col("vec_id").isNotNull() & F.coalesce(good, F.lit(False))).distinct()
 
 
-def query_blocks(queries: DataFrame, block: int = BLOCK) -> tuple[DataFrame, int]:
+def query_blocks(queries: DataFrame, block: int = BLOCK) -> DataFrame:
     """Queries packed by dimension into blocks 0, 1, ... of at most `block`."""
     numbered = number_within(queries, [], ["vec_id"], "_n").withColumn("block", F.floor(F.col("_n") / block).cast("int"))
 
@@ -164,7 +164,7 @@ def query_blocks(queries: DataFrame, block: int = BLOCK) -> tuple[DataFrame, int
             out.append((table.column("block")[0].as_py(), dims, np.array([i for i, _ in some], np.int64).tobytes(), np.array([v for _, v in some], np.float64).tobytes()))
         return pa.table({"block": pa.array([o[0] for o in out], pa.int32()), "dims": pa.array([o[1] for o in out], pa.int32()), "query_ids": pa.array([o[2] for o in out], pa.binary()), "queries": pa.array([o[3] for o in out], pa.binary())})
 
-    return numbered.select("block", "vec_id", "vector").groupBy("block").applyInArrow(pack, "block int, dims int, query_ids binary, queries binary"), numbered.count()
+    return numbered.select("block", "vec_id", "vector").groupBy("block").applyInArrow(pack, "block int, dims int, query_ids binary, queries binary")
 
 
 def nearest(embeddings: DataFrame, is_query, k: int = 5, factor: float = 1.0, key: str = "vec_id", vector: str = "embedding", shard: int = SHARD) -> DataFrame:
@@ -177,7 +177,7 @@ def nearest(embeddings: DataFrame, is_query, k: int = 5, factor: float = 1.0, ke
     """
     usable = cut_lineage(usable_vectors(embeddings, key, vector))
     index = cut_lineage(build_index(usable, shard).withColumn("tree", F.monotonically_increasing_id()))
-    blocks, _ = query_blocks(usable.filter(is_query))
+    blocks = query_blocks(usable.filter(is_query))
     trees = index.count()
     numbered = number_within(index.select("tree", "dims"), [], ["tree"], "_n").select("tree", F.col("_n").cast("int").alias("at"))
     placed = index.join(numbered, "tree").drop("tree")
