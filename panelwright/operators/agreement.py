@@ -88,24 +88,24 @@ def shift_summary(train: DataFrame, evaluation: DataFrame, value: str, by: Seque
 
 # --- rank agreement -------------------------------------------------------------------------
 
-def spearman(df: DataFrame, x: str, y: str, by: Sequence[str], bounded: bool = False) -> DataFrame:
-    """Pearson correlation of average ranks per group."""
+def spearman(df: DataFrame, x: str, y: str, by: Sequence[str], bounded: bool = False, written: bool = False) -> DataFrame:
+    """Pearson correlation of average ranks per group. `written` says that `df` is a table already, cheap to read again."""
     base = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    if not bounded:
+    if not bounded and not written:
         base = cut_lineage(base.select(*by, x, y))  # read once per ranked column
     ranked = average_rank(average_rank(base, x, "_rx", by, bounded=bounded), y, "_ry", by, bounded=bounded)
     return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation("_rx", "_ry").alias("spearman"))
 
 
-def kendall_tau_b(df: DataFrame, x: str, y: str, by: Sequence[str], keys: Sequence[str], bounded: bool = False) -> DataFrame:
-    """Tau-b per group in O(n log n), without forming pairs.
+def kendall_tau_b(df: DataFrame, x: str, y: str, by: Sequence[str], keys: Sequence[str], bounded: bool = False, written: bool = False) -> DataFrame:
+    """Tau-b per group in O(n log n), without forming pairs. `written` as in `spearman`.
 
     Rows are placed in (x, y) order; discordant pairs are the inversions of y's order number. Two
     numbers first differ in one binary digit, so at each digit, among rows sharing the higher
     digits, a row with digit 0 is discordant with the rows before it that have digit 1: a running count.
     """
     base = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, *keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
-    base = cut_lineage(base)  # read by the ordering and by the three tie counts
+    base = base if written else cut_lineage(base)  # read by the ordering and by the three tie counts
     ys = value_counts(base, "_y", by, bounded=bounded).select(*by, "_y", F.col("n_before").alias("_r"))
     placed = dense_index(base.join(ys, [*by, "_y"]), ["_x", "_y", *keys], "_i", by, bounded)
     sizes = placed.groupBy(*by).agg(F.max("_i").alias("_top"), F.count(F.lit(1)).alias("n"))
@@ -183,7 +183,7 @@ def run_stability(pairs: DataFrame, entity: str = "entity", top: Sequence[int] =
     )
     counts = counts.withColumns({f"top{k}_proportion": F.col(f"top{k}_overlap") / F.least(F.lit(k), F.col("n_entities")) for k in top})
     rho = spearman(pairs, "rank_left", "rank_right", PAIR, bounded=True).drop("n")
-    tau = kendall_tau_b(pairs, "rank_left", "rank_right", PAIR, [entity], bounded=True).drop("n")
+    tau = kendall_tau_b(pairs, "rank_left", "rank_right", PAIR, [entity], bounded=True, written=True).drop("n")
     return counts.join(rho, PAIR).join(tau, PAIR)
 
 
@@ -204,7 +204,7 @@ def lag_profile_stability(pairs: DataFrame, annual: Sequence[int]) -> DataFrame:
         share("mean_abs_left").alias("left_annual_share"), share("mean_abs_right").alias("right_annual_share"),
     ).withColumn("peak_match", F.col("left_peak") == F.col("right_peak"))
     rho = spearman(pairs, "mean_abs_left", "mean_abs_right", by, bounded=True).drop("n")
-    tau = kendall_tau_b(pairs, "mean_abs_left", "mean_abs_right", by, ["lag"], bounded=True).drop("n")
+    tau = kendall_tau_b(pairs, "mean_abs_left", "mean_abs_right", by, ["lag"], bounded=True, written=True).drop("n")
     return base.join(rho, by).join(tau, by)
 
 
@@ -231,8 +231,8 @@ def site_run_comparison(shares: DataFrame, run: str, pairs: Sequence[tuple[str,
     shares = cut_lineage(shares.select(run, site, "group", "group_abs", "dominant"))  # far smaller than the attributions behind it
     both = cut_lineage(run_pairs(shares, run, pairs, [site, "group"], ["group_abs"]))
     by = [*PAIR, "group"]
-    rho = spearman(both, "group_abs_left", "group_abs_right", by)
-    tau = kendall_tau_b(both, "group_abs_left", "group_abs_right", by, [site]).drop("n")
+    rho = spearman(both, "group_abs_left", "group_abs_right", by, written=True)
+    tau = kendall_tau_b(both, "group_abs_left", "group_abs_right", by, [site], written=True).drop("n")
     dominant = shares.where(F.col("dominant") == 1).groupBy(run, site).agg(F.min("group").alias("dominant_group"))
     kappa = cohen_kappa(run_pairs(dominant, run, pairs, [site], ["dominant_group"]), "dominant_group_left", "dominant_group_right", PAIR)
     return (
@@ -254,7 +254,7 @@ def composition_distance(top2: DataFrame, run: str, pairs: Sequence[tuple[str, s
     agree = classes.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n_classes"), F.sum("same_top1").alias("n_same_top1"), F.avg("same_top1").alias("top1_agreement"))
     pearson = both.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n_cells"), correlation("share_left", "share_right").alias("pearson"))
     rho = spearman(both, "share_left", "share_right", PAIR, bounded=True).drop("n")
-    tau = kendall_tau_b(both, "share_left", "share_right", PAIR, [group_class, "group"], bounded=True).drop("n")
+    tau = kendall_tau_b(both, "share_left", "share_right", PAIR, [group_class, "group"], bounded=True, written=True).drop("n")
     return classes, agree.join(pearson, PAIR).join(rho, PAIR).join(tau, PAIR)
 
 

@@ -58,11 +58,15 @@ def historically_active(median: str) -> Column:
 
 
 def climatology_predict(
-    df: DataFrame, train: DataFrame, keys: Sequence[str], target: str, out: str = "y_pred"
+    df: DataFrame, train: DataFrame, keys: Sequence[str], target: str, out: str = "y_pred", calendar: bool = False
 ) -> DataFrame:
-    """Training mean per key as the prediction; by month or by (entity, month)."""
+    """Training mean per key as the prediction; by month or by (entity, month).
+
+    `calendar` says that the keys are calendar fields alone: then the means are at most a year's rows and are broadcast,
+    so the fact table is not dealt out on a dozen keys.
+    """
     means = train.groupBy(*keys).agg(F.avg(target).alias(out))
-    return df.join(means, list(keys), "left")
+    return df.join(F.broadcast(means) if calendar else means, list(keys), "left")
 
 
 def complete_case(cols: Sequence[str]) -> Column:

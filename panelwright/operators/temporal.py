@@ -270,7 +270,7 @@ def allocate_days_to_months(
     )
     ends = ends.withColumn("_end", F.when(F.datediff("_end", start).between(1, span), F.col("_end")).otherwise(plus))
     pieces = (
-        df.where(F.col(value).isNotNull()).join(ends.drop("_next"), start)
+        df.where(F.col(value).isNotNull()).join(F.broadcast(ends.drop("_next")), start)  # one row per start date
         .withColumn("_m", F.explode(F.expr(f"sequence(trunc({start}, 'MM'), trunc(date_sub(_end, 1), 'MM'), interval 1 month)")))
         .withColumn("_days", F.datediff(F.least("_end", F.add_months("_m", 1)), F.greatest(start, "_m")))
         .withColumn("_part", F.col(value) * F.col("_days") / F.datediff("_end", start))

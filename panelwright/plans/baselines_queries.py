@@ -42,7 +42,7 @@ def active(t: Tables):
 def _predicted(t: Tables, keys):
     train = t.panel.where(F.col("year") <= TRAIN_END)
     test = t.panel.where(F.col("year") >= TEST_START).select("site", "month", "period", "target")
-    return op.climatology_predict(test, train, keys, "target").select("site", "period", "target", "y_pred")
+    return op.climatology_predict(test, train, keys, "target", calendar=keys == ["month"]).select("site", "period", "target", "y_pred")
 
 
 @query("e05_monthly_climatology_predict", with_(T.PANEL, f"""SELECT site, period, target, y_pred FROM panel p LEFT JOIN (SELECT month, avg(target) AS y_pred FROM panel WHERE year <= {TRAIN_END} GROUP BY month) c ON c.month = p.month
@@ -92,7 +92,7 @@ def snow_state(t: Tables):
     return op.snow_state(joined, "any_flag", "record_count").select("site", "period", "snow_known", "snow")
 
 
-@query("e11_dayweighted_target", with_(T.DAYWEIGHTED, "SELECT site, year, month, dw, dw_mean, dw_median, dw_anomaly_mean, dayweighted_active FROM dayweighted"), "dw dw_mean dw_median dw_anomaly_mean")
+@query("e11_dayweighted_target", with_(T.DAYWEIGHTED, "SELECT site, year, month, dw, dw_mean, dw_median, dw_anomaly_mean, dayweighted_active FROM dayweighted"), "dw dw_mean dw_median dw_anomaly_mean", digits=9)
 def dayweighted(t: Tables):
     return t.dayweighted
 

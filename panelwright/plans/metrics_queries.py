@@ -91,7 +91,7 @@ def select_best(t: Tables):
 
 @query("g09_grid_winner", with_(T.PANEL, """, grid AS (SELECT class, month AS width, year AS depth, max(load) AS score FROM panel GROUP BY ALL)
   SELECT class, width, depth, score, tie FROM (SELECT *, count(DISTINCT score) OVER (PARTITION BY class) < count(*) OVER (PARTITION BY class) AS tie,
-    row_number() OVER (PARTITION BY class ORDER BY score, width, depth DESC) AS rn FROM grid) WHERE rn = 1""").replace("panel AS (", "panel AS (").replace(") , grid", "), grid"), "score")
+    row_number() OVER (PARTITION BY class ORDER BY score, width, depth DESC) AS rn FROM grid) WHERE rn = 1"""), "score")
 def grid_winner(t: Tables):
     grid = t.panel.groupBy("class", F.col("month").alias("width"), F.col("year").alias("depth")).agg(F.max("load").alias("score"))
     return op.grid_winner(grid, ["class"], "score", [F.col("width").asc(), F.col("depth").desc()])

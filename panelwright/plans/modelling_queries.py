@@ -56,7 +56,7 @@ def _candidates(t: Tables) -> DataFrame:
     for candidate, keys in ((1, ["held_out", "month"]), (2, ["held_out", "class", "month"])):
         means = train.groupBy(*keys).agg(*[F.avg(F.when(F.col("year") != 1994 + s, F.col("target"))).alias(f"_s{s}") for s in (1, 2, 3)])
         cells = [F.struct(F.lit(s).alias("seed"), F.col(f"_s{s}").alias("y_pred")) for s in (1, 2, 3)]
-        mine = rest.join(means, keys).select(
+        mine = rest.join(F.broadcast(means), keys).select(  # folds x classes x months
             "held_out", "role", "site", "year", "month", "period", F.col("target").alias("y_true"), F.inline(F.array(*cells)), F.lit(candidate).alias("candidate")
         ).where(F.col("y_pred").isNotNull())
         out = mine if out is None else out.unionByName(mine)
@@ -140,7 +140,7 @@ def forest_grid(t: Tables):
 def prediction_frame(t: Tables):
     test = t.panel.where(F.col("year") >= TEST_START)
     means = t.panel.where(F.col("year") <= TRAIN_END).groupBy("class", "month").agg(F.avg("target").alias("y_pred"))
-    preds = test.select("site", "period", "class", "month").join(means, ["class", "month"])
+    preds = test.select("site", "period", "class", "month").join(F.broadcast(means), ["class", "month"])  # classes x months
     return op.prediction_frame(test.withColumnRenamed("target", "y_true"), preds, ["site", "period"], "class_month", 42, {"alpha": 1.0})
 
 

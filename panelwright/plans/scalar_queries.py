@@ -5,6 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from panelwright import functions as fn
+from panelwright.functions.scalar import FAILURE_PATTERNS
 from panelwright.operators import scaling
 from panelwright.plans import tables as T
 from panelwright.plans.registry import query
@@ -123,14 +124,17 @@ def decision(t: Tables):
     return t.panel.select("site", "period", label.alias("decision"))
 
 
-MESSAGES = ["", "Length mismatch in AR.start", "matrix is singular", "Inf in gradient", "did not converge", "disk quota"]
-LABELS = ["NONE", "STRUCTURAL_ERROR", "NUMERICAL_IDENTIFIABILITY_FAILURE", "NONFINITE_RESULT", "CONVERGENCE_FAILURE", "FIT_ERROR"]
+_CATEGORY = " ".join(f"WHEN regexp_matches(m, '{pattern}') THEN '{name}'" for name, pattern in FAILURE_PATTERNS)
 
 
-@query("c16_classify_message", "SELECT event_id, [" + ", ".join(f"'{v}'" for v in LABELS) + "][(event_id % 6 + 1)::INT] AS category FROM events")
+@query("c16_classify_message", f"SELECT turn, conv_id, role, CASE WHEN m = '' THEN 'NONE' {_CATEGORY} ELSE 'FIT_ERROR' END AS category FROM (SELECT *, lower(coalesce(text, '')) AS m FROM conversations)")
 def message(t: Tables):
-    text = F.element_at(F.array(*[F.lit(m) for m in MESSAGES]), (F.pmod("event_id", F.lit(6)) + 1).cast("int"))
-    return t.raw("events", "event_id").select("event_id", fn.classify_message(text).alias("category"))
+    return t.raw("conversations", "turn", "conv_id", "role", "text").select("turn", "conv_id", "role", fn.classify_message("text").alias("category"))
+
+
+@query("c16_classify_url", f"SELECT page_id, CASE WHEN m = '' THEN 'NONE' {_CATEGORY} ELSE 'FIT_ERROR' END AS category FROM (SELECT *, lower(coalesce(url, '')) AS m FROM pages)")
+def url_message(t: Tables):
+    return t.raw("pages", "page_id", "url").select("page_id", fn.classify_message("url").alias("category"))
 
 
 @query("c17_join_sorted", with_(T.PANEL, "SELECT site, year, string_agg(m, ';' ORDER BY m) AS months FROM (SELECT DISTINCT site, year, lpad(month::VARCHAR, 2, '0') AS m FROM panel) GROUP BY ALL"))

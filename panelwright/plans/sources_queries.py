@@ -148,19 +148,38 @@ def stratified_sample(t: Tables):
 
 
 @query("a16_formatted_report", with_(T.PREDICTIONS, f"""SELECT CASE model WHEN 'site_month' THEN 1 ELSE 2 END AS position, model,
-    printf('%.3f ± %.3f', rmse_mean, rmse_sd) AS rmse, printf('%.3f ± %.3f', mae_mean, mae_sd) AS mae
+    printf('%.3f [%.3f, %.3f]', bias_mean, bias_mean - bias_sd, bias_mean + bias_sd) AS bias, printf('%.3f ± %.3f', rmse_mean, rmse_sd) AS rmse, printf('%.3f ± %.3f', mae_mean, mae_sd) AS mae
   FROM (SELECT model, {T.MEAN_SD_SQL} FROM (SELECT model, seed, {T.METRICS_SQL} FROM predictions GROUP BY ALL) GROUP BY model)"""))
 def formatted_report(t: Tables):
     table = metrics_mean_sd(t.predictions, ["model"])
-    return writers.formatted_report(table, "model", ["rmse", "mae"], ["site_month", "month"])
+    span = table.withColumns({"_low": F.col("bias_mean") - F.col("bias_sd"), "_high": F.col("bias_mean") + F.col("bias_sd")})
+    bias = span.select("model", writers.interval_text("bias_mean", "_low", "_high").alias("bias"))
+    return writers.formatted_report(table, "model", ["rmse", "mae"], ["site_month", "month"]).join(bias, "model")
 
 
-@query("a17_run_catalogue", with_(T.PANEL, f"""SELECT family, count(*) AS n_rows, sum(target) AS total FROM panel JOIN (SELECT i, CASE WHEN i < 12 THEN 'background' WHEN i < 14 THEN 'seed' ELSE 'explained' END AS family FROM range(17) r(i)) c
-  ON c.i = panel.period % 17 GROUP BY family"""), "total", digits=6)
+_RUN_CATALOGUE = f"""SELECT i, CASE WHEN i < 12 THEN 'background_BG' || n || '_D' || (i % 3 + 1) WHEN i < 14 THEN 'seed_' || s ELSE 'explained_E' || (i - 13) END AS run_id, s AS model_seed,
+    'BG' || n || '_D' || CASE WHEN i < 12 THEN i % 3 + 1 ELSE 1 END AS background_draw, n AS background_n, 'EXPLAINED_E' || CASE WHEN i < 14 THEN 0 ELSE i - 13 END AS explained_draw
+  FROM (SELECT i, CASE i WHEN 12 THEN 2024 WHEN 13 THEN 3407 ELSE 42 END::INT AS s, CASE WHEN i < 12 THEN [64, 128, 256, 512][i // 3 + 1] ELSE 256 END::INT AS n FROM (SELECT unnest(range(17))::INT AS i))"""
+
+
+@query("a17_run_catalogue", with_(T.PANEL, f"""SELECT run_id, model_seed, background_draw, background_n, explained_draw, count(target) AS n_rows, sum(target) AS total
+  FROM ({_RUN_CATALOGUE}) c LEFT JOIN panel ON c.i = panel.period % 17 GROUP BY ALL"""), "total", digits=6)
 def run_catalogue(t: Tables):
-    rows = [(i, r[0].split("_")[0]) for i, r in enumerate(catalogues.run_rows())]
-    family = F.element_at(F.array(*[F.lit(f) for _, f in rows]), (F.pmod("period", F.lit(17)) + 1).cast("int"))
-    return t.panel.groupBy(family.alias("family")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("target").alias("total"))
+    ids = F.array(*[F.lit(r[0]) for r in catalogues.run_rows()])
+    runs = t.panel.select(F.element_at(ids, (F.pmod("period", F.lit(17)) + 1).cast("int")).alias("run_id"), "target")
+    totals = runs.groupBy("run_id").agg(F.count("target").alias("n_rows"), F.sum("target").alias("total"))
+    return catalogues.run_catalogue(t.spark).join(totals, "run_id", "left").fillna(0, ["n_rows"])
+
+
+@query("a17_comparison_pairs", with_(T.PANEL, f""", cat AS ({_RUN_CATALOGUE}), per AS (SELECT run_id, avg(target) AS mean FROM cat JOIN panel ON cat.i = panel.period % 17 GROUP BY ALL)
+  SELECT CASE WHEN i < 12 THEN 'background' WHEN i < 14 THEN 'model_seed' ELSE 'explained_sample' END AS family, r.run_id AS reference, o.run_id AS other, o.mean - r.mean AS difference
+  FROM per r JOIN (SELECT i, cat.run_id, mean FROM cat JOIN per USING (run_id)) o ON r.run_id = 'background_BG256_D1' AND o.run_id <> r.run_id"""), "difference")
+def comparison_pairs(t: Tables):
+    ids = F.array(*[F.lit(r[0]) for r in catalogues.run_rows()])
+    runs = t.panel.groupBy(F.element_at(ids, (F.pmod("period", F.lit(17)) + 1).cast("int")).alias("run_id")).agg(F.avg("target").alias("mean"))
+    pairs = t.spark.createDataFrame(catalogues.comparison_pairs(), "family string, reference string, other string")
+    ends = [runs.select(F.col("run_id").alias(c), F.col("mean").alias(f"_{c}")) for c in ("reference", "other")]
+    return pairs.join(ends[0], "reference").join(ends[1], "other").select("family", "reference", "other", (F.col("_other") - F.col("_reference")).alias("difference"))
 
 
 @query("a17_model_catalogue", with_(T.PREDICTIONS, """SELECT model, stochastic, count(*) AS n, count(DISTINCT seed) AS seeds FROM (SELECT CASE model WHEN 'month' THEN 'Monthly climatology' ELSE 'point-month climatology' END AS model, false AS stochastic, seed FROM predictions) GROUP BY ALL"""))

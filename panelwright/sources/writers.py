@@ -23,11 +23,6 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("header", True).csv(path)
 
 
-def write_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int) -> None:
-    """A table whose later joins and windows on `keys` need no exchange."""
-    df.write.mode("errorifexists").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
-
-
 def mean_sd_text(mean: str, sd: str, digits: int = 3) -> Column:
     """'mean ± sd', the mean alone without a spread, an empty text without a mean."""
     f = f"%.{digits}f"
