@@ -56,6 +56,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch at most where rows are whole texts: some 10 MB of usual documents.
+TEXT_ROWS = 2000
+
+
+def prepare_text_jobs(spark: SparkSession) -> None:
+    """Share the package with the workers, and keep Arrow batches of whole texts small on both sides."""
+    share_package(spark)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= TEXT_ROWS:
+        spark.conf.set(setting, str(TEXT_ROWS))
+
+
 def share_package(spark: SparkSession) -> None:
     """Let Python workers on this host import the package from where the driver did; clusters ship it with the job."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
