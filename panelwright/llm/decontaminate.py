@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.words import MARKS, Words, id_and_text, scan, spans_to_mask
+from panelwright.llm.words import MARKS, Words, id_and_text, mix, scan, spans_to_mask
+from panelwright.session import cut_lineage
 
 WIDTH = 13
-#: Windows a worker holds at once. A larger benchmark is scanned in several passes, each with a block of its windows.
+#: Windows a worker holds at most. Those of a larger benchmark stay a table, which the documents' windows join.
 MAX_WINDOWS = 200_000
 
 
@@ -48,13 +49,14 @@ def benchmark_windows(benchmark: DataFrame, width: int = WIDTH, key: str = "item
     return items.mapInArrow(run, "item long, length int, hash long, window string").distinct()
 
 
-HIT_SCHEMA = "doc_id long, part int, n_words long, spans array<struct<first_word:long, n_words:long>>, items array<long>"
+_SPAN = "struct<first_word:long, n_words:long>"
+HIT_SCHEMA = f"doc_id long, n_words long, spans array<{_SPAN}>, items array<long>"
 
 
-def _scan_block(documents: DataFrame, block: list, part: int) -> DataFrame:
-    """Hits of one block of windows in every document."""
+def _scan_broadcast(documents: DataFrame, windows: list) -> DataFrame:
+    """Hits in every document of windows that each worker holds."""
     known: dict[int, dict[int, list[tuple[str, int]]]] = {}
-    for r in block:
+    for r in windows:
         known.setdefault(r["length"], {}).setdefault(r["hash"] & (2**64 - 1), []).append((r["window"], r["item"]))
     shared = documents.sparkSession.sparkContext.broadcast([(k, np.array(sorted(v), np.uint64), v) for k, v in sorted(known.items())])
 
@@ -77,13 +79,86 @@ def _scan_block(documents: DataFrame, block: list, part: int) -> DataFrame:
                             items[t].update(same)
                 kind = pa.list_(pa.struct([("first_word", pa.int64()), ("n_words", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(words.first, words.texts), pa.array(np.full(words.texts, part, np.int32)), pa.array(np.diff(words.bounds).astype(np.int64)),
+                    batch.column("doc_id").slice(words.first, words.texts), pa.array(np.diff(words.bounds).astype(np.int64)),
                     pa.array(spans, kind), pa.array([sorted(x) for x in items], pa.list_(pa.int64())),
-                ], names=["doc_id", "part", "n_words", "spans", "items"])
+                ], names=["doc_id", "n_words", "spans", "items"])
 
     return documents.mapInArrow(run, HIT_SCHEMA)
 
 
+#: Bits of the filter in each row that reaches the driver, and the logarithm of the filter's most bits (128 MB).
+SLICE, MOST_BITS = 1 << 20, 30
+#: Bits that each window sets, and bits of the filter for each window: some 2 of 10,000 other windows pass.
+PROBES, BITS_EACH = 4, 32
+
+
+def _place(hashes: np.ndarray, probe: int, size: int) -> np.ndarray:
+    """Bit of each hash in a filter of `size` bits, a power of two."""
+    return mix(hashes + np.uint64(probe + 1) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(size - 1)
+
+
+def _window_filter(windows: DataFrame, n: int) -> np.ndarray:
+    """Bits of the hashes of `n` windows, set by tasks a slice at a time; the driver joins the slices."""
+    size = 1 << min(max((BITS_EACH * n - 1).bit_length(), SLICE.bit_length() - 1), MOST_BITS)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = batch.column("hash").to_numpy().view(np.uint64)
+            at = np.concatenate([_place(hashes, k, size) for k in range(PROBES)]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at // SLICE), pa.array((at % SLICE).astype(np.int32))], names=["slice", "bit"])
+
+    def bits(table: pa.Table) -> pa.Table:
+        on = np.zeros(SLICE, bool)
+        on[table.column("bit").to_numpy()] = True
+        return pa.table({"slice": table.column("slice").slice(0, 1), "bits": pa.array([np.packbits(on).tobytes()], pa.binary())})
+
+    out = np.zeros(size // 8, np.uint8)
+    slices = windows.select("hash").mapInArrow(places, "slice long, bit int").groupBy("slice").applyInArrow(bits, "slice long, bits binary")
+    for r in slices.toLocalIterator():
+        out[r["slice"] * (SLICE // 8) : (r["slice"] + 1) * (SLICE // 8)] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _scan_joined(documents: DataFrame, windows: DataFrame, n: int) -> DataFrame:
+    """Hits in every document of windows of any number: a filter picks the documents' windows, which join the table.
+
+    Rows are told apart by a number that is written with what was picked, so null and repeated ids stay rows of their own.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast((_window_filter(windows, n), sorted(r["length"] for r in windows.select("length").distinct().collect())))
+    kind = pa.list_(pa.struct([("length", pa.int32()), ("hash", pa.int64()), ("window", pa.string()), ("first_words", pa.list_(pa.int64()))]))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on, lengths = shared.value
+        for batch in batches:
+            for words in scan(batch.column("text"), MARKS):
+                picked: list[dict] = [{} for _ in range(words.texts)]
+                owner = words.text_of()
+                for length in lengths:
+                    at, found = words.runs(length)
+                    for k in range(PROBES):
+                        bit = _place(found, k, 8 * len(on))
+                        keep = (on[bit >> np.uint64(3)] >> (np.uint64(7) - (bit & np.uint64(7))).astype(np.uint8)) & 1 > 0
+                        at, found = at[keep], found[keep]
+                    for i, h in zip(at.tolist(), found.view(np.int64).tolist()):
+                        window = b" ".join(words.get(j) for j in range(i, i + length)).decode("utf-8", "replace")
+                        t = int(owner[i])
+                        picked[t].setdefault((length, h, window), []).append(i - int(words.bounds[t]))
+                rows = [[{"length": k, "hash": h, "window": w, "first_words": x} for (k, h, w), x in p.items()] for p in picked]
+                yield pa.RecordBatch.from_arrays([
+                    *(batch.column(c).slice(words.first, words.texts) for c in ("row", "doc_id")), pa.array(np.diff(words.bounds).astype(np.int64)), pa.array(rows, kind),
+                ], names=["row", "doc_id", "n_words", "picked"])
+
+    schema = "row long, doc_id long, n_words long, picked array<struct<length:int, hash:long, window:string, first_words:array<long>>>"
+    scanned = cut_lineage(documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(pick, schema))
+    known = windows.groupBy("length", "hash", "window").agg(F.collect_list("item").alias("items"))
+    hits = scanned.select("row", F.inline("picked")).join(known, ["length", "hash", "window"])  # the words agree, not only their hashes
+    spans = F.transform("first_words", lambda a: F.struct(a.alias("first_word"), F.col("length").cast("long").alias("n_words")))
+    found = hits.select("row", spans.alias("spans"), "items").groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    return scanned.select("row", "doc_id", "n_words").join(found, "row", "left").select(
+        "doc_id", "n_words", F.coalesce("spans", F.array().cast(f"array<{_SPAN}>")).alias("spans"), F.coalesce("items", F.array().cast("array<long>")).alias("items")
+    )
+
+
 REPORT_SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans array<struct<first_word:long, n_words:long>>"
 
 
@@ -91,23 +166,15 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH
     """One row per document: words, hit words, items found, and whether at least one word in `share` is hit.
 
     Words are compared folded to lower case and without punctuation. A window hit by its hash is compared word by word.
-    The benchmark's windows are counted first and broadcast in blocks of at most `max_windows`; with more than one
-    block the document ids must be unique, since the blocks' findings are joined per document.
+    The benchmark's windows are counted first: up to `max_windows` are broadcast; more are written once and joined with
+    what a filter of their hashes picks from the documents, so that only the filter passes the driver. Both give the same rows.
     Null and empty texts have no words, no hits and are clean; an empty benchmark leaves every document clean; other
-    columns of either table are not read; repeated rows give repeated results.
+    columns of either table are not read; rows with repeated or null ids stay rows of their own.
     """
     windows = benchmark_windows(benchmark, width)
     docs = id_and_text(documents, key, text)
-    n_blocks = max(1, -(-windows.count() // max_windows))
-    hits = None
-    for part in range(n_blocks):
-        block = windows if n_blocks == 1 else windows.filter(F.pmod(F.xxhash64("hash"), F.lit(n_blocks)) == part)
-        found = _scan_block(docs, block.collect(), part)
-        hits = found if hits is None else hits.unionByName(found)
-    if n_blocks > 1:
-        hits = hits.groupBy("doc_id").agg(
-            F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-        ).select("doc_id", F.lit(0).alias("part"), "n_words", "spans", "items")
+    n = windows.count()
+    hits = _scan_broadcast(docs, windows.collect()) if n <= max_windows else _scan_joined(docs, cut_lineage(windows), n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -54,6 +54,16 @@ def test_against_brute_force(spark):
     assert sorted(map(repr, map(tuple, blocks.collect()))) == brute(unique, items)
 
 
+def test_large_benchmarks_keep_null_and_repeated_ids(spark):
+    docs, items = data()
+    docs += [(None, items[3][1]), (None, items[7][1] + " w1"), (None, None), (5, items[9][1]), (6, docs[6][1])]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for most in (1, 40, 10_000):
+        got = D.contamination(d, b, max_windows=most)
+        assert got.columns[-1] == "hit_spans" and sorted(map(repr, map(tuple, got.drop("hit_spans").collect()))) == brute(docs, items)
+
+
 def test_empty_tables(spark):
     d, b = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert [tuple(r)[:4] for r in D.contamination(d, b.limit(0)).collect()] == [(1, 2, 0, 0)]
