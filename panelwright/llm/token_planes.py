@@ -62,7 +62,8 @@ class Encoder(dict):
 
     Only for byte-level tokenizers whose normaliser folds case and white space and whose words never cross white space:
     there a text's ids are those of its stretches one after another, and a blank between a letter and a full stop or
-    comma changes nothing. A new stretch of Latin letters goes through the library's normaliser and model alone (it is
+    comma changes nothing. A-Z are folded first, except before a byte beyond ASCII: the normaliser composes before it
+    folds, and some letters have a composed form in lower case only. A new stretch of Latin letters goes through the library's normaliser and model alone (it is
     one word); any other goes through the whole library.
     """
 
@@ -97,10 +98,16 @@ class Encoder(dict):
             self.clear()
         out = []
         for text in texts:
-            if any(t in text for t in self.special):
+            low = text.lower()
+            if any(t in low for t in self.special):  # folding must not make one either
                 out.append(self._whole(text.decode("utf-8")))
                 continue
-            data = np.frombuffer(text.lower(), np.uint8)
+            data = np.frombuffer(low, np.uint8)
+            if not text.isascii():
+                raw = np.frombuffer(text, np.uint8)
+                kept = np.flatnonzero((raw[:-1] != data[:-1]) & (raw[1:] >= 128))
+                data = data.copy()
+                data[kept] = raw[kept]
             at = np.flatnonzero(_LETTER[data[:-1]] & _MARK[data[1:]]) + 1
             out.append(b"".join(map(self.__getitem__, np.insert(data, at, 32).tobytes().split())))
         return out

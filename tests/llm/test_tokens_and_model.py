@@ -2,6 +2,7 @@ import collections
 import math
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -32,6 +33,17 @@ def test_remembered_stretches_give_the_library_ids():
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_capitals_before_marks_give_the_library_ids():
+    from tokenizers import Tokenizer
+
+    marks = [chr(c) for c in range(0x80, 0x3100) if unicodedata.combining(chr(c))] + ["\u00a0", "\u00c9", "\u2003"]
+    texts = [f"x{c}{m}y {c}{m}, A{c}{m}." for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for m in marks]
+    texts += ["J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a", "H\u0301\u0331", "CAF\u00c9 J\u030cA'S", "<|ENDOFTEXT|> x", "A<|EndOfText|>"]
+    got = T.Encoder(PATH).encode([t.encode() for t in texts])
+    expected = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, g, e in zip(texts, got, expected) if np.frombuffer(g, "<u4").tolist() != e] == []
+
+
 @pytest.mark.parametrize("block", [8, 64, 1 << 16])
 def test_file_round_trip(spark, tmp_path, block):
     from tokenizers import Tokenizer
