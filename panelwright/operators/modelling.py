@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from types import MappingProxyType
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import classify_message, finite, safe_divide, to_long
 from panelwright.operators.checks import expect_finite, expect_same_keys, expect_unique
+from panelwright.operators.gram import gram_table, predict_levels, solve_ridge
 from panelwright.operators.metrics import METRICS, attempt_ledger, cluster_sufficient_stats, metrics_from_sums, regression_metrics, select_best
 from panelwright.operators.ordering import exact_quantiles
 from panelwright.operators.resampling import draw, index_clusters, metrics_long, multi_seed_bootstrap, percentile_interval
@@ -84,42 +86,6 @@ def prediction_frame(index: DataFrame, predictions: DataFrame, keys: Sequence[st
 
 # --- ridge ----------------------------------------------------------------------------------
 
-def gram_matrix(df: DataFrame, features: str, target: str, by: str | None = None) -> dict[object, np.ndarray]:
-    """Augmented Gram matrix of [1, x, y] per `by` level (a handful of folds or analyses).
-
-    Each task reduces its rows to one matrix; matrix cells are summed on Spark. The result has
-    (columns + 2)^2 numbers per level.
-    """
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc: dict[object, np.ndarray] = {}
-        for batch in batches:
-            for level, part in batch.groupby("_by", sort=False):
-                x = np.stack(part["_x"].to_numpy())
-                z = np.column_stack([np.ones(len(part)), x, part["_y"].to_numpy(float)])
-                acc[level] = acc.get(level, 0.0) + z.T @ z
-        for level, g in acc.items():
-            yield pd.DataFrame({"_by": level, "i": np.arange(len(g)), "row": list(g)})
-
-    schema = "_by string, i int, row array<double>"
-    level = F.lit("all") if by is None else F.col(by).cast("string")
-    rows = df.select(level.alias("_by"), F.col(features).alias("_x"), F.col(target).cast("double").alias("_y"))
-    cells = rows.mapInPandas(partial, schema).select("_by", "i", F.posexplode("row").alias("j", "v"))
-    out: dict[object, dict] = {}
-    for r in cells.groupBy("_by", "i", "j").agg(F.sum("v").alias("v")).collect():
-        out.setdefault(r["_by"], {})[r["i"], r["j"]] = r["v"]
-    return {k: np.array([[g[i, j] for j in range(n)] for i in range(n)]) for k, g in out.items() for n in [round(len(g) ** 0.5)]}
-
-
-def solve_ridge(gram: np.ndarray, alpha: float) -> np.ndarray:
-    """[intercept, coefficients]; the intercept is not penalised."""
-    n, sx, sy = gram[0, 0], gram[0, 1:-1], gram[0, -1]
-    xx = gram[1:-1, 1:-1] - np.outer(sx, sx) / n
-    xy = gram[1:-1, -1] - sx * sy / n
-    beta = np.linalg.solve(xx + alpha * np.eye(len(sx)), xy)
-    return np.concatenate([[(sy - sx @ beta) / n], beta])
-
-
 def linear_predict(df: DataFrame, features: str, coefficients: Sequence[np.ndarray], keep: Sequence[str]) -> DataFrame:
     """(keep, candidate, y_pred) for several coefficient vectors in one pass over the features."""
     matrix = np.stack(coefficients, axis=1)
@@ -138,10 +104,8 @@ def linear_predict(df: DataFrame, features: str, coefficients: Sequence[np.ndarr
     return kept.mapInPandas(run, out_schema)
 
 
-def ridge_grid(train: DataFrame, validation: DataFrame, features: str, target: str, alphas: Sequence[float]) -> DataFrame:
-    """Validation metrics per penalty: one Gram pass over train, one prediction pass over validation."""
-    gram = gram_matrix(train, features, target)["all"]
-    preds = linear_predict(validation.withColumn("y_true", F.col(target)), features, [solve_ridge(gram, a) for a in alphas], ["y_true"])
+def _ridge_scores(train: np.ndarray, validation: DataFrame, features: str, target: str, alphas: Sequence[float]) -> DataFrame:
+    preds = linear_predict(validation.withColumn("y_true", F.col(target)), features, [solve_ridge(train, a) for a in alphas], ["y_true"])
     table = regression_metrics(preds, ["candidate"])
     alpha = F.element_at(F.array(*[F.lit(float(a)) for a in alphas]), F.col("candidate"))
     # as many rows as penalties
@@ -149,6 +113,28 @@ def ridge_grid(train: DataFrame, validation: DataFrame, features: str, target: s
     return table.withColumn("alpha", alpha).withColumn("selected", F.row_number().over(order) == 1)
 
 
+def ridge_grid(train: DataFrame, validation: DataFrame, features: str, target: str, alphas: Sequence[float]) -> DataFrame:
+    """Validation metrics per penalty: one Gram pass over train, one prediction pass over validation."""
+    return _ridge_scores(gram_table(train, features, target, []).total(), validation, features, target, alphas)
+
+
+def ridge_refit(
+    df: DataFrame, role: str, features: str, target: str, alphas: Sequence[float], keep: Sequence[str],
+    arms: Mapping[str, Sequence[str]] = MappingProxyType({"train": ("train",), "train_val": ("train", "val")}),
+) -> DataFrame:
+    """Test predictions of the selected penalty: (keep, arm, y_true, y_pred, alpha).
+
+    `role` is train, val or test. One Gram pass over train and validation; the penalty is chosen as in `ridge_grid`; an
+    arm is refitted on the sum of its roles' matrices. No row of the test role enters a fit.
+    """
+    grams = gram_table(df.where(F.col(role) != "test"), features, target, [role])
+    part = {"train": grams.total(lambda **k: k[role] == "train")}
+    best = _ridge_scores(part["train"], df.where(F.col(role) == "val"), features, target, alphas).where("selected").first()["alpha"]
+    fits = {("test", arm): solve_ridge(grams.total(lambda **k: k[role] in roles), best) for arm, roles in arms.items()}
+    test = df.where(F.col(role) == "test").withColumn("y_true", F.col(target).cast("double"))
+    return predict_levels(test, features, role, fits, [*keep, "y_true"], "arm").withColumn("alpha", F.lit(float(best)))
+
+
 # --- random forest --------------------------------------------------------------------------
 
 def random_forest_grid(

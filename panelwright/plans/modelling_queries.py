@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.operators import modelling as op
+from panelwright.operators.gram import gram_table, nested_ridge, predict_levels
 from panelwright.operators.metrics import METRICS
 from panelwright.operators.ordering import exact_quantiles
 from panelwright.plans import tables as T
@@ -28,77 +29,150 @@ SPEC = op.AdditiveSpec(
 )
 
 
+# --- ridge by sums, in SQL --------------------------------------------------------------------
+
+N_FEATURES = WINDOW * len(FEATURES)
+SEEDS = [1, 2, 3]
+
+
+def solve_sql(name: str, keys: str, system: str, p: int) -> str:
+    """Gauss-Jordan elimination of `m`, p rows of p + 1 numbers, per key: `{name}` has (keys, x), the solution as a list."""
+    step = "list_transform(m, lambda r, i: CASE WHEN i = k THEN pv ELSE list_transform(r, lambda x, j: x - r[k] * pv[j]) END)"
+    return f"""{name}_steps AS (SELECT {keys}, 1 AS k, m FROM {system} UNION ALL
+    SELECT {keys}, k + 1, {step} FROM (SELECT {keys}, k, m, list_transform(m[k], lambda x: x / m[k][k]) AS pv FROM {name}_steps WHERE k <= {p})),
+  {name} AS (SELECT {keys}, list_transform(m, lambda r: r[{p + 1}]) AS x FROM {name}_steps WHERE k = {p + 1})"""
+
+
+def ridge_sql(name: str, keys: str, grams: str, p: int) -> str:
+    """Ridge coefficients `{name}` (keys, alpha, beta = [intercept, coefficients]) for all penalties; `grams` is (keys, i, j, v) of [1, x, y]."""
+    same = " AND ".join(f"s.{k.strip()} = g.{k.strip()}" for k in keys.split(","))
+    also = same.replace("s.", "t.")
+    g_keys = ", ".join(f"g.{k.strip()}" for k in keys.split(","))
+    return f"""{name}_c AS (SELECT {g_keys}, g.i, g.j, g.v - s.v * t.v / n.v AS c FROM {grams} g JOIN {grams} s ON {same} AND s.i = 0 AND s.j = g.i JOIN {grams} t ON {also} AND t.i = 0 AND t.j = g.j
+    JOIN {grams} n ON {same.replace("s.", "n.")} AND n.i = 0 AND n.j = 0 WHERE g.i BETWEEN 1 AND {p} AND g.j BETWEEN 1 AND {p + 1}),
+  {name}_m AS (SELECT {keys}, alpha, list(r ORDER BY i) AS m FROM (SELECT {keys}, alpha, i, list(c + CASE WHEN i = j THEN alpha ELSE 0 END ORDER BY j) AS r FROM {name}_c, (SELECT unnest({ALPHAS}::DOUBLE[]) AS alpha) GROUP BY ALL) GROUP BY ALL),
+  {solve_sql(name + "_x", keys + ", alpha", name + "_m", p)},
+  {name} AS (SELECT {g_keys}, x.alpha, list_concat([(s.y - list_inner_product(s.m, x.x)) / s.n], x.x) AS beta FROM {name}_x x JOIN
+    (SELECT {keys}, max(v) FILTER (WHERE j = 0) AS n, max(v) FILTER (WHERE j = {p + 1}) AS y, list(v ORDER BY j) FILTER (WHERE j BETWEEN 1 AND {p}) AS m FROM {grams} WHERE i = 0 GROUP BY ALL) s ON {same.replace("g.", "x.")}, (SELECT 1) z)""".replace(f"SELECT {g_keys}, x.alpha", "SELECT " + g_keys.replace("g.", "x.") + ", x.alpha")
+
+
+#: Samples with [1, history, target] as one list `v`.
+VECTORS = T.FEATURES_LONG + f""", vectors AS (SELECT s.*, (s.site % 5)::INT AS fold, h.v FROM samples s JOIN (
+    SELECT site, period, list_concat([1.0::DOUBLE], list(value::DOUBLE ORDER BY ({WINDOW} - lag) * {len(FEATURES)} + fi), [any_value(target)::DOUBLE]) AS v
+    FROM features_long f JOIN samples USING (site, period) GROUP BY site, period) h ON h.site = s.site AND h.period = s.period)"""
+PREDICTED = f"list_inner_product(v[1:{N_FEATURES + 1}], beta)"
+
+
+def gram_sql(name: str, keys: str, source: str) -> str:
+    return f"{name} AS (SELECT {keys}, a.i::INT AS i, b.j::INT AS j, sum(v[a.i + 1] * v[b.j + 1]) AS v FROM {source}, range({N_FEATURES + 2}) a(i), range({N_FEATURES + 2}) b(j) GROUP BY ALL)"
+
+
 # --- folds and out-of-fold predictions ------------------------------------------------------
 
-def _roles(t: Tables) -> DataFrame:
-    rows = t.panel.select("site", "class", F.pmod("site", F.lit(5)).cast("int").alias("fold"), "year", "month", "period", "target")
-    return op.spatial_folds(rows, "fold", FOLDS, (0, TRAIN_END), (TRAIN_END + 1, TEST_START - 1), (TEST_START, 9999))
+def _roles(rows: DataFrame) -> DataFrame:
+    folds = rows.withColumn("fold", F.pmod("site", F.lit(5)).cast("int"))
+    return op.spatial_folds(folds, "fold", FOLDS, (0, TRAIN_END), (TRAIN_END + 1, TEST_START - 1), (TEST_START, 9999))
 
 
-ROLES = f""", roles AS (SELECT site, class, fold, h.f::INT AS held_out, year, month, period, target,
+def roles_sql(source: str) -> str:
+    return f""", roles AS (SELECT site, class, fold, h.f::INT AS held_out, year, month, period, target,
     CASE WHEN fold <> h.f AND year <= {TRAIN_END} THEN 'train' WHEN fold <> h.f AND year < {TEST_START} THEN 'val' WHEN fold = h.f AND year >= {TEST_START} THEN 'test' END AS role
-  FROM (SELECT *, (site % 5)::INT AS fold FROM panel), range(5) h(f)),
-  clim1 AS (SELECT held_out, month, s.seed, avg(target) FILTER (WHERE year <> 1994 + s.seed) AS y_pred FROM roles, (SELECT unnest([1, 2, 3])::INT AS seed) s WHERE role = 'train' GROUP BY ALL),
-  clim2 AS (SELECT held_out, class, month, s.seed, avg(target) FILTER (WHERE year <> 1994 + s.seed) AS y_pred FROM roles, (SELECT unnest([1, 2, 3])::INT AS seed) s WHERE role = 'train' GROUP BY ALL),
+  FROM (SELECT *, (site % 5)::INT AS fold FROM {source}), range(5) h(f))"""
+
+
+#: Three candidates on the samples with a complete history: climatology by month, by class and month, and ridge on the history.
+CANDIDATES = VECTORS.replace("WITH ", "") + roles_sql("samples") + f""",
+  clim1 AS (SELECT held_out, month, s.seed, avg(target) FILTER (WHERE year <> 1994 + s.seed) AS y_pred FROM roles, (SELECT unnest({SEEDS})::INT AS seed) s WHERE role = 'train' GROUP BY ALL),
+  clim2 AS (SELECT held_out, class, month, s.seed, avg(target) FILTER (WHERE year <> 1994 + s.seed) AS y_pred FROM roles, (SELECT unnest({SEEDS})::INT AS seed) s WHERE role = 'train' GROUP BY ALL),
+  {gram_sql("by_block", "fold, year", f"(SELECT fold, year, v FROM vectors WHERE year <= {TRAIN_END}) v")},
+  fold_grams AS (SELECT h.f::INT AS held_out, s.seed, i, j, sum(v) AS v FROM by_block, range(5) h(f), (SELECT unnest({SEEDS})::INT AS seed) s WHERE fold <> h.f AND year <> 1994 + s.seed GROUP BY ALL),
+  {ridge_sql("fits", "held_out, seed", "fold_grams", N_FEATURES)},
+  tried AS (SELECT f.held_out, f.seed, alpha, avg(({PREDICTED} - target) * ({PREDICTED} - target)) AS mse FROM fits f JOIN vectors v ON v.fold <> f.held_out AND v.year > {TRAIN_END} AND v.year < {TEST_START} GROUP BY ALL),
+  penalty AS (SELECT held_out, arg_min(alpha, (mse, alpha)) AS alpha FROM (SELECT held_out, alpha, avg(mse) AS mse FROM tried GROUP BY ALL) GROUP BY held_out),
   cand AS (SELECT r.held_out, r.role, r.site, r.year, r.month, r.period, r.target AS y_true, c.seed, 1 AS candidate, c.y_pred FROM roles r JOIN clim1 c ON c.held_out = r.held_out AND c.month = r.month WHERE role <> 'train' AND c.y_pred IS NOT NULL
-    UNION ALL SELECT r.held_out, r.role, r.site, r.year, r.month, r.period, r.target, c.seed, 2, c.y_pred FROM roles r JOIN clim2 c ON c.held_out = r.held_out AND c.class = r.class AND c.month = r.month WHERE role <> 'train' AND c.y_pred IS NOT NULL),
+    UNION ALL SELECT r.held_out, r.role, r.site, r.year, r.month, r.period, r.target, c.seed, 2, c.y_pred FROM roles r JOIN clim2 c ON c.held_out = r.held_out AND c.class = r.class AND c.month = r.month WHERE role <> 'train' AND c.y_pred IS NOT NULL
+    UNION ALL SELECT r.held_out, r.role, r.site, r.year, r.month, r.period, r.target, f.seed, 3, {PREDICTED} FROM roles r JOIN vectors v ON v.site = r.site AND v.period = r.period JOIN penalty q ON q.held_out = r.held_out JOIN fits f ON f.held_out = r.held_out AND f.alpha = q.alpha WHERE role <> 'train'),
   scores AS (SELECT held_out, candidate, seed, avg((y_pred - y_true) * (y_pred - y_true)) AS mse FROM cand WHERE role = 'val' GROUP BY ALL),
   best AS (SELECT *, row_number() OVER (PARTITION BY held_out ORDER BY mean, median, candidate) AS rn FROM (SELECT held_out, candidate, count(*) AS n_scores, avg(mse) AS mean, quantile_cont(mse, 0.5) AS median FROM scores GROUP BY ALL)),
   chosen AS (SELECT held_out, 'nested' AS arm, candidate, n_scores, mean, median FROM best WHERE rn = 1 UNION ALL SELECT held_out, 'fixed', candidate, n_scores, mean, median FROM best WHERE candidate = 2),
   oof AS (SELECT c.held_out, arm, c.candidate, seed, site, year, month, period, y_true, y_pred FROM cand c JOIN chosen h ON h.held_out = c.held_out AND h.candidate = c.candidate WHERE role = 'test')"""
 
 
-def _candidates(t: Tables) -> DataFrame:
-    """Validation and test predictions of two climatologies (month; class and month), three seeds, all folds."""
-    roles = _roles(t)
+def _vectors(t: Tables) -> DataFrame:
+    """Flattened history as one array per sample."""
+    vector = F.flatten(F.transform(f"history_{WINDOW}", lambda s: F.array(*[s[f] for f in FEATURES])))
+    return t.samples.select("site", "class", "period", "year", "month", "target", vector.alias("features"))
+
+
+def _candidates(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(scores, test predictions) of two climatologies (month; class and month) and ridge, three seeds, all folds.
+
+    A seed leaves out one training year. Ridge is fitted and scored on Gram matrices per (fold, year); its rows are read
+    once for those and once for the test predictions.
+    """
+    rows = cut_lineage(_vectors(t))
+    roles = _roles(rows.drop("features"))
     train, rest = roles.where(F.col("role") == "train"), roles.where(F.col("role") != "train")
-    out = None
+    e = F.col("y_pred") - F.col("y_true")
+    scores, tests = None, None
     for candidate, keys in ((1, ["held_out", "month"]), (2, ["held_out", "class", "month"])):
-        means = train.groupBy(*keys).agg(*[F.avg(F.when(F.col("year") != 1994 + s, F.col("target"))).alias(f"_s{s}") for s in (1, 2, 3)])
-        cells = [F.struct(F.lit(s).alias("seed"), F.col(f"_s{s}").alias("y_pred")) for s in (1, 2, 3)]
+        means = train.groupBy(*keys).agg(*[F.avg(F.when(F.col("year") != 1994 + s, F.col("target"))).alias(f"_s{s}") for s in SEEDS])
+        cells = [F.struct(F.lit(s).alias("seed"), F.col(f"_s{s}").alias("y_pred")) for s in SEEDS]
         mine = rest.join(F.broadcast(means), keys).select(  # folds x classes x months
             "held_out", "role", "site", "year", "month", "period", F.col("target").alias("y_true"), F.inline(F.array(*cells)), F.lit(candidate).alias("candidate")
         ).where(F.col("y_pred").isNotNull())
-        out = mine if out is None else out.unionByName(mine)
-    return out
-
-
-def _chosen(candidates: DataFrame) -> DataFrame:
-    e = F.col("y_pred") - F.col("y_true")
-    scores = candidates.where(F.col("role") == "val").groupBy("held_out", "candidate", "seed").agg(F.avg(e * e).alias("mse"))
-    return op.nested_fold_selection(scores, "held_out", "candidate", "mse", 2)
+        score = mine.where(F.col("role") == "val").groupBy("held_out", "candidate", "seed").agg(F.avg(e * e).alias("mse"))
+        test = mine.where(F.col("role") == "test").drop("role")
+        scores, tests = (score, test) if scores is None else (scores.unionByName(score), tests.unionByName(test))
+    by_block = rows.withColumn("fold", F.pmod("site", F.lit(5)).cast("int")).where(F.col("year") < TEST_START)
+    grams = gram_table(by_block, "features", "target", ["fold", "year"])
+    years = sorted({y for _, y in grams.blocks})
+    found, fits = nested_ridge(grams, "fold", "year", FOLDS, {s: [y for y in years if y <= TRAIN_END and y != 1994 + s] for s in SEEDS}, [y for y in years if y > TRAIN_END], ALPHAS)
+    ridge = t.spark.createDataFrame([(f, 3, s, mse) for f, s, _, mse in found], "held_out int, candidate int, seed int, mse double")  # folds x seeds
+    mine = rows.where(F.col("year") >= TEST_START).withColumn("held_out", F.pmod("site", F.lit(5)).cast("int")).withColumn("y_true", F.col("target")).withColumn("candidate", F.lit(3))
+    keep = ["held_out", "site", "year", "month", "period", "y_true", "candidate"]
+    return scores.unionByName(ridge), tests.unionByName(predict_levels(mine, "features", "held_out", fits, keep, "seed"))
 
 
 def _oof(t: Tables) -> DataFrame:
-    c = _candidates(t)
-    return op.oof_predict(c.where(F.col("role") == "test").drop("role"), _chosen(c), "held_out", "candidate")
+    scores, tests = _candidates(t)
+    return op.oof_predict(tests, op.nested_fold_selection(scores, "held_out", "candidate", "mse", 2), "held_out", "candidate")
 
 
-@query("k03_spatial_folds", with_(T.PANEL + ROLES, "SELECT held_out, role, count(*) AS n, count(DISTINCT site) AS sites, min(year) AS first_year, max(year) AS last_year FROM roles WHERE role IS NOT NULL GROUP BY ALL"))
+@query("k03_spatial_folds", with_(T.PANEL + roles_sql("panel"), "SELECT held_out, role, count(*) AS n, count(DISTINCT site) AS sites, min(year) AS first_year, max(year) AS last_year FROM roles WHERE role IS NOT NULL GROUP BY ALL"))
 def spatial_folds(t: Tables):
-    return _roles(t).groupBy("held_out", "role").agg(
+    return _roles(t.panel).groupBy("held_out", "role").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("site").alias("sites"), F.min("year").alias("first_year"), F.max("year").alias("last_year")
     )
 
 
-@query("k04_nested_fold_selection", with_(T.PANEL + ROLES, "SELECT * FROM chosen"), "mean median")
+@query("k04_nested_fold_selection", "WITH RECURSIVE " + CANDIDATES + " SELECT * FROM chosen", "mean median", digits=6)
 def nested(t: Tables):
-    return _chosen(_candidates(t))
+    return op.nested_fold_selection(_candidates(t)[0], "held_out", "candidate", "mse", 2)
+
 
+@query("k04_ridge_penalties", "WITH RECURSIVE " + CANDIDATES + " SELECT held_out, seed, t.alpha, mse FROM tried t JOIN penalty p USING (held_out) WHERE t.alpha = p.alpha", "alpha mse", digits=6)
+def penalties(t: Tables):
+    rows = _vectors(t).withColumn("fold", F.pmod("site", F.lit(5)).cast("int")).where(F.col("year") < TEST_START)
+    grams = gram_table(rows, "features", "target", ["fold", "year"])
+    years = sorted({y for _, y in grams.blocks})
+    found, _ = nested_ridge(grams, "fold", "year", FOLDS, {s: [y for y in years if y <= TRAIN_END and y != 1994 + s] for s in SEEDS}, [y for y in years if y > TRAIN_END], ALPHAS)
+    return t.spark.createDataFrame(found, "held_out int, seed int, alpha double, mse double")
 
-@query("k05_oof_predict", with_(T.PANEL + ROLES, "SELECT * FROM oof"), "y_true y_pred")
+
+@query("k05_oof_predict", "WITH RECURSIVE " + CANDIDATES + " SELECT * FROM oof", "y_true y_pred", digits=6)
 def oof(t: Tables):
     return _oof(t).select("held_out", "arm", "candidate", "seed", "site", "year", "month", "period", "y_true", "y_pred")
 
 
-@query("k05_oof_violations", with_(T.PANEL + ROLES, """SELECT 'same_keys' AS "check", a.arm || '|' || p.site || '|' || p.period AS key, 0::DOUBLE AS observed, 1::DOUBLE AS expected FROM panel p, (VALUES ('nested'), ('fixed')) a(arm) WHERE p.year >= 1999
-    AND NOT EXISTS (SELECT 1 FROM oof o WHERE o.arm = a.arm AND o.site = p.site AND o.period = p.period)"""), "observed expected")
+@query("k05_oof_violations", "WITH RECURSIVE " + CANDIDATES + """ SELECT 'same_keys' AS "check", a.arm || '|' || p.site || '|' || p.period AS key, 0::DOUBLE AS observed, 1::DOUBLE AS expected FROM samples p, (VALUES ('nested'), ('fixed')) a(arm) WHERE p.year >= 1999
+    AND NOT EXISTS (SELECT 1 FROM oof o WHERE o.arm = a.arm AND o.site = p.site AND o.period = p.period)""", "observed expected")
 def oof_violations(t: Tables):
-    cohort = t.panel.where(F.col("year") >= 1999).select("site", "period")
+    cohort = t.samples.where(F.col("year") >= 1999).select("site", "period")
     return op.oof_violations(_oof(t), cohort, ["site", "period"], ["nested", "fixed"])
 
 
-@query("k06_cv_bootstrap_compare", with_(T.PANEL + ROLES + f""", stats AS (SELECT arm, seed, site, count(*)::DOUBLE AS n, sum(y_true) AS s_y, sum(y_true * y_true) AS s_yy, sum(y_pred) AS s_p, sum(y_pred * y_pred) AS s_pp, sum(y_true * y_pred) AS s_yp,
+@query("k06_cv_bootstrap_compare", with_("RECURSIVE " + CANDIDATES + f""", stats AS (SELECT arm, seed, site, count(*)::DOUBLE AS n, sum(y_true) AS s_y, sum(y_true * y_true) AS s_yy, sum(y_pred) AS s_p, sum(y_pred * y_pred) AS s_pp, sum(y_true * y_pred) AS s_yp,
     sum((y_pred - y_true) * (y_pred - y_true)) AS s_ee, sum(abs(y_pred - y_true)) AS s_ae, sum(y_pred - y_true) AS s_e FROM oof GROUP BY ALL), """ + draws_sql(REPS, "oof") + f""",
   reps AS (SELECT rep, arm, seed, {FROM_SUMS} FROM (SELECT rep, arm, seed, {TOTALS} FROM drawn JOIN stats USING (site) GROUP BY ALL)), mr AS (SELECT rep, arm, {", ".join(f"avg({m}) AS {m}" for m in METRICS)} FROM reps GROUP BY ALL),
   pt AS (SELECT arm, {", ".join(f"avg({m}) AS {m}" for m in METRICS)} FROM (SELECT arm, seed, {METRICS_SQL} FROM oof GROUP BY ALL) GROUP BY arm),
@@ -112,23 +186,31 @@ def cv_compare(t: Tables):
 
 # --- linear and forest grids ----------------------------------------------------------------
 
-def _vectors(t: Tables) -> DataFrame:
-    """Flattened history as one array per sample."""
-    vector = F.flatten(F.transform(f"history_{WINDOW}", lambda s: F.array(*[s[f] for f in FEATURES])))
-    return t.samples.select("site", "period", "year", "target", vector.alias("features"))
-
-
 def _train_val(t: Tables) -> tuple[DataFrame, DataFrame]:
     v = cut_lineage(_vectors(t))
     return v.where(F.col("year") <= TRAIN_END), v.where(F.col("year").between(TRAIN_END + 1, TEST_START - 1))
 
 
-@query("k01_ridge_grid")
+GRID_SQL = VECTORS + f""", ranked AS (SELECT site, period, target, v, CASE WHEN year <= {TRAIN_END} THEN 'train' WHEN year < {TEST_START} THEN 'val' ELSE 'test' END AS role FROM vectors),
+  {gram_sql("parts", "role", "(SELECT role, v FROM ranked WHERE role <> 'test')")},
+  arms AS (SELECT 'train' AS arm, i, j, v FROM parts WHERE role = 'train' UNION ALL SELECT 'train_val', i, j, sum(v) FROM parts GROUP BY i, j),
+  {ridge_sql("fits", "arm", "arms", N_FEATURES)},
+  grid AS (SELECT *, row_number() OVER (ORDER BY rmse, mae, candidate) = 1 AS selected FROM (
+    SELECT list_position({ALPHAS}::DOUBLE[], alpha)::INT AS candidate, alpha, {METRICS_SQL} FROM (SELECT alpha, target AS y_true, {PREDICTED} AS y_pred FROM ranked, fits WHERE role = 'val' AND arm = 'train') GROUP BY alpha))"""
+
+
+@query("k01_ridge_grid", "WITH RECURSIVE " + GRID_SQL + " SELECT candidate, n, rmse, mae, r2, bias, pearson_r, alpha, selected FROM grid", "rmse mae r2 bias pearson_r alpha", digits=6)
 def ridge_grid(t: Tables):
     train, val = _train_val(t)
     return op.ridge_grid(train, val, "features", "target", ALPHAS)
 
 
+@query("k01_ridge_predict", "WITH RECURSIVE " + GRID_SQL + f""" SELECT site, period, arm, target AS y_true, {PREDICTED} AS y_pred, f.alpha FROM ranked, fits f JOIN grid g ON g.alpha = f.alpha AND selected WHERE role = 'test'""", "y_true y_pred alpha", digits=6)
+def ridge_predict(t: Tables):
+    role = F.when(F.col("year") <= TRAIN_END, "train").when(F.col("year") < TEST_START, "val").otherwise("test")
+    return op.ridge_refit(cut_lineage(_vectors(t)).withColumn("role", role), "role", "features", "target", ALPHAS, ["site", "period"])
+
+
 @query("k02_random_forest_grid")
 def forest_grid(t: Tables):
     train, val = _train_val(t)
