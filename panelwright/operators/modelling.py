@@ -12,16 +12,17 @@ from types import MappingProxyType
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions import classify_message, finite, safe_divide, to_long
 from panelwright.operators.checks import expect_finite, expect_same_keys, expect_unique
-from panelwright.operators.gram import gram_table, predict_levels, solve_ridge
+from panelwright.operators.gram import gram_table, predict_levels, rows_to_matrix, solve_ridge
 from panelwright.operators.metrics import METRICS, attempt_ledger, cluster_sufficient_stats, metrics_from_sums, regression_metrics, select_best
 from panelwright.operators.ordering import exact_quantiles
 from panelwright.operators.resampling import draw, index_clusters, metrics_long, multi_seed_bootstrap, percentile_interval
-from panelwright.operators.temporal import attach_row, lag1_autocorrelation, leave_one_year_out, section_starts
+from panelwright.operators.temporal import attach_row, lag1_autocorrelation, section_starts
 from panelwright.session import cut_lineage
 
 # --- folds, selection and out-of-fold predictions -------------------------------------------
@@ -252,78 +253,154 @@ def whitened_design(df: DataFrame, spec: AdditiveSpec, rho: float, by: Sequence[
     )
 
 
-def runs_of(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """(key, rows) of consecutive rows with equal keys, across batches; one run is held at a time."""
-    held: list[pd.DataFrame] = []
+def site_runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[tuple, dict[str, np.ndarray]]]:
+    """(key, columns) of consecutive rows with equal keys, across batches; one run is held at a time.
+
+    Arrays of doubles become matrices without objects.
+    """
+    held: list[dict[str, np.ndarray]] = []
+    last: tuple = ()
+
+    def whole() -> dict[str, np.ndarray]:
+        return {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+
     for batch in batches:
-        if batch.empty:
+        if batch.num_rows == 0:
             continue
-        codes = batch[list(keys)]
-        cut = np.flatnonzero((codes != codes.shift()).any(axis=1).to_numpy())
-        for start, stop in zip(cut, [*cut[1:], len(batch)]):
-            part = batch.iloc[start:stop]
-            if held and tuple(held[0].iloc[0][list(keys)]) != tuple(part.iloc[0][list(keys)]):
-                yield tuple(held[0].iloc[0][list(keys)]), pd.concat(held)
+        names = [c for c in batch.schema.names if c not in keys]
+        columns = {c: rows_to_matrix(batch.column(c)) if pa.types.is_list(batch.schema.field(c).type) else batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+        levels = list(zip(*[batch.column(k).to_pylist() for k in keys]))
+        cuts = [0, *[i for i in range(1, len(levels)) if levels[i] != levels[i - 1]], len(levels)]
+        for start, stop in zip(cuts, cuts[1:]):
+            if held and levels[start] != last:
+                yield last, whole()
                 held = []
-            held.append(part)
+            last = levels[start]
+            held.append({c: v[start:stop] for c, v in columns.items()})
     if held:
-        yield tuple(held[0].iloc[0][list(keys)]), pd.concat(held)
+        yield last, whole()
 
 
-def site_grams(df: DataFrame, spec: AdditiveSpec, rho: float, by: Sequence[str] = ()) -> DataFrame:
-    """Per entity: its Gram matrix and cross-product with its own penalised intercept absorbed.
+def _entity_rows(df: DataFrame, spec: AdditiveSpec, by: Sequence[str] = (), extra: Sequence[str] = ()) -> DataFrame:
+    """Rows of (design, response, 1) laid together by entity in time order: the one layout every fit needs."""
+    keys = [*by, spec.site]
+    v = F.concat(design_vector(spec), F.array(F.col(spec.response).cast("double"), F.lit(1.0)))
+    return df.select(*keys, F.col(spec.time).cast("long").alias("_t"), *extra, v.alias("_v")).repartition(*keys).sortWithinPartitions(*keys, "_t")
+
+
+def _key_schema(df: DataFrame, keys: Sequence[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+
 
-    A run is one entity's calendar, so it is small whatever the table size; a task streams its entities one after
-    another. Absorbed matrices simply add up over entities and over bootstrap copies.
+def site_moments(df: DataFrame, spec: AdditiveSpec, by: Sequence[str] = ()) -> DataFrame:
+    """Per entity: n and four moment matrices of its rows v = (design, response, 1), one after another.
+
+    With t a row and s its predecessor in the same section: the sums of tt' over section starts, and of tt', ts' and ss'
+    over the others. The Gram matrix whitened with any autocorrelation, and the lagged products of any residual, follow
+    from them, so one pass over the rows serves every fit. An entity's rows are one calendar; its moments do not grow.
     """
     keys = [*by, spec.site]
-    rows = whitened_design(df, spec, rho, by).select(*keys, "_wx", "_wy", "_u")
-    if rho == 0.0:  # otherwise the window over an entity's calendar has laid its rows together
-        rows = rows.repartition(*keys)
-    rows = rows.sortWithinPartitions(*keys)
-    head = rows.select(*keys).schema
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in head) + ", n long, gram array<double>, cross array<double>, z array<double>, uy double, uu double"
-    penalty = spec.site_ridge
+    rows = _entity_rows(df, spec, by)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for key, part in runs_of(batches, keys):
-            x, y, u = np.stack(part["_wx"].to_numpy()), part["_wy"].to_numpy(float), part["_u"].to_numpy(float)
-            z, uy, uu = x.T @ u, float(u @ y), float(u @ u)
-            gram = x.T @ x - np.outer(z, z) / (uu + penalty)
-            cross = x.T @ y - z * uy / (uu + penalty)
-            yield pd.DataFrame([dict(zip(keys, key)) | {"n": len(part), "gram": gram.ravel(), "cross": cross, "z": z, "uy": uy, "uu": uu}])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = None
+        for key, run_ in site_runs(batches, keys):
+            v, t = run_["_v"], run_["_t"]
+            joined = np.flatnonzero(np.diff(t) <= 1) + 1
+            first = np.ones(len(t), bool)
+            first[joined] = False
+            now, before = v[joined], v[joined - 1]
+            m = np.concatenate([(x.T @ y).ravel() for x, y in ((v[first], v[first]), (now, now), (now, before), (before, before))])
+            yield pa.RecordBatch.from_pylist([dict(zip(keys, key)) | {"n": len(t), "moments": m}], schema=fields)
+
+    return rows.mapInArrow(_typed(run, rows, keys, [("n", pa.int64()), ("moments", pa.list_(pa.float64()))]), _key_schema(rows, keys) + ", n long, moments array<double>")
+
+
+def _typed(run, rows: DataFrame, keys: Sequence[str], more: Sequence[tuple[str, pa.DataType]]):
+    """`run` with the rows it yields cast to the keys' own types."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = pa.schema([pa.field(f.name, f.type) for f in to_arrow_schema(rows.select(*keys).schema)] + [pa.field(n, k) for n, k in more])
+
+    def typed(batches):
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(f.name).cast(f.type) for f in schema], schema=schema)
+
+    return typed
 
-    return rows.mapInPandas(run, schema)
+
+def whitened_moments(moments: np.ndarray, width: int, rho: float) -> np.ndarray:
+    """(entities, width + 2, width + 2): moments of the rows whitened with `rho`."""
+    q = width + 2
+    first, now, cross, before = np.moveaxis(moments.reshape(-1, 4, q, q), 1, 0)
+    return first + (now - rho * (cross + cross.transpose(0, 2, 1)) + rho * rho * before) / (1.0 - rho * rho)
+
+
+def absorbed(w: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gram, cross, z, uy, uu) of whitened moments, the penalised intercept taken out of gram and cross."""
+    z, uy, uu = w[:, :-2, -1], w[:, -2, -1], w[:, -1, -1]
+    scale = uu + penalty
+    gram = w[:, :-2, :-2] - z[:, :, None] * z[:, None, :] / scale[:, None, None]
+    cross = w[:, :-2, -2] - z * (uy / scale)[:, None]
+    return gram, cross, z, uy, uu
+
+
+def grams_at(moments: DataFrame, spec: AdditiveSpec, rho: float, by: Sequence[str] = ()) -> DataFrame:
+    """Per entity: its Gram matrix and cross-product with its own penalised intercept absorbed; a map over the moments.
+
+    Absorbed matrices simply add up over entities and over bootstrap copies.
+    """
+    keys, width, penalty = [*by, spec.site], spec.width, spec.site_ridge
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                gram, cross, z, uy, uu = absorbed(whitened_moments(rows_to_matrix(batch.column("moments")), width, rho), penalty)
+                kind = pa.list_(pa.float64())
+                cells = [pa.array(list(a.reshape(len(a), -1)), kind) for a in (gram, cross, z)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], batch.column("n"), *cells, pa.array(uy), pa.array(uu)], names=[*keys, "n", "gram", "cross", "z", "uy", "uu"])
+
+    return moments.select(*keys, "n", "moments").mapInArrow(run, _key_schema(moments, keys) + ", n long, gram array<double>, cross array<double>, z array<double>, uy double, uu double")
+
+
+def site_grams(df: DataFrame, spec: AdditiveSpec, rho: float, by: Sequence[str] = ()) -> DataFrame:
+    """Absorbed matrices per entity straight from the rows."""
+    return grams_at(site_moments(df, spec, by), spec, rho, by)
+
+
+def _add_cells(parts: DataFrame, by: str) -> dict[object, np.ndarray]:
+    """Sum of the arrays `_g` per level on Spark, cell by cell; levels are few and arrays model-sized."""
+    out: dict[object, dict[int, float]] = {}
+    for r in parts.select(by, F.posexplode("_g").alias("pos", "v")).groupBy(by, "pos").agg(F.sum("v").alias("v")).collect():
+        out.setdefault(r[by], {})[r["pos"]] = r["v"]
+    return {k: np.array([cell[i] for i in range(len(cell))]) for k, cell in out.items()}
 
 
-def _sum_grams(grams: DataFrame, by: str | None) -> dict[object, tuple[np.ndarray, np.ndarray]]:
+def _split(flat: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
+    return flat[: p * p].reshape(p, p), flat[p * p : p * p + p]
+
+
+def _sum_grams(grams: DataFrame, by: str | None, p: int) -> dict[object, tuple[np.ndarray, np.ndarray]]:
     """Total Gram and cross-product per level: summed per task, then per matrix cell on Spark."""
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc: dict[object, np.ndarray] = {}
         for batch in batches:
-            for level, part in batch.groupby("_by", sort=False):
-                acc[level] = acc.get(level, 0.0) + np.stack(part["_g"].to_numpy()).sum(axis=0)
+            if batch.num_rows:
+                g, levels = rows_to_matrix(batch.column("_g")), np.array(batch.column("_by").to_pylist(), object)
+                for level in dict.fromkeys(levels.tolist()):
+                    acc[level] = acc.get(level, 0.0) + g[levels == level].sum(axis=0)
         for level, g in acc.items():
-            yield pd.DataFrame({"_by": [level], "_g": [g]})
+            yield pa.RecordBatch.from_arrays([pa.array([level], pa.string()), pa.array([g], pa.list_(pa.float64()))], names=["_by", "_g"])
 
     level = F.lit("all") if by is None else F.col(by).cast("string")
-    rows = grams.select(level.alias("_by"), F.concat("gram", "cross").alias("_g")).mapInPandas(partial, "_by string, _g array<double>")
-    cells = rows.select("_by", F.posexplode("_g").alias("pos", "v")).groupBy("_by", "pos").agg(F.sum("v").alias("v"))
-    out: dict[object, dict[int, float]] = {}
-    for r in cells.collect():
-        out.setdefault(r["_by"], {})[r["pos"]] = r["v"]
-    result = {}
-    for k, cell in out.items():
-        flat = np.array([cell[i] for i in range(len(cell))])
-        p = int((np.sqrt(1 + 4 * len(flat)) - 1) / 2)
-        result[k] = (flat[: p * p].reshape(p, p), flat[p * p:])
-    return result
+    rows = grams.select(level.alias("_by"), F.concat("gram", "cross").alias("_g")).mapInArrow(partial, "_by string, _g array<double>")
+    return {k: _split(flat, p) for k, flat in _add_cells(rows, "_by").items()}
 
 
-def additive_surface_fit(df: DataFrame, spec: AdditiveSpec, rho: float = 0.0, by: str | None = None) -> AdditiveFit:
-    """Fit one model per `by` level in one job."""
-    totals = _sum_grams(site_grams(df, spec, rho, [by] if by else []), by)
+def fit_moments(moments: DataFrame, spec: AdditiveSpec, rho: float = 0.0, by: str | None = None) -> AdditiveFit:
+    """Fit one model per `by` level from the entities' moments; the rows are not read."""
+    totals = _sum_grams(grams_at(moments, spec, rho, [by] if by else []), by, spec.width)
     fit = AdditiveFit(spec, rho, {})
     for level, (gram, cross) in totals.items():
         fit.coefficients[level] = np.linalg.solve(gram + spec.ridge * np.eye(len(cross)), cross)
@@ -331,15 +408,20 @@ def additive_surface_fit(df: DataFrame, spec: AdditiveSpec, rho: float = 0.0, by
     return fit
 
 
+def additive_surface_fit(df: DataFrame, spec: AdditiveSpec, rho: float = 0.0, by: str | None = None) -> AdditiveFit:
+    """Fit one model per `by` level in one job."""
+    return fit_moments(site_moments(df, spec, [by] if by else []), spec, rho, by)
+
+
 def _dot(column: str, beta: np.ndarray) -> Column:
     literal = F.array(*[F.lit(float(b)) for b in beta])
     return F.aggregate(F.zip_with(F.col(column), literal, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
 
 
-def residuals(df: DataFrame, fit: AdditiveFit) -> DataFrame:
-    """Fitted value, residual and whitened residual per row of an ungrouped fit."""
+def residuals(df: DataFrame, fit: AdditiveFit, moments: DataFrame | None = None) -> DataFrame:
+    """Fitted value, residual and whitened residual per row of an ungrouped fit; `moments` spares a pass over the rows."""
     spec, beta = fit.spec, fit.coefficients["all"]
-    grams = site_grams(df, spec, fit.rho).select(
+    grams = grams_at(site_moments(df, spec) if moments is None else moments, spec, fit.rho).select(
         spec.site, ((F.col("uy") - _dot("z", beta)) / (F.col("uu") + F.lit(spec.site_ridge))).alias("site_effect")
     )
     rows = whitened_design(df, spec, fit.rho).join(grams, spec.site)
@@ -350,16 +432,43 @@ def residuals(df: DataFrame, fit: AdditiveFit) -> DataFrame:
     )
 
 
+def residual_correlation(moments: DataFrame, fit: AdditiveFit) -> float | None:
+    """Lag-1 correlation of an ungrouped fit's residuals over consecutive rows, from the moments alone; null without variance."""
+    spec, beta, rho = fit.spec, fit.coefficients["all"], fit.rho
+    q, names = spec.width + 2, ["n", "a", "b", "aa", "bb", "ab"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                m = rows_to_matrix(batch.column("moments"))
+                _, _, z, uy, uu = absorbed(whitened_moments(m, spec.width, rho), spec.site_ridge)
+                e = np.column_stack([np.tile(np.append(-beta, 1.0), (len(m), 1)), -(uy - z @ beta) / (uu + spec.site_ridge)])
+                _, now, cross, before = np.moveaxis(m.reshape(-1, 4, q, q), 1, 0)
+                form = [np.einsum("ei,eij,ej->e", e, x, e) for x in (now, before, cross)]
+                sums = [now[:, -1, -1], np.einsum("ej,ej->e", now[:, -1], e), np.einsum("ej,ej->e", before[:, -1], e), *form]
+                yield pa.RecordBatch.from_arrays([pa.array([float(x.sum())]) for x in sums], names=names)
+
+    rows = moments.select("moments").mapInArrow(run, ", ".join(f"{n} double" for n in names))
+    n, a, b, aa, bb, ab = rows.agg(*[F.sum(c) for c in names]).first()
+    spread = 0.0 if not n else (aa - a * a / n) * (bb - b * b / n)
+    return (ab - a * b / n) / spread**0.5 if spread > 0 else None
+
+
 def estimate_rho(df: DataFrame, spec: AdditiveSpec, extreme: float = 0.90) -> tuple[AdditiveFit, DataFrame]:
     """Independent fit, residual lag-1 correlation, one refit with that fixed rho, and its post-fit check."""
-    start = additive_surface_fit(df, spec, 0.0)
-    rho = lag1_autocorrelation(residuals(df, start), [spec.site], spec.time, "residual").first()["rho"]
+    fit, moments = fit_with_rho(df, spec, extreme)
+    post = lag1_autocorrelation(residuals(df, fit, moments), [spec.site], spec.time, "std_residual").withColumnRenamed("rho", "lag1")
+    flag = F.when(F.abs("lag1") <= 0.10, "PASS").when(F.abs("lag1") <= 0.20, "WARN").otherwise("STOP")
+    return fit, post.withColumn("rho_used", F.lit(float(fit.rho))).withColumn("flag", flag)
+
+
+def fit_with_rho(df: DataFrame, spec: AdditiveSpec, extreme: float = 0.90) -> tuple[AdditiveFit, DataFrame]:
+    """(fit with its estimated autocorrelation, moments): one pass over the rows; both fits and the correlation read moments."""
+    moments = cut_lineage(site_moments(df, spec))
+    rho = residual_correlation(moments, fit_moments(moments, spec))
     if rho is None or abs(rho) >= extreme:
         raise ValueError(f"unusable autocorrelation: {rho}")
-    fit = additive_surface_fit(df, spec, float(rho))
-    post = lag1_autocorrelation(residuals(df, fit), [spec.site], spec.time, "std_residual").withColumnRenamed("rho", "lag1")
-    flag = F.when(F.abs("lag1") <= 0.10, "PASS").when(F.abs("lag1") <= 0.20, "WARN").otherwise("STOP")
-    return fit, post.withColumn("rho_used", F.lit(float(rho))).withColumn("flag", flag)
+    return fit_moments(moments, spec, float(rho)), moments
 
 
 # Seven positions in rank space and the six differences between them (end - start), the axis each moves along
@@ -458,38 +567,41 @@ def surface_grid_predict(df: DataFrame, fit: AdditiveFit, steps: int = 80) -> Da
     return predict_rows(grid, fit).select(fit.spec.x, fit.spec.y, "fitted")
 
 
-def contrast_bootstrap(df: DataFrame, spec: AdditiveSpec, rho: float, reps: int, seed: int, block: int = 256) -> DataFrame:
+#: Replicates whose matrices travel as one row.
+TOGETHER = 32
+
+
+def contrast_bootstrap(df: DataFrame, spec: AdditiveSpec, rho: float, reps: int, seed: int, block: int = 512, moments: DataFrame | None = None) -> DataFrame:
     """Refit on `reps` site resamples: (rep, n, success, message, category, one column per contrast).
 
-    A replicate's Gram matrix is the draw-weighted sum of the entity matrices. Entities are cut in blocks; each block
-    turns its draws into a (replicates x entities) weight matrix and multiplies once. The blocks of a replicate are added
-    as they stream by, and replicates are solved in parallel: nothing held grows with the number of entities.
+    A replicate's Gram matrix is the draw-weighted sum of the entity matrices. Every entity carries the replicates it is
+    drawn in; a task multiplies (replicates x entities) weights with its entities' matrices, `block` of them at a time,
+    and adds everything it holds before the shuffle. What moves is replicates x cells per task, however many entities
+    there are; replicates are added and solved in parallel. `moments` spares the pass over the rows.
     """
-    grams = cut_lineage(site_grams(df, spec, rho))  # read for the index and for the product
+    p, ridge, names = spec.width, spec.ridge, CONTRAST_NAMES
+    cells, m = p * p + p + 1, contrast_matrix(spec)
+    grams = cut_lineage(grams_at(site_moments(df, spec) if moments is None else moments, spec, rho))  # read for the index and for the product
     indexed = index_clusters(grams, [spec.site])
-    blocked = grams.join(indexed.select(spec.site, "_pos"), spec.site).select(
-        F.floor(F.col("_pos") / block).alias("_blk"), (F.col("_pos") % block).cast("int").alias("_at"), F.concat("gram", "cross", F.array(F.col("n").cast("double"))).alias("_g")
-    )
-    weights = (
-        draw(indexed, reps, seed).groupBy("rep", "_pos").agg(F.count(F.lit(1)).cast("int").alias("_w"))
-        .select(F.floor(F.col("_pos") / block).alias("_blk"), (F.col("_pos") % block).cast("int").alias("_at"), "rep", "_w")
-    )
+    picks = draw(indexed, reps, seed).groupBy("_pos").agg(F.collect_list("rep").alias("_reps"))  # some `reps` for an entity
+    flat = F.concat("gram", "cross", F.array(F.col("n").cast("double")))
+    rows = grams.select(spec.site, flat.alias("_g")).join(indexed.select(spec.site, "_pos"), spec.site).join(picks, "_pos").select("_g", "_reps")
 
-    def multiply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"rep": pd.Series(dtype="int32"), "_g": pd.Series(dtype=object)})
-        g = np.zeros((block, len(left["_g"].iloc[0])))
-        g[left["_at"].to_numpy()] = np.stack(left["_g"].to_numpy())
-        w = np.zeros((reps, block))
-        w[right["rep"].to_numpy() - 1, right["_at"].to_numpy()] = right["_w"].to_numpy()
-        return pd.DataFrame({"rep": np.arange(1, reps + 1, dtype="int32"), "_g": list(w @ g)})
-
-    sums = blocked.groupBy("_blk").cogroup(weights.groupBy("_blk")).applyInPandas(multiply, "rep int, _g array<double>")
-    m, p, ridge = contrast_matrix(spec), spec.width, spec.ridge
-    names = CONTRAST_NAMES
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, used = np.zeros((reps, cells)), False
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                part, used = batch.slice(at, block), True
+                drawn = part.column("_reps")
+                row = np.repeat(np.arange(part.num_rows), drawn.value_lengths().to_numpy())
+                weights = np.bincount((drawn.flatten().to_numpy() - 1) * part.num_rows + row, minlength=reps * part.num_rows).reshape(reps, -1)
+                total += weights.astype(float) @ rows_to_matrix(part.column("_g"))
+        if used:
+            for first in range(0, reps, TOGETHER):
+                yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([total[first : first + TOGETHER].ravel()], pa.list_(pa.float64()))], names=["first", "_g"])
 
     def solve(rep: int, flat: np.ndarray) -> dict[str, object]:
-        row: dict[str, object] = {"rep": rep, "n": int(flat[-1]), "success": True, "message": ""} | dict.fromkeys(names)
+        row: dict[str, object] = {"rep": rep, "n": round(flat[-1]), "success": True, "message": ""} | dict.fromkeys(names)
         try:
             beta = np.linalg.solve(flat[: p * p].reshape(p, p) + ridge * np.eye(p), flat[p * p : -1])
         except np.linalg.LinAlgError as error:
@@ -498,37 +610,75 @@ def contrast_bootstrap(df: DataFrame, spec: AdditiveSpec, rho: float, reps: int,
             return row | {"success": False, "message": "nonfinite coefficients"}
         return row | dict(zip(names, (float(v) for v in m @ beta)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rep, total = None, None
-        for batch in batches:
-            done = []
-            for r, g in zip(batch["rep"].tolist(), batch["_g"]):
-                if r != rep and rep is not None:
-                    done.append(solve(rep, total))
-                rep, total = r, (g.copy() if r != rep else total + g)
-            if done:
-                yield pd.DataFrame(done)
-        if rep is not None:
-            yield pd.DataFrame([solve(rep, total)])
+    kinds = pa.schema([("rep", pa.int32()), ("n", pa.int64()), ("success", pa.bool_()), ("message", pa.string()), *[(n, pa.float64()) for n in names]])
 
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, total = None, None
+        for batch in batches:
+            for i, f in enumerate(batch.column("first").to_pylist()):
+                g = batch.column("_g")[i].values.to_numpy()
+                if f != first and first is not None:
+                    yield pa.RecordBatch.from_pylist([solve(first + k + 1, x) for k, x in enumerate(total.reshape(-1, cells))], schema=kinds)
+                first, total = f, (g.copy() if f != first else total + g)
+        if first is not None:
+            yield pa.RecordBatch.from_pylist([solve(first + k + 1, x) for k, x in enumerate(total.reshape(-1, cells))], schema=kinds)
+
+    sums = rows.mapInArrow(multiply, "first int, _g array<double>")
     schema = "rep int, n long, success boolean, message string, " + ", ".join(f"{n} double" for n in names)
-    solved = sums.repartition("rep").sortWithinPartitions("rep").mapInPandas(run, schema)
-    return solved.withColumn("category", classify_message("message"))
+    return sums.repartition("first").sortWithinPartitions("first").mapInArrow(finish, schema).withColumn("category", classify_message("message"))
 
 
-def bootstrap_attempts(df: DataFrame, spec: AdditiveSpec, rho: float, target: int, limit: int, seed: int) -> tuple[DataFrame, DataFrame]:
+def bootstrap_attempts(
+    df: DataFrame, spec: AdditiveSpec, rho: float, target: int, limit: int, seed: int, moments: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(attempts used, their ledger): attempts run in order until `target` succeed, at most `limit`; see `attempt_ledger`."""
-    attempts = cut_lineage(contrast_bootstrap(df, spec, rho, limit, seed))
+    attempts = cut_lineage(contrast_bootstrap(df, spec, rho, limit, seed, moments=moments))
     ledger = attempt_ledger(attempts, "rep", "success", "category", target)
     before = Window.orderBy("rep").rowsBetween(Window.unboundedPreceding, -1)  # one row per attempt: bounded by `limit`
     done = F.coalesce(F.sum(F.col("success").cast("int")).over(before), F.lit(0))
     return attempts.withColumn("_done", done).where(F.col("_done") < target).drop("_done"), ledger
 
 
+def year_totals(df: DataFrame, spec: AdditiveSpec, rho: float, years: Sequence[int], year: str = "year") -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Total Gram and cross-product with each year left out, from one pass over the rows for any number of years.
+
+    An entity's moments without a year are its moments, less those of the rows in that year, less those of a row whose
+    predecessor lies in it, plus what that row adds as the start of a section. Only years that an entity has make a
+    difference, so a task keeps one total and one correction a year.
+    """
+    keys, p, penalty, s = [spec.site], spec.width, spec.site_ridge, float(np.sqrt(1.0 - rho * rho))
+    rows = _entity_rows(df, spec, extra=[F.col(year).cast("long").alias("_year")])
+
+    def flat(w: np.ndarray) -> np.ndarray:
+        gram, cross, *_ = absorbed(w[None], penalty)
+        return np.concatenate([gram.ravel(), cross.ravel()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, change = np.zeros(p * p + p), {y: np.zeros(p * p + p) for y in years}
+        for _, run_ in site_runs(batches, keys):
+            v, t, own = run_["_v"], run_["_t"], run_["_year"]
+            joined = np.concatenate([[False], np.diff(t) <= 1])
+            before = np.concatenate([v[:1], v[:-1]])
+            w = np.where(joined[:, None], (v - rho * before) / s, v)
+            full = w.T @ w
+            kept = flat(full)
+            whole += kept
+            for y in set(own.tolist()) & change.keys():
+                out = own == y
+                after = joined & ~out & np.concatenate([[False], out[:-1]])
+                change[y] += flat(full - w[out].T @ w[out] - w[after].T @ w[after] + v[after].T @ v[after]) - kept
+        levels = [None, *years]
+        yield pa.RecordBatch.from_arrays([pa.array(levels, pa.int64()), pa.array([whole, *change.values()], pa.list_(pa.float64()))], names=["omitted", "_g"])
+
+    found = _add_cells(rows.mapInArrow(run, "omitted long, _g array<double>"), "omitted")
+    return {y: _split(found[None] + found[y], p) for y in years}
+
+
 def loyo_refit(df: DataFrame, spec: AdditiveSpec, rho: float, years: Sequence[int], full: AdditiveFit) -> DataFrame:
     """A - B with each year left out: estimate, sign agreement and relative change from the full fit."""
-    copies = leave_one_year_out(df, [spec.site], spec.time, years).drop("section", "section_start")
-    fit = additive_surface_fit(copies, spec, rho, by="omitted_year")
+    fit = AdditiveFit(spec, rho, {})
+    for y, (gram, cross) in year_totals(df, spec, rho, years).items():
+        fit.coefficients[y] = np.linalg.solve(gram + spec.ridge * np.eye(len(cross)), cross)
     main = float(contrast_matrix(spec)[-1] @ full.coefficients["all"])
     out = surface_contrasts(df.sparkSession, fit).where(F.col("contrast") == "A_minus_B").withColumnRenamed("analysis", "omitted_year")
     return (

@@ -254,7 +254,13 @@ def rho(t: Tables):
 def _fitted(t: Tables) -> tuple[DataFrame, op.AdditiveFit]:
     """The primary rows and the model with its estimated autocorrelation."""
     rows = _primary(t)
-    return rows, op.estimate_rho(rows, SPEC)[0]
+    return rows, op.fit_with_rho(rows, SPEC)[0]
+
+
+def _attempts(t: Tables) -> tuple[DataFrame, DataFrame]:
+    rows = _primary(t)
+    fit, moments = op.fit_with_rho(rows, SPEC)
+    return op.bootstrap_attempts(rows, SPEC, fit.rho, SUCCESSES, ATTEMPTS, SEED, moments)
 
 
 @query("k09_surface_contrasts")
@@ -269,14 +275,12 @@ def invariance(t: Tables):
 
 @query("k10_contrast_bootstrap")
 def contrast_bootstrap(t: Tables):
-    rows, fit = _fitted(t)
-    return op.bootstrap_attempts(rows, SPEC, fit.rho, SUCCESSES, ATTEMPTS, SEED)[0]
+    return _attempts(t)[0]
 
 
 @query("k10_bootstrap_ledger")
 def bootstrap_ledger(t: Tables):
-    rows, fit = _fitted(t)
-    return op.bootstrap_attempts(rows, SPEC, fit.rho, SUCCESSES, ATTEMPTS, SEED)[1]
+    return _attempts(t)[1]
 
 
 @query("k11_surface_grid_predict")
@@ -313,7 +317,7 @@ def _analyses(rows: DataFrame) -> list[op.Analysis]:
 @query("k13_sensitivity_suite")
 def sensitivity(t: Tables):
     rows = _analysis(t)
-    rho = op.estimate_rho(rows.where(F.col("eligible_primary") == 1), SPEC)[0].rho
+    rho = op.fit_with_rho(rows.where(F.col("eligible_primary") == 1), SPEC)[0].rho
     return op.sensitivity_suite(rows, _analyses(rows), rho)
 
 
