@@ -1,15 +1,22 @@
 """Cluster resampling from per-cluster sufficient statistics.
 
-Raw rows are never resampled. A replicate is a set of drawn cluster positions; every draw brings the
-cluster's sums, and the sums of a replicate are the metric. Draws come from a hash of
-(seed, replicate, position), so they do not depend on partitioning and a lost executor recomputes
-the same draws.
+Raw rows are never resampled. A replicate is a multiplicity per cluster, and the sums of a replicate are the weighted sums
+of its clusters: a task multiplies (replicates x clusters) with (clusters x sums) for the clusters it holds and adds up
+everything before the shuffle, so what moves is one row per replicate, level and task, however many clusters there are.
+
+Two kinds of draws, both independent of partitioning and recomputed identically after a failure. `hash` draws are hashes
+of (seed, replicate, position), which other engines can repeat; every drawn position travels once. `split` draws deal the
+n draws of a replicate down a binary tree of cluster blocks, binomially and seeded per node, so a task makes the
+multiplicities of its own blocks and no draw is ever shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,39 +55,137 @@ def draw(indexed: DataFrame, reps: int, seed: int, stratum: Sequence[str] = ())
     return spread.select(*stratum, "rep", "position", picked.alias("_pos"))
 
 
-def multiplicities(df: DataFrame, cluster: Sequence[str], reps: int, seed: int, stratum: Sequence[str] = ()) -> DataFrame:
+#: Clusters of a leaf of the tree of split draws, and numbers that a task adds up before it sends them on.
+LEAF, HELD = 256, 4_000_000
+
+
+def _generator(*parts: object) -> np.random.Generator:
+    return np.random.Generator(np.random.Philox(int.from_bytes(hashlib.blake2b(repr(parts).encode(), digest_size=16).digest(), "little")))
+
+
+def split_counts(n: int, block: int, reps: int, seed: int, stratum: tuple = (), leaf: int = LEAF) -> np.ndarray:
+    """(reps, clusters of the block): how often each is among the n draws of every replicate.
+
+    From the root, all n draws are dealt to the two halves of a node's blocks in proportion to their clusters; at the leaf
+    they are dealt to its clusters. A node's generator depends on the seed and the node alone, so whoever computes a
+    block finds the same counts and the blocks of a replicate add up to exactly n.
+    """
+    lo, hi = 0, -(-n // leaf)
+    counts = np.full(reps, n, np.int64)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        left = _generator(seed, stratum, lo, hi).binomial(counts, (mid - lo) * leaf / (min(hi * leaf, n) - lo * leaf))
+        counts, lo, hi = (left, lo, mid) if block < mid else (counts - left, mid, hi)
+    width = min(hi * leaf, n) - lo * leaf
+    return _generator(seed, stratum, lo, "leaf").multinomial(counts, np.full(width, 1.0 / width))
+
+
+def multiplicities(df: DataFrame, cluster: Sequence[str], reps: int, seed: int, stratum: Sequence[str] = (), draws: str = "hash") -> DataFrame:
     """How often each cluster is drawn in each replicate; undrawn clusters are absent."""
     indexed = index_clusters(df, cluster, stratum)
+    if draws == "split":
+        drawn = _split_reps(indexed, reps, seed, stratum)
+        return drawn.select(*stratum, *cluster, F.explode("_reps").alias("rep")).groupBy(*stratum, "rep", *cluster).agg(F.count(F.lit(1)).alias("multiplicity"))
     counts = draw(indexed, reps, seed, stratum).groupBy(*stratum, "rep", "_pos").agg(F.count(F.lit(1)).alias("multiplicity"))
     return counts.join(indexed, [*stratum, "_pos"]).select(*stratum, "rep", *cluster, "multiplicity")
 
 
+def _split_reps(packed: DataFrame, reps: int, seed: int, stratum: Sequence[str]) -> DataFrame:
+    """`packed`, one row per cluster, with `_reps`: the replicates it is drawn in, repeated as often as it is drawn.
+
+    Rows are laid together by block, so a task makes a block's counts once.
+    """
+    rows = packed.withColumn("_blk", F.floor(F.col("_pos") / LEAF)).repartition(*stratum, "_blk").sortWithinPartitions(*stratum, "_blk")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", _reps array<int>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = None, np.zeros((reps, 0), np.int64)
+        for batch in batches:
+            heads = list(zip(*[batch.column(c).to_pylist() for c in (*stratum, "_n", "_blk", "_pos")]))
+            drawn = []
+            for *head, at in heads:
+                if head != known:
+                    known = head
+                    counts = split_counts(head[-2], head[-1], reps, seed, tuple(head[:-2]))
+                drawn.append(np.repeat(np.arange(1, reps + 1, dtype=np.int32), counts[:, at - head[-1] * LEAF]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(drawn, pa.list_(pa.int32()))], names=[*batch.schema.names, "_reps"])
+
+    return rows.mapInArrow(run, fields).drop("_blk")
+
+
 def replicate_sums(
-    stats: DataFrame, cluster: Sequence[str], sums: Sequence[str], reps: int, seed: int, by: Sequence[str] = (), stratum: Sequence[str] = ()
+    stats: DataFrame, cluster: Sequence[str], sums: Sequence[str], reps: int, seed: int, by: Sequence[str] = (), stratum: Sequence[str] = (), draws: str = "hash"
 ) -> DataFrame:
-    """Sums per (stratum, rep, by). All `by` levels share the same draws.
+    """Sums per (stratum, rep, by). All `by` levels, a handful, share the same draws.
 
-    The statistics are materialised once: they are far smaller than the rows behind them and are
-    read for the index and for the join. A drawn position joins the statistics directly; counting multiplicities first would only add
-    a shuffle. Statistics are one row per (cluster, by), so the join keys are spread evenly.
+    The statistics are materialised once: they are far smaller than the rows behind them and are read for the index and
+    for the join. A cluster's levels travel as one row with the replicates it is drawn in; see the head of this module.
+    Sums must not be null.
     """
     stats = cut_lineage(stats.select(*stratum, *cluster, *by, *sums))
     indexed = index_clusters(stats, cluster, stratum)
-    placed = stats.join(indexed, [*stratum, *cluster]).select(*stratum, "_pos", *by, *sums)
-    drawn = draw(indexed, reps, seed, stratum).select(*stratum, "rep", "_pos")
-    return drawn.join(placed, [*stratum, "_pos"]).groupBy(*stratum, "rep", *by).agg(*[F.sum(s).alias(s) for s in sums])
-
-
-def cluster_bootstrap(stats: DataFrame, cluster: Sequence[str], reps: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
+    level = F.struct(*by, *[F.col(c).cast("double").alias(c) for c in sums])
+    packed = stats.join(indexed, [*stratum, *cluster]).groupBy(*stratum, "_pos", "_n").agg(F.collect_list(level).alias("_levels"))
+    if draws == "split":
+        drawn = _split_reps(packed, reps, seed, stratum)
+    else:
+        picks = draw(indexed, reps, seed, stratum).groupBy(*stratum, "_pos").agg(F.collect_list("rep").alias("_reps"))  # some `reps` each
+        drawn = packed.join(picks, [*stratum, "_pos"])
+    partial = _weighted_sums(drawn.select(*stratum, "_levels", "_reps"), stratum, by, sums, reps)
+    return partial.groupBy(*stratum, "rep", *by).agg(*[F.sum(s).alias(s) for s in sums])
+
+
+def _weighted_sums(drawn: DataFrame, stratum: Sequence[str], by: Sequence[str], sums: Sequence[str], reps: int, block: int = 512) -> DataFrame:
+    """(stratum, by, rep, sums) of the clusters of each task; replicates without a draw of a level are absent."""
+    inner = drawn.schema["_levels"].dataType.elementType
+    kinds = {f.name: f.dataType.simpleString() for f in [*drawn.select(*stratum).schema, *inner] if f.name in (*stratum, *by)}
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in (*stratum, *by)], "rep int", *[f"`{c}` double" for c in sums]])
+
+    def rows_of(held: dict, fields: list) -> Iterator[pa.RecordBatch]:
+        for key, (total, hits) in held.items():
+            on = np.flatnonzero(hits)
+            heads = [pa.array([v] * len(on), t) for v, t in zip(key, fields)]
+            yield pa.RecordBatch.from_arrays([*heads, pa.array((on + 1).astype(np.int32)), *[pa.array(total[on, i]) for i in range(len(sums))]], names=[*stratum, *by, "rep", *sums])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        fields: list = []
+        for batch in batches:
+            for start in range(0, batch.num_rows, block):
+                part = batch.slice(start, block)
+                m, reps_of, levels = part.num_rows, part.column("_reps"), part.column("_levels")
+                row = np.repeat(np.arange(m), reps_of.value_lengths().to_numpy())
+                weights = np.bincount((reps_of.flatten().to_numpy() - 1) * m + row, minlength=reps * m).reshape(reps, m).astype(float)
+                owner, flat = np.repeat(np.arange(m), levels.value_lengths().to_numpy()), levels.flatten()
+                fields = [part.schema.field(c).type for c in stratum] + [flat.type.field(c).type for c in by]
+                values = np.column_stack([flat.field(c).to_numpy(zero_copy_only=False) for c in sums])
+                heads = [[part.column(c)[i].as_py() for i in owner.tolist()] for c in stratum] + [flat.field(c).to_pylist() for c in by]
+                keys = list(zip(*heads)) if heads else [()] * len(owner)
+                code = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+                at = np.fromiter((code[k] for k in keys), np.int64, len(keys))
+                for k, i in code.items():
+                    mine = at == i
+                    w = weights[:, owner[mine]]
+                    total, hits = held.get(k, (0.0, 0.0))
+                    held[k] = (total + w @ values[mine], hits + w.sum(axis=1))
+                if len(held) * reps * len(sums) > HELD:
+                    yield from rows_of(held, fields)
+                    held = {}
+        yield from rows_of(held, fields)
+
+    return drawn.mapInArrow(run, schema)
+
+
+def cluster_bootstrap(stats: DataFrame, cluster: Sequence[str], reps: int, seed: int, by: Sequence[str] = (), draws: str = "hash") -> DataFrame:
     """Replicate metrics (rep, by, metrics)."""
-    return metrics_from_sums(replicate_sums(stats, cluster, SUMS, reps, seed, by), ["rep", *by])
+    return metrics_from_sums(replicate_sums(stats, cluster, SUMS, reps, seed, by, draws=draws), ["rep", *by])
 
 
 def multi_seed_bootstrap(
-    stats: DataFrame, cluster: Sequence[str], reps: int, seed: int, model_seed: str = "seed", by: Sequence[str] = ()
+    stats: DataFrame, cluster: Sequence[str], reps: int, seed: int, model_seed: str = "seed", by: Sequence[str] = (), draws: str = "hash"
 ) -> DataFrame:
     """Metric per model seed inside each replicate, then the mean over model seeds."""
-    per = cluster_bootstrap(stats, cluster, reps, seed, [*by, model_seed])
+    per = cluster_bootstrap(stats, cluster, reps, seed, [*by, model_seed], draws)
     return per.groupBy("rep", *by).agg(*[F.avg(m).alias(m) for m in METRICS])
 
 
@@ -152,69 +257,79 @@ def simultaneous_interval(estimates: DataFrame, draws: DataFrame, name: str, val
 # --- stratified resampling of entity tables -------------------------------------------------
 
 def stratified_replicates(
-    df: DataFrame, stratum: str, cluster: str, group: str, value: str, reps: int, seed: int, extra: Sequence[str] = ()
+    df: DataFrame, stratum: str, cluster: str, group: str, value: str, reps: int, seed: int, extra: Sequence[str] = (), by: Sequence[str] = (), draws: str = "hash"
 ) -> DataFrame:
-    """Mean of `value` (and `extra`) per (stratum, rep, group) over clusters redrawn within their stratum.
+    """Mean of `value` (and `extra`) per (stratum, by, rep, group) over clusters redrawn within their stratum.
 
-    `df` is long: one row per (stratum, cluster, group), every cluster holding every group.
+    `df` is long: one row per (stratum, cluster, by, group), every cluster holding every group. All levels of `by` (runs,
+    say) see the same draws.
     """
     stats = df.withColumn("_k", F.lit(1.0))
-    sums = replicate_sums(stats, [cluster], [value, *extra, "_k"], reps, seed, by=[group], stratum=[stratum])
-    return sums.select(stratum, "rep", group, *[(F.col(c) / F.col("_k")).alias(c) for c in (value, *extra)])
+    sums = replicate_sums(stats, [cluster], [value, *extra, "_k"], reps, seed, [*by, group], [stratum], draws)
+    return sums.select(stratum, *by, "rep", group, *[(F.col(c) / F.col("_k")).alias(c) for c in (value, *extra)])
 
 
 def stratified_bootstrap(
-    df: DataFrame, stratum: str, cluster: str, group: str, value: str, dominant: str, reps: int, seed: int
+    df: DataFrame, stratum: str, cluster: str, group: str, value: str, dominant: str, reps: int, seed: int, by: Sequence[str] = (), draws: str = "hash"
 ) -> DataFrame:
     """Intervals of group means and of the share of clusters a group dominates (`dominant` is 0/1)."""
-    df = cut_lineage(df.select(stratum, cluster, group, value, dominant))
-    point = df.groupBy(stratum, group).agg(F.count(F.lit(1)).alias("n_sites"), F.avg(value).alias("mean"), F.avg(dominant).alias("proportion"))
-    draws = stratified_replicates(df, stratum, cluster, group, value, reps, seed, [dominant])
-    ci = draws.groupBy(stratum, group).agg(
+    keys = [stratum, *by, group]
+    df = cut_lineage(df.select(*keys, cluster, value, dominant))
+    point = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_sites"), F.avg(value).alias("mean"), F.avg(dominant).alias("proportion"))
+    drawn = stratified_replicates(df, stratum, cluster, group, value, reps, seed, [dominant], by, draws)
+    ci = drawn.groupBy(*keys).agg(
         F.percentile(value, 0.025).alias("mean_lower"), F.percentile(value, 0.975).alias("mean_upper"),
         F.percentile(dominant, 0.025).alias("proportion_lower"), F.percentile(dominant, 0.975).alias("proportion_upper"),
     )
-    return point.join(ci, [stratum, group])
+    return point.join(ci, keys)
 
 
-def share_bootstrap(df: DataFrame, stratum: str, cluster: str, group: str, value: str, reps: int, seed: int) -> DataFrame:
+def share_bootstrap(
+    df: DataFrame, stratum: str, cluster: str, group: str, value: str, reps: int, seed: int, by: Sequence[str] = (), draws: str = "hash"
+) -> DataFrame:
     """Interval of each group's share of the stratum total."""
-    def share(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    def share(rows: DataFrame, within: Sequence[str]) -> DataFrame:
         # a handful of groups per partition
-        total = F.sum(value).over(Window.partitionBy(*by))
+        total = F.sum(value).over(Window.partitionBy(*within))
         return rows.withColumn("share", safe_divide(F.col(value), total))
 
-    df = cut_lineage(df.select(stratum, cluster, group, value))
-    point = share(df.groupBy(stratum, group).agg(F.count(F.lit(1)).alias("n_sites"), F.avg(value).alias(value)), [stratum])
-    draws = share(stratified_replicates(df, stratum, cluster, group, value, reps, seed), [stratum, "rep"])
-    ci = draws.groupBy(stratum, group).agg(F.percentile("share", 0.025).alias("lower"), F.percentile("share", 0.975).alias("upper"))
-    return point.select(stratum, group, "n_sites", "share").join(ci, [stratum, group])
+    keys = [stratum, *by, group]
+    df = cut_lineage(df.select(*keys, cluster, value))
+    point = share(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_sites"), F.avg(value).alias(value)), [stratum, *by])
+    drawn = share(stratified_replicates(df, stratum, cluster, group, value, reps, seed, by=by, draws=draws), [stratum, *by, "rep"])
+    ci = drawn.groupBy(*keys).agg(F.percentile("share", 0.025).alias("lower"), F.percentile("share", 0.975).alias("upper"))
+    return point.select(*keys, "n_sites", "share").join(ci, keys)
 
 
-def rank_replicates(df: DataFrame, cluster: str, entity: str, total: str, count: str, reps: int, seed: int) -> DataFrame:
-    """Importance (sum / count over redrawn clusters) and its average-tie rank per replicate."""
-    sums = replicate_sums(df, [cluster], [total, count], reps, seed, by=[entity])
-    values = sums.select("rep", entity, safe_divide(total, count).alias("importance"))
-    return average_rank(values, "importance", "rank", by=["rep"], descending=True, bounded=True)
+def rank_replicates(
+    df: DataFrame, cluster: str, entity: str, total: str, count: str, reps: int, seed: int, by: Sequence[str] = (), draws: str = "hash"
+) -> DataFrame:
+    """Importance (sum / count over redrawn clusters) and its average-tie rank per replicate and level of `by`."""
+    sums = replicate_sums(df, [cluster], [total, count], reps, seed, [*by, entity], draws=draws)
+    values = sums.select("rep", *by, entity, safe_divide(total, count).alias("importance"))
+    return average_rank(values, "importance", "rank", by=["rep", *by], descending=True, bounded=True)
 
 
-def rank_bootstrap(df: DataFrame, cluster: str, entity: str, total: str, count: str, reps: int, seed: int, top: int = 5) -> DataFrame:
+def rank_bootstrap(
+    df: DataFrame, cluster: str, entity: str, total: str, count: str, reps: int, seed: int, top: int = 5, by: Sequence[str] = (), draws: str = "hash"
+) -> DataFrame:
     """Importance interval, rank distribution summary and probability of a rank within `top`."""
-    df = cut_lineage(df.select(cluster, entity, total, count))
-    point = df.groupBy(entity).agg(safe_divide(F.sum(total), F.sum(count)).alias("importance"))
-    r = rank_replicates(df, cluster, entity, total, count, reps, seed)
+    keys = [*by, entity]
+    df = cut_lineage(df.select(cluster, *keys, total, count))
+    point = df.groupBy(*keys).agg(safe_divide(F.sum(total), F.sum(count)).alias("importance"))
+    r = rank_replicates(df, cluster, entity, total, count, reps, seed, by, draws)
     q = {"rank_p025": 0.025, "rank_q25": 0.25, "median_rank": 0.5, "rank_q75": 0.75, "rank_p975": 0.975}
-    summary = r.groupBy(entity).agg(
+    summary = r.groupBy(*keys).agg(
         F.percentile("importance", 0.025).alias("lower"), F.percentile("importance", 0.975).alias("upper"), F.avg("rank").alias("mean_rank"),
         *[F.percentile("rank", p).alias(k) for k, p in q.items()], F.avg((F.col("rank") <= top).cast("int")).alias("top_probability"),
         F.count(F.lit(1)).alias("replicates"),
     )
-    return point.join(summary, entity)
+    return point.join(summary, keys)
 
 
-def rank_distribution(ranks: DataFrame, entity: str, reps: int) -> DataFrame:
+def rank_distribution(ranks: DataFrame, entity: str, reps: int, by: Sequence[str] = ()) -> DataFrame:
     """Probability of each rank per entity."""
-    return ranks.groupBy(entity, "rank").agg((F.count(F.lit(1)) / F.lit(float(reps))).alias("probability"))
+    return ranks.groupBy(*by, entity, "rank").agg((F.count(F.lit(1)) / F.lit(float(reps))).alias("probability"))
 
 
 def relative_difference(reference: Column, candidate: Column) -> Column:

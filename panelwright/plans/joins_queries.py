@@ -71,10 +71,10 @@ def draws_sql(reps: int, source: str, seed: int = SEED) -> str:
   drawn AS (SELECT d.rep, d.position, u.site FROM draws d JOIN units u ON u.pos = d.hit)"""
 
 
-@query("f09_replicate", with_(T.PANEL + ", " + draws_sql(20, "panel"), "SELECT rep AS attempt, count(*) AS n, sum(target) AS total FROM drawn JOIN panel USING (site) GROUP BY rep"), "total", digits=6)
+@query("f09_replicate", with_(T.PANEL + ", " + draws_sql(2000, "panel"), "SELECT rep AS attempt, count(*) AS n, sum(target) AS total FROM drawn JOIN panel USING (site) GROUP BY rep"), "total", digits=6)
 def replicate(t: Tables):
     rows = t.panel.select("site", "target")
-    copies = op.replicate(rows, resampling.draw_sequence(rows, "site", 20, SEED).select("attempt", "site", "copy"), "site")
+    copies = op.replicate(rows, resampling.draw_sequence(rows, "site", 2000, SEED).select("attempt", "site", "copy"), "site")
     return copies.groupBy("attempt").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("total"))
 
 

@@ -17,7 +17,7 @@ from panelwright.session import cut_lineage
 from panelwright.plans.tables import FEATURES, METRICS_SQL, SEED, TEST_START, TRAIN_END, WINDOW, Tables, with_
 
 FOLDS = list(range(5))
-REPS = 200
+REPS = 5000
 SUCCESSES, ATTEMPTS = 2000, 2100
 # The ridge penalties.
 ALPHAS = [1e-6, 1e-5, 1e-4, 1e-3, 1e-2, 1e-1, 1.0, 10.0, 100.0, 1000.0, 10000.0, 100000.0, 1000000.0]

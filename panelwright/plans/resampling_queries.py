@@ -9,7 +9,8 @@ from panelwright.plans.joins_queries import draws_sql
 from panelwright.plans.registry import query
 from panelwright.plans.tables import GROUPS, METRICS_SQL, SEED, Tables, with_
 
-REPS = 200
+#: The reference's counts: metrics of one model, and comparisons of resampled tables.
+REPS, COPIES = 5000, 2000
 M = " ".join(METRICS)
 ENV = list(GROUPS)
 
@@ -85,12 +86,12 @@ def draw_sequence(t: Tables):
     return op.draw_sequence(t.sites, "site", REPS, SEED)
 
 
-@query("h08_resample_panel", with_(T.PANEL + ", " + draws_sql(20, "panel"), """, copies AS (SELECT rep AS attempt, d.site, row_number() OVER (PARTITION BY rep, d.site ORDER BY position)::INT AS copy FROM drawn d),
+@query("h08_resample_panel", with_(T.PANEL + ", " + draws_sql(COPIES, "panel"), """, copies AS (SELECT rep AS attempt, d.site, row_number() OVER (PARTITION BY rep, d.site ORDER BY position)::INT AS copy FROM drawn d),
   rows_ AS (SELECT attempt, c.site, copy, period, coalesce(period - lag(period) OVER (PARTITION BY attempt, c.site, copy ORDER BY period) > 1, true) AS s FROM copies c JOIN panel p ON p.site = c.site)
   SELECT attempt, count(*) AS n_rows, sum(s::INT)::BIGINT AS n_sections, count(DISTINCT (site, copy)) AS n_series FROM rows_ GROUP BY attempt"""))
 def resample_panel(t: Tables):
     rows = t.panel.select("site", "period")
-    out = op.resample_panel(rows, op.draw_sequence(rows, "site", 20, SEED), "site", "period")
+    out = op.resample_panel(rows, op.draw_sequence(rows, "site", COPIES, SEED), "site", "period")
     return out.groupBy("attempt").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("section_start").cast("int")).alias("n_sections"), F.count_distinct("site", "copy").alias("n_series")
     )
@@ -115,55 +116,52 @@ SHARES = T.ATTRIBUTIONS + """, si AS (SELECT run, site, class, feature, sum(abs(
   shares AS (SELECT *, group_abs / sum(group_abs) OVER (PARTITION BY run, site) AS share, (group_abs = max(group_abs) OVER (PARTITION BY run, site))::INT AS dominant FROM gs)"""
 
 
-def site_shares(t: Tables, run: str | None = None):
-    rows = t.attributions if run is None else t.attributions.where(F.col("run") == run)
-    sites = attribution.site_importance(rows, ["run"], ["site", "class"])
+def site_shares(t: Tables):
+    sites = attribution.site_importance(t.attributions, ["run"], ["site", "class"])
     shares = attribution.site_group_shares(sites, ["run", "class"], "site", GROUPS, ENV)
     return shares
 
 
-STRATIFIED = SHARES + f""", one AS (SELECT * FROM shares WHERE run = 'r1'),
-  units AS (SELECT class, site, row_number() OVER (PARTITION BY class ORDER BY site) - 1 AS pos, count(*) OVER (PARTITION BY class) AS n FROM (SELECT DISTINCT class, site FROM one)),
+STRATIFIED = SHARES + f""", units AS (SELECT class, site, row_number() OVER (PARTITION BY class ORDER BY site) - 1 AS pos, count(*) OVER (PARTITION BY class) AS n FROM (SELECT DISTINCT class, site FROM shares)),
   draws AS (SELECT class, rep::INT AS rep, (('0x' || substr(md5('{SEED}:' || class || ':' || rep || ':' || pos), 1, 15))::BIGINT % n) AS hit FROM units, range(1, {REPS} + 1) r(rep)),
   drawn AS (SELECT d.class, d.rep, u.site FROM draws d JOIN units u ON u.class = d.class AND u.pos = d.hit),
-  srep AS (SELECT o.class, rep, "group", avg(group_abs) AS group_abs, avg(dominant) AS dominant FROM drawn d JOIN one o ON o.class = d.class AND o.site = d.site GROUP BY ALL)"""
+  srep AS (SELECT o.class, run, rep, "group", avg(group_abs) AS group_abs, avg(dominant) AS dominant FROM drawn d JOIN shares o ON o.class = d.class AND o.site = d.site GROUP BY ALL)"""
 
 
-@query("h10_stratified_bootstrap", with_(STRATIFIED, """SELECT p.class, p."group", n_sites, mean, proportion, mean_lower, mean_upper, proportion_lower, proportion_upper
-  FROM (SELECT class, "group", count(*) AS n_sites, avg(group_abs) AS mean, avg(dominant) AS proportion FROM one GROUP BY ALL) p JOIN
-  (SELECT class, "group", quantile_cont(group_abs, 0.025) AS mean_lower, quantile_cont(group_abs, 0.975) AS mean_upper, quantile_cont(dominant, 0.025) AS proportion_lower, quantile_cont(dominant, 0.975) AS proportion_upper FROM srep GROUP BY ALL) c
-  ON c.class = p.class AND c."group" = p."group\""""), "mean proportion mean_lower mean_upper proportion_lower proportion_upper", digits=7)
+@query("h10_stratified_bootstrap", with_(STRATIFIED, """SELECT p.class, p.run, p."group", n_sites, mean, proportion, mean_lower, mean_upper, proportion_lower, proportion_upper
+  FROM (SELECT class, run, "group", count(*) AS n_sites, avg(group_abs) AS mean, avg(dominant) AS proportion FROM shares GROUP BY ALL) p JOIN
+  (SELECT class, run, "group", quantile_cont(group_abs, 0.025) AS mean_lower, quantile_cont(group_abs, 0.975) AS mean_upper, quantile_cont(dominant, 0.025) AS proportion_lower, quantile_cont(dominant, 0.975) AS proportion_upper FROM srep GROUP BY ALL) c
+  ON c.class = p.class AND c.run = p.run AND c."group" = p."group\""""), "mean proportion mean_lower mean_upper proportion_lower proportion_upper", digits=7)
 def stratified(t: Tables):
-    return op.stratified_bootstrap(site_shares(t, "r1"), "class", "site", "group", "group_abs", "dominant", REPS, SEED)
+    return op.stratified_bootstrap(site_shares(t), "class", "site", "group", "group_abs", "dominant", REPS, SEED, ["run"])
 
 
-@query("h11_share_bootstrap", with_(STRATIFIED, """SELECT p.class, p."group", n_sites, share, lower, upper FROM (SELECT class, "group", n_sites, m / sum(m) OVER (PARTITION BY class) AS share FROM (SELECT class, "group", count(*) AS n_sites, avg(group_abs) AS m FROM one GROUP BY ALL)) p JOIN
-  (SELECT class, "group", quantile_cont(s, 0.025) AS lower, quantile_cont(s, 0.975) AS upper FROM (SELECT class, "group", group_abs / sum(group_abs) OVER (PARTITION BY class, rep) AS s FROM srep) GROUP BY ALL) c ON c.class = p.class AND c."group" = p."group\""""), "share lower upper", digits=7)
+@query("h11_share_bootstrap", with_(STRATIFIED, """SELECT p.class, p.run, p."group", n_sites, share, lower, upper FROM (SELECT class, run, "group", n_sites, m / sum(m) OVER (PARTITION BY class, run) AS share FROM (SELECT class, run, "group", count(*) AS n_sites, avg(group_abs) AS m FROM shares GROUP BY ALL)) p JOIN
+  (SELECT class, run, "group", quantile_cont(s, 0.025) AS lower, quantile_cont(s, 0.975) AS upper FROM (SELECT class, run, "group", group_abs / sum(group_abs) OVER (PARTITION BY class, run, rep) AS s FROM srep) GROUP BY ALL) c ON c.class = p.class AND c.run = p.run AND c."group" = p."group\""""), "share lower upper", digits=7)
 def share(t: Tables):
-    return op.share_bootstrap(site_shares(t, "r1"), "class", "site", "group", "group_abs", REPS, SEED)
+    return op.share_bootstrap(site_shares(t), "class", "site", "group", "group_abs", REPS, SEED, ["run"])
 
 
-RANKS = T.ATTRIBUTIONS + """, cs AS (SELECT site, feature, sum(abs(shap)) AS total, count(CASE WHEN lag = 1 THEN 1 END)::DOUBLE AS k FROM attributions WHERE run = 'r1' GROUP BY ALL), """ + draws_sql(REPS, "cs") + """,
-  imp AS (SELECT rep, feature, sum(total) / sum(k) AS importance FROM drawn JOIN cs USING (site) GROUP BY ALL),
-  rk AS (SELECT *, rank() OVER (PARTITION BY rep ORDER BY importance DESC) + (count(*) OVER (PARTITION BY rep, importance) - 1) / 2.0::DOUBLE AS rank FROM imp)"""
+RANKS = T.ATTRIBUTIONS + """, cs AS (SELECT run, site, feature, sum(abs(shap)) AS total, count(CASE WHEN lag = 1 THEN 1 END)::DOUBLE AS k FROM attributions GROUP BY ALL), """ + draws_sql(REPS, "cs") + """,
+  imp AS (SELECT run, rep, feature, sum(total) / sum(k) AS importance FROM drawn JOIN cs USING (site) GROUP BY ALL),
+  rk AS (SELECT *, rank() OVER (PARTITION BY run, rep ORDER BY importance DESC) + (count(*) OVER (PARTITION BY run, rep, importance) - 1) / 2.0::DOUBLE AS rank FROM imp)"""
 
 
 def _cluster_importance(t: Tables):
-    rows = t.attributions.where(F.col("run") == "r1")
-    return rows.groupBy("site", "feature").agg(F.sum(F.abs("shap")).alias("total"), F.count(F.when(F.col("lag") == 1, 1)).cast("double").alias("k"))
+    return t.attributions.groupBy("run", "site", "feature").agg(F.sum(F.abs("shap")).alias("total"), F.count(F.when(F.col("lag") == 1, 1)).cast("double").alias("k"))
 
 
-@query("h12_rank_bootstrap", with_(RANKS, """SELECT feature, p.importance, lower, upper, mean_rank, rank_p025, rank_q25, median_rank, rank_q75, rank_p975, top_probability, replicates FROM (SELECT feature, sum(total) / sum(k) AS importance FROM cs GROUP BY feature) p JOIN
-  (SELECT feature, quantile_cont(importance, 0.025) AS lower, quantile_cont(importance, 0.975) AS upper, avg(rank) AS mean_rank, quantile_cont(rank, 0.025) AS rank_p025, quantile_cont(rank, 0.25) AS rank_q25, quantile_cont(rank, 0.5) AS median_rank,
-   quantile_cont(rank, 0.75) AS rank_q75, quantile_cont(rank, 0.975) AS rank_p975, avg((rank <= 2)::INT) AS top_probability, count(*) AS replicates FROM rk GROUP BY feature) USING (feature)"""),
+@query("h12_rank_bootstrap", with_(RANKS, """SELECT run, feature, p.importance, lower, upper, mean_rank, rank_p025, rank_q25, median_rank, rank_q75, rank_p975, top_probability, replicates FROM (SELECT run, feature, sum(total) / sum(k) AS importance FROM cs GROUP BY ALL) p JOIN
+  (SELECT run, feature, quantile_cont(importance, 0.025) AS lower, quantile_cont(importance, 0.975) AS upper, avg(rank) AS mean_rank, quantile_cont(rank, 0.025) AS rank_p025, quantile_cont(rank, 0.25) AS rank_q25, quantile_cont(rank, 0.5) AS median_rank,
+   quantile_cont(rank, 0.75) AS rank_q75, quantile_cont(rank, 0.975) AS rank_p975, avg((rank <= 2)::INT) AS top_probability, count(*) AS replicates FROM rk GROUP BY ALL) USING (run, feature)"""),
   "importance lower upper mean_rank rank_p025 rank_q25 median_rank rank_q75 rank_p975 top_probability", digits=7)
 def rank_bootstrap(t: Tables):
-    return op.rank_bootstrap(_cluster_importance(t), "site", "feature", "total", "k", REPS, SEED, top=2)
+    return op.rank_bootstrap(_cluster_importance(t), "site", "feature", "total", "k", REPS, SEED, 2, ["run"])
 
 
-@query("h13_rank_distribution", with_(RANKS, f"SELECT feature, rank, count(*) / {REPS}::DOUBLE AS probability FROM rk GROUP BY ALL"), "rank probability")
+@query("h13_rank_distribution", with_(RANKS, f"SELECT run, feature, rank, count(*) / {REPS}::DOUBLE AS probability FROM rk GROUP BY ALL"), "rank probability")
 def rank_distribution(t: Tables):
-    return op.rank_distribution(op.rank_replicates(_cluster_importance(t), "site", "feature", "total", "k", REPS, SEED), "feature", REPS)
+    return op.rank_distribution(op.rank_replicates(_cluster_importance(t), "site", "feature", "total", "k", REPS, SEED, ["run"]), "feature", REPS, ["run"])
 
 
 @query("h14_relative_difference", with_(T.PREDICTIONS, f""", pm AS (SELECT model, fold, {METRICS_SQL} FROM predictions GROUP BY ALL)
@@ -184,3 +182,17 @@ def reproducibility(t: Tables):
     again = op.multiplicities(t.sites.repartition(7, "site"), ["site"], REPS, SEED).withColumn("_w", -F.col("multiplicity"))
     per = first.unionByName(again).groupBy("rep", "site").agg(F.sum("_w").alias("d"), F.max("_w").alias("m"))
     return per.agg(F.sum("m").alias("n_draws"), F.count(F.when(F.col("d") != 0, 1)).alias("n_different"))
+
+
+@query("h04_split_draws")
+def split_draws(t: Tables):
+    """Metrics of both models over replicates whose draws are dealt down a tree of cluster blocks; nothing is drawn twice or shuffled."""
+    draws = op.multi_seed_bootstrap(_stats(t), ["site"], REPS, SEED, by=["model"], draws="split")
+    return op.percentile_interval(op.metrics_long(draws, ["rep", "model"]), ["model", "metric"], "value")
+
+
+@query("h01_split_totals", with_(T.SITES, f"SELECT {REPS} AS replicates, count(*) AS lowest, count(*) AS highest FROM sites"))
+def split_totals(t: Tables):
+    """Every replicate of the split draws has as many draws as there are sites."""
+    per = op.multiplicities(t.sites, ["site"], REPS, SEED, draws="split").groupBy("rep").agg(F.sum("multiplicity").alias("n"))
+    return per.agg(F.count(F.lit(1)).cast("int").alias("replicates"), F.min("n").alias("lowest"), F.max("n").alias("highest"))
