@@ -59,23 +59,24 @@ def metrics_mean_sd(
 
 
 def grouped_metrics(
-    df: DataFrame, groupings: Sequence[str], seed: str = "seed", truth: str = "y_true", prediction: str = "y_pred"
+    df: DataFrame, groupings: Sequence[str], seed: str = "seed", truth: str = "y_true", prediction: str = "y_pred", by: Sequence[str] = ()
 ) -> DataFrame:
-    """Summaries over all rows and over each grouping column, from one set of grouping sets."""
+    """Summaries per level of `by` over all rows and over each grouping column, from one set of grouping sets."""
     y, p = F.col(truth), F.col(prediction)
-    base = df.select(seed, *groupings, y.alias("_y"), p.alias("_p"))
-    sets = [[F.col(seed)], *[[F.col(seed), F.col(g)] for g in groupings]]
+    base = df.select(*by, seed, *groupings, y.alias("_y"), p.alias("_p"))
+    always = [F.col(c) for c in (*by, seed)]
+    sets = [always, *[[*always, F.col(g)] for g in groupings]]
     aggs = _metric_aggs("_y", "_p")
-    per = base.groupingSets(sets, F.col(seed), *[F.col(g) for g in groupings]).agg(F.grouping_id().alias("_gid"), *aggs)
+    per = base.groupingSets(sets, *always, *[F.col(g) for g in groupings]).agg(F.grouping_id().alias("_gid"), *aggs)
     # grouping_id marks the columns left out of a set, first column in the highest bit
-    full = (1 << (len(groupings) + 1)) - 1
+    full = (1 << len(groupings)) - 1
     name, level = F.lit("all"), F.lit("all")
     for i, g in enumerate(groupings):
-        mine = full & ~(1 << len(groupings)) & ~(1 << (len(groupings) - 1 - i))
+        mine = full & ~(1 << (len(groupings) - 1 - i))
         name = F.when(F.col("_gid") == mine, g).otherwise(name)
         level = F.when(F.col("_gid") == mine, F.col(g).cast("string")).otherwise(level)
-    per = per.select(name.alias("grouping"), level.alias("level"), seed, "n", *METRICS)
-    return mean_sd_over(per, ["grouping", "level"])
+    per = per.select(*by, name.alias("grouping"), level.alias("level"), seed, "n", *METRICS)
+    return mean_sd_over(per, [*by, "grouping", "level"])
 
 
 def cluster_sufficient_stats(
@@ -159,12 +160,12 @@ def highest_by(df: DataFrame, by: Sequence[str], value: str, tie: Sequence[str])
 
 # --- diagnostics ----------------------------------------------------------------------------
 
-def residual_diagnostics(df: DataFrame, residual: str, fitted: str) -> DataFrame:
-    """One row: moments with the sample SD, quantiles, extremes, share of the largest square."""
+def residual_diagnostics(df: DataFrame, residual: str, fitted: str, by: Sequence[str] = ()) -> DataFrame:
+    """One row per level of `by`, few and not null: moments with the sample SD, quantiles, extremes, share of the largest square."""
     r, f = F.col(residual), F.col(fitted)
     n = F.count(r)
     ratio = (n - 1) / n
-    moments = df.agg(
+    moments = df.groupBy(*by).agg(
         n.alias("n"), F.avg(r).alias("residual_mean"), F.stddev_samp(r).alias("residual_sd"), F.min(r).alias("residual_min"),
         F.max(r).alias("residual_max"),
         (F.skewness(r) * F.pow(ratio, F.lit(1.5))).alias("residual_skewness"),
@@ -172,8 +173,8 @@ def residual_diagnostics(df: DataFrame, residual: str, fitted: str) -> DataFrame
         (F.max(r * r) / F.sum(r * r)).alias("largest_squared_share"), F.min(f).alias("fitted_min"), F.max(f).alias("fitted_max"),
         correlation(r, f).alias("residual_fitted_correlation"),
     )
-    q = exact_quantiles(df, residual, {"residual_q01": 0.01, "residual_q25": 0.25, "residual_median": 0.5, "residual_q75": 0.75, "residual_q99": 0.99})
-    return attach_row(moments, q.drop("n"))
+    q = exact_quantiles(df, residual, {"residual_q01": 0.01, "residual_q25": 0.25, "residual_median": 0.5, "residual_q75": 0.75, "residual_q99": 0.99}, by)
+    return moments.join(q.drop("n"), list(by)) if by else attach_row(moments, q.drop("n"))
 
 
 def attempt_ledger(df: DataFrame, attempt: str, success: str, category: str, target: int, batch: int = 50, max_failure: float = 0.05) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from panelwright.functions import classify_message, finite, safe_divide, to_long
 from panelwright.operators.checks import expect_finite, expect_same_keys, expect_unique
 from panelwright.operators.gram import gram_table, predict_levels, rows_to_matrix, solve_ridge
-from panelwright.operators.metrics import METRICS, attempt_ledger, cluster_sufficient_stats, metrics_from_sums, regression_metrics, select_best
+from panelwright.operators.metrics import METRICS, attempt_ledger, cluster_sufficient_stats, grid_winner, metrics_from_sums, regression_metrics, select_best
 from panelwright.operators.ordering import exact_quantiles
 from panelwright.operators.resampling import draw, index_clusters, metrics_long, multi_seed_bootstrap, percentile_interval
 from panelwright.operators.temporal import attach_row, lag1_autocorrelation, section_starts
@@ -142,28 +142,48 @@ def random_forest_grid(
     train: DataFrame, validation: DataFrame, features: str, target: str, trees: Sequence[int], depths: Sequence[int | None],
     leaves: Sequence[int], seed: int = 42,
 ) -> DataFrame:
-    """Validation metrics per setting with the distributed forest. `built_depth` is the depth it was built with: Spark stops at 30."""
+    """Validation metrics of every setting with the distributed forest, the winner marked `selected`.
+
+    A forest predicts the mean of its trees, so the settings of one shape share their trees: the smallest forest is fitted
+    first, each larger one adds a forest of the difference, and predictions are averaged by numbers of trees. Settings
+    that Spark builds alike (it stops at depth 30; `built_depth` is the depth it was built with) share their fits too.
+    Of equal squared errors the one with fewer trees wins, then the one of smaller depth (unlimited last), then the one of
+    larger leaves.
+    """
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import RandomForestRegressor
 
+    counts = sorted(trees)
+    shapes = list(dict.fromkeys((min(d or 30, 30), leaf) for d in depths for leaf in leaves))
     tr = train.select(array_to_vector(F.col(features)).alias("_v"), F.col(target).alias("y_true"))
     va = validation.select(array_to_vector(F.col(features)).alias("_v"), F.col(target).alias("y_true"))
     tr.persist()
-    out = None
-    for t in trees:
-        for d in depths:
-            for leaf in leaves:
-                built = min(d or 30, 30)
-                rf = RandomForestRegressor(
-                    featuresCol="_v", labelCol="y_true", predictionCol="y_pred", numTrees=t, maxDepth=built, minInstancesPerNode=leaf,
-                    featureSubsetStrategy="sqrt", seed=seed,
-                )
-                m = regression_metrics(rf.fit(tr).transform(va)).select(
-                    F.lit(t).alias("n_estimators"), F.lit(str(d)).alias("max_depth"), F.lit(built).alias("built_depth"), F.lit(leaf).alias("min_samples_leaf"), "n", *METRICS
-                )
-                out = m if out is None else out.unionByName(m)
+    for i, (built, leaf) in enumerate(shapes):
+        total = F.lit(0.0)
+        for j, t in enumerate(counts):
+            more = t - (counts[j - 1] if j else 0)
+            rf = RandomForestRegressor(
+                featuresCol="_v", labelCol="y_true", predictionCol="_p", numTrees=more, maxDepth=built, minInstancesPerNode=leaf,
+                featureSubsetStrategy="sqrt", seed=seed + j,
+            )
+            total = total + F.col("_p") * F.lit(float(more))
+            va = rf.fit(tr).transform(va).withColumn(f"_sum{i}_{j}", total)
+            total = F.col(f"_sum{i}_{j}")
+            va = va.drop("_p")
     tr.unpersist()
-    return out
+    # every prediction in one pass over validation; as many rows per row as settings
+    settings = [
+        F.struct(
+            F.lit(t).alias("n_estimators"), F.lit(str(d)).alias("max_depth"), F.lit(min(d or 30, 30)).alias("built_depth"), F.lit(leaf).alias("min_samples_leaf"),
+            (F.col(f"_sum{shapes.index((min(d or 30, 30), leaf))}_{j}") / F.lit(float(t))).alias("y_pred"),
+        )
+        for j, t in enumerate(counts) for d in depths for leaf in leaves
+    ]
+    keys = ["n_estimators", "max_depth", "built_depth", "min_samples_leaf"]
+    table = cut_lineage(regression_metrics(va.select("y_true", F.inline(F.array(*settings))), keys))
+    depth = F.when(F.col("max_depth") == "None", None).otherwise(F.col("max_depth").cast("int"))
+    best = grid_winner(table.withColumn("_all", F.lit(0)), ["_all"], "rmse", [F.col("n_estimators").asc(), depth.asc_nulls_last(), F.col("min_samples_leaf").desc()])
+    return table.join(F.broadcast(best.select(*keys, "tie", F.lit(True).alias("selected"))), keys, "left").withColumn("selected", F.coalesce("selected", F.lit(False)))  # one row
 
 
 # --- additive surface model -----------------------------------------------------------------

@@ -299,9 +299,9 @@ def annual_sums(df: DataFrame, keys: Sequence[str], truth: str, prediction: str,
     )
 
 
-def annual_means(annual: DataFrame, truth: str, prediction: str, year: str = "year") -> DataFrame:
-    """Mean over entities per year."""
-    return annual.groupBy(year).agg(
+def annual_means(annual: DataFrame, truth: str, prediction: str, year: str = "year", by: Sequence[str] = ()) -> DataFrame:
+    """Mean over entities per year and level of `by`."""
+    return annual.groupBy(*by, year).agg(
         F.count(F.lit(1)).alias("n_entities"), *[F.avg(c).alias(f"{c}_mean") for c in (truth, prediction, "residual")]
     )
 

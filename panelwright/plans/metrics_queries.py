@@ -27,9 +27,9 @@ GROUPINGS = ["month", "year", "decile", "fold"]
 
 
 def _deciles(t: Tables):
-    """Deciles of the first seed's truth, attached to every seed."""
-    rows = t.predictions.where(F.col("model") == "site_month")
-    first = rows.where(F.col("seed") == 1).select("site", "period", "y_true")
+    """Deciles of the truth, which all models and seeds share, attached to every row."""
+    rows = t.predictions
+    first = rows.where((F.col("model") == "site_month") & (F.col("seed") == 1)).select("site", "period", "y_true")
     placed = dense_index(first, ["y_true", "site", "period"], "_i")
     n = first.select(F.count(F.lit(1))).scalar()
     deciles = placed.select("site", "period", (F.floor(F.col("_i") * 10 / n) + 1).cast("int").alias("decile"))
@@ -37,14 +37,14 @@ def _deciles(t: Tables):
 
 
 _DEC = f""", dec AS (SELECT site, period, (floor((row_number() OVER (ORDER BY y_true, site, period) - 1) * 10 / count(*) OVER ()) + 1)::INT AS decile FROM predictions WHERE model = 'site_month' AND seed = 1),
-  pd AS (SELECT p.*, decile FROM predictions p JOIN dec USING (site, period) WHERE model = 'site_month')"""
+  pd AS (SELECT p.*, decile FROM predictions p JOIN dec USING (site, period))"""
 
 
-@query("g03_grouped_metrics", with_(P + _DEC, f"SELECT grouping, level, {MEAN_SD_SQL} FROM (" + " UNION ALL ".join(
-    f"SELECT '{g}' AS grouping, {e} AS level, seed, {METRICS_SQL} FROM pd GROUP BY ALL" for g, e in [("all", "'all'")] + [(c, f"{c}::VARCHAR") for c in GROUPINGS]
+@query("g03_grouped_metrics", with_(P + _DEC, f"SELECT model, grouping, level, {MEAN_SD_SQL} FROM (" + " UNION ALL ".join(
+    f"SELECT model, '{g}' AS grouping, {e} AS level, seed, {METRICS_SQL} FROM pd GROUP BY ALL" for g, e in [("all", "'all'")] + [(c, f"{c}::VARCHAR") for c in GROUPINGS]
 ) + ") GROUP BY ALL"), MEAN_SD_DOUBLES)
 def grouped_metrics(t: Tables):
-    return op.grouped_metrics(_deciles(t), GROUPINGS)
+    return op.grouped_metrics(_deciles(t), GROUPINGS, by=["model"])
 
 
 SUMS_SQL = T.sums_sql(3.0)
@@ -75,18 +75,17 @@ def oof(t: Tables):
     return op.oof_metrics(t.predictions, arm="model")
 
 
-SCORES = f", scores AS (SELECT fold, month AS window_id, seed, avg((y_pred - y_true) * (y_pred - y_true)) AS mse FROM predictions WHERE model = 'site_month' GROUP BY ALL)"
+SCORES = f", scores AS (SELECT model, fold, month AS window_id, seed, avg((y_pred - y_true) * (y_pred - y_true)) AS mse FROM predictions GROUP BY ALL)"
 
 
 def _scores(t: Tables):
-    rows = t.predictions.where(F.col("model") == "site_month")
-    return rows.groupBy("fold", F.col("month").alias("window_id"), "seed").agg(F.avg((F.col("y_pred") - F.col("y_true")) * (F.col("y_pred") - F.col("y_true"))).alias("mse"))
+    return t.predictions.groupBy("model", "fold", F.col("month").alias("window_id"), "seed").agg(F.avg((F.col("y_pred") - F.col("y_true")) * (F.col("y_pred") - F.col("y_true"))).alias("mse"))
 
 
-@query("g08_select_best", with_(P + SCORES, """SELECT *, row_number() OVER (PARTITION BY fold ORDER BY mean, median, window_id)::INT AS position, row_number() OVER (PARTITION BY fold ORDER BY mean, median, window_id) = 1 AS selected FROM (
-  SELECT fold, window_id, count(*) AS n_scores, avg(mse) AS mean, quantile_cont(mse, 0.5) AS median, stddev_samp(mse) AS sd, min(mse) AS min, max(mse) AS max FROM scores GROUP BY ALL)"""), "mean median sd min max")
+@query("g08_select_best", with_(P + SCORES, """SELECT *, row_number() OVER (PARTITION BY model, fold ORDER BY mean, median, window_id)::INT AS position, row_number() OVER (PARTITION BY model, fold ORDER BY mean, median, window_id) = 1 AS selected FROM (
+  SELECT model, fold, window_id, count(*) AS n_scores, avg(mse) AS mean, quantile_cont(mse, 0.5) AS median, stddev_samp(mse) AS sd, min(mse) AS min, max(mse) AS max FROM scores GROUP BY ALL)"""), "mean median sd min max")
 def select_best(t: Tables):
-    return op.select_best(_scores(t), "window_id", "mse", ["fold"])
+    return op.select_best(_scores(t), "window_id", "mse", ["model", "fold"])
 
 
 @query("g09_grid_winner", with_(T.PANEL, """, grid AS (SELECT class, month AS width, year AS depth, max(load) AS score FROM panel GROUP BY ALL)
@@ -97,17 +96,16 @@ def grid_winner(t: Tables):
     return op.grid_winner(grid, ["class"], "score", [F.col("width").asc(), F.col("depth").desc()])
 
 
-RES = ", res AS (SELECT y_pred - y_true AS r, y_pred AS f FROM predictions WHERE model = 'site_month' AND seed = 1)"
+RES = ", res AS (SELECT model, seed, y_pred - y_true AS r, y_pred AS f FROM predictions)"
 
 
-@query("g10_residual_diagnostics", with_(P + RES, """SELECT count(r) AS n, avg(r) AS residual_mean, stddev_samp(r) AS residual_sd, min(r) AS residual_min, max(r) AS residual_max,
+@query("g10_residual_diagnostics", with_(P + RES, """SELECT model, seed, count(r) AS n, avg(r) AS residual_mean, stddev_samp(r) AS residual_sd, min(r) AS residual_min, max(r) AS residual_max,
     avg(pow(r - m, 3)) / pow(stddev_samp(r), 3) AS residual_skewness, avg(pow(r - m, 4)) / pow(stddev_samp(r), 4) - 3 AS residual_excess_kurtosis, max(r * r) / sum(r * r) AS largest_squared_share,
     min(f) AS fitted_min, max(f) AS fitted_max, corr(r, f) AS residual_fitted_correlation, quantile_cont(r, 0.01) AS residual_q01, quantile_cont(r, 0.25) AS residual_q25, quantile_cont(r, 0.5) AS residual_median,
-    quantile_cont(r, 0.75) AS residual_q75, quantile_cont(r, 0.99) AS residual_q99 FROM res, (SELECT avg(r) AS m FROM res)"""),
+    quantile_cont(r, 0.75) AS residual_q75, quantile_cont(r, 0.99) AS residual_q99 FROM res JOIN (SELECT model, seed, avg(r) AS m FROM res GROUP BY ALL) USING (model, seed) GROUP BY model, seed"""),
     "residual_mean residual_sd residual_min residual_max residual_skewness residual_excess_kurtosis largest_squared_share fitted_min fitted_max residual_fitted_correlation residual_q01 residual_q25 residual_median residual_q75 residual_q99")
 def diagnostics(t: Tables):
-    rows = t.predictions.where((F.col("model") == "site_month") & (F.col("seed") == 1))
-    return op.residual_diagnostics(rows.select((F.col("y_pred") - F.col("y_true")).alias("r"), F.col("y_pred").alias("f")), "r", "f")
+    return op.residual_diagnostics(t.predictions.select("model", "seed", (F.col("y_pred") - F.col("y_true")).alias("r"), F.col("y_pred").alias("f")), "r", "f", ["model", "seed"])
 
 
 @query("g11_attempt_ledger", """WITH a AS (SELECT attempt, ok, msg, sum(ok) OVER (ORDER BY attempt) AS done FROM (

@@ -196,27 +196,26 @@ def complete_years(t: Tables):
     return op.complete_years(t.panel.select("site", "year", "month"), KEYS)
 
 
-ENSEMBLE = """, ensemble AS (SELECT site, year, month, max(y_true) AS y_true, avg(y_pred) AS y_pred FROM predictions WHERE model = 'site_month' GROUP BY ALL),
-  annual AS (SELECT site, year, sum(y_true) AS y_true, sum(y_pred) AS y_pred, sum(y_pred) - sum(y_true) AS residual FROM ensemble GROUP BY ALL HAVING count(y_pred) = 12 AND count(*) = 12 AND count(DISTINCT month) = 12)"""
+ENSEMBLE = """, ensemble AS (SELECT model, site, year, month, max(y_true) AS y_true, avg(y_pred) AS y_pred FROM predictions GROUP BY ALL),
+  annual AS (SELECT model, site, year, sum(y_true) AS y_true, sum(y_pred) AS y_pred, sum(y_pred) - sum(y_true) AS residual FROM ensemble GROUP BY ALL HAVING count(y_pred) = 12 AND count(*) = 12 AND count(DISTINCT month) = 12)"""
 
 
 def _ensemble(t: Tables):
-    site_month = t.predictions.where(F.col("model") == "site_month")
-    return site_month.groupBy("site", "year", "month").agg(F.max("y_true").alias("y_true"), F.avg("y_pred").alias("y_pred"))
+    return t.predictions.groupBy("model", "site", "year", "month").agg(F.max("y_true").alias("y_true"), F.avg("y_pred").alias("y_pred"))
 
 
 @query("d18_annual_sums", with_(T.PREDICTIONS + ENSEMBLE, "SELECT * FROM annual"), "y_true y_pred residual")
 def annual_sums(t: Tables):
-    return op.annual_sums(_ensemble(t), KEYS, "y_true", "y_pred")
+    return op.annual_sums(_ensemble(t), ["model", *KEYS], "y_true", "y_pred")
 
 
 @query(
     "d18_annual_means",
-    with_(T.PREDICTIONS + ENSEMBLE, "SELECT year, count(*) AS n_entities, avg(y_true) AS y_true_mean, avg(y_pred) AS y_pred_mean, avg(residual) AS residual_mean FROM annual GROUP BY year"),
+    with_(T.PREDICTIONS + ENSEMBLE, "SELECT model, year, count(*) AS n_entities, avg(y_true) AS y_true_mean, avg(y_pred) AS y_pred_mean, avg(residual) AS residual_mean FROM annual GROUP BY ALL"),
     "y_true_mean y_pred_mean residual_mean",
 )
 def annual_means(t: Tables):
-    return op.annual_means(op.annual_sums(_ensemble(t), KEYS, "y_true", "y_pred"), "y_true", "y_pred")
+    return op.annual_means(op.annual_sums(_ensemble(t), ["model", *KEYS], "y_true", "y_pred"), "y_true", "y_pred", by=["model"])
 
 
 @query(
