@@ -12,7 +12,7 @@ from panelwright.plans import tables as T
 from panelwright.plans.registry import query
 from panelwright.plans.tables import DRAWS, FEATURES, SEED, TRAIN_END, WINDOW, Tables, with_
 from panelwright.session import ensure_checkpoint_dir
-from panelwright.sources import catalogues, composites, readers, writers
+from panelwright.sources import arrays, catalogues, composites, readers, writers
 
 
 def _export_path(t: Tables) -> str:
@@ -106,6 +106,18 @@ def tensor_to_long(t: Tables):
     return readers.tensor_to_long(rows, "tensor", FEATURES, ["site", "period"], "value")
 
 
+@query("a10_array_rows", with_(T.FEATURES_LONG, "SELECT site, period, lag, feature, value FROM features_long"), "value")
+def array_rows(t: Tables):
+    """The histories written as array files by the tasks that hold them, and read back by ranges of rows."""
+    path = _export_path(t)
+    history = F.flatten(F.transform(f"history_{WINDOW}", lambda s: F.array(*[s[f] for f in FEATURES])))
+    arrays.write_array(t.samples.select(F.concat(F.array(F.col("site").cast("double"), F.col("period").cast("double")), history).alias("cells")), path, "cells")
+    rows = arrays.read_array(t.spark, path, split=1 << 20)
+    steps = F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda i: F.slice("cells", i * len(FEATURES) + 3, F.lit(len(FEATURES))))
+    keys = [F.col("cells")[i].cast(t.samples.schema[k].dataType).alias(k) for i, k in enumerate(("site", "period"))]
+    return readers.tensor_to_long(rows.select(*keys, steps.alias("tensor")), "tensor", FEATURES, ["site", "period"], "value")
+
+
 @query("a11_write_once", with_(T.PANEL, "SELECT site, period, target FROM panel"), "target")
 def write_once(t: Tables):
     path = _export_path(t)
