@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.functions import classify, correlation, safe_divide, shift_class
+from panelwright.operators.inversions import count_inversions
 from panelwright.operators.ordering import average_rank, dense_index, exact_quantiles, running_sum, running_sums, value_counts
 from panelwright.operators.temporal import attach_row
 from panelwright.session import broadcast_if_small, cut_lineage
@@ -98,12 +99,42 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str], bounded: bool = F
 
 
 def kendall_tau_b(df: DataFrame, x: str, y: str, by: Sequence[str], keys: Sequence[str], bounded: bool = False, written: bool = False) -> DataFrame:
-    """Tau-b per group in O(n log n), without forming pairs. `written` as in `spearman`.
+    """Tau-b per group without forming pairs; `written` as in `spearman`. Rows of null groups are left out.
 
-    Rows are placed in (x, y) order; discordant pairs are the inversions of y's order number. Two
-    numbers first differ in one binary digit, so at each digit, among rows sharing the higher
-    digits, a row with digit 0 is discordant with the rows before it that have digit 1: a running count.
+    Equal (x, y) become one weighted point. Discordant pairs are the points' inversions: each point moves twice, and hot
+    values weigh more instead of filling a task (see `inversions`). `bounded` groups, small ones of a catalogue, are
+    counted by windows instead.
     """
+    if bounded:
+        return _bounded_kendall(df, x, y, by, keys, written)
+    base = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    points = cut_lineage(base.groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_c")))
+    pairs = (F.col("_c") * (F.col("_c").cast("decimal(38,0)") - 1) / 2).cast("decimal(38,0)")
+    names = ["n", "_n1", "_n2", "_n3", "_d"]
+
+    def part(rows: DataFrame, **values: Column) -> DataFrame:
+        return rows.select(*by, *[values.get(c, F.lit(None)).cast("decimal(38,0)").alias(c) for c in names])
+
+    long = part(points, n=F.col("_c"), _n3=pairs)
+    for name, c in (("_n1", "_x"), ("_n2", "_y")):
+        long = long.unionByName(part(points.groupBy(*by, c).agg(F.sum("_c").alias("_c")), **{name: pairs}))
+    long = long.unionByName(part(count_inversions(points, by, "_x", "_y", "_c"), _d=F.col("inversions")))
+    for c in by:
+        long = long.where(F.col(c).isNotNull())
+    sums = long.groupBy(*by).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long" if c == "n" else "double").alias(c) for c in names])
+    return sums.select(*by, "n", _tau_b().alias("kendall"))
+
+
+def _tau_b() -> Column:
+    n0 = F.col("n") * (F.col("n") - 1) / 2
+    scale = (n0 - F.col("_n1")) * (n0 - F.col("_n2"))
+    return (n0 - F.col("_n1") - F.col("_n2") + F.col("_n3") - 2 * F.coalesce("_d", F.lit(0))) / F.sqrt(F.when(scale > 0, scale))
+
+
+def _bounded_kendall(df: DataFrame, x: str, y: str, by: Sequence[str], keys: Sequence[str], written: bool) -> DataFrame:
+    """Tau-b of small groups. Rows are placed in (x, y) order; discordant pairs are the inversions of y's order number,
+    found digit by digit with running counts inside the group."""
+    bounded = True
     base = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, *keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
     base = base if written else cut_lineage(base)  # read by the ordering and by the three tie counts
     ys = value_counts(base, "_y", by, bounded=bounded).select(*by, "_y", F.col("n_before").alias("_r"))
@@ -127,10 +158,7 @@ def kendall_tau_b(df: DataFrame, x: str, y: str, by: Sequence[str], keys: Sequen
         else:
             c = [c for c in part.columns][0]
             out = out.withColumn(c, part.select(c).scalar())
-    n0 = F.col("n") * (F.col("n") - 1) / 2
-    scale = (n0 - F.col("_n1")) * (n0 - F.col("_n2"))
-    tau = (n0 - F.col("_n1") - F.col("_n2") + F.col("_n3") - 2 * F.coalesce("_d", F.lit(0))) / F.sqrt(F.when(scale > 0, scale))
-    return out.select(*by, "n", tau.alias("kendall"))
+    return out.select(*by, "n", _tau_b().alias("kendall"))
 
 
 def spearman_matrix(df: DataFrame, keys: Sequence[str], features: Sequence[str], name: str = "feature", value: str = "value") -> DataFrame:
