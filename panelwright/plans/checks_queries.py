@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from panelwright.operators import checks as op
+from panelwright.operators import rule_suite as suite
 from panelwright.plans import tables as T
 from panelwright.plans.registry import query
 from panelwright.plans.tables import DRAWS, TRAIN_END, Tables, with_
@@ -162,3 +163,32 @@ def completeness(t: Tables):
 def key_identity(t: Tables):
     a, b = (t.manifest.where(F.col("draw") == d).select("site", "month") for d in ("E0", "E3"))
     return op.key_identity(a, b, ["site", "month"], "site")
+
+
+def _line_rules() -> list[suite.Rule]:
+    return [
+        *suite.finite_rules(["l_quantity", "l_extendedprice", "l_discount", "l_tax"]), *suite.integer_rules(["l_orderkey", "l_extendedprice"], "l_linenumber"),
+        suite.domain_rule("l_returnflag", ["A", "N"]), suite.domain_rule("l_linestatus", ["O", "F"]),
+        suite.range_rule("l_quantity", 1, 45, ["l_quantity"]), suite.range_rule("l_discount", 0.0, 0.05), suite.range_rule("l_tax", 0.0, 1.0),
+        suite.definition_rule("l_tax", F.floor(F.col("l_tax") * 100 + 0.5) / F.lit(100.0), 1e-9), suite.flag_rule("returned", F.col("l_returnflag") == "R", F.col("l_linestatus") == "F", ["l_linestatus"]),
+    ]
+
+
+_LINE = [
+    *[("finite", f"'{c}'", f"{c} IS NULL") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")],
+    *[("integer_keys", f"'{c}'", f"{c} IS NULL OR {c} <> floor({c})") for c in ("l_orderkey", "l_extendedprice")], ("integer_keys", "'l_linenumber'", "l_linenumber IS NULL OR l_linenumber NOT BETWEEN 1 AND 12"),
+    ("domain", "coalesce(l_returnflag, 'null')", "l_returnflag IS NULL OR l_returnflag NOT IN ('A', 'N')"), ("domain", "coalesce(l_linestatus, 'null')", "l_linestatus IS NULL OR l_linestatus NOT IN ('O', 'F')"),
+    ("range", "l_quantity::VARCHAR", "l_quantity NOT BETWEEN 1 AND 45"), ("range", "'l_discount'", "l_discount NOT BETWEEN 0 AND 0.05::DOUBLE"), ("range", "'l_tax'", "l_tax NOT BETWEEN 0 AND 1"),
+    ("definition", "'l_tax'", "abs(floor(l_tax * 100 + 0.5) / 100.0::DOUBLE - l_tax) > 1e-9::DOUBLE"), ("flag", "coalesce(l_linestatus, 'null')", "coalesce(l_returnflag = 'R', false) <> coalesce(l_linestatus = 'F', false)"),
+]
+
+
+@query("b_rule_suite", " UNION ALL ".join(f"SELECT '{check}' AS \"check\", {key} AS key, count(*)::DOUBLE AS observed, 0::DOUBLE AS expected FROM lineitem WHERE {broken} GROUP BY ALL HAVING count(*) > 0" for check, key, broken in _LINE), OE)
+def rule_suite(t: Tables):
+    return suite.run_rules(t.raw("lineitem"), _line_rules())
+
+
+@query("b_rule_report", " UNION ALL ".join(f"SELECT '{r[0]}' AS \"check\", '{k}' AS key, count(*) AS rows, count(CASE WHEN {r[2]} THEN 1 END) AS broken, CASE WHEN count(CASE WHEN {r[2]} THEN 1 END) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM lineitem"
+       for r, k in zip(_LINE, ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_orderkey", "l_extendedprice", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax", "l_tax", "returned"])))
+def rule_report(t: Tables):
+    return suite.rule_report(t.raw("lineitem"), _line_rules())

@@ -89,11 +89,24 @@ class Tables:
         return self.panel.select(how("period")).scalar()
 
     @cached_property
-    def dense(self) -> DataFrame:
-        """Every site with every month of the calendar; missing cells have null measures."""
+    def lagged(self) -> DataFrame:
+        """Every site with every month of the calendar, missing cells with null measures, and the lagged inputs.
+
+        One layout by site serves the calendar and every window over it; written once, it is what baselines, ranks and
+        the evaluation rows read.
+        """
+        keys, time = ["site"], "period"
         measures = self.panel.drop("year", "month")
-        filled = temporal.fill_calendar(measures, ["site"], "period", self._bound(F.min), self._bound(F.max), constant=["class"])
-        return filled.withColumn("year", index_year("period")).withColumn("month", index_month("period"))
+        filled = temporal.fill_calendar(measures, keys, time, self._bound(F.min), self._bound(F.max), constant=["class"])
+        full = filled.withColumn("year", index_year(time)).withColumn("month", index_month(time))
+        full = temporal.positional_lag(full, keys, time, {"heat": "heat_lag1"})
+        full = temporal.antecedent(full, keys, time, "water", "water_ante3", 3, "sum")
+        return cut_lineage(temporal.antecedent(full, keys, time, "energy", "energy_ante3", 3, "mean"))
+
+    @cached_property
+    def dense(self) -> DataFrame:
+        """The whole calendar without lags."""
+        return self.lagged.drop("heat_lag1", "water_ante3", "energy_ante3")
 
     @cached_property
     def invalid(self) -> DataFrame:
@@ -181,12 +194,8 @@ class Tables:
     @cached_property
     def master(self) -> DataFrame:
         """Evaluation rows with lags, baselines, anomalies, ranks and activity."""
-        keys, time = ["site"], "period"
-        full = temporal.positional_lag(self.dense, keys, time, {"heat": "heat_lag1"})
-        full = temporal.antecedent(full, keys, time, "water", "water_ante3", 3, "sum")
-        full = temporal.antecedent(full, keys, time, "energy", "energy_ante3", 3, "mean")
         history = self.dense.where(F.col("year") <= TRAIN_END)
-        ev = full.where((F.col("year") >= TEST_START) & F.col("net").isNotNull())
+        ev = self.lagged.where((F.col("year") >= TEST_START) & F.col("net").isNotNull())
         ev = baselines.anomaly(ev, self.climatology, ["site", "month"], ["net", "water", "energy", "heat", "load"])
         ev = baselines.midrank_vs_history(ev, history, ["site", "month"], ["water", "energy"])
         ev = ev.withColumn("active", baselines.historically_active("net_median").cast("int"))
