@@ -241,7 +241,52 @@ def _primary(t: Tables) -> DataFrame:
     return _analysis(t).where(F.col("eligible_primary") == 1)
 
 
-@query("k07_additive_surface_fit")
+# --- the additive surface in SQL: whitened rows, sums per site, elimination -----------------------
+
+def hats_sql(column: str, knots: tuple[float, ...]) -> list[str]:
+    v = f"least(greatest({column}, {knots[0]}::DOUBLE), {knots[-1]}::DOUBLE)"
+    out = []
+    for i, k in enumerate(knots):
+        sides = [f"({v} - {knots[i - 1]}::DOUBLE) / {k - knots[i - 1]}::DOUBLE"] if i else []
+        sides += [f"({knots[i + 1]}::DOUBLE - {v}) / {knots[i + 1] - k}::DOUBLE"] if i < len(knots) - 1 else []
+        out.append(f"greatest({sides[0] if len(sides) == 1 else 'least(' + ', '.join(sides) + ')'}, 0::DOUBLE)")
+    return out
+
+
+def design_sql(spec: op.AdditiveSpec) -> str:
+    cells = [f"{a} * {b}" for a in hats_sql(spec.x, spec.knots) for b in hats_sql(spec.y, spec.knots_of_y)]
+    for c, knots in spec.controls.items():
+        cells += hats_sql(c, knots)[1:]
+    cells += [f"(month = {m})::INT::DOUBLE" for m in spec.months[1:]] + [f"(year = {y})::INT::DOUBLE" for y in spec.years[1:]]
+    return "[" + ", ".join(cells) + "]"
+
+
+def surface_sql(name: str, source: str, rho: str, spec: op.AdditiveSpec = SPEC) -> str:
+    """`{name}` (g, x = coefficients) and `{name}_e` (g, site, uu, e = sums with the intercept) of the fits of `source` (g, site, period, y, x) per g."""
+    p, pen = spec.width, f"{spec.site_ridge}::DOUBLE"
+    return f"""{name}_l AS MATERIALIZED (SELECT *, {rho} AS rho, sqrt(1 - {rho} * {rho}) AS scale, list_concat(x, [y]) AS v, lag(list_concat(x, [y])) OVER w AS pv, coalesce(period - lag(period) OVER w > 1, true) AS start FROM {source} WINDOW w AS (PARTITION BY g, site ORDER BY period)),
+  {name}_w AS MATERIALIZED (SELECT g, site, CASE WHEN start THEN v ELSE list_transform(v, lambda a, i: (a - rho * pv[i]) / scale) END AS v, CASE WHEN start THEN 1::DOUBLE ELSE (1 - rho) / scale END AS u FROM {name}_l),
+  {name}_e AS MATERIALIZED (SELECT g, site, max(uu) AS uu, list(e ORDER BY i) AS e FROM (SELECT g, site, i, sum(v[i] * u) AS e, sum(u * u) AS uu FROM {name}_w, range(1, {p + 2}) r(i) GROUP BY ALL) GROUP BY ALL),
+  {name}_c AS (SELECT g, i, j, sum(c) AS c FROM (SELECT g, i, j, sum(v[i] * v[j]) AS c FROM {name}_w, range(1, {p + 1}) a(i), range(1, {p + 2}) b(j) GROUP BY ALL
+    UNION ALL SELECT g, i, j, -sum(e[i] * e[j] / (uu + {pen})) FROM {name}_e, range(1, {p + 1}) a(i), range(1, {p + 2}) b(j) GROUP BY ALL) GROUP BY ALL),
+  {name}_m AS (SELECT g, list(r ORDER BY i) AS m FROM (SELECT g, i, list(c + CASE WHEN i = j THEN {spec.ridge}::DOUBLE ELSE 0 END ORDER BY j) AS r FROM {name}_c GROUP BY ALL) GROUP BY ALL),
+  {solve_sql(name, "g", name + "_m", p)}"""
+
+
+#: The primary rows, the independent fit with its residuals, and the autocorrelation they have.
+SURFACE = "RECURSIVE " + T.FLAGGED + f""", base AS MATERIALIZED (SELECT 0 AS g, site, period, year, {SPEC.response}::DOUBLE AS y, {design_sql(SPEC)} AS x FROM flagged WHERE eligible_primary = 1),
+  {surface_sql("fit0", "base", "0::DOUBLE")},
+  fitted AS (SELECT b.site, b.period, b.y, list_inner_product(b.x, f.x) + (e.e[{SPEC.width + 1}] - list_inner_product(e.e[1:{SPEC.width}], f.x)) / (e.uu + {SPEC.site_ridge}::DOUBLE) AS fitted,
+    (e.e[{SPEC.width + 1}] - list_inner_product(e.e[1:{SPEC.width}], f.x)) / (e.uu + {SPEC.site_ridge}::DOUBLE) AS site_effect FROM base b JOIN fit0_e e ON e.site = b.site, fit0 f),
+  pairs AS (SELECT y - fitted AS now, lag(y - fitted) OVER w AS before, period - lag(period) OVER w AS gap FROM fitted WINDOW w AS (PARTITION BY site ORDER BY period)),
+  auto AS MATERIALIZED (SELECT corr(before, now) AS rho FROM pairs WHERE gap = 1), {surface_sql("fit1", "base", "(SELECT rho FROM auto)")}"""
+_M = op.contrast_matrix(SPEC)
+_ABOUT = [(n, {"x": SPEC.x, "y": SPEC.y}[axis], e) for n, _, _, axis, e in op.CONTRASTS] + [(op.CONTRAST_NAMES[-1], SPEC.y, False)]
+LOYO = SURFACE + f""", copies AS MATERIALIZED (SELECT o.y AS g, b.site, b.period, b.y, b.x FROM base b, (SELECT unnest({list(SPEC.years)}) AS y) o WHERE b.year <> o.y), {surface_sql("fity", "copies", "(SELECT rho FROM auto)")},
+  main AS (SELECT list_inner_product(x, {_M[-1].tolist()}::DOUBLE[]) AS m FROM fit1)"""
+
+
+@query("k07_additive_surface_fit", with_(SURFACE, "SELECT site, period, fitted, y - fitted AS residual, site_effect FROM fitted"), "fitted residual site_effect", digits=6)
 def surface_fit(t: Tables):
     rows = _primary(t)
     fit = op.additive_surface_fit(rows, SPEC)
@@ -265,7 +310,7 @@ def _attempts(t: Tables) -> tuple[DataFrame, DataFrame]:
     return op.bootstrap_attempts(rows, SPEC, fit.rho, SUCCESSES, ATTEMPTS, SEED, moments)
 
 
-@query("k09_surface_contrasts")
+@query("k09_surface_contrasts", with_(SURFACE, " UNION ALL ".join(f"SELECT 'all' AS analysis, '{n}' AS contrast, '{v}' AS variable, {e} AS exploratory, list_inner_product(x, {row.tolist()}::DOUBLE[]) AS estimate FROM fit1" for (n, v, e), row in zip(_ABOUT, _M))), "estimate", digits=6)
 def contrasts(t: Tables):
     return op.surface_contrasts(t.spark, _fitted(t)[1])
 
@@ -290,7 +335,8 @@ def surface_grid(t: Tables):
     return op.surface_grid_predict(*_fitted(t), 80)
 
 
-@query("k12_loyo_refit")
+@query("k12_loyo_refit", with_(LOYO, f"""SELECT g::VARCHAR AS omitted_year, 'A_minus_B' AS contrast, '{SPEC.y}' AS variable, false AS exploratory, estimate, sign(estimate) = sign(m) AS same_sign, (estimate - m) / nullif(abs(m), 0) AS relative_change
+  FROM (SELECT g, list_inner_product(x, {_M[-1].tolist()}::DOUBLE[]) AS estimate FROM fity), main"""), "estimate relative_change", digits=6)
 def loyo(t: Tables):
     rows, fit = _fitted(t)
     return op.loyo_refit(rows, SPEC, fit.rho, list(SPEC.years), fit)
