@@ -219,6 +219,40 @@ def decision_label(
     return F.concat_ws("_", a, F.when(a.isin(list(coverage_limited)), covered).otherwise(strict))
 
 
+# The outcomes of other domains and of added covariates.
+DOMAIN_UNSUPPORTED, DOMAIN_STOP = "DOMAIN_SENSITIVITY_FIXED_CONTRAST_UNSUPPORTED", "DOMAIN_SENSITIVITY_DIAGNOSTIC_STOP"
+REVERSED, IMPRECISE = "SIGN_REVERSAL_ANALYSIS_CHECK_REQUIRED", "DIRECTIONALLY_CONSISTENT_BUT_IMPRECISE"
+DOMAIN_PASSED = {"FULL_YEAR": "DIRECTION_AND_INTERVAL_CONSISTENT", "APR_SEP": "ROBUSTNESS_PASS"}
+ADJUSTED_PASSED = {"MODEL2": "ADJUSTMENT_ROBUSTNESS_PASS", "MODEL3": "HIGH_ADJUSTMENT_DIRECTION_AND_INTERVAL_CONSISTENT"}
+HALTED, NOT_SUPPORTED, ZERO = "DIAGNOSTIC_STOP", "FIXED_CONTRAST_UNSUPPORTED", "ZERO_CONTRAST_ANALYSIS_CHECK_REQUIRED"
+
+
+def _by_name(name: Column, texts: Mapping[str, str]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in texts.items() for x in pair]), name)
+
+
+def domain_label(analysis: ColumnLike, contrast: ColumnLike, ci_upper: ColumnLike, support: ColumnLike, stop: ColumnLike) -> Column:
+    """Outcome of an analysis on another domain: FULL_YEAR, anything else is the season. Missing values as in `decision_label`."""
+    name = F.when(_c(analysis) == "FULL_YEAR", "FULL_YEAR").otherwise("APR_SEP")
+    est, below = finite_or_null(contrast), F.coalesce(finite_or_null(ci_upper) < 0, F.lit(False))
+    found = F.when(est > 0, F.lit(REVERSED)).when(below, _by_name(name, DOMAIN_PASSED)).otherwise(IMPRECISE)
+    return F.when(~flag_true(support), DOMAIN_UNSUPPORTED).when(flag_true(stop) | est.isNull(), DOMAIN_STOP).otherwise(F.concat_ws("_", name, found))
+
+
+def adjustment_label(model: ColumnLike, contrast: ColumnLike, ci_upper: ColumnLike, support: ColumnLike, stop: ColumnLike) -> Column:
+    """Outcome of a model with added covariates, MODEL2 or MODEL3 in any case; a stop goes before missing support.
+
+    A missing estimate is a stop; a missing bound is not below zero.
+    """
+    name = F.upper(_c(model))
+    est, below = finite_or_null(contrast), F.coalesce(finite_or_null(ci_upper) < 0, F.lit(False))
+    found = (
+        F.when(flag_true(stop) | est.isNull(), F.lit(HALTED)).when(~flag_true(support), NOT_SUPPORTED).when(est > 0, REVERSED)
+        .when(est == 0, ZERO).when(below, _by_name(F.when(name == "MODEL2", name).otherwise("MODEL3"), ADJUSTED_PASSED)).otherwise(IMPRECISE)
+    )
+    return F.concat_ws("_", name, found)
+
+
 # --- columns of a frame ---------------------------------------------------------------------
 
 def one_hot(df: DataFrame, code: str, levels: Mapping[object, str]) -> DataFrame:

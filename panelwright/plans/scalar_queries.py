@@ -124,6 +124,24 @@ def decision(t: Tables):
     return t.panel.select("site", "period", label.alias("decision"))
 
 
+@query("c15_domain_label", with_(T.PANEL, """SELECT site, period, CASE WHEN NOT s THEN 'DOMAIN_SENSITIVITY_FIXED_CONTRAST_UNSUPPORTED' WHEN stop THEN 'DOMAIN_SENSITIVITY_DIAGNOSTIC_STOP'
+    WHEN a = 'FULL_YEAR' THEN CASE WHEN c > 0 THEN 'FULL_YEAR_SIGN_REVERSAL_ANALYSIS_CHECK_REQUIRED' WHEN hi < 0 THEN 'FULL_YEAR_DIRECTION_AND_INTERVAL_CONSISTENT' ELSE 'FULL_YEAR_DIRECTIONALLY_CONSISTENT_BUT_IMPRECISE' END
+    WHEN c > 0 THEN 'APR_SEP_SIGN_REVERSAL_ANALYSIS_CHECK_REQUIRED' WHEN hi < 0 THEN 'APR_SEP_ROBUSTNESS_PASS' ELSE 'APR_SEP_DIRECTIONALLY_CONSISTENT_BUT_IMPRECISE' END AS decision
+  FROM (SELECT site, period, CASE WHEN month BETWEEN 4 AND 9 THEN 'APR_SEP' ELSE 'FULL_YEAR' END AS a, net AS c, net + water / 4 AS hi, load >= 4 AS s, peak >= 50 AS stop FROM panel)"""))
+def domain_decision(t: Tables):
+    label = fn.domain_label(F.when(F.col("month").between(4, 9), "APR_SEP").otherwise("FULL_YEAR"), "net", F.col("net") + F.col("water") / 4, F.col("load") >= 4, F.col("peak") >= 50)
+    return t.panel.select("site", "period", label.alias("decision"))
+
+
+@query("c15_adjustment_label", with_(T.PANEL, """SELECT site, period, upper(a) || '_' || CASE WHEN stop THEN 'DIAGNOSTIC_STOP' WHEN NOT s THEN 'FIXED_CONTRAST_UNSUPPORTED' WHEN c > 0 THEN 'SIGN_REVERSAL_ANALYSIS_CHECK_REQUIRED' WHEN c = 0 THEN 'ZERO_CONTRAST_ANALYSIS_CHECK_REQUIRED'
+    WHEN hi >= 0 THEN 'DIRECTIONALLY_CONSISTENT_BUT_IMPRECISE' WHEN a = 'Model2' THEN 'ADJUSTMENT_ROBUSTNESS_PASS' ELSE 'HIGH_ADJUSTMENT_DIRECTION_AND_INTERVAL_CONSISTENT' END AS decision
+  FROM (SELECT site, period, CASE WHEN month % 2 = 0 THEN 'Model2' ELSE 'model3' END AS a, CASE WHEN abs(net) < 0.2 THEN 0 ELSE net END AS c, net + water / 4 AS hi, load >= 4 AS s, peak >= 50 AS stop FROM panel)"""))
+def adjustment_decision(t: Tables):
+    contrast = F.when(F.abs("net") < 0.2, 0.0).otherwise(F.col("net"))
+    label = fn.adjustment_label(F.when(F.pmod("month", F.lit(2)) == 0, "Model2").otherwise("model3"), contrast, F.col("net") + F.col("water") / 4, F.col("load") >= 4, F.col("peak") >= 50)
+    return t.panel.select("site", "period", label.alias("decision"))
+
+
 _CATEGORY = " ".join(f"WHEN regexp_matches(m, '{pattern}') THEN '{name}'" for name, pattern in FAILURE_PATTERNS)
 
 

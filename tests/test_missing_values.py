@@ -56,3 +56,18 @@ def test_decisions_without_evidence(spark):
     df = spark.createDataFrame([("QA1", -1.0, -0.5, None, False), ("QA1", float("nan"), -0.5, True, None), ("QA2", float("nan"), None, True, False), ("QA2", 1.0, 2.0, None, None), ("QA1", -1.0, -0.5, True, None)], "a string, e double, hi double, s boolean, st boolean")
     got = [r[0] for r in df.select(fn.decision_label("a", "e", "hi", "s", "st")).collect()]
     assert got == ["QA1_SUPPORT_FAIL", "QA1_DIRECTION_FAIL", "QA2_DIAGNOSTIC_STOP", "QA2_COVERAGE_LIMITED_FIXED_CONTRAST_UNSUPPORTED", "QA1_ROBUSTNESS_PASS"]
+
+
+def test_labels_of_domains_and_added_covariates(spark):
+    rows = [("FULL_YEAR", -1.0, -0.5, True, False), ("FULL_YEAR", -1.0, None, True, None), ("APR_SEP", 0.0, -0.5, True, False), ("APR_SEP", 2.0, 3.0, True, False), ("APR_SEP", None, -1.0, True, False), ("APR_SEP", None, None, None, True)]
+    df = spark.createDataFrame(rows, "a string, e double, hi double, s boolean, st boolean")
+    assert [r[0] for r in df.select(fn.domain_label("a", "e", "hi", "s", "st")).collect()] == [
+        "FULL_YEAR_DIRECTION_AND_INTERVAL_CONSISTENT", "FULL_YEAR_DIRECTIONALLY_CONSISTENT_BUT_IMPRECISE", "APR_SEP_ROBUSTNESS_PASS",
+        "APR_SEP_SIGN_REVERSAL_ANALYSIS_CHECK_REQUIRED", "DOMAIN_SENSITIVITY_DIAGNOSTIC_STOP", "DOMAIN_SENSITIVITY_FIXED_CONTRAST_UNSUPPORTED",
+    ]
+    rows = [("Model2", -1.0, -0.5, True, False), ("model3", -1.0, -0.5, True, None), ("MODEL3", -1.0, None, True, False), ("MODEL2", 0.0, -1.0, True, False), ("MODEL2", 1.0, 2.0, True, False), ("MODEL2", 1.0, 2.0, None, False), ("MODEL2", None, 2.0, False, False)]
+    df = spark.createDataFrame(rows, "a string, e double, hi double, s boolean, st boolean")
+    assert [r[0] for r in df.select(fn.adjustment_label("a", "e", "hi", "s", "st")).collect()] == [
+        "MODEL2_ADJUSTMENT_ROBUSTNESS_PASS", "MODEL3_HIGH_ADJUSTMENT_DIRECTION_AND_INTERVAL_CONSISTENT", "MODEL3_DIRECTIONALLY_CONSISTENT_BUT_IMPRECISE",
+        "MODEL2_ZERO_CONTRAST_ANALYSIS_CHECK_REQUIRED", "MODEL2_SIGN_REVERSAL_ANALYSIS_CHECK_REQUIRED", "MODEL2_FIXED_CONTRAST_UNSUPPORTED", "MODEL2_DIAGNOSTIC_STOP",
+    ]
