@@ -46,12 +46,12 @@ def test_average_rank(skewed, bounded, ties):
         assert got[i] == pytest.approx(less + 1 if ties == "min" else less + (same + 1) / 2)
 
 
-@pytest.mark.parametrize("slack", [0.02, 1e-4])
-def test_exact_quantiles_match_numpy(skewed, slack):
-    """With small=0 every group goes through the bracketed second pass."""
+@pytest.mark.parametrize("digits", [4, 65_536])
+def test_exact_quantiles_match_numpy(skewed, digits):
+    """Few digits make many passes."""
     rows, df = skewed
     probs = {"a": 0.01, "b": 0.25, "c": 0.5, "d": 0.99}
-    out = op.exact_quantiles(df, "v", probs, ["g"], slack=slack).collect()
+    out = op.exact_quantiles(df, "v", probs, ["g"], digits=digits).collect()
     assert len(out) == len({r[1] for r in rows})
     for r in out:
         values = np.array([x[2] for x in rows if x[1] == r["g"] and x[2] is not None])
@@ -60,15 +60,38 @@ def test_exact_quantiles_match_numpy(skewed, slack):
             assert r[k] == pytest.approx(np.quantile(values, p), abs=1e-12)
 
 
-@pytest.mark.parametrize("slack", [0.02, 1e-4])
-def test_inverse_cdf_quantiles(skewed, slack):
+@pytest.mark.parametrize("digits", [4, 65_536])
+def test_inverse_cdf_quantiles(skewed, digits):
     rows, df = skewed
     values = np.array([x[2] for x in rows if x[2] is not None])
-    r = op.exact_quantiles(df, "v", {"a": 0.25, "b": 0.75}, inverse_cdf=True, slack=slack).first()
+    r = op.exact_quantiles(df, "v", {"a": 0.25, "b": 0.75}, inverse_cdf=True, digits=digits).first()
     assert r["a"] == np.quantile(values, 0.25, method="inverted_cdf")
     assert r["b"] == np.quantile(values, 0.75, method="inverted_cdf")
 
 
+@pytest.mark.parametrize("digits", [2, 65_536])
+def test_quantiles_of_hard_columns(spark, digits):
+    """Subnormals, neighbours in the last bit, huge ranges, infinities, NaN, a null group and a group of nulls."""
+    tight = [1.0 + i * 2.0**-52 for i in range(40)] + [1e300, -1e300, 5e-324, -5e-324, 0.0, -0.0]
+    wide = [float("-inf"), -1.5, 2.0, float("inf"), float("nan")]
+    rows = [("tight", v) for v in tight] + [(None, v) for v in wide] + [("none", None)]
+    probs = {f"p{i}": i / 20 for i in range(21)}
+    out = {r["g"]: r for r in op.exact_quantiles(spark.createDataFrame(rows, "g string, v double"), "v", probs, ["g"], inverse_cdf=True, digits=digits).collect()}
+    assert set(out) == {"tight", None}
+    for group, values in (("tight", tight), (None, wide)):
+        ordered = sorted(values, key=lambda v: (v != v, v if v == v else 0.0))
+        assert out[group]["n"] == len(values)
+        for k, p in probs.items():
+            want = ordered[max(0, int(np.ceil(len(values) * p - 1e-9)) - 1)]
+            assert out[group][k] == want or (want != want and out[group][k] != out[group][k])
+
+
+def test_quantiles_of_an_empty_column(spark):
+    empty = spark.createDataFrame([(None,)], "v double")
+    assert [tuple(r) for r in op.exact_quantiles(empty, "v", {"a": 0.5}).collect()] == [(None, None)]
+    assert op.exact_quantiles(empty.withColumn("g", F.lit(1)), "v", {"a": 0.5}, ["g"]).collect() == []
+
+
 def test_value_counts_with_weights(spark):
     df = spark.createDataFrame([(1.0, 0), (1.0, 1), (2.0, 1), (3.0, 0), (3.0, 1)], "v double, w int")
     got = {r["v"]: (r["n"], r["n_before"]) for r in op.value_counts(df, "v", weight=F.col("w")).collect()}
