@@ -37,6 +37,15 @@ def norms(a: np.ndarray) -> np.ndarray:
     return np.sqrt(out)
 
 
+def scaled(a: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component to 0.5 to 1.
+
+    Cosines keep their bits, as only exponents change, and squares neither overflow nor vanish.
+    """
+    _, exponents = np.frexp(np.abs(a).max(axis=1, initial=0.0))
+    return np.ldexp(a, -exponents[:, None])
+
+
 class VantageTree:
     """Nodes as arrays: a node has a vantage row, a radius and children, or is a leaf with a slice of rows."""
 
@@ -122,7 +131,7 @@ def build_index(vectors: DataFrame, shard: int = SHARD, leaf: int = LEAF) -> Dat
 
         def tree(dims: int) -> pa.RecordBatch:
             ids, rows = held.pop(dims)
-            t = VantageTree.build(np.concatenate(ids), np.concatenate(rows), leaf)
+            t = VantageTree.build(np.concatenate(ids), scaled(np.concatenate(rows)), leaf)
             return pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (t.ids, t.vectors, t.nodes, t.radii))], names=["dims", "ids", "vectors", "nodes", "radii"])
 
         for batch in batches:
@@ -161,7 +170,7 @@ def query_blocks(queries: DataFrame, block: int = BLOCK) -> DataFrame:
         out = []
         for dims in sorted({len(v) for _, v in rows}):
             some = [(i, v) for i, v in rows if len(v) == dims]
-            out.append((table.column("block")[0].as_py(), dims, np.array([i for i, _ in some], np.int64).tobytes(), np.array([v for _, v in some], np.float64).tobytes()))
+            out.append((table.column("block")[0].as_py(), dims, np.array([i for i, _ in some], np.int64).tobytes(), scaled(np.array([v for _, v in some], np.float64)).tobytes()))
         return pa.table({"block": pa.array([o[0] for o in out], pa.int32()), "dims": pa.array([o[1] for o in out], pa.int32()), "query_ids": pa.array([o[2] for o in out], pa.binary()), "queries": pa.array([o[3] for o in out], pa.binary())})
 
     return numbered.select("block", "vec_id", "vector").groupBy("block").applyInArrow(pack, "block int, dims int, query_ids binary, queries binary")
@@ -170,7 +179,7 @@ def query_blocks(queries: DataFrame, block: int = BLOCK) -> DataFrame:
 def nearest(embeddings: DataFrame, is_query, k: int = 5, factor: float = 1.0, key: str = "vec_id", vector: str = "embedding", shard: int = SHARD) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest other rows of every query row.
 
-    Vectors that are null, empty, zero or have null or non-finite components take no part; vectors are compared with those
+    Vectors are scaled by powers of two, so huge and tiny components count as any others. Vectors that are null, empty, zero or have null or non-finite components take no part; vectors are compared with those
     of the same dimension; repeated rows count once; ties go to the smaller id; with fewer than k candidates all are
     returned; an empty table has no result. Trees and blocks have bounded sizes, and only k rows per query and tree are
     shuffled.
