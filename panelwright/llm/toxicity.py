@@ -7,23 +7,26 @@ an exception phrase does not count. The matched weight and the weight per hundre
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.llm.words import SPACES, id_and_text, scan
+from panelwright.session import cut_lineage
 
 #: Most labelled rows that the lexicon and the curve are fitted on: those with the smallest hashes of their ids.
 SAMPLE = 20_000
-#: Most lexicon entries kept, those that occur in most toxic documents first.
-MAX_ENTRIES = 20_000
+#: Shares of a group of copies add up to this: a multiple of 1 to 16, so that sums stay integers.
+WHOLE = 720_720
 STEMS = (4, 5, 6, 7)
 
 #: Look-alikes and digit substitutions.
@@ -92,7 +95,14 @@ class Matcher:
                 free.append((start, end))
             elif weight > best.get(start, 0.0):
                 best[start] = weight
-        kept = [w for at, w in best.items() if not any(a <= at < b for a, b in free)]
+        free.sort()
+        starts, reach = [a for a, _ in free], list(accumulate((b for _, b in free), max))  # furthest end of the spans so far
+
+        def exempted(at: int) -> bool:
+            i = bisect_right(starts, at)
+            return i > 0 and at < reach[i - 1]
+
+        kept = [w for at, w in best.items() if not exempted(at)]
         return len(words), len(kept), float(sum(kept))
 
 
@@ -101,13 +111,13 @@ def _features(weight, words) -> np.ndarray:
     return np.stack([np.ones_like(weight), np.log1p(weight), np.log1p(100.0 * weight / np.maximum(words, 1.0))], axis=1)
 
 
-def _fit_curve(weight, words, toxic) -> tuple[float, float, float]:
-    """Ridge-penalised logistic regression by Newton steps; the documents are at most a bounded sample."""
-    x, y, beta = _features(weight, words), np.asarray(toxic, float), np.zeros(3)
+def _fit_curve(weight, words, toxic, share) -> tuple[float, float, float]:
+    """Ridge-penalised logistic regression by Newton steps, rows weighted by `share`; the documents are a bounded sample."""
+    x, y, beta, c = _features(weight, words), np.asarray(toxic, float), np.zeros(3), np.asarray(share, float)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        gradient = x.T @ (y - p) - 1e-2 * beta
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3), gradient)
+        gradient = x.T @ (c * (y - p)) - 1e-2 * beta
+        step = np.linalg.solve((x * (c * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3), gradient)
         beta = beta + step
         if np.abs(step).max() < 1e-8:
             break
@@ -121,9 +131,11 @@ def held_out(doc_id: str | Column) -> Column:
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, text, toxic) of at most `sample` labelled rows outside the held-out fold.
+    """(doc_id, text, toxic, copy_key, share) of at most `sample` labelled ids outside the held-out fold, one row each.
 
-    Copies would make their rare words look telling, so of documents with the same smallest word triple one stays.
+    Copies would make their rare words look telling, so documents of one label with the same smallest word triple share
+    the weight of one document: `share` is `WHOLE` divided by their number. No text and no label is left out; of several
+    rows of an id the smallest text counts, and the label toxic if any row says so.
     """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id"))
@@ -140,38 +152,42 @@ def training_rows(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE)
                 short = np.flatnonzero(np.diff(words.bounds) < 3)
                 low[short] = [xxhash.xxh64_intdigest(words.data[words.starts[words.bounds[t]] : words.ends[words.bounds[t + 1] - 1]].tobytes()) if words.bounds[t] < words.bounds[t + 1] else 0 for t in short]
                 keys[words.first : words.first + words.texts] = low
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys.view(np.int64))], names=[*batch.schema.names, "copy_key"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(keys.view(np.int64))], names=["doc_id", "toxic", "copy_key"])
 
-    rows = id_and_text(documents).join(F.broadcast(chosen), "doc_id")
-    keyed = rows.mapInArrow(run, "doc_id long, text string, toxic int, copy_key long")
-    return keyed.groupBy("copy_key").agg(F.min(F.struct("doc_id", "toxic", "text")).alias("r")).select("r.doc_id", "r.text", "r.toxic")
+    rows = cut_lineage(id_and_text(documents).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")))
+    alike = Window.partitionBy("copy_key", F.col("toxic") > 0)  # at most `sample` rows of three numbers
+    share = F.round(F.lit(WHOLE) / F.count(F.lit(1)).over(alike)).cast("long")
+    shares = rows.mapInArrow(run, "doc_id long, toxic int, copy_key long").select("doc_id", "copy_key", share.alias("share"))
+    return rows.join(F.broadcast(shares), "doc_id").select("doc_id", "text", "toxic", "copy_key", "share")
 
 
 def _count_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seen = (Counter(), Counter())
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+        for text, toxic, share in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "share"))):
             words = set(fold(text))
             stems = {w[:k] + "*" for k in STEMS for w in words if len(w) > k}
-            seen[toxic > 0].update(words | stems)
+            seen[toxic > 0].update(dict.fromkeys(words | stems, share))
         entries = list(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(entries, pa.string()), pa.array([seen[1][e] for e in entries], pa.int64()), pa.array([seen[0][e] for e in entries], pa.int64())], names=["entry", "toxic", "clean"])
 
 
-def _lexicon(rows: DataFrame, max_entries: int) -> dict[str, float]:
+def _lexicon(rows: DataFrame, max_entries: int | None) -> dict[str, float]:
     """Seeds, and the entries that labelled rows single out, with their weights."""
     entries = dict.fromkeys(SEEDS, SEED_WEIGHT)
-    total = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("t"), F.count(F.lit(1)).alias("n")).first()
-    t, n = int(total["t"]), int(total["n"])
+    total = rows.agg(*(F.coalesce(F.sum(F.when(c, F.col("share"))), F.lit(0)).alias(n) for n, c in (("t", F.col("toxic") > 0), ("n", F.lit(True))))).first()
+    t, n = total["t"] / WHOLE, total["n"] / WHOLE
     if not 0 < t < n:
         return entries
-    counts = rows.mapInArrow(_count_entries, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).filter("t + c >= 3").persist()
+    whole = F.lit(float(WHOLE))
+    counts = rows.mapInArrow(_count_entries, "entry string, toxic long, clean long").groupBy("entry").agg((F.sum("toxic") / whole).alias("t"), (F.sum("clean") / whole).alias("c")).filter("t + c >= 3").persist()
     tried, base, p = counts.count(), t / n, F.col("t") / (F.col("t") + F.col("c"))
     divergence = p * F.log(p / base) + F.when(F.col("c") > 0, (1 - p) * F.log((1 - p) / (1 - base))).otherwise(0.0)
     odds = F.log((F.col("t") + 0.5) / (t + 1.0)) - F.log((F.col("c") + 0.5) / (n - t + 1.0))
     telling = counts.filter("t > 0").filter(p >= max(0.7, base)).filter((F.col("t") + F.col("c")) * divergence >= float(np.log(max(tried, 2)) + 2.0))
-    found = telling.select("entry", odds.alias("w"), "t").orderBy(F.desc("t"), "entry").limit(max_entries).collect()
-    one_word: dict[str, int] = {}
+    found = telling.select("entry", odds.alias("w"), "t").orderBy(F.desc("t"), "entry")
+    found = (found if max_entries is None else found.limit(max_entries)).collect()  # words that several documents of a bounded sample share
+    one_word: dict[str, float] = {}
     for r in found:
         for stem in (r["entry"][:k] + "*" for k in STEMS if r["entry"][-1] != "*" and len(r["entry"]) > k):
             one_word[stem] = max(r["t"], one_word.get(stem, 0))
@@ -182,20 +198,21 @@ def _lexicon(rows: DataFrame, max_entries: int) -> dict[str, float]:
     return entries
 
 
-def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_entries: int = MAX_ENTRIES) -> Model:
+def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_entries: int | None = None) -> Model:
     """Lexicon and curve from labelled rows outside the held-out fold.
 
     An entry is kept if most documents with it are toxic and that is no chance finding among all entries tried (its
     divergence from the base rate beats the logarithm of their number); its weight is the smoothed log odds. The curve
     is fitted on one half of the sample with a lexicon from the other, so it knows what a lexicon does on new rows.
-    Without both labels the seeds and a default curve are used.
+    Without both labels the seeds and a default curve are used. `max_entries` keeps only the entries in most toxic documents;
+    by default all are kept.
     """
-    rows = training_rows(documents, labels, sample).withColumn("half", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2).persist()
+    rows = training_rows(documents, labels, sample).withColumn("half", F.pmod("copy_key", F.lit(2))).persist()  # copies are on one side
     try:
-        seen = match(rows.filter("half = 1"), Model(_lexicon(rows.filter("half = 0"), max_entries)), "toxic").select("n_words", "weight", "toxic").toPandas()  # at most `sample` rows
+        seen = match(rows.filter("half = 1"), Model(_lexicon(rows.filter("half = 0"), max_entries)), "toxic", "share").select("n_words", "weight", "toxic", "share").toPandas()  # at most `sample` rows
         both = 0 < int((seen["toxic"] > 0).sum()) < len(seen)
         entries = _lexicon(rows, max_entries)
-        return Model(entries, curve=_fit_curve(seen["weight"], seen["n_words"], seen["toxic"] > 0)) if both else Model(entries)
+        return Model(entries, curve=_fit_curve(seen["weight"], seen["n_words"], seen["toxic"] > 0, seen["share"] / WHOLE)) if both else Model(entries)
     finally:
         rows.unpersist()
 
@@ -221,7 +238,8 @@ def score(documents: DataFrame, model: Model, *carried: str) -> DataFrame:
     """One row per document: `score` in 0 to 1 and `predicted` = 1 from 0.5 on.
 
     Null and empty texts have no matches and get the curve's value at none; null ids and repeated rows pass through one
-    by one; only doc_id, text and the carried columns are read. A map over the scan without a shuffle.
+    by one; only doc_id, text and the carried columns are read; an empty table gives no rows. Very long texts take time in
+    proportion to their length. A map over the scan without a shuffle.
     """
     a, b, c = (F.lit(x) for x in model.curve)
     dense = F.log1p(F.lit(100.0) * F.col("weight") / F.greatest(F.col("n_words"), F.lit(1)))

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -47,6 +48,19 @@ def test_tree_of_equal_rows_is_a_leaf():
     assert ids[0].tolist() == [0, 1, 2, 4, 5] and found.all()
 
 
+def test_huge_and_tiny_vectors_are_searched(spark):
+    r = np.random.default_rng(3)
+    v = r.normal(size=(60, 4)) * 10.0 ** r.choice([-200, 0, 200], size=(60, 1))
+    df = spark.createDataFrame([(i, [float(c) for c in x]) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    unit = v / np.abs(v).max(axis=1)[:, None]
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    got = V.nearest(df, "vec_id % 10 = 0", 3, shard=16).collect()
+    assert len(got) == 18
+    for g in got:
+        others = sorted(((unit[g["query_id"]] @ unit[i], i) for i in range(60) if i != g["query_id"]), reverse=True)
+        assert g["vec_id"] == others[g["rank"] - 1][1] and abs(g["score"] - others[g["rank"] - 1][0]) < 1e-12
+
+
 def test_urls(spark):
     rules = [("block", "net/"), ("allow", "example.net/en/"), ("block", "a.net/en/x"), ("block", "é.org/ü")]
     urls = ["http://a.example.NET/en/1", "https://example.net/de", "x://net/", "http://net", "http://net?/", "http://internet/", "nonsense", None, "", "http://a.net/en/xyz#q/", "://é.org/üa", "http://" + "s." * 300 + "net/", "http://example.net/en/", "ftp://u@h:8/p?q"]
@@ -83,6 +97,57 @@ def test_folding_and_exceptions():
     assert X.Matcher(X.Model({}, ())).weight("idiot")[1:] == (0, 0.0)
 
 
+def plain_weight(model, text):
+    """(words, matched words, weight) word by word, without an automaton."""
+    words = X.fold(text)
+    covered = set()
+    for phrase in map(X.fold, model.exceptions):
+        for i in range(len(words) - len(phrase) + 1):
+            if words[i : i + len(phrase)] == phrase:
+                covered |= set(range(i, i + len(phrase)))
+    found = []
+    for i, word in enumerate(words):
+        fits = [w for e, w in model.entries.items() if (word.startswith(e[:-1]) if e.endswith("*") else word == e)]
+        if fits and i not in covered:
+            found.append(max(fits))
+    return len(words), len(found), float(sum(found))
+
+
+def test_scores_against_brute_force(spark):
+    model = X.Model({"trash": 3.0, "tra*": 1.5, "can": 0.5, "bin": 1.0, "idiot": 2.0, "id*": 2.5}, ("trash can", "can trash", "trash bin trash", "can can"), (-1.0, 1.5, 0.25))
+    r = random.Random(8)
+    texts = [" ".join(r.choice(["trash", "can", "bin", "tr4sh", "idiot", "IDLE", "fine", "tram", "trash!", "can,"]) for _ in range(r.randint(0, 25))) for _ in range(300)]
+    rows = [*enumerate(texts), (7, texts[7]), (None, "trash"), (900, None), (901, "")]
+    docs = spark.createDataFrame([(*x, "n") for x in rows], "doc_id long, text string, weight string").repartition(4)
+    got = sorted((g["doc_id"] if g["doc_id"] is not None else -1, g["n_words"], g["n_matched"], g["weight"], round(g["score"], 12), g["predicted"]) for g in X.score(docs, model).collect())
+    want = []
+    for i, t in rows:
+        n, k, w = plain_weight(model, t)
+        p = 1 / (1 + np.exp(1.0 - 1.5 * np.log1p(w) - 0.25 * np.log1p(100 * w / max(n, 1))))
+        want.append((i if i is not None else -1, n, k, w, round(float(p), 12), int(p >= 0.5)))
+    assert got == sorted(want)
+    assert X.score(docs.limit(0), model).collect() == []
+
+
+def test_many_exceptions_take_linear_time():
+    m = X.Matcher(X.Model({"trash": 3.0}))
+    began = time.perf_counter()
+    assert m.weight("trash can trash " * 200_000) == (600_000, 200_000, 600_000.0)
+    assert time.perf_counter() - began < 20
+
+
+def test_copies_share_a_weight_and_keep_their_labels(spark):
+    """A toxic text made from a clean one shares its smallest triple: both stay, and copies of one label count as one."""
+    base = " ".join(f"w{i}" for i in range(60))
+    labels = [(i, 0) for i in range(40)] + [(i, 1) for i in range(40, 44)]
+    docs = [(i, base) for i in range(40)] + [(i, base + " grobble") for i in range(40, 44)]
+    rows = X.training_rows(spark.createDataFrame(docs + docs[:3], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert len(rows) == len({r["doc_id"] for r in rows}) > 30
+    for toxic in (0, 1):
+        mine = [r["share"] for r in rows if r["toxic"] == toxic]
+        assert mine and all(x == round(X.WHOLE / len(mine)) for x in mine)
+
+
 def corpus(n=900):
     r, rows, labels = random.Random(6), [], []
     for i in range(n):
