@@ -81,11 +81,37 @@ def test_urls(spark):
 
 
 def test_digest_collisions_are_told_apart(spark, monkeypatch):
-    listed = U.DigestList(*U.digest_list(spark, [("block", "a.com/"), ("allow", "b.com/")]))
+    files = U.write_digest_list(U.literal_entries(spark, [("block", "a.com/"), ("allow", "b.com/")]).coalesce(1))
+    listed = U.DigestList(files)
     monkeypatch.setattr(U, "_digest", lambda e: 7)
-    listed.digests = np.full(2, 7, np.uint64)
+    body = b"ba.com/ab.com/"
+    listed.firsts, listed.parts = np.array([7], np.uint64), [(np.full(2, 7, np.uint64), np.array([7, 14], np.uint64), np.frombuffer(body, np.uint8))]
     assert listed.find(["b.com/", "c.com/", "a.com/"]) == ["allow", None, "block"]
     assert sorted(listed.entries()) == ["a.com/", "b.com/"]
+    assert sorted(U.DigestList(files).entries()) == ["a.com/", "b.com/"]
+
+
+def test_a_long_list_in_ranges(spark):
+    entries = [("block" if i % 3 else "allow", f"h{i}.example.com/{'d/' * (i % 4)}") for i in range(3000)]
+    files = U.write_digest_list(U.literal_entries(spark, [*entries, ("allow", "h1.example.com/d/"), ("block", None)]).repartition(4))
+    listed = U.DigestList(files)
+    assert sorted(listed.entries()) == sorted(e for _, e in entries) and files.shapes == [(3, n) for n in (1, 3, 5, 7)]
+    assert all(len(d) and (np.diff(d) > 0).all() for d, _, _ in listed.parts)
+    assert listed.find([e for _, e in entries]) == [a for a, _ in entries]
+    assert listed.find([e + "x" for _, e in entries]) == [None] * len(entries)
+
+
+def test_hosts_of_many_dots_cost_nothing():
+    many = "." * 1_000_000 + "a.net"
+    assert U.candidates(many, "/x", [(1, 1), (2, 1), (2, 2), (2, 3)]) == ["net/", "a.net/", "a.net/x"]
+    assert U.candidates("net", "/", [(1, 1), (2, 1)]) == ["net/"] and U.candidates("", "/", [(1, 1)]) == U.candidates("a", "", [(1, 1)]) == U.candidates("a", "/", []) == []
+
+
+def test_sections_of_tracking_links(spark):
+    urls = ["http://A.b/x/1?ref=1", "http://a.b/x/2?q=1&utm_id=3", "http://a.b/x/3", "http://a.b/y/1?ref=1", "http://c.d/x/1?href=1", "http://c.d/x/2?q#ref=", "http://c.d/x/3", "http://e.f?ref=1", None, "x?ref=1"]
+    pages = spark.createDataFrame([(u, 1) for u in urls], "url string, host int")
+    assert [tuple(r) for r in U.tracked_sections(pages).collect()] == [("a.b/x/", "block")]
+    assert U.tracked_sections(pages.limit(0)).count() == 0
 
 
 def test_folding_and_exceptions():
