@@ -1,23 +1,26 @@
 """Language-model scoring: interpolated modified Kneser-Ney bigrams, counted in Spark, kept as sorted mapped arrays.
 
-The model is a folder of plain arrays in the shared folder, in as many parts as the session has shuffle partitions:
+The model is a folder of plain arrays in the shared folder, in parts whose number follows the bytes of the texts (and is
+at least the session's shuffle partitions), so a part stays of one size and one task at any size of the corpus:
 
 * words: sorted 64-bit hashes, dealt by hash range, with their training counts and their continuation counts. A word's
   number is its place in the whole sorted sequence.
 * bigrams: sorted 64-bit keys (context number, word number) with their counts, dealt by a hash of the context. A context
   with more than a fair share of all tokens is dealt by context and word, so no part outgrows the others.
-* contexts: sorted numbers with the sums that the discounts need. Those of dealt-out contexts (at most a few per part) are
+* contexts: sorted numbers with the sums that the discounts need, tokens in 64 bits. Those of dealt-out contexts (at most a few per part) are
   added up by Spark and travel with the model's constants.
 
 Tasks pre-aggregate tokens, and Spark shuffles packed, sorted, compressed runs of (key, count); a reducing task merges
 the runs of one part. Files are written under a temporary name and renamed, so a repeated task does no harm. Workers map
-the arrays and look up sorted unique keys; nothing of the model's size is in a heap or at the driver.
+a bounded number of arrays at a time and look up sorted unique keys; nothing of the model's size is in a heap, and the
+driver sees a row per part. Word numbers have 32 bits: a corpus of 4.29 billion distinct words or more is refused.
 """
 
 from __future__ import annotations
 
 import os
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,6 +37,9 @@ from panelwright.session import cut_lineage, ensure_checkpoint_dir
 END = np.uint64(0x5BF0_3635_D9A1_7C4E)
 RUN_TOKENS = 2_000_000
 SCORE_TOKENS = 500_000
+#: Bytes of text per part of the model, and files that a worker maps at once (each holds a file descriptor).
+PART_BYTES = 128 << 20
+MAPPED = 384
 PACKED = "part int, keys binary, counts binary"
 
 
@@ -145,6 +151,22 @@ def load(folder: str, name: str, kind) -> np.ndarray:
     return np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.empty(0, kind)
 
 
+class Mapped:
+    """Arrays of a folder by name; the least recently used is let go when more than `most` are mapped."""
+
+    def __init__(self, folder: str, most: int):
+        self.folder, self.most, self.open = folder, most, OrderedDict()
+
+    def __call__(self, name: str, kind) -> np.ndarray:
+        if name in self.open:
+            self.open.move_to_end(name)
+        else:
+            self.open[name] = load(self.folder, name, kind)
+            if len(self.open) > self.most:
+                self.open.popitem(last=False)
+        return self.open[name]
+
+
 def discounts(n: list[int]) -> tuple[float, float, float]:
     """Discounts of counts 1, 2 and 3 or more, from the numbers of entries with counts 1, 2, 3 and 4."""
     n1, n2, n3, n4 = (max(float(x), 0.0) for x in n)
@@ -167,6 +189,7 @@ class Constants:
     d1: tuple[float, float, float] = (0.5, 0.75, 1.0)
     d2: tuple[float, float, float] = (0.5, 0.75, 1.0)
     continuations: tuple[int, int, int, int] = (0, 0, 0, 0)
+    mapped: int = MAPPED
 
     @property
     def firsts(self) -> np.ndarray:
@@ -190,41 +213,30 @@ def bigram_part(contexts: np.ndarray, words: np.ndarray, hot: np.ndarray, parts:
 class Arrays:
     """Mapped arrays of a model."""
 
-    def __init__(self, c: Constants, counted: bool = True):
-        self.c, f = c, c.folder
+    def __init__(self, c: Constants):
+        self.c, self.mapped = c, Mapped(c.folder, c.mapped)
         self.firsts, self.hot = c.firsts, np.array(sorted(c.hot), np.uint64)
-        self.words = [load(f, f"words.{p}", np.uint64) for p in range(c.parts)]
-        self.counts = [load(f, f"counts.{p}", np.uint64) for p in range(c.parts)]
-        if counted:
-            self.continued = [load(f, f"continued.{p}", np.uint32) for p in range(c.parts)]
-            self.opened: dict[int, tuple[np.ndarray, ...]] = {}
-            self.hot_sums = np.array([c.hot[int(h)] for h in self.hot], np.float64).reshape(-1, 4)
+        self.hot_sums = np.array([c.hot[int(h)] for h in self.hot], np.float64).reshape(-1, 4)
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of sorted distinct hashes, -1 where unknown."""
         out = np.full(len(hashes), -1, np.int64)
         cuts = np.searchsorted(word_part(hashes, self.c.parts), np.arange(self.c.parts + 1))
         for p in np.flatnonzero(np.diff(cuts)).tolist():
-            a, b, known = cuts[p], cuts[p + 1], self.words[p]
+            a, b, known = cuts[p], cuts[p + 1], self.mapped(f"words.{p}", np.uint64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, hashes[a:b]), len(known) - 1)
                 out[a:b] = np.where(known[at] == hashes[a:b], at + self.firsts[p], -1)
         return out
 
-    def of_words(self, arrays: list[np.ndarray], numbers: np.ndarray) -> np.ndarray:
-        """Values of sorted word numbers."""
+    def of_words(self, name: str, kind, numbers: np.ndarray) -> np.ndarray:
+        """Values that the arrays of this name have at sorted word numbers."""
         out = np.zeros(len(numbers), np.float64)
         cuts = np.searchsorted(numbers, self.firsts)
         for p in np.flatnonzero(np.diff(cuts)).tolist():
-            out[cuts[p] : cuts[p + 1]] = arrays[p][numbers[cuts[p] : cuts[p + 1]] - self.firsts[p]]
+            out[cuts[p] : cuts[p + 1]] = self.mapped(f"{name}.{p}", kind)[numbers[cuts[p] : cuts[p + 1]] - self.firsts[p]]
         return out
 
-    def part(self, p: int) -> tuple[np.ndarray, ...]:
-        if p not in self.opened:
-            f = self.c.folder
-            self.opened[p] = (load(f, f"bigrams.{p}", np.uint64), load(f, f"seen.{p}", np.uint8), load(f, f"often.{p}", np.uint64).reshape(-1, 2), load(f, f"contexts.{p}", np.uint64), load(f, f"sums.{p}", np.uint32).reshape(-1, 4))
-        return self.opened[p]
-
     def bigrams(self, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(counts, sums of the context) of distinct bigrams of known words."""
         counts, sums = np.zeros(len(words)), np.zeros((len(words), 4))
@@ -234,17 +246,21 @@ class Arrays:
         cuts = np.searchsorted(parts[order], np.arange(self.c.parts + 1))
         for p in np.flatnonzero(np.diff(cuts)).tolist():
             rows = order[cuts[p] : cuts[p + 1]]
-            known, seen, often, owners, of = self.part(p)
+            known, owners = self.mapped(f"bigrams.{p}", np.uint64), self.mapped(f"contexts.{p}", np.uint64)
             if len(known):
+                seen = self.mapped(f"seen.{p}", np.uint8)
                 at = np.minimum(np.searchsorted(known, keys[rows]), len(known) - 1)
                 n = np.where(known[at] == keys[rows], seen[at], 0).astype(np.float64)
                 many = np.flatnonzero(n == 255)
                 if len(many):
+                    often = self.mapped(f"often.{p}", np.uint64).reshape(-1, 2)
                     n[many] = often[np.searchsorted(often[:, 0], at[many].astype(np.uint64)), 1]
                 counts[rows] = n
             if len(owners):
                 at = np.minimum(np.searchsorted(owners, contexts[rows]), len(owners) - 1)
-                sums[rows] = np.where((owners[at] == contexts[rows])[:, None], of[at], 0)
+                found = owners[at] == contexts[rows]
+                sums[rows, 0] = np.where(found, self.mapped(f"totals.{p}", np.uint64)[at], 0)
+                sums[rows, 1:] = np.where(found[:, None], self.mapped(f"kinds.{p}", np.uint32).reshape(-1, 3)[at], 0)
         if len(self.hot):
             at = np.minimum(np.searchsorted(self.hot, contexts), len(self.hot) - 1)
             is_hot = self.hot[at] == contexts
@@ -270,7 +286,7 @@ def _contexts_of(bounds: np.ndarray, numbers: np.ndarray, start: int) -> np.ndar
 
 def _count_bigrams(c: Constants):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays, hot = Arrays(c, False), np.array(sorted(c.hot), np.uint64)
+        arrays, hot = Arrays(c), np.array(sorted(c.hot), np.uint64)
         for _, bounds, hashes in token_hashes(batches, RUN_TOKENS):
             keys, back = np.unique(hashes, return_inverse=True)
             numbers = arrays.numbers(keys)[back]
@@ -296,7 +312,8 @@ def _write_bigrams(c: Constants):
             owners = contexts[cut]
             dealt = np.isin(owners, hot)
             save(c.folder, f"contexts.{part}", owners[~dealt])
-            save(c.folder, f"sums.{part}", sums[~dealt].astype(np.uint32))
+            save(c.folder, f"totals.{part}", sums[~dealt, 0].astype(np.uint64))
+            save(c.folder, f"kinds.{part}", sums[~dealt, 1:].astype(np.uint32))  # numbers of distinct words
             words, n = np.unique(keys & np.uint64(2**32 - 1), return_counts=True)
             rows = [(0, *r) for r in packed_rows(np.searchsorted(firsts, words.astype(np.int64), "right") - 1, words, n)]
             rows += [(1, 0, np.array([o], np.uint64).tobytes(), s.tobytes()) for o, s in zip(owners[dealt], sums[dealt])]
@@ -306,15 +323,20 @@ def _write_bigrams(c: Constants):
     return run
 
 
-def train(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Constants:
-    """Model of the given documents; an empty table gives a model that knows no word."""
+def train(documents: DataFrame, key: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES) -> Constants:
+    """Model of the given documents; an empty table gives a model that knows no word.
+
+    Null and empty texts are the end token alone; very long texts are read in stretches; repeated rows and ids count
+    again. One pass adds up the texts' bytes, of which a part gets `part_bytes`, and two count words and bigrams.
+    """
     spark = documents.sparkSession
     docs = id_and_text(documents, key, text)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
     folder = shared_folder(spark, "lm")
 
     def dealt(rows: DataFrame) -> DataFrame:
-        return rows.repartition("part").sortWithinPartitions("part")
+        return rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part")  # one part, one task
 
     def write_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, keys, counts in merged_parts(batches):
@@ -386,8 +408,8 @@ def score(documents: DataFrame, c: Constants, key: str = "doc_id", text: str = "
             numbers = arrays.numbers(keys)
             known = numbers >= 0
             count, low = np.zeros(len(keys)), np.full(len(keys), spare / (c.vocabulary + 1))
-            count[known] = arrays.of_words(arrays.counts, numbers[known])
-            continued = arrays.of_words(arrays.continued, numbers[known])
+            count[known] = arrays.of_words("counts", np.uint64, numbers[known])
+            continued = arrays.of_words("continued", np.uint32, numbers[known])
             low[known] += (continued - _discount(continued, c.d1)) / max(total, 1)
             base = np.log10((count + 1) / (c.tokens + c.vocabulary + 1))
             of, p = numbers[back], low[back]

@@ -23,8 +23,9 @@ from panelwright.llm.words import binary_parts, id_and_text
 BLOCK = 1 << 16
 END = 1
 LEVEL = 1
-#: Stretches of text between ASCII blanks whose ids a worker remembers, twice over.
-REMEMBERED = 400_000
+#: Bytes of stretches of text between ASCII blanks whose ids a worker remembers, twice over; longer stretches than SHORT
+#: are encoded each time, and an entry costs about ENTRY bytes besides its own.
+REMEMBERED, SHORT, ENTRY = 64 << 20, 64, 180
 
 
 def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -71,7 +72,7 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.most, self.old = Tokenizer.from_file(path), remembered, {}
+        self.tokenizer, self.most, self.held, self.old = Tokenizer.from_file(path), remembered, 0, {}
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._normal, self._tokenize, self._alphabet = self.tokenizer.normalizer.normalize_str, self.tokenizer.model.tokenize, _byte_letters()
 
@@ -88,16 +89,18 @@ class Encoder(dict):
                 ids = array("I", [t.id for t in self._tokenize(letters)]).tobytes() if plain.isalpha() else self._whole(word)
             else:
                 ids = self._whole(word)
-        self[stretch] = ids
+        if len(stretch) <= SHORT:
+            self[stretch] = ids
+            self.held += len(stretch) + len(ids) + ENTRY
         return ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
         out = []
         for text in texts:
+            if self.held > self.most:
+                self.old, self.held = dict(self), 0
+                self.clear()
             low = text.lower()
             if any(t in low for t in self.special):  # folding must not make one either
                 out.append(self._whole(text.decode("utf-8")))

@@ -23,6 +23,12 @@ def test_planes_round_trip(bits):
         assert np.array_equal(T.from_planes(T.to_planes(ids, bits), n, bits), ids)
 
 
+def test_memory_of_stretches_is_bounded_in_bytes():
+    encoder = T.Encoder(PATH, remembered=100_000)
+    encoder.encode([(" ".join(f"word{i}{j}" for j in range(50)) + " " + "x" * 5000 + f"{i}").encode() for i in range(200)])
+    assert encoder.held <= 100_000 + 50 * 400 and max(map(len, [*encoder, *encoder.old])) <= T.SHORT
+
+
 def test_remembered_stretches_give_the_library_ids():
     from tokenizers import Tokenizer
 
@@ -125,6 +131,30 @@ def test_model_against_brute_force(spark):
         assert sum(p(a, w) for w in c) + p(a, "unseen") == pytest.approx(1.0)
 
 
+def test_small_parts_give_the_same_scores(spark):
+    r = random.Random(5)
+    rows = [(i % 40, " ".join(f"w{int(r.expovariate(0.05))}" for _ in range(r.randint(0, 80)))) for i in range(90)] + [(1000, "a b " * 300_000), (None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    few, many = K.train(d), K.train(d, part_bytes=60_000)
+    many.mapped = 5
+    assert few.parts == int(spark.conf.get("spark.sql.shuffle.partitions")) < many.parts == -(-sum(len(t or "") for _, t in rows) // 60_000)
+    assert (few.tokens, few.d1, few.d2, few.continuations) == (many.tokens, many.d1, many.d2, many.continuations)
+
+    def scores(model):
+        return sorted((x["doc_id"] is None, x["doc_id"] or 0, x["n_tokens"], x["n_known"], round(x["base_score"], 6), round(x["score"], 6)) for x in K.score(d, model).collect())
+
+    assert scores(few) == scores(many) and len(scores(few)) == len(rows)
+    assert K.score(d.limit(0), few).count() == 0
+
+
+def test_context_sums_beyond_32_bits(tmp_path):
+    c = K.Constants(str(tmp_path), 1, [2], 0)
+    for name, array in {"bigrams.0": np.array([1], np.uint64), "seen.0": np.array([255], np.uint8), "often.0": np.array([0, 2**33], np.uint64), "contexts.0": np.array([0], np.uint64), "totals.0": np.array([2**33], np.uint64), "kinds.0": np.array([0, 0, 1], np.uint32)}.items():
+        K.save(str(tmp_path), name, array)
+    n, sums = K.Arrays(c).bigrams(np.array([0, 0], np.uint64), np.array([0, 1], np.uint64))
+    assert n.tolist() == [0, 2**33] and sums.tolist() == [[2**33, 0, 0, 1]] * 2
+
+
 def test_model_of_nothing(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     (row,) = K.score(d, K.train(d.limit(0))).collect()
