@@ -21,7 +21,7 @@ from panelwright.operators.checks import expect_finite, expect_same_keys, expect
 from panelwright.operators.gram import gram_table, predict_levels, rows_to_matrix, solve_ridge
 from panelwright.operators.metrics import METRICS, attempt_ledger, cluster_sufficient_stats, grid_winner, metrics_from_sums, regression_metrics, select_best
 from panelwright.operators.ordering import exact_quantiles
-from panelwright.operators.resampling import draw, index_clusters, metrics_long, multi_seed_bootstrap, percentile_interval
+from panelwright.operators.resampling import metrics_long, multi_seed_bootstrap, percentile_interval, replicate_counts
 from panelwright.operators.temporal import attach_row, lag1_autocorrelation, section_starts
 from panelwright.session import cut_lineage
 
@@ -594,28 +594,24 @@ TOGETHER = 32
 def contrast_bootstrap(df: DataFrame, spec: AdditiveSpec, rho: float, reps: int, seed: int, block: int = 512, moments: DataFrame | None = None) -> DataFrame:
     """Refit on `reps` site resamples: (rep, n, success, message, category, one column per contrast).
 
-    A replicate's Gram matrix is the draw-weighted sum of the entity matrices. Every entity carries the replicates it is
-    drawn in; a task multiplies (replicates x entities) weights with its entities' matrices, `block` of them at a time,
+    A replicate's Gram matrix is the draw-weighted sum of the entity matrices. Every entity carries how often each
+    replicate draws it; a task multiplies (replicates x entities) weights with its entities' matrices, `block` of them at a time,
     and adds everything it holds before the shuffle. What moves is replicates x cells per task, however many entities
     there are; replicates are added and solved in parallel. `moments` spares the pass over the rows.
     """
     p, ridge, names = spec.width, spec.ridge, CONTRAST_NAMES
     cells, m = p * p + p + 1, contrast_matrix(spec)
     grams = cut_lineage(grams_at(site_moments(df, spec) if moments is None else moments, spec, rho))  # read for the index and for the product
-    indexed = index_clusters(grams, [spec.site])
-    picks = draw(indexed, reps, seed).groupBy("_pos").agg(F.collect_list("rep").alias("_reps"))  # some `reps` for an entity
+    drawn = replicate_counts(grams, [spec.site], reps, seed)
     flat = F.concat("gram", "cross", F.array(F.col("n").cast("double")))
-    rows = grams.select(spec.site, flat.alias("_g")).join(indexed.select(spec.site, "_pos"), spec.site).join(picks, "_pos").select("_g", "_reps")
+    rows = grams.select(spec.site, flat.alias("_g")).join(drawn, spec.site).select("_g", "counts")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, used = np.zeros((reps, cells)), False
         for batch in batches:
             for at in range(0, batch.num_rows, block):
                 part, used = batch.slice(at, block), True
-                drawn = part.column("_reps")
-                row = np.repeat(np.arange(part.num_rows), drawn.value_lengths().to_numpy())
-                weights = np.bincount((drawn.flatten().to_numpy() - 1) * part.num_rows + row, minlength=reps * part.num_rows).reshape(reps, -1)
-                total += weights.astype(float) @ rows_to_matrix(part.column("_g"))
+                total += rows_to_matrix(part.column("counts")).astype(float).T @ rows_to_matrix(part.column("_g"))
         if used:
             for first in range(0, reps, TOGETHER):
                 yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([total[first : first + TOGETHER].ravel()], pa.list_(pa.float64()))], names=["first", "_g"])

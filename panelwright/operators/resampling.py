@@ -1,19 +1,19 @@
 """Cluster resampling from per-cluster sufficient statistics.
 
 Raw rows are never resampled. A replicate is a multiplicity per cluster, and the sums of a replicate are the weighted sums
-of its clusters: a task multiplies (replicates x clusters) with (clusters x sums) for the clusters it holds and adds up
-everything before the shuffle, so what moves is one row per replicate, level and task, however many clusters there are.
+of its clusters: every block of LEAF clusters multiplies (replicates x clusters) with (clusters x sums), and a task adds up
+its blocks before the shuffle, so what moves is one row per replicate, level and task, however many clusters there are.
 
 Two kinds of draws, both independent of partitioning and recomputed identically after a failure. `hash` draws are hashes
-of (seed, replicate, position), which other engines can repeat; every drawn position travels once. `split` draws deal the
-n draws of a replicate down a binary tree of cluster blocks, binomially and seeded per node, so a task makes the
-multiplicities of its own blocks and no draw is ever shuffled.
+of (seed, replicate, position), which other engines can repeat; every draw travels once to the block it hits, as four
+bytes of a packed row. `split` draws deal the n draws of a replicate down a binary tree of cluster blocks, binomially and
+seeded per node, so a block makes its own multiplicities and no draw is ever shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +21,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions import safe_divide, to_long
+from panelwright.functions.hashing import md5_60_bits
 from panelwright.operators.metrics import METRICS, SUMS, metrics_from_sums
 from panelwright.operators.ordering import average_rank, dense_index
 from panelwright.operators.temporal import section_starts
-from panelwright.session import cut_lineage
+from panelwright.session import cut_lineage, share_package
 
 
 def index_clusters(df: DataFrame, cluster: Sequence[str], stratum: Sequence[str] = ()) -> DataFrame:
     """Distinct clusters with a dense position `_pos` and the count `_n` (within the stratum, if any)."""
+    share_package(df.sparkSession)  # the workers that draw import this package
     units = df.select(*stratum, *cluster).distinct()
     placed = dense_index(units, list(cluster), "_pos", by=stratum)
     if stratum:
@@ -37,26 +39,8 @@ def index_clusters(df: DataFrame, cluster: Sequence[str], stratum: Sequence[str]
     return placed.withColumn("_n", units.select(F.count(F.lit(1))).scalar())
 
 
-def _hash(parts: Sequence[Column]) -> Column:
-    text = F.concat_ws(":", *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")  # 60 bits, in both signs of a long
-
-
-def draw(indexed: DataFrame, reps: int, seed: int, stratum: Sequence[str] = ()) -> DataFrame:
-    """n draws with replacement per replicate: (stratum, rep, position, _pos drawn).
-
-    Each cluster position generates its own draws, spread over the shuffle partitions.
-    """
-    spark = indexed.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    seats = indexed.select(*stratum, F.col("_pos").alias("position"), "_n").repartition(width, "position")
-    spread = seats.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    picked = F.pmod(_hash([F.lit(seed), *[F.col(s) for s in stratum], F.col("rep"), F.col("position")]), F.col("_n"))
-    return spread.select(*stratum, "rep", "position", picked.alias("_pos"))
-
-
-#: Clusters of a leaf of the tree of split draws, and numbers that a task adds up before it sends them on.
-LEAF, HELD = 256, 4_000_000
+#: Clusters of a block, the leaf of the tree of split draws, and hash draws that a task packs at a time.
+LEAF, HELD = 256, 2_000_000
 
 
 def _generator(*parts: object) -> np.random.Generator:
@@ -80,37 +64,104 @@ def split_counts(n: int, block: int, reps: int, seed: int, stratum: tuple = (),
     return _generator(seed, stratum, lo, "leaf").multinomial(counts, np.full(width, 1.0 / width))
 
 
-def multiplicities(df: DataFrame, cluster: Sequence[str], reps: int, seed: int, stratum: Sequence[str] = (), draws: str = "hash") -> DataFrame:
-    """How often each cluster is drawn in each replicate; undrawn clusters are absent."""
-    indexed = index_clusters(df, cluster, stratum)
-    if draws == "split":
-        drawn = _split_reps(indexed, reps, seed, stratum)
-        return drawn.select(*stratum, *cluster, F.explode("_reps").alias("rep")).groupBy(*stratum, "rep", *cluster).agg(F.count(F.lit(1)).alias("multiplicity"))
-    counts = draw(indexed, reps, seed, stratum).groupBy(*stratum, "rep", "_pos").agg(F.count(F.lit(1)).alias("multiplicity"))
-    return counts.join(indexed, [*stratum, "_pos"]).select(*stratum, "rep", *cluster, "multiplicity")
+def _kinds(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    return [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*columns).schema]
 
 
-def _split_reps(packed: DataFrame, reps: int, seed: int, stratum: Sequence[str]) -> DataFrame:
-    """`packed`, one row per cluster, with `_reps`: the replicates it is drawn in, repeated as often as it is drawn.
+def _picks(indexed: DataFrame, reps: int, seed: int, stratum: Sequence[str] = (), positions: bool = False) -> DataFrame:
+    """The hash draws, packed by the block of clusters they hit: (stratum, _blk, _at, with `positions` also _by).
 
-    Rows are laid together by block, so a task makes a block's counts once.
+    Position p of replicate r draws the cluster md5('seed:stratum:r:p') mod n. A task makes all replicates of its positions,
+    some HELD draws at a time, and packs those that hit one block into a row: `_at` holds (r - 1) * LEAF + place in the
+    block as 32-bit integers, `_by` the positions as 64-bit integers.
     """
-    rows = packed.withColumn("_blk", F.floor(F.col("_pos") / LEAF)).repartition(*stratum, "_blk").sortWithinPartitions(*stratum, "_blk")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", _reps array<int>"
+    if reps * LEAF >= 2**32:
+        raise ValueError(f"at most {2**32 // LEAF - 1} replicates")
+    head = F.concat_ws(":", F.lit(str(seed)), *[F.col(s).cast("string") for s in stratum])
+    step = max(1, HELD // reps)
+    width = int(indexed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seats = indexed.select(*stratum, head.alias("_head"), F.col("_pos").alias("_seat"), "_n").repartition(width, "_seat").sortWithinPartitions("_head")
+    names = [*stratum, "_blk", "_at", *(["_by"] if positions else [])]
+    schema = ", ".join([*_kinds(indexed, stratum), "_blk long", "_at binary", *(["_by binary"] if positions else [])])
+
+    def packed(part: pa.RecordBatch) -> pa.RecordBatch:
+        n, seat = part.column("_n")[0].as_py(), np.sort(part.column("_seat").to_numpy())
+        block, place = np.divmod(md5_60_bits(part.column("_head")[0].as_py(), np.arange(1, reps + 1), seat) % np.uint64(n), np.uint64(LEAF))
+        at = (place + (np.arange(reps, dtype=np.uint64) * np.uint64(LEAF))[:, None]).astype("<u4").ravel()
+        block = block.ravel().astype(np.uint16 if n <= LEAF * 2**16 else np.int64)
+        order = np.argsort(block, kind="stable")
+        hit, ends = np.unique(block[order], return_index=True)
+        cells = [at[order], np.tile(seat.astype("<i8"), reps)[order]] if positions else [at[order]]
+        parts = [pa.array([x.tobytes() for x in np.split(c, ends[1:])], pa.binary()) for c in cells]
+        heads = [pa.array([part.column(s)[0].as_py()] * len(hit), part.schema.field(s).type) for s in stratum]
+        return pa.RecordBatch.from_arrays([*heads, pa.array(hit.astype(np.int64)), *parts], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = None, np.zeros((reps, 0), np.int64)
         for batch in batches:
-            heads = list(zip(*[batch.column(c).to_pylist() for c in (*stratum, "_n", "_blk", "_pos")]))
-            drawn = []
-            for *head, at in heads:
-                if head != known:
-                    known = head
-                    counts = split_counts(head[-2], head[-1], reps, seed, tuple(head[:-2]))
-                drawn.append(np.repeat(np.arange(1, reps + 1, dtype=np.int32), counts[:, at - head[-1] * LEAF]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(drawn, pa.list_(pa.int32()))], names=[*batch.schema.names, "_reps"])
+            for length in batch.column("_head").value_counts().field("counts").to_pylist() if batch.num_rows else []:
+                mine, batch = batch.slice(0, length), batch.slice(length)
+                for lo in range(0, length, step):
+                    yield packed(mine.slice(lo, step))
+
+    return seats.mapInArrow(run, schema)
+
+
+def _codes(table: pa.Table, column: str, kind: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *[np.frombuffer(x, kind) for x in table.column(column).to_pylist()]])
+
+
+def _per_block(
+    rows: DataFrame, indexed: DataFrame, reps: int, seed: int, stratum: Sequence[str], draws: str, schema: str, make: Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table]
+) -> DataFrame:
+    """`make(rows, counts, column)` of every block of LEAF clusters.
+
+    `rows` hold stratum, `_pos`, `_n` and what `make` needs; `counts` (replicates x clusters of the block) tells how often each
+    is drawn, `column` which of them a row belongs to. A block has some reps * LEAF draws, however many clusters there are.
+    """
+    keys = [*stratum, "_blk"]
+    placed = rows.withColumn("_blk", F.floor(F.col("_pos") / LEAF).cast("long")).groupBy(*keys)
+
+    def column(key: tuple, table: pa.Table) -> np.ndarray:
+        return table.column("_pos").to_numpy() - key[-1].as_py() * LEAF
+
+    if draws == "split":
+
+        def deal(key: tuple, table: pa.Table) -> pa.Table:
+            *levels, block = [k.as_py() for k in key]
+            return make(table, split_counts(table.column("_n")[0].as_py(), block, reps, seed, tuple(levels)), column(key, table))
+
+        return placed.applyInArrow(deal, schema)
+
+    def count(key: tuple, table: pa.Table, picked: pa.Table) -> pa.Table:
+        counts = np.bincount(_codes(picked, "_at", "<u4"), minlength=reps * LEAF).reshape(reps, LEAF)
+        return make(table, counts, column(key, table))
 
-    return rows.mapInArrow(run, fields).drop("_blk")
+    return placed.cogroup(_picks(indexed, reps, seed, stratum).groupBy(*keys)).applyInArrow(count, schema)
+
+
+def multiplicities(df: DataFrame, cluster: Sequence[str], reps: int, seed: int, stratum: Sequence[str] = (), draws: str = "hash") -> DataFrame:
+    """How often each cluster is drawn in each replicate; undrawn clusters are absent."""
+    indexed = index_clusters(df, cluster, stratum)
+    names = [*stratum, "rep", *cluster, "multiplicity"]
+
+    def make(table: pa.Table, counts: np.ndarray, column: np.ndarray) -> pa.Table:
+        rep, row = np.nonzero(counts[:, column])
+        taken = {c: table.column(c).take(pa.array(row)) for c in (*stratum, *cluster)}
+        return pa.table({"rep": (rep + 1).astype(np.int32), "multiplicity": counts[:, column][rep, row].astype(np.int64), **taken}).select(names)
+
+    schema = ", ".join([*_kinds(indexed, stratum), "rep int", *_kinds(indexed, cluster), "multiplicity long"])
+    return _per_block(indexed, indexed, reps, seed, stratum, draws, schema, make)
+
+
+def replicate_counts(df: DataFrame, cluster: Sequence[str], reps: int, seed: int) -> DataFrame:
+    """(cluster, counts): how often a cluster is drawn in replicate 1, 2, ..., as one array."""
+    indexed = index_clusters(df, cluster)
+
+    def make(table: pa.Table, counts: np.ndarray, column: np.ndarray) -> pa.Table:
+        drawn = pa.array(list(counts[:, column].T.astype(np.int32)), pa.list_(pa.int32()))
+        return table.select(list(cluster)).append_column("counts", drawn)
+
+    return _per_block(indexed, indexed, reps, seed, [], "hash", ", ".join([*_kinds(indexed, cluster), "counts array<int>"]), make)
 
 
 def replicate_sums(
@@ -119,63 +170,34 @@ def replicate_sums(
     """Sums per (stratum, rep, by). All `by` levels, a handful, share the same draws.
 
     The statistics are materialised once: they are far smaller than the rows behind them and are read for the index and
-    for the join. A cluster's levels travel as one row with the replicates it is drawn in; see the head of this module.
-    Sums must not be null.
+    for the join. See the head of this module. Sums must not be null.
     """
-    stats = cut_lineage(stats.select(*stratum, *cluster, *by, *sums))
+    stats = cut_lineage(stats.select(*stratum, *cluster, *by, *[F.col(c).cast("double").alias(c) for c in sums]))
     indexed = index_clusters(stats, cluster, stratum)
-    level = F.struct(*by, *[F.col(c).cast("double").alias(c) for c in sums])
-    packed = stats.join(indexed, [*stratum, *cluster]).groupBy(*stratum, "_pos", "_n").agg(F.collect_list(level).alias("_levels"))
-    if draws == "split":
-        drawn = _split_reps(packed, reps, seed, stratum)
-    else:
-        picks = draw(indexed, reps, seed, stratum).groupBy(*stratum, "_pos").agg(F.collect_list("rep").alias("_reps"))  # some `reps` each
-        drawn = packed.join(picks, [*stratum, "_pos"])
-    partial = _weighted_sums(drawn.select(*stratum, "_levels", "_reps"), stratum, by, sums, reps)
+    names = [*stratum, *by, "rep", *sums]
+
+    def make(table: pa.Table, counts: np.ndarray, column: np.ndarray) -> pa.Table:
+        values = np.column_stack([table.column(c).to_numpy() for c in sums])
+        levels = list(zip(*[table.column(c).to_pylist() for c in by])) if by else [()] * len(values)
+        held: dict[tuple, list[int]] = {}
+        for i, level in enumerate(levels):
+            held.setdefault(level, []).append(i)
+        parts = []
+        for level, mine in (held or {(None,) * len(by): []}).items():
+            weights = counts[:, column[mine]].astype(float)
+            on = np.flatnonzero(weights.any(axis=1))
+            heads = [(c, v) for c in stratum for v in table.column(c).to_pylist()[:1]] + list(zip(by, level))
+            fixed = {c: pa.array([v] * len(on), table.schema.field(c).type) for c, v in heads}
+            total = weights[on] @ values[mine]
+            parts.append(pa.table({**fixed, "rep": (on + 1).astype(np.int32), **{c: total[:, i] for i, c in enumerate(sums)}}).select(names))
+        return pa.concat_tables(parts)
+
+    schema = ", ".join([*_kinds(stats, [*stratum, *by]), "rep int", *[f"`{c}` double" for c in sums]])
+    rows = stats.join(indexed, [*stratum, *cluster]).select(*stratum, "_pos", "_n", *by, *sums)
+    partial = _per_block(rows, indexed, reps, seed, stratum, draws, schema, make)
     return partial.groupBy(*stratum, "rep", *by).agg(*[F.sum(s).alias(s) for s in sums])
 
 
-def _weighted_sums(drawn: DataFrame, stratum: Sequence[str], by: Sequence[str], sums: Sequence[str], reps: int, block: int = 512) -> DataFrame:
-    """(stratum, by, rep, sums) of the clusters of each task; replicates without a draw of a level are absent."""
-    inner = drawn.schema["_levels"].dataType.elementType
-    kinds = {f.name: f.dataType.simpleString() for f in [*drawn.select(*stratum).schema, *inner] if f.name in (*stratum, *by)}
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in (*stratum, *by)], "rep int", *[f"`{c}` double" for c in sums]])
-
-    def rows_of(held: dict, fields: list) -> Iterator[pa.RecordBatch]:
-        for key, (total, hits) in held.items():
-            on = np.flatnonzero(hits)
-            heads = [pa.array([v] * len(on), t) for v, t in zip(key, fields)]
-            yield pa.RecordBatch.from_arrays([*heads, pa.array((on + 1).astype(np.int32)), *[pa.array(total[on, i]) for i in range(len(sums))]], names=[*stratum, *by, "rep", *sums])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
-        fields: list = []
-        for batch in batches:
-            for start in range(0, batch.num_rows, block):
-                part = batch.slice(start, block)
-                m, reps_of, levels = part.num_rows, part.column("_reps"), part.column("_levels")
-                row = np.repeat(np.arange(m), reps_of.value_lengths().to_numpy())
-                weights = np.bincount((reps_of.flatten().to_numpy() - 1) * m + row, minlength=reps * m).reshape(reps, m).astype(float)
-                owner, flat = np.repeat(np.arange(m), levels.value_lengths().to_numpy()), levels.flatten()
-                fields = [part.schema.field(c).type for c in stratum] + [flat.type.field(c).type for c in by]
-                values = np.column_stack([flat.field(c).to_numpy(zero_copy_only=False) for c in sums])
-                heads = [[part.column(c)[i].as_py() for i in owner.tolist()] for c in stratum] + [flat.field(c).to_pylist() for c in by]
-                keys = list(zip(*heads)) if heads else [()] * len(owner)
-                code = {k: i for i, k in enumerate(dict.fromkeys(keys))}
-                at = np.fromiter((code[k] for k in keys), np.int64, len(keys))
-                for k, i in code.items():
-                    mine = at == i
-                    w = weights[:, owner[mine]]
-                    total, hits = held.get(k, (0.0, 0.0))
-                    held[k] = (total + w @ values[mine], hits + w.sum(axis=1))
-                if len(held) * reps * len(sums) > HELD:
-                    yield from rows_of(held, fields)
-                    held = {}
-        yield from rows_of(held, fields)
-
-    return drawn.mapInArrow(run, schema)
-
-
 def cluster_bootstrap(stats: DataFrame, cluster: Sequence[str], reps: int, seed: int, by: Sequence[str] = (), draws: str = "hash") -> DataFrame:
     """Replicate metrics (rep, by, metrics)."""
     return metrics_from_sums(replicate_sums(stats, cluster, SUMS, reps, seed, by, draws=draws), ["rep", *by])
@@ -221,21 +243,40 @@ def interval_table(points: DataFrame, draws: DataFrame, by: Sequence[str], value
 
 
 def draw_sequence(df: DataFrame, cluster: str, reps: int, seed: int) -> DataFrame:
-    """Draw table: (attempt, draw_id, draw_position, cluster, copy, series_id)."""
+    """Draw table: (attempt, draw_id, draw_position, cluster, copy, series_id). A block of clusters numbers its own copies."""
     indexed = index_clusters(df, [cluster])
-    rows = draw(indexed, reps, seed).join(indexed.select("_pos", cluster), "_pos")
-    # repeats of one cluster in one replicate: a handful
-    w = Window.partitionBy("rep", cluster).orderBy("position")
+
+    def number(key: tuple, table: pa.Table, picked: pa.Table) -> pa.Table:
+        at, seat = _codes(picked, "_at", "<u4"), _codes(picked, "_by", "<i8")
+        order = np.lexsort((seat, at))
+        at, seat = at[order], seat[order]
+        _, first, times = np.unique(at, return_index=True, return_counts=True)
+        copy = np.arange(len(at)) - np.repeat(first, times) + 1
+        sites = table.sort_by("_pos").column(cluster).take(pa.array(at % LEAF))
+        return pa.table({"attempt": (at // LEAF + 1).astype(np.int32), "draw_position": seat + 1, cluster: sites, "copy": copy.astype(np.int32)})
+
+    placed = indexed.withColumn("_blk", F.floor(F.col("_pos") / LEAF).cast("long")).groupBy("_blk")
+    rows = placed.cogroup(_picks(indexed, reps, seed, positions=True).groupBy("_blk")).applyInArrow(
+        number, ", ".join(["attempt int", "draw_position long", *_kinds(indexed, [cluster]), "copy int"])
+    )
     return rows.select(
-        F.col("rep").alias("attempt"), F.format_string("draw_%04d", "rep").alias("draw_id"), (F.col("position") + 1).alias("draw_position"),
-        cluster, F.row_number().over(w).alias("copy"),
-    ).withColumn("series_id", F.format_string("%s_copy%02d", F.col(cluster).cast("string"), F.col("copy")))
+        "attempt", F.format_string("draw_%04d", "attempt").alias("draw_id"), "draw_position", cluster, "copy",
+        F.format_string("%s_copy%02d", F.col(cluster).cast("string"), F.col("copy")).alias("series_id"),
+    )
 
 
 def resample_panel(df: DataFrame, draws: DataFrame, cluster: str, time: str) -> DataFrame:
-    """The rows of every drawn copy, sections restarting per copy."""
-    copies = df.join(draws.select("attempt", cluster, "copy"), cluster)
-    return section_starts(copies, ["attempt", cluster, "copy"], time)
+    """The rows of every drawn copy, sections restarting per copy: a copy has all rows of its cluster, so they are marked once."""
+    return section_starts(df, [cluster], time).join(draws.select("attempt", cluster, "copy"), cluster)
+
+
+def resampled_counts(df: DataFrame, cluster: str, time: str, reps: int, seed: int) -> DataFrame:
+    """(attempt, n_rows, n_sections, n_series) of the panels of `draw_sequence`, from sums per cluster: no row is copied."""
+    per = section_starts(df, [cluster], time).groupBy(cluster).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("section_start").cast("int")).alias("n_sections")
+    )
+    sums = replicate_sums(per.withColumn("n_series", F.lit(1)), [cluster], ["n_rows", "n_sections", "n_series"], reps, seed)
+    return sums.select(F.col("rep").alias("attempt"), *[F.col(c).cast("long").alias(c) for c in ("n_rows", "n_sections", "n_series")])
 
 
 def simultaneous_interval(estimates: DataFrame, draws: DataFrame, name: str, value: str, level: float = 0.95) -> DataFrame:
