@@ -141,10 +141,14 @@ def safe_divide(numerator: ColumnLike, denominator: ColumnLike) -> Column:
 
 
 def correlation(x: ColumnLike, y: ColumnLike) -> Column:
-    """Aggregate: Pearson r over complete pairs; null without variance, where the built-in raises under ANSI."""
+    """Aggregate: Pearson r over complete pairs; null without variance, where the built-in raises under ANSI.
+
+    A constant column has equal ends, while its merged variance may be a rounding error above zero.
+    """
     a, b = F.when(_c(y).isNotNull(), _c(x)), F.when(_c(x).isNotNull(), _c(y))
     product = F.var_pop(a) * F.var_pop(b)
-    return F.covar_pop(a, b) / F.sqrt(F.when(product > 0, product))
+    varied = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
+    return F.covar_pop(a, b) / F.sqrt(F.when(varied & (product > 0), product))
 
 
 def residual(prediction: ColumnLike, truth: ColumnLike) -> Column:

@@ -22,14 +22,14 @@ def complete_pair(truth: str, prediction: str) -> tuple[Column, Column]:
 
 
 def _metric_aggs(truth: str, prediction: str) -> list[Column]:
-    """One pass; the built-in moments merge without cancellation."""
+    """One pass; the built-in moments merge without cancellation, though not to an exact zero for equal values."""
     y, p = complete_pair(truth, prediction)
     e = p - y
     sst = F.var_pop(y) * F.count(y)
     return [
         F.count(y).alias("n"),
         F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
-        (F.lit(1.0) - F.sum(e * e) / F.when(sst > 0, sst)).alias("r2"), F.avg(e).alias("bias"),
+        (F.lit(1.0) - F.sum(e * e) / F.when((F.min(y) < F.max(y)) & (sst > 0), sst)).alias("r2"), F.avg(e).alias("bias"),
         correlation(y, p).alias("pearson_r"),
     ]
 
