@@ -170,7 +170,8 @@ def category_stability(t: Tables):
 
 @query("i17_filter_attributions", with_(A + ", " + T.INVALID + ", " + T.excluded(WINDOW), "SELECT run, count(*) AS n_cells, count(CASE WHEN lag = 1 AND feature = 'water' THEN 1 END) AS n_samples, sum(abs(shap)) AS total FROM attributions a WHERE NOT EXISTS (SELECT 1 FROM excluded e WHERE e.site = a.site AND e.period = a.period) GROUP BY run"), "total", digits=5)
 def filtered(t: Tables):
-    kept = op.filter_attributions(t.attributions, exclusion_keys(t.invalid, ["site"], "period", WINDOW), ["site", "period"])
+    """Samples are dropped before they become a row per run, lag and feature, so only samples are shuffled."""
+    kept = t.attributions_of(op.filter_attributions(t.samples, exclusion_keys(t.invalid, ["site"], "period", WINDOW), ["site", "period"]))
     return kept.groupBy("run").agg(
         F.count(F.lit(1)).alias("n_cells"), F.count(F.when((F.col("lag") == 1) & (F.col("feature") == FEATURES[0]), 1)).alias("n_samples"), F.sum(F.abs("shap")).alias("total")
     )

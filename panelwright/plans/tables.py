@@ -148,20 +148,28 @@ class Tables:
         """Panel rows with a complete history of WINDOW months, with the history array."""
         return cut_lineage(temporal.history_windows(self.panel, ["site"], "period", FEATURES, "target", [WINDOW]))
 
+    def inputs_of(self, samples: DataFrame) -> DataFrame:
+        """(sample, lag, feature, value) of some of the samples."""
+        return temporal.explode_history(samples, f"history_{WINDOW}", WINDOW, FEATURES, ["site", "class", "period", "year", "month"])
+
     @cached_property
     def features_long(self) -> DataFrame:
-        return temporal.explode_history(self.samples, f"history_{WINDOW}", WINDOW, FEATURES, ["site", "class", "period", "year", "month"])
+        return self.inputs_of(self.samples)
 
     @cached_property
     def attributions(self) -> DataFrame:
         """Three runs of exact linear attributions over all samples."""
+        return self.attributions_of(self.samples)
+
+    def attributions_of(self, samples: DataFrame) -> DataFrame:
+        """The attributions of some of the samples; the background is that of all."""
         rows = ", ".join(
             f"('{r}', {lag}, '{f}', {coefficient(ri, fi, lag)!r}D)"
             for ri, r in enumerate(RUNS, 1) for fi, f in enumerate(FEATURES, 1) for lag in range(1, WINDOW + 1)
         )
         coefficients = self.spark.sql(f"SELECT * FROM VALUES {rows} AS t(run, lag, feature, coef)")
         background = self.features_long.where(F.col("year") <= TRAIN_END)
-        return attribution.linear_attribution(self.features_long, background, coefficients, ["site", "class", "period"], keep_value=True)
+        return attribution.linear_attribution(self.inputs_of(samples), background, coefficients, ["site", "class", "period"], keep_value=True)
 
     @cached_property
     def manifest(self) -> DataFrame:
