@@ -36,6 +36,13 @@ def rows_to_matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of at most `rows` rows, so that what is made of a batch of matrices stays small; empty ones are left out."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def gram_table(df: DataFrame, features: str, target: str, by: Sequence[str]) -> GramTable:
     """One pass. A task adds up its rows per block; matrix cells are summed on Spark.
 

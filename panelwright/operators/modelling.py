@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import classify_message, finite, safe_divide, to_long
 from panelwright.operators.checks import expect_finite, expect_same_keys, expect_unique
-from panelwright.operators.gram import gram_table, predict_levels, rows_to_matrix, solve_ridge
+from panelwright.operators.gram import gram_table, predict_levels, rows_to_matrix, sliced, solve_ridge
 from panelwright.operators.metrics import METRICS, attempt_ledger, cluster_sufficient_stats, grid_winner, metrics_from_sums, regression_metrics, select_best
 from panelwright.operators.ordering import exact_quantiles
 from panelwright.operators.resampling import metrics_long, multi_seed_bootstrap, percentile_interval, replicate_counts
@@ -373,12 +373,11 @@ def grams_at(moments: DataFrame, spec: AdditiveSpec, rho: float, by: Sequence[st
     keys, width, penalty = [*by, spec.site], spec.width, spec.site_ridge
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                gram, cross, z, uy, uu = absorbed(whitened_moments(rows_to_matrix(batch.column("moments")), width, rho), penalty)
-                kind = pa.list_(pa.float64())
-                cells = [pa.array(list(a.reshape(len(a), -1)), kind) for a in (gram, cross, z)]
-                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], batch.column("n"), *cells, pa.array(uy), pa.array(uu)], names=[*keys, "n", "gram", "cross", "z", "uy", "uu"])
+        kind = pa.list_(pa.float64())
+        for batch in sliced(batches):
+            gram, cross, z, uy, uu = absorbed(whitened_moments(rows_to_matrix(batch.column("moments")), width, rho), penalty)
+            cells = [pa.array(list(a.reshape(len(a), -1)), kind) for a in (gram, cross, z)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], batch.column("n"), *cells, pa.array(uy), pa.array(uu)], names=[*keys, "n", "gram", "cross", "z", "uy", "uu"])
 
     return moments.select(*keys, "n", "moments").mapInArrow(run, _key_schema(moments, keys) + ", n long, gram array<double>, cross array<double>, z array<double>, uy double, uu double")
 
@@ -405,11 +404,10 @@ def _sum_grams(grams: DataFrame, by: str | None, p: int) -> dict[object, tuple[n
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc: dict[object, np.ndarray] = {}
-        for batch in batches:
-            if batch.num_rows:
-                g, levels = rows_to_matrix(batch.column("_g")), np.array(batch.column("_by").to_pylist(), object)
-                for level in dict.fromkeys(levels.tolist()):
-                    acc[level] = acc.get(level, 0.0) + g[levels == level].sum(axis=0)
+        for batch in sliced(batches):
+            g, levels = rows_to_matrix(batch.column("_g")), np.array(batch.column("_by").to_pylist(), object)
+            for level in dict.fromkeys(levels.tolist()):
+                acc[level] = acc.get(level, 0.0) + g[levels == level].sum(axis=0)
         for level, g in acc.items():
             yield pa.RecordBatch.from_arrays([pa.array([level], pa.string()), pa.array([g], pa.list_(pa.float64()))], names=["_by", "_g"])
 
@@ -458,15 +456,14 @@ def residual_correlation(moments: DataFrame, fit: AdditiveFit) -> float | None:
     q, names = spec.width + 2, ["n", "a", "b", "aa", "bb", "ab"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                m = rows_to_matrix(batch.column("moments"))
-                _, _, z, uy, uu = absorbed(whitened_moments(m, spec.width, rho), spec.site_ridge)
-                e = np.column_stack([np.tile(np.append(-beta, 1.0), (len(m), 1)), -(uy - z @ beta) / (uu + spec.site_ridge)])
-                _, now, cross, before = np.moveaxis(m.reshape(-1, 4, q, q), 1, 0)
-                form = [np.einsum("ei,eij,ej->e", e, x, e) for x in (now, before, cross)]
-                sums = [now[:, -1, -1], np.einsum("ej,ej->e", now[:, -1], e), np.einsum("ej,ej->e", before[:, -1], e), *form]
-                yield pa.RecordBatch.from_arrays([pa.array([float(x.sum())]) for x in sums], names=names)
+        for batch in sliced(batches):
+            m = rows_to_matrix(batch.column("moments"))
+            _, _, z, uy, uu = absorbed(whitened_moments(m, spec.width, rho), spec.site_ridge)
+            e = np.column_stack([np.tile(np.append(-beta, 1.0), (len(m), 1)), -(uy - z @ beta) / (uu + spec.site_ridge)])
+            _, now, cross, before = np.moveaxis(m.reshape(-1, 4, q, q), 1, 0)
+            form = [np.einsum("ei,eij,ej->e", e, x, e) for x in (now, before, cross)]
+            sums = [now[:, -1, -1], np.einsum("ej,ej->e", now[:, -1], e), np.einsum("ej,ej->e", before[:, -1], e), *form]
+            yield pa.RecordBatch.from_arrays([pa.array([float(x.sum())]) for x in sums], names=names)
 
     rows = moments.select("moments").mapInArrow(run, ", ".join(f"{n} double" for n in names))
     n, a, b, aa, bb, ab = rows.agg(*[F.sum(c) for c in names]).first()
