@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import classify_message, finite, safe_divide, to_long
 from panelwright.operators.checks import expect_finite, expect_same_keys, expect_unique
+from panelwright.operators.forest import BLOCK, forest_predictions
 from panelwright.operators.gram import gram_table, predict_levels, rows_to_matrix, sliced, solve_ridge
 from panelwright.operators.metrics import METRICS, attempt_ledger, cluster_sufficient_stats, grid_winner, metrics_from_sums, regression_metrics, select_best
 from panelwright.operators.ordering import exact_quantiles
@@ -140,44 +141,32 @@ def ridge_refit(
 
 def random_forest_grid(
     train: DataFrame, validation: DataFrame, features: str, target: str, trees: Sequence[int], depths: Sequence[int | None],
-    leaves: Sequence[int], seed: int = 42,
+    leaves: Sequence[int], seed: int = 42, keys: Sequence[str] = (), block: int = BLOCK,
 ) -> DataFrame:
     """Validation metrics of every setting with the distributed forest, the winner marked `selected`.
 
-    A forest predicts the mean of its trees, so the settings of one shape share their trees: the smallest forest is fitted
-    first, each larger one adds a forest of the difference, and predictions are averaged by numbers of trees. Settings
-    that Spark builds alike (it stops at depth 30; `built_depth` is the depth it was built with) share their fits too.
+    A forest predicts the mean of its trees, so a smaller forest is the first trees of the largest one, and a shallower
+    tree is a deeper one cut off: every tree is grown once per size of leaves. Depth ends at 30 (`built_depth` is the depth
+    that was built).
     Of equal squared errors the one with fewer trees wins, then the one of smaller depth (unlimited last), then the one of
     larger leaves.
     """
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import RandomForestRegressor
-
-    counts = sorted(trees)
-    shapes = list(dict.fromkeys((min(d or 30, 30), leaf) for d in depths for leaf in leaves))
-    tr = train.select(array_to_vector(F.col(features)).alias("_v"), F.col(target).alias("y_true"))
-    va = validation.select(array_to_vector(F.col(features)).alias("_v"), F.col(target).alias("y_true"))
-    tr.persist()
-    for i, (built, leaf) in enumerate(shapes):
-        total = F.lit(0.0)
-        for j, t in enumerate(counts):
-            more = t - (counts[j - 1] if j else 0)
-            rf = RandomForestRegressor(
-                featuresCol="_v", labelCol="y_true", predictionCol="_p", numTrees=more, maxDepth=built, minInstancesPerNode=leaf,
-                featureSubsetStrategy="sqrt", seed=seed + j,
-            )
-            total = total + F.col("_p") * F.lit(float(more))
-            va = rf.fit(tr).transform(va).withColumn(f"_sum{i}_{j}", total)
-            total = F.col(f"_sum{i}_{j}")
-            va = va.drop("_p")
-    tr.unpersist()
-    # every prediction in one pass over validation; as many rows per row as settings
+    built = sorted({min(d or 30, 30) for d in depths})
+    each = forest_predictions(train, validation, features, target, max(trees), built, sorted(set(leaves)), seed, keys, block)
+
+    def mean(t: int, depth: int, leaf: int) -> Column:
+        mine = (F.col("tree") < t) & (F.col("leaf") == leaf)
+        return F.sum(F.when(mine, F.get("p", F.lit(built.index(depth))))) / F.lit(float(t))
+
+    shapes = [(t, d, leaf) for t in sorted(set(trees)) for d in built for leaf in sorted(set(leaves))]
+    va = each.groupBy("id").agg(F.max("y_true").alias("y_true"), *[mean(*s).alias(f"_p{i}") for i, s in enumerate(shapes)])
+    # as many rows per row as settings
     settings = [
         F.struct(
             F.lit(t).alias("n_estimators"), F.lit(str(d)).alias("max_depth"), F.lit(min(d or 30, 30)).alias("built_depth"), F.lit(leaf).alias("min_samples_leaf"),
-            (F.col(f"_sum{shapes.index((min(d or 30, 30), leaf))}_{j}") / F.lit(float(t))).alias("y_pred"),
+            F.col(f"_p{shapes.index((t, min(d or 30, 30), leaf))}").alias("y_pred"),
         )
-        for j, t in enumerate(counts) for d in depths for leaf in leaves
+        for t in sorted(trees) for d in depths for leaf in leaves
     ]
     keys = ["n_estimators", "max_depth", "built_depth", "min_samples_leaf"]
     table = cut_lineage(regression_metrics(va.select("y_true", F.inline(F.array(*settings))), keys))

@@ -216,7 +216,7 @@ def ridge_predict(t: Tables):
 @query("k02_random_forest_grid")
 def forest_grid(t: Tables):
     train, val = _train_val(t)
-    return op.random_forest_grid(train, val, "features", "target", TREES, [None, 20, 40], [1, 3])
+    return op.random_forest_grid(train, val, "features", "target", TREES, [None, 20, 40], [1, 3], keys=["site", "period"])
 
 
 @query("k14_prediction_frame", with_(T.PANEL, f"""SELECT p.site, p.period, p.target AS y_true, c.y_pred, 'class_month' AS model, 42 AS seed, 1.0::DOUBLE AS alpha FROM panel p LEFT JOIN
