@@ -698,22 +698,81 @@ class Analysis:
     spec: AdditiveSpec
 
 
-def sensitivity_suite(df: DataFrame, analyses: Sequence[Analysis], rho: float) -> DataFrame:
-    """The main contrast of every analysis: (analysis, response, n, estimate). Analyses of one specification share a fit."""
+def whole_keys(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Sorted batches cut so that no key's rows lie in two of them; one batch and one key's rows are held at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        levels = batch.column(key).to_pylist()
+        last = next((i + 1 for i in range(len(levels) - 2, -1, -1) if levels[i] != levels[-1]), 0)
+        if last == 0 and (not held or held[0].column(key)[0].as_py() == levels[-1]):
+            held.append(batch)
+            continue
+        if held or last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+        held = [batch.slice(last)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def domain_totals(df: DataFrame, analyses: Sequence[Analysis], rho: float) -> dict[int, np.ndarray]:
+    """Per analysis, by its number: its Gram matrix, cross-product and number of rows, one after another; one pass for all.
+
+    A row moves once, with the fields that any design needs and the analyses it belongs to; designs are built where it
+    arrives. A task keeps one total per analysis, whatever the number of entities. All analyses share entity and time.
+    """
     specs = [a.spec for i, a in enumerate(analyses) if a.spec not in [b.spec for b in analyses[:i]]]
-    out = None
-    for spec in specs:
-        mine = [a for a in analyses if a.spec == spec]
-        cells = [F.when(F.coalesce(a.domain, F.lit(False)), F.lit(a.name)) for a in mine]
-        used = [F.col(c).isNotNull() for c in (spec.response, spec.x, spec.y, *spec.controls)]
-        long = df.withColumn("analysis", F.explode(F.array_compact(F.array(*cells))))
-        for c in used:
-            long = long.where(c)
-        found = surface_contrasts(df.sparkSession, additive_surface_fit(long, spec, rho, by="analysis")).where(F.col("contrast") == CONTRAST_NAMES[-1])
-        counted = long.groupBy("analysis").agg(F.count(F.lit(1)).alias("n"))  # as many rows as analyses
-        part = found.join(F.broadcast(counted), "analysis").select("analysis", F.lit(spec.response).alias("response"), "n", "estimate")
-        out = part if out is None else out.unionByName(part)
-    return out
+    about = [(specs.index(a.spec), a.spec.width, a.spec.site_ridge) for a in analyses]
+    site, time, s = specs[0].site, specs[0].time, float(np.sqrt(1.0 - rho * rho))
+    needed = [c for c in dict.fromkeys(c for p in specs for c in (p.response, p.x, p.y, *p.controls, "month", "year")) if c != site]
+    inside = []
+    for a in analyses:
+        use = F.coalesce(a.domain, F.lit(False))
+        for c in (a.spec.response, a.spec.x, a.spec.y, *a.spec.controls):
+            use = use & F.col(c).isNotNull()
+        inside.append(use)
+    rows = df.select(site, *needed, F.col(time).cast("long").alias("_t"), F.array(*inside).alias("_in")).where(F.exists("_in", lambda used: used))
+    laid = rows.repartition(site).sortWithinPartitions(site, "_t")
+    designs = [F.concat(design_vector(p), F.array(F.col(p.response).cast("double"), F.lit(1.0))).alias(f"_v{i}") for i, p in enumerate(specs)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = [np.zeros(width * (width + 1) + 1) for _, width, _ in about]
+        for part in whole_keys(batches, "_k"):
+            part = part.combine_chunks()
+            level = part.column("_k").combine_chunks().dictionary_encode().indices.to_numpy()
+            t, used = part.column("_t").to_numpy(), rows_to_matrix(part.column("_in").combine_chunks()).astype(bool)
+            vectors = [rows_to_matrix(part.column(f"_v{i}").combine_chunks()) for i in range(1 + max(i for i, _, _ in about))]
+            for j, (spec, _, penalty) in enumerate(about):
+                mine = used[:, j]
+                if not mine.any():
+                    continue
+                v, own, at = vectors[spec][mine], level[mine], t[mine]
+                new = np.concatenate([[True], own[1:] != own[:-1]])
+                joined = ~new & np.concatenate([[False], np.diff(at) <= 1])
+                w = np.where(joined[:, None], (v - rho * np.concatenate([v[:1], v[:-1]])) / s, v)
+                x, y, u = w[:, :-2], w[:, -2], w[:, -1]
+                z = np.add.reduceat(w * u[:, None], np.flatnonzero(new), axis=0)
+                z, uy, scale = z[:, :-2], z[:, -2], z[:, -1] + penalty
+                gram, cross = x.T @ x - z.T @ (z / scale[:, None]), x.T @ y - z.T @ (uy / scale)
+                totals[j] += np.concatenate([gram.ravel(), cross, [len(v)]])
+        some = [j for j, g in enumerate(totals) if g[-1]]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([totals[j] for j in some], pa.list_(pa.float64()))], names=["analysis", "_g"])
+
+    return _add_cells(laid.select(F.col(site).alias("_k"), "_t", "_in", *designs).mapInArrow(run, "analysis int, _g array<double>"), "analysis")
+
+
+def sensitivity_suite(df: DataFrame, analyses: Sequence[Analysis], rho: float) -> DataFrame:
+    """The main contrast of every analysis that has rows: (analysis, response, n, estimate)."""
+    out = []
+    for site, time in dict.fromkeys((a.spec.site, a.spec.time) for a in analyses):
+        mine = [a for a in analyses if (a.spec.site, a.spec.time) == (site, time)]
+        for j, flat in sorted(domain_totals(df, mine, rho).items()):
+            spec = mine[j].spec
+            gram, cross = _split(flat, spec.width)
+            beta = np.linalg.solve(gram + spec.ridge * np.eye(len(cross)), cross)
+            out.append((mine[j].name, spec.response, round(flat[-1]), float(contrast_matrix(spec)[-1] @ beta)))
+    return df.sparkSession.createDataFrame(out, "analysis string, response string, n long, estimate double")
 
 
 def fit_health(df: DataFrame, fit: AdditiveFit) -> DataFrame:

@@ -193,3 +193,27 @@ def test_folds_keep_held_out_sites_apart(spark):
     got = {(r["held_out"], r["role"]): r["count"] for r in out.groupBy("held_out", "role").count().collect()}
     assert got == {(h, r): 2 for h in (0, 1) for r in ("train", "val", "test")}
     assert out.where("(role = 'test') <> (fold = held_out)").count() == 0
+
+
+@pytest.mark.parametrize("rows", [3, 1000])
+def test_sensitivity_analyses_share_one_pass(spark, frame, panel, rows):
+    wide = frame.withColumn("r2", F.when(F.col("site") % 2 == 0, 2 * F.col("r"))).withColumn("extra", F.when(F.col("month") != 2, F.col("c")))
+    more = replace(SPEC, controls={**SPEC.controls, "extra": (-1.0, 0.0, 1.0)})
+    analyses = [op.Analysis("all", F.lit(True), SPEC), op.Analysis("none", F.lit(None).cast("boolean"), SPEC), op.Analysis("even", F.lit(True), replace(SPEC, response="r2")),
+                op.Analysis("late", F.col("year") > 2000, SPEC), op.Analysis("more", F.lit(True), more)]
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, passes = spark.conf.get(setting), []
+    spark.conf.set(setting, str(rows))
+    spread, op._add_cells = op._add_cells, lambda parts, by: passes.append(by) or spread(parts, by)
+    try:
+        got = {r["analysis"]: r for r in op.sensitivity_suite(wide, analyses, 0.2).collect()}
+    finally:
+        op._add_cells = spread
+        spark.conf.set(setting, before)
+    assert passes == ["analysis"]  # whatever the number of specifications
+    assert set(got) == {"all", "even", "late", "more"} and got["more"]["n"] == sum(r[2] != 2 for r in panel)
+    for name, kept, scale in (("all", panel, 1), ("even", [r for r in panel if r[0] % 2 == 0], 2), ("late", [r for r in panel if r[1] > 2000], 1)):
+        beta, _ = full_solve(by_site(kept), 0.2)
+        assert got[name]["n"] == len(kept) and got[name]["estimate"] == pytest.approx(scale * (op.contrast_matrix(SPEC)[-1] @ beta), abs=1e-7)
+    alone = op.additive_surface_fit(wide.where("extra is not null"), more, 0.2)
+    assert got["more"]["estimate"] == pytest.approx(float(op.contrast_matrix(more)[-1] @ alone.coefficients["all"]), abs=1e-7)
