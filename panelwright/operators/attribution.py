@@ -43,6 +43,59 @@ def linear_attribution(
     )
 
 
+def nested_attribution(
+    samples: DataFrame, history: str, window: int, features: Sequence[str], background: DataFrame, coefficients: DataFrame, keys: Sequence[str]
+) -> DataFrame:
+    """`linear_attribution` with its lags nested: one row (run, keys, feature, lags) per sample, run and feature.
+
+    `history` is the array of `history_windows`; `lags` holds (lag, value, shap), newest first. Whatever adds up over a
+    sample's lags is then a projection: no shuffle and no state per sample, where the long table needs a group for each.
+    `features` lists what the arrays hold. The weights are model-sized: one row per run and feature.
+    """
+    means = background.groupBy("lag", "feature").agg(F.avg("value").alias("_mean"))
+    lags = range(1, window + 1)
+    weights = coefficients.join(means, ["lag", "feature"]).groupBy("run", "feature").agg(
+        *[F.max(F.when(F.col("lag") == lag, F.struct("coef", "_mean"))).alias(f"_w{lag}") for lag in lags]
+    )
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"{history}.{f}").alias("_x")) for f in features])
+
+    def cell(lag: int) -> Column:
+        w, x = F.col(f"_w{lag}"), F.get("_x", F.lit(window - lag))
+        return F.when(w.isNotNull(), F.struct(F.lit(lag).alias("lag"), x.alias("value"), (w["coef"] * (x - w["_mean"])).alias("shap")))
+
+    long = samples.select(*keys, F.inline(cells)).join(F.broadcast(weights), "feature")
+    return long.select("run", *keys, "feature", F.array(*[cell(lag) for lag in lags]).alias("lags"))
+
+
+def _each(window: int, name: str) -> list[Column]:
+    """One field of every lag, as plain expressions: Spark compiles them, which it does not do with lambdas over arrays."""
+    return [F.get("lags", F.lit(i))[name] for i in range(window)]
+
+
+def _sum(values: Sequence[Column]) -> Column:
+    """Sum as SQL adds a group: nulls are left out, nothing but nulls gives null."""
+    total = F.lit(0.0)
+    for v in values:
+        total = total + F.coalesce(v, F.lit(0.0))
+    return F.when(F.coalesce(*values).isNotNull(), total)
+
+
+def collapse_nested(df: DataFrame, keys: Sequence[str], window: int) -> DataFrame:
+    """`collapse_lags` of nested rows: a projection."""
+    shap = _each(window, "shap")
+    return df.select(*keys, "feature", _sum([F.abs(v) for v in shap]).alias("abs_shap"), _sum(shap).alias("signed_shap"))
+
+
+def sample_levels(df: DataFrame, keys: Sequence[str], window: int) -> DataFrame:
+    """Per nested row: signed total and mean input, as `high_low_of` reads them."""
+    values = [v.cast("double") for v in _each(window, "value")]
+    known = F.lit(0)
+    for v in values:
+        known = known + v.isNotNull().cast("int")
+    level = safe_divide(_sum(values), known)
+    return df.select(*keys, "feature", _sum(_each(window, "shap")).alias("signed"), level.cast("float").cast("double").alias("level"))
+
+
 def collapse_lags(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per sample and feature: sum of absolute values and sum of values over lags."""
     return df.groupBy(*keys, "feature").agg(F.sum(F.abs("shap")).alias("abs_shap"), F.sum("shap").alias("signed_shap"))
@@ -88,7 +141,11 @@ def high_low_contrast(df: DataFrame, by: Sequence[str], sample: Sequence[str], v
 
     Mean inputs are taken in single precision, so equal inputs stay equal whatever order they were summed in.
     """
-    per = df.groupBy(*by, *sample, "feature").agg(F.sum("shap").alias("signed"), F.avg(value).cast("float").cast("double").alias("level"))
+    return high_low_of(df.groupBy(*by, *sample, "feature").agg(F.sum("shap").alias("signed"), F.avg(value).cast("float").cast("double").alias("level")), by)
+
+
+def high_low_of(per: DataFrame, by: Sequence[str]) -> DataFrame:
+    """`high_low_contrast` from one row (by, feature, signed, level) per sample."""
     q = exact_quantiles(per, "level", {"q25": 0.25, "q75": 0.75}, by=[*by, "feature"]).drop("n")
     joined = per.join(broadcast_if_small(cut_lineage(q)), [*by, "feature"])
     out = joined.groupBy(*by, "feature").agg(

@@ -25,7 +25,7 @@ IMPORTANCE = f""", imp0 AS (SELECT run, feature, count(CASE WHEN lag = 1 THEN 1
 
 @query("i01_collapse_lags", with_(A, "SELECT run, site, period, feature, sum(abs(shap)) AS abs_shap, sum(shap) AS signed_shap FROM attributions GROUP BY ALL"), "abs_shap signed_shap")
 def collapse(t: Tables):
-    return op.collapse_lags(t.attributions, ["run", "site", "period"])
+    return op.collapse_nested(t.nested_attributions, ["run", "site", "period"], WINDOW)
 
 
 @query("i02_global_importance", with_(A + IMPORTANCE, "SELECT *, CASE sign WHEN 1 THEN 'positive mean attribution' WHEN -1 THEN 'negative mean attribution' ELSE 'near-zero mean attribution' END AS direction FROM importance"), "mean_abs mean_signed rank")
@@ -187,10 +187,9 @@ def raw_and_grouped(t: Tables):
   SELECT run, feature, i.mean_abs AS recomputed, s.mean_abs AS stored, round(abs(i.mean_abs - s.mean_abs), 8) AS abs_difference, round(abs(i.mean_abs - s.mean_abs) / abs(s.mean_abs), 8) AS rel_difference, abs(i.mean_abs - s.mean_abs) <= 2e-6 + 2e-6 * abs(s.mean_abs) AS within FROM importance i JOIN stored s USING (run, feature)"""), "recomputed stored abs_difference rel_difference")
 def cross_check(t: Tables):
     """Recomputed importances against a per-sample route that misses late samples of one feature."""
-    rows = t.attributions
-    partial = rows.where((F.col("period") < 1999 * 12) | (F.col("feature") != "peak"))
-    stored = op.collapse_lags(partial, ["run", "site", "period"]).groupBy("run", "feature").agg(F.avg("abs_shap").alias("mean_abs"))
-    return op.cross_check(op.global_importance(rows, ["run"]), stored, ["run", "feature"], "mean_abs")
+    partial = t.nested_attributions.where((F.col("period") < 1999 * 12) | (F.col("feature") != "peak"))
+    stored = op.collapse_nested(partial, ["run", "site", "period"], WINDOW).groupBy("run", "feature").agg(F.avg("abs_shap").alias("mean_abs"))
+    return op.cross_check(op.global_importance(t.attributions, ["run"]), stored, ["run", "feature"], "mean_abs")
 
 
 @query("i20_linear_attribution", with_(A, "SELECT run, feature, lag, count(*) AS n, sum(shap) AS total, min(shap) AS low, max(shap) AS high FROM attributions GROUP BY ALL"), "total low high", digits=5)

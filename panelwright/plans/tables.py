@@ -163,13 +163,24 @@ class Tables:
 
     def attributions_of(self, samples: DataFrame) -> DataFrame:
         """The attributions of some of the samples; the background is that of all."""
+        return attribution.linear_attribution(self.inputs_of(samples), self.background, self.coefficients, ["site", "class", "period"], keep_value=True)
+
+    @cached_property
+    def nested_attributions(self) -> DataFrame:
+        """The same attributions with the lags of a run, sample and feature in one row."""
+        return attribution.nested_attribution(self.samples, f"history_{WINDOW}", WINDOW, FEATURES, self.background, self.coefficients, ["site", "class", "period"])
+
+    @property
+    def background(self) -> DataFrame:
+        return self.features_long.where(F.col("year") <= TRAIN_END)
+
+    @property
+    def coefficients(self) -> DataFrame:
         rows = ", ".join(
             f"('{r}', {lag}, '{f}', {coefficient(ri, fi, lag)!r}D)"
             for ri, r in enumerate(RUNS, 1) for fi, f in enumerate(FEATURES, 1) for lag in range(1, WINDOW + 1)
         )
-        coefficients = self.spark.sql(f"SELECT * FROM VALUES {rows} AS t(run, lag, feature, coef)")
-        background = self.features_long.where(F.col("year") <= TRAIN_END)
-        return attribution.linear_attribution(self.inputs_of(samples), background, coefficients, ["site", "class", "period"], keep_value=True)
+        return self.spark.sql(f"SELECT * FROM VALUES {rows} AS t(run, lag, feature, coef)")
 
     @cached_property
     def manifest(self) -> DataFrame:
