@@ -86,14 +86,19 @@ def collapse_nested(df: DataFrame, keys: Sequence[str], window: int) -> DataFram
     return df.select(*keys, "feature", _sum([F.abs(v) for v in shap]).alias("abs_shap"), _sum(shap).alias("signed_shap"))
 
 
-def sample_levels(df: DataFrame, keys: Sequence[str], window: int) -> DataFrame:
-    """Per nested row: signed total and mean input, as `high_low_of` reads them."""
-    values = [v.cast("double") for v in _each(window, "value")]
-    known = F.lit(0)
-    for v in values:
-        known = known + v.isNotNull().cast("int")
-    level = safe_divide(_sum(values), known)
-    return df.select(*keys, "feature", _sum(_each(window, "shap")).alias("signed"), level.cast("float").cast("double").alias("level"))
+def sample_levels(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per nested row: signed total and mean input, as `high_low_of` reads them.
+
+    Both go over the array: written out per lag, the two make a method too large for the JVM to compile.
+    """
+    def total(values: Column) -> Column:
+        return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, v: a + v))
+
+    def known(name: str) -> Column:
+        return F.filter(F.col(f"lags.{name}").cast("array<double>"), lambda v: v.isNotNull())
+
+    level = safe_divide(total(known("value")), F.size(known("value")))
+    return df.select(*keys, "feature", total(known("shap")).alias("signed"), level.cast("float").cast("double").alias("level"))
 
 
 def collapse_lags(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -145,7 +150,8 @@ def high_low_contrast(df: DataFrame, by: Sequence[str], sample: Sequence[str], v
 
 
 def high_low_of(per: DataFrame, by: Sequence[str]) -> DataFrame:
-    """`high_low_contrast` from one row (by, feature, signed, level) per sample."""
+    """`high_low_contrast` from one row (by, feature, signed, level) per sample; those are written once for both passes."""
+    per = cut_lineage(per.select(*by, "feature", "signed", "level"))
     q = exact_quantiles(per, "level", {"q25": 0.25, "q75": 0.75}, by=[*by, "feature"]).drop("n")
     joined = per.join(broadcast_if_small(cut_lineage(q)), [*by, "feature"])
     out = joined.groupBy(*by, "feature").agg(

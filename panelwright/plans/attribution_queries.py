@@ -61,7 +61,7 @@ def seed_aggregate(t: Tables):
   q AS (SELECT run, feature, quantile_cont(level, 0.25) AS q25, quantile_cont(level, 0.75) AS q75 FROM per GROUP BY ALL)
   SELECT *, high - low AS contrast, {SIGN.format(c='high - low')} AS contrast_sign FROM (SELECT run, feature, avg(CASE WHEN level >= q75 THEN signed END) AS high, avg(CASE WHEN level <= q25 THEN signed END) AS low FROM per JOIN q USING (run, feature) GROUP BY ALL)"""), "high low contrast", digits=6)
 def high_low(t: Tables):
-    return op.high_low_contrast(t.attributions, ["run"], ["site", "period"])
+    return op.high_low_of(op.sample_levels(t.nested_attributions, ["run", "site", "period"]), ["run"])
 
 
 PROFILE = f", profile AS (SELECT run, feature, lag, avg(abs(shap)) AS mean_abs, avg(shap) AS mean_signed FROM attributions GROUP BY ALL)"
