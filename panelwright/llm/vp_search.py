@@ -1,9 +1,10 @@
-"""Approximate nearest neighbours by cosine: a vantage-point tree per shard, searched with relaxed triangle pruning.
+"""Nearest neighbours by cosine: a vantage-point tree per shard, searched with relaxed triangle pruning.
 
-Unit vectors are compared by their chord, a metric that falls as the cosine rises. A query leaves out a child when the
-triangle inequality puts everything in it further than `factor` times its k-th best so far; factor 1 is exact, smaller
-factors visit fewer leaves. Scores are cosines of the original vectors in double precision, summed component by
-component. Every row is indexed; queries travel to all trees in blocks.
+Unit vectors are compared by their chord, a metric that falls as the cosine rises. A query leaves out a leaf when the
+triangle inequality at a vantage row above puts everything in it further than `factor` times its k-th best so far; factor 1
+is exact, smaller factors visit fewer leaves. In a leaf, products in single precision leave out what their error bound
+excludes; scores are cosines of the original vectors in double precision, summed component by component. Every row is
+indexed. A task holds one block of queries and passes a group of trees, so that bounds found in one tree hold in the next.
 """
 
 from __future__ import annotations
@@ -12,14 +13,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from panelwright.llm.ranking import number_within
 from panelwright.session import cut_lineage
 
-SHARD, LEAF, BLOCK = 4096, 64, 1024
+SHARD, LEAF = 4096, 64
+#: A tile: bytes of queries and of trees (as doubles), and pairs of a query and a row, some 10 s, that one task takes at most.
+QUERY_BYTES, TREE_BYTES, PAIRS = 1 << 24, 1 << 26, 1 << 31
+TILES = 32  # at least, if there are as many trees
+_ROWS = 8192  # queries that visit a tree together
+_CELLS = 1 << 20  # components of the pairs that are scored together
 _SLACK = 1e-6  # more than rounding can move a chord
+_NONE = np.iinfo(np.int64).max
 
 
 def running_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -49,14 +56,15 @@ def scaled(a: np.ndarray) -> np.ndarray:
 class VantageTree:
     """Nodes as arrays: a node has a vantage row, a radius and children, or is a leaf with a slice of rows."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, nodes: np.ndarray, radii: np.ndarray):
-        self.ids, self.vectors, self.nodes, self.radii = ids, vectors, nodes, radii
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, nodes: np.ndarray, radii: np.ndarray, order: np.ndarray | None = None):
+        self.ids, self.vectors, self.nodes, self.radii, self.order = ids, vectors, nodes, radii, order
         self.norms = norms(vectors)
         self.units = vectors / self.norms[:, None]
+        self.narrow, self.columns = self.units.astype(np.float32), np.ascontiguousarray(vectors.T)
 
     @classmethod
     def build(cls, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF) -> VantageTree:
-        """Median splits around a random vantage row; rows that all lie equally far stay one leaf."""
+        """Median splits around a random vantage row; rows that all lie equally far stay one leaf. `order` tells where rows were."""
         units = vectors / norms(vectors)[:, None]
         random = np.random.default_rng(len(ids))
         order, nodes, radii = np.arange(len(ids)), [], []
@@ -84,125 +92,215 @@ class VantageTree:
         place[order] = np.arange(len(ids))
         split = nodes[:, 2] >= 0
         nodes[split, 2] = place[nodes[split, 2]]
-        return cls(ids[order], vectors[order], nodes, np.array(radii))
+        return cls(ids[order], vectors[order], nodes, np.array(radii), order)
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(scores, ids, found) of the k best rows per query, best first, ties to the smaller id, without the query's own."""
-        lengths = norms(queries)
-        units = queries / lengths[:, None]
-        scores, best = np.full((len(queries), k), -np.inf), np.full((len(queries), k), np.iinfo(np.int64).max)
+    def leaves(self, units: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Per leaf (first row, end, home, bound): which queries belong there, and how far its rows are from each at least."""
+        split = np.flatnonzero(self.nodes[:, 2] >= 0)
+        gaps = np.empty((len(self.nodes), len(units)))
+        gaps[split] = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * self.units[self.nodes[split, 2]] @ units.T)) - self.radii[split, None]
 
-        def visit(node: int, active: np.ndarray) -> None:
+        def walk(node: int, home: np.ndarray, bound: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
             lo, hi, vantage, inner, outer = self.nodes[node].tolist()
-            if not len(active):
-                return
             if vantage < 0:
-                for a in range(lo, hi, 4 * LEAF):
-                    b = min(hi, a + 4 * LEAF)
-                    s = running_dot(queries[active], self.vectors[a:b]) / (lengths[active, None] * self.norms[None, a:b])
-                    ids = np.broadcast_to(self.ids[a:b], s.shape)
-                    s = np.where(ids == query_ids[active, None], -np.inf, s)
-                    all_s, all_i = np.concatenate([scores[active], s], axis=1), np.concatenate([best[active], np.where(np.isneginf(s), np.iinfo(np.int64).max, ids)], axis=1)
-                    top = np.lexsort((all_i, -all_s), axis=1)[:, :k]
-                    scores[active], best[active] = np.take_along_axis(all_s, top, 1), np.take_along_axis(all_i, top, 1)
-                return
-            away = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * units[active] @ self.units[vantage]))
-            near = away <= self.radii[node]
-            for first, second, rows in ((inner, outer, near), (outer, inner, ~near)):
-                some = active[rows]
-                visit(first, some)
-                worst = scores[some, -1]
-                reach = np.where(np.isneginf(worst), np.inf, factor * np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.where(np.isneginf(worst), 0.0, worst))))
-                visit(second, some[np.abs(away[rows] - self.radii[node]) <= reach + _SLACK])
-
-        visit(0, np.arange(len(queries)))
-        return scores, best, ~np.isneginf(scores)
-
-
-TREE_SCHEMA = "dims int, ids binary, vectors binary, nodes binary, radii binary"
+                yield lo, hi, home, bound
+            else:
+                near = gaps[node] <= 0
+                yield from walk(inner, home & near, np.maximum(bound, gaps[node]))
+                yield from walk(outer, home & ~near, np.maximum(bound, -gaps[node]))
+
+        return walk(0, np.ones(len(units), bool), np.zeros(len(units)))
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(scores, ids, found) of the k best rows per query, best first, ties to the smaller id, without the query's own."""
+        best = Best(query_ids, queries, k)
+        best.search(self, factor)
+        return best.scores, best.found, ~np.isneginf(best.scores)
+
+
+class Best:
+    """The k best rows so far of a block of queries of one dimension; trees are searched one after the other."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.k, self.dims = ids, k, vectors.shape[1]
+        self.lengths = norms(vectors)
+        self.units = vectors / self.lengths[:, None]
+        self.narrow, self.columns = self.units.astype(np.float32), np.ascontiguousarray(vectors.T)
+        self.scores, self.found = np.full((len(ids), k), -np.inf), np.full((len(ids), k), _NONE)
+        self.error = (self.dims + 8) * 2.0**-23  # twice what single precision can move a cosine
+
+    def search(self, tree: VantageTree, factor: float) -> None:
+        """Every query visits the leaf it belongs to, then those that its k-th best so far does not exclude."""
+        for a in range(0, len(self.ids), _ROWS):
+            leaves = list(tree.leaves(self.units[a : a + _ROWS]))
+            for lo, hi, home, _ in leaves:
+                self.visit(tree, lo, hi, a + np.flatnonzero(home))
+            for lo, hi, home, bound in leaves:
+                worst = self.scores[a : a + _ROWS, -1]
+                full = ~np.isneginf(worst)
+                reach = np.where(full, factor * np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.where(full, worst, 0.0))), np.inf)
+                self.visit(tree, lo, hi, a + np.flatnonzero(~home & (bound <= reach + _SLACK)))
+
+    def visit(self, tree: VantageTree, lo: int, hi: int, rows: np.ndarray) -> None:
+        """Compare queries with a leaf's rows."""
+        for a in range(lo, hi if len(rows) else lo, 4 * LEAF):
+            b = min(hi, a + 4 * LEAF)
+            close, least = self.narrow[rows] @ tree.narrow[a:b].T, self.scores[rows, -1]
+            if b - a > self.k and np.isneginf(least).any():
+                others = np.where(tree.ids[None, a:b] == self.ids[rows, None], -np.inf, close)
+                least = np.maximum(least, np.partition(others, -self.k, axis=1)[:, -self.k] - self.error)
+            pairs = np.flatnonzero(close >= (least - self.error).astype(np.float32)[:, None])
+            step = max(1, _CELLS // self.dims)
+            for c in range(0, len(pairs), step):
+                i, j = np.divmod(pairs[c : c + step], b - a)
+                self.score(tree, rows[i], a + j)
+
+    def score(self, tree: VantageTree, i: np.ndarray, j: np.ndarray) -> None:
+        """Score pairs of a query i and a row j, and keep the k best of each query."""
+        other = tree.ids[j] != self.ids[i]
+        i, j = i[other], j[other]
+        s = np.zeros(len(i))
+        for d in range(self.dims):
+            s += self.columns[d].take(i) * tree.columns[d].take(j)
+        s /= self.lengths[i] * tree.norms[j]
+        better = (s > self.scores[i, -1]) | (s == self.scores[i, -1]) & (tree.ids[j] < self.found[i, -1])
+        i, ids, s = i[better], tree.ids[j[better]], s[better]
+        rows = np.unique(i)
+        i = np.concatenate([np.repeat(rows, self.k), i])
+        ids, s = np.concatenate([self.found[rows].ravel(), ids]), np.concatenate([self.scores[rows].ravel(), s])
+        order = np.lexsort((ids, -s, i))
+        top = order[np.searchsorted(i[order], rows)[:, None] + np.arange(self.k)]
+        self.scores[rows], self.found[rows] = s[top], ids[top]
+
+
+INDEX_SCHEMA = "role int, at int, n int, dims int, ids binary, vectors binary, nodes binary, radii binary"
+_QUERIES, _TREE = 0, 1
+_SENT = "role", "dims", "ids", "vectors", "nodes", "radii"
+
+
+def usable_vectors(embeddings: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(vec_id, vector of floats or else doubles), each once; null, zero, and non-finite vectors and rows without an id take no part."""
+    kind = embeddings.select(vector).schema[0].dataType
+    v = F.col(vector) if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else F.col(vector).cast("array<double>")
+    good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    return embeddings.select(F.col(key).cast("long").alias("vec_id"), v.alias("vector")).filter(F.col("vec_id").isNotNull() & F.coalesce(good, F.lit(False))).distinct()
 
 
 def build_index(vectors: DataFrame, shard: int = SHARD, leaf: int = LEAF) -> DataFrame:
-    """One row per tree. Partitions are dealt evenly and cut into trees of at most `shard` rows of one dimension."""
-    parts = max(1, -(-vectors.count() // shard))
+    """Rows (vec_id, vector, asked) as a row per tree of at most `shard` rows of one dimension, and one of its queries, if any.
+
+    `at` counts a partition's trees, and the rows of their queries.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
+        held: dict[int, tuple[list, list, list]] = {}
+        made = [0, 0]
 
-        def tree(dims: int) -> pa.RecordBatch:
-            ids, rows = held.pop(dims)
-            t = VantageTree.build(np.concatenate(ids), scaled(np.concatenate(rows)), leaf)
-            return pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (t.ids, t.vectors, t.nodes, t.radii))], names=["dims", "ids", "vectors", "nodes", "radii"])
+        def row(role: int, dims: int, ids: np.ndarray, rows: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
+            made[role] += 1
+            texts = [x.tobytes() for x in (ids, rows, *more)] + [None] * (2 - len(more))
+            return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in (role, made[role] - 1, len(ids), dims)), *(pa.array([x], pa.binary()) for x in texts)], names=["role", "at", "n", "dims", "ids", "vectors", "nodes", "radii"])
+
+        def grown(dims: int) -> Iterator[pa.RecordBatch]:
+            ids, rows, asked = map(np.concatenate, held.pop(dims))
+            t = VantageTree.build(ids, scaled(rows.astype(np.float64)), leaf)
+            yield row(_TREE, dims, t.ids, rows[t.order], t.nodes, t.radii)
+            if asked.any():
+                yield row(_QUERIES, dims, ids[asked], rows[asked])
 
         for batch in batches:
-            ids, rows = batch.column("vec_id").to_numpy(), batch.column("vector")
+            ids, rows, asked = batch.column("vec_id").to_numpy(), batch.column("vector"), batch.column("asked").to_numpy(zero_copy_only=False)
             sizes = np.diff(rows.offsets.to_numpy())
             flat, starts = rows.values.to_numpy(zero_copy_only=False), rows.offsets.to_numpy()[:-1]
             for dims in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == dims)
                 while len(at):
-                    mine = held.setdefault(dims, ([], []))
+                    mine = held.setdefault(dims, ([], [], []))
                     take = at[: shard - sum(map(len, mine[0]))]
-                    mine[0].append(ids[take])
-                    mine[1].append(flat[starts[take, None] + np.arange(dims)])
+                    for to, x in zip(mine, (ids[take], flat[starts[take, None] + np.arange(dims)], asked[take])):
+                        to.append(x)
                     at = at[len(take) :]
                     if sum(map(len, mine[0])) >= shard:
-                        yield tree(dims)
+                        yield from grown(dims)
         for dims in list(held):
-            yield tree(dims)
+            yield from grown(dims)
 
-    return vectors.repartition(parts).mapInArrow(run, TREE_SCHEMA)
+    return vectors.mapInArrow(run, INDEX_SCHEMA)
 
 
-def usable_vectors(embeddings: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, vector of doubles), each once; null, zero, and non-finite vectors and rows without an id take no part."""
-    v = F.col(vector).cast("array<double>")
-    good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return embeddings.select(F.col(key).cast("long").alias("vec_id"), v.alias("vector")).filter(F.col("vec_id").isNotNull() & F.coalesce(good, F.lit(False))).distinct()
+def tiling(trees: int, tree_rows: int, tree_cells: int, query_rows: int, query_cells: int, tiles: int) -> tuple[int, int]:
+    """Into how many groups trees and queries are dealt, so that a tile of both is bounded in bytes and pairs and there are `tiles`."""
+    groups = max(1, -(-8 * query_cells // QUERY_BYTES))
+    least = max(-(-tiles // groups), -(-8 * tree_cells // TREE_BYTES), -(-tree_rows * query_rows // groups // PAIRS), 1)
+    return min(max(trees, 1), least), groups
+
 
+def in_tiles(index: DataFrame, tiles: int) -> DataFrame:
+    """Index rows by tile, a partition each, queries first: every group of queries meets every group of trees once."""
+    tree, rows = F.col("role") == _TREE, F.col("n").cast("long")
+    cells = rows * F.col("dims")
+    totals = index.agg(F.count_if(tree), *(F.sum(F.when(is_in, x)) for is_in in (tree, ~tree) for x in (rows, cells)), F.max("part") + 1).first()
+    *sizes, parts = (x or 0 for x in totals)
+    tree_groups, query_groups = tiling(*sizes, tiles)
+    spread = F.col("part") + F.col("at").cast("long") * F.lit(parts)  # counts a partition's first rows, then the second ones
 
-def query_blocks(queries: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Queries packed by dimension into blocks 0, 1, ... of at most `block`."""
-    numbered = number_within(queries, [], ["vec_id"], "_n").withColumn("block", F.floor(F.col("_n") / block).cast("int"))
+    def one(groups: int) -> Column:
+        return F.pmod(spread, F.lit(groups)).cast("int")
 
-    def pack(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("vec_id").to_pylist(), table.column("vector").to_pylist()))
-        out = []
-        for dims in sorted({len(v) for _, v in rows}):
-            some = [(i, v) for i, v in rows if len(v) == dims]
-            out.append((table.column("block")[0].as_py(), dims, np.array([i for i, _ in some], np.int64).tobytes(), scaled(np.array([v for _, v in some], np.float64)).tobytes()))
-        return pa.table({"block": pa.array([o[0] for o in out], pa.int32()), "dims": pa.array([o[1] for o in out], pa.int32()), "query_ids": pa.array([o[2] for o in out], pa.binary()), "queries": pa.array([o[3] for o in out], pa.binary())})
+    def each(groups: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
 
-    return numbered.select("block", "vec_id", "vector").groupBy("block").applyInArrow(pack, "block int, dims int, query_ids binary, queries binary")
+    trees = index.filter(tree).withColumn("_tree", one(tree_groups)).withColumn("_query", each(query_groups))
+    queries = index.filter(~tree).withColumn("_tree", each(tree_groups)).withColumn("_query", one(query_groups))
+    placed = trees.unionByName(queries).withColumn("tile", F.col("_query") * tree_groups + F.col("_tree"))
+    return placed.select("tile", *_SENT).repartitionById(tree_groups * query_groups, F.col("tile")).sortWithinPartitions("tile", "role")
 
 
-def nearest(embeddings: DataFrame, is_query, k: int = 5, factor: float = 1.0, key: str = "vec_id", vector: str = "embedding", shard: int = SHARD) -> DataFrame:
+def nearest(embeddings: DataFrame, is_query: Column | str, k: int = 5, factor: float = 1.0, key: str = "vec_id", vector: str = "embedding", shard: int = SHARD) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest other rows of every query row.
 
     Vectors are scaled by powers of two, so huge and tiny components count as any others. Vectors that are null, empty, zero or have null or non-finite components take no part; vectors are compared with those
     of the same dimension; repeated rows count once; ties go to the smaller id; with fewer than k candidates all are
-    returned; an empty table has no result. Trees and blocks have bounded sizes, and only k rows per query and tree are
+    returned; an empty table has no result. Trees and blocks of queries are dealt into tiles, one a task, of bounded sizes:
+    nothing is joined or broadcast, the driver sees one row of totals, and only k rows per query and group of trees are
     shuffled.
     """
-    usable = cut_lineage(usable_vectors(embeddings, key, vector))
-    index = cut_lineage(build_index(usable, shard).withColumn("tree", F.monotonically_increasing_id()))
-    blocks = query_blocks(usable.filter(is_query))
-    trees = index.count()
-    numbered = number_within(index.select("tree", "dims"), [], ["tree"], "_n").select("tree", F.col("_n").cast("int").alias("at"))
-    placed = index.join(numbered, "tree").drop("tree")
-    sent = blocks.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))) if trees else blocks.withColumn("at", F.lit(0)).limit(0)
+    usable = usable_vectors(embeddings, key, vector)
+    cell = np.float32 if isinstance(usable.schema["vector"].dataType.elementType, FloatType) else np.float64
+    asked = F.coalesce(F.expr(is_query) if isinstance(is_query, str) else is_query, F.lit(False))
+    index = cut_lineage(build_index(usable.withColumn("asked", asked), shard).withColumn("part", F.spark_partition_id()))
+    tiles = in_tiles(index, max(TILES, 3 * embeddings.sparkSession.sparkContext.defaultParallelism))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, list] = {}
+        best: dict[int, Best] = {}
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            for b in best.values():
+                found = ~np.isneginf(b.scores)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.ids, found.sum(axis=1))), pa.array(b.found[found]), pa.array(b.scores[found])], names=["query_id", "vec_id", "score"])
+            blocks.clear()
+            best.clear()
+
+        here = None
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                dims = row["dims"]
-                tree = VantageTree(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"]).reshape(-1, dims), np.frombuffer(row["nodes"], np.int32).reshape(-1, 5), np.frombuffer(row["radii"]))
-                queries = np.frombuffer(row["query_ids"], np.int64)
-                scores, ids, found = tree.search(queries, np.frombuffer(row["queries"]).reshape(-1, dims), k, factor)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(queries, found.sum(axis=1))), pa.array(ids[found]), pa.array(scores[found])], names=["query_id", "vec_id", "score"])
-
-    found = sent.join(placed, ["at", "dims"]).mapInArrow(run, "query_id long, vec_id long, score double")
+                now, role, dims = (batch.column(c)[i].as_py() for c in ("tile", "role", "dims"))
+                if now != here:
+                    yield from ended()
+                    here = now
+                ids, vectors, nodes, radii = (batch.column(c)[i].as_buffer() for c in ("ids", "vectors", "nodes", "radii"))
+                ids, vectors = np.frombuffer(ids, np.int64), scaled(np.frombuffer(vectors, cell).reshape(-1, dims).astype(np.float64))
+                if role == _QUERIES:
+                    blocks.setdefault(dims, []).append((ids, vectors))
+                    continue
+                if dims in blocks:
+                    best[dims] = Best(*map(np.concatenate, zip(*blocks.pop(dims))), k)
+                if dims in best:
+                    best[dims].search(VantageTree(ids, vectors, np.frombuffer(nodes, np.int32).reshape(-1, 5), np.frombuffer(radii)), factor)
+        yield from ended()
+
+    found = tiles.mapInArrow(run, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

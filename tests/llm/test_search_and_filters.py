@@ -61,6 +61,46 @@ def test_huge_and_tiny_vectors_are_searched(spark):
         assert g["vec_id"] == others[g["rank"] - 1][1] and abs(g["score"] - others[g["rank"] - 1][0]) < 1e-12
 
 
+def test_tiles_of_queries_and_trees_find_what_all_pairs_do(spark, monkeypatch):
+    monkeypatch.setattr(V, "QUERY_BYTES", 1000, raising=False)
+    monkeypatch.setattr(V, "TREE_BYTES", 6000, raising=False)
+    r = np.random.default_rng(4)
+    rows = [(i, r.normal(size=4 + 3 * (i % 5 == 0)).tolist()) for i in range(400)]
+    rows += [(400 + i, rows[i][1]) for i in range(0, 400, 3)] + [(805 + i, [2 * x for x in rows[i][1]]) for i in range(0, 400, 40)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = V.nearest(d, F.col("vec_id") % 10 == 0, k=5, shard=50)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+    assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == exact(rows, set(range(0, 1000, 10)), 5)
+
+
+def test_tiles_are_bounded_and_few():
+    assert V.tiling(0, 0, 0, 0, 0, 32) == (1, 1)
+    assert V.tiling(13, 51_282, 51_282 * 64, 1_026, 1_026 * 64, 32) == (13, 1)
+    for copies in (1, 10, 100):
+        trees, rows, queries = 150 * copies, 615_384 * copies, 12_312 * copies
+        tree_groups, query_groups = V.tiling(trees, rows, rows * 64, queries, queries * 64, 32)
+        assert queries * 512 / query_groups <= V.QUERY_BYTES and rows * 512 / tree_groups <= V.TREE_BYTES
+        assert rows * queries / tree_groups / query_groups <= V.PAIRS and tree_groups * query_groups >= 32
+        assert queries * tree_groups + rows * query_groups < (0.5 if copies == 1 else 0.25) * (queries * trees + rows)  # every query sent to every tree
+
+
+def test_trees_share_the_bounds_of_queries(monkeypatch):
+    scored, score = [], V.Best.score
+    monkeypatch.setattr(V.Best, "score", lambda self, tree, i, j: (scored.append((tree, len(i))), score(self, tree, i, j)))
+    r = np.random.default_rng(5)
+    v = r.normal(size=(4000, 16))
+    best = V.Best(np.arange(0, 4000, 50), v[::50], 5)
+    trees = [V.VantageTree.build(np.arange(a, a + 1000), v[a : a + 1000]) for a in range(0, 4000, 1000)]
+    for tree in trees:
+        best.search(tree, 1.0)
+    first, *_, last = (sum(n for t, n in scored if t is tree) for tree in trees)
+    assert last * 4 < first < 80 * 1000 / 4
+    s = V.running_dot(v[::50], v) / (V.norms(v[::50])[:, None] * V.norms(v))
+    s[np.arange(80), np.arange(0, 4000, 50)] = -np.inf
+    assert (best.found == np.argsort(-s, axis=1)[:, :5]).all() and (best.scores == -np.sort(-s, axis=1)[:, :5]).all()
+
+
 def test_urls(spark):
     rules = [("block", "net/"), ("allow", "example.net/en/"), ("block", "a.net/en/x"), ("block", "é.org/ü")]
     urls = ["http://a.example.NET/en/1", "https://example.net/de", "x://net/", "http://net", "http://net?/", "http://internet/", "nonsense", None, "", "http://a.net/en/xyz#q/", "://é.org/üa", "http://" + "s." * 300 + "net/", "http://example.net/en/", "ftp://u@h:8/p?q"]
