@@ -53,6 +53,25 @@ def scaled(a: np.ndarray) -> np.ndarray:
     return np.ldexp(a, -exponents[:, None])
 
 
+def _grow(units: np.ndarray, order: np.ndarray, nodes: list, radii: list, leaf: int, random: np.random.Generator, lo: int, hi: int) -> int:
+    """Add the node of order[lo:hi] and those below. No inner function: one that calls itself keeps its arrays until a collection."""
+    me = len(nodes)
+    nodes.append([lo, hi, -1, -1, -1])
+    radii.append(0.0)
+    if hi - lo > leaf:
+        vantage = order[lo + int(random.integers(hi - lo))]
+        far = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * units[order[lo:hi]] @ units[vantage]))
+        by = np.argsort(far, kind="stable")
+        radius = far[by[(hi - lo) // 2 - 1]]
+        inside = int(np.searchsorted(far[by], radius, "right"))
+        if inside < hi - lo:
+            order[lo:hi] = order[lo:hi][by]
+            nodes[me][2], radii[me] = int(vantage), float(radius)
+            nodes[me][3] = _grow(units, order, nodes, radii, leaf, random, lo, lo + inside)
+            nodes[me][4] = _grow(units, order, nodes, radii, leaf, random, lo + inside, hi)
+    return me
+
+
 class VantageTree:
     """Nodes as arrays: a node has a vantage row, a radius and children, or is a leaf with a slice of rows."""
 
@@ -66,27 +85,8 @@ class VantageTree:
     def build(cls, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF) -> VantageTree:
         """Median splits around a random vantage row; rows that all lie equally far stay one leaf. `order` tells where rows were."""
         units = vectors / norms(vectors)[:, None]
-        random = np.random.default_rng(len(ids))
         order, nodes, radii = np.arange(len(ids)), [], []
-
-        def grow(lo: int, hi: int) -> int:
-            me = len(nodes)
-            nodes.append([lo, hi, -1, -1, -1])
-            radii.append(0.0)
-            if hi - lo > leaf:
-                vantage = order[lo + int(random.integers(hi - lo))]
-                far = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * units[order[lo:hi]] @ units[vantage]))
-                by = np.argsort(far, kind="stable")
-                radius = far[by[(hi - lo) // 2 - 1]]
-                inside = int(np.searchsorted(far[by], radius, "right"))
-                if inside < hi - lo:
-                    order[lo:hi] = order[lo:hi][by]
-                    nodes[me][2], radii[me] = int(vantage), float(radius)
-                    nodes[me][3] = grow(lo, lo + inside)
-                    nodes[me][4] = grow(lo + inside, hi)
-            return me
-
-        grow(0, len(ids))
+        _grow(units, order, nodes, radii, leaf, np.random.default_rng(len(ids)), 0, len(ids))
         nodes = np.array(nodes, np.int32)
         place = np.empty(len(ids), np.int64)
         place[order] = np.arange(len(ids))
@@ -99,17 +99,16 @@ class VantageTree:
         split = np.flatnonzero(self.nodes[:, 2] >= 0)
         gaps = np.empty((len(self.nodes), len(units)))
         gaps[split] = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * self.units[self.nodes[split, 2]] @ units.T)) - self.radii[split, None]
-
-        def walk(node: int, home: np.ndarray, bound: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-            lo, hi, vantage, inner, outer = self.nodes[node].tolist()
-            if vantage < 0:
-                yield lo, hi, home, bound
-            else:
-                near = gaps[node] <= 0
-                yield from walk(inner, home & near, np.maximum(bound, gaps[node]))
-                yield from walk(outer, home & ~near, np.maximum(bound, -gaps[node]))
-
-        return walk(0, np.ones(len(units), bool), np.zeros(len(units)))
+        yield from self._below(0, gaps, np.ones(len(units), bool), np.zeros(len(units)))
+
+    def _below(self, node: int, gaps: np.ndarray, home: np.ndarray, bound: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        lo, hi, vantage, inner, outer = self.nodes[node].tolist()
+        if vantage < 0:
+            yield lo, hi, home, bound
+        else:
+            near = gaps[node] <= 0
+            yield from self._below(inner, gaps, home & near, np.maximum(bound, gaps[node]))
+            yield from self._below(outer, gaps, home & ~near, np.maximum(bound, -gaps[node]))
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(scores, ids, found) of the k best rows per query, best first, ties to the smaller id, without the query's own."""

@@ -1,5 +1,7 @@
+import gc
 import random
 import time
+import weakref
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -101,6 +103,19 @@ def test_trees_share_the_bounds_of_queries(monkeypatch):
     assert (best.found == np.argsort(-s, axis=1)[:, :5]).all() and (best.scores == -np.sort(-s, axis=1)[:, :5]).all()
 
 
+def test_a_tree_is_freed_once_it_was_searched():
+    v = np.random.default_rng(6).normal(size=(500, 4))
+    gc.disable()
+    try:
+        tree = V.VantageTree.build(np.arange(500), v)
+        seen = weakref.ref(tree)
+        tree.search(np.arange(9), v[:9], 5, 1.0)
+        del tree
+        assert seen() is None
+    finally:
+        gc.enable()
+
+
 def test_urls(spark):
     rules = [("block", "net/"), ("allow", "example.net/en/"), ("block", "a.net/en/x"), ("block", "é.org/ü")]
     urls = ["http://a.example.NET/en/1", "https://example.net/de", "x://net/", "http://net", "http://net?/", "http://internet/", "nonsense", None, "", "http://a.net/en/xyz#q/", "://é.org/üa", "http://" + "s." * 300 + "net/", "http://example.net/en/", "ftp://u@h:8/p?q"]
